@@ -49,3 +49,13 @@ def let(value: Column, body) -> Column:
 def words(text: str | Column) -> Column:
     """Number of runs of characters other than white space; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+#: Rows of one Arrow batch: texts can be very long, and a batch is held whole by a Python worker.
+BATCH_ROWS = 256
+
+
+def text_batches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more: Column) -> DataFrame:
+    """(doc_id LONG, text STRING, ...) for a Python map; null texts are empty; batches are kept small."""
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *more)

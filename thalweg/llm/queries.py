@@ -5,17 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import durable, table
+from .language import fit, identify
 from .line_dedup import drop_common_lines
 from .mixing import Mixture
 from .sharding import assign_shards
-from .common import durable
+from .token_counts import count_tokens
 
 
 def op1_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Mixture(table(spark, sf_dir, "documents")).summary()
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(table(spark, sf_dir, "documents"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Law `rows`; a null text counts as empty: size 16, CRC 0."""
     text = F.coalesce("text", F.lit(""))
@@ -28,6 +33,12 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_common_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False)).alias("held_out")
+    return identify(docs, fit(docs), "doc_id", "text", held_out).select("doc_id", "held_out", "lang_pred", "score")
+
+
 OP9_SQL = r"""
 WITH lines AS (
   SELECT doc_id, t, unnest(ls) AS line, unnest(range(len(ls))) AS pos
@@ -49,7 +60,9 @@ GROUP BY doc_id, t
 
 QUERIES = {
     "op1_mixture": op1_mixture,
+    "op4_token_counts": op4_token_counts,
     "op8_sharding": op8_sharding,
     "op9_line_dedup": op9_line_dedup,
+    "op10_language": op10_language,
 }
 ORACLES = {"op9_line_dedup": OP9_SQL}
