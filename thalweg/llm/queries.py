@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, table
+from . import pii
+from .common import durable, fresh_path, table
+from .decontaminate import decontaminate
 from .language import fit, identify
 from .line_dedup import drop_common_lines
 from .mixing import Mixture
+from .secrets import BASE_KINDS, scan_history
 from .sharding import assign_shards
 from .token_counts import count_tokens
 
@@ -17,10 +20,41 @@ def op1_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Mixture(table(spark, sf_dir, "documents")).summary()
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"))
 
 
+def _digest(spans):
+    """kind:start:end of each span, comma-joined."""
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+def _count(array, value: str):
+    return F.size(F.filter(array, lambda x: x == value))
+
+
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A first run: the ledger starts empty, in the shared folder. n_* count base spans; n_more those the other rules add."""
+    found = scan_history(table(spark, sf_dir, "documents"), fresh_path(spark, "secret-ledger"))
+    base = F.filter("findings", lambda s: s["kind"].isin(*BASE_KINDS))
+    kinds = F.transform("findings", lambda s: s["kind"])
+    counts = [_count(kinds, k).cast("long").alias(f"n_{k}") for k in BASE_KINDS]
+    return found.select("doc_id", *counts, F.sha2(_digest(base), 256).alias("base_sha256"), _digest(F.col("findings")).alias("spans"), (F.size("findings") - F.size(base)).cast("long").alias("n_more"))
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """n_* count base spans; n_model those that the network adds."""
+    docs = table(spark, sf_dir, "documents")
+    found = pii.find_personal_data(docs, pii.fit(docs))
+    kinds = F.transform("base", lambda s: s["kind"])
+    counts = [_count(kinds, k).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(_digest(F.col("base")), 256).alias("base_sha256"), _digest(F.col("spans")).alias("spans"), (F.size("spans") - F.size("base")).cast("long").alias("n_model"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Law `rows`; a null text counts as empty: size 16, CRC 0."""
     text = F.coalesce("text", F.lit(""))
@@ -60,7 +94,10 @@ GROUP BY doc_id, t
 
 QUERIES = {
     "op1_mixture": op1_mixture,
+    "op3_decontaminate": op3_decontaminate,
     "op4_token_counts": op4_token_counts,
+    "op5_pii": op5_pii,
+    "op7_secrets": op7_secrets,
     "op8_sharding": op8_sharding,
     "op9_line_dedup": op9_line_dedup,
     "op10_language": op10_language,
