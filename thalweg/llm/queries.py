@@ -12,6 +12,7 @@ from .language import fit, identify
 from .line_dedup import drop_common_lines
 from .mixing import Mixture
 from .secrets import BASE_KINDS, scan_history
+from .ngram_join import jaccard_classes
 from .sharding import assign_shards
 from .token_counts import count_tokens
 
@@ -33,6 +34,10 @@ def _digest(spans):
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_classes(table(spark, sf_dir, "documents")).select("doc_id", "n_links", "class_id", "kept")
+
+
 def _count(array, value: str):
     return F.size(F.filter(array, lambda x: x == value))
 
@@ -97,6 +102,7 @@ QUERIES = {
     "op3_decontaminate": op3_decontaminate,
     "op4_token_counts": op4_token_counts,
     "op5_pii": op5_pii,
+    "op6_ngram_join": op6_ngram_join,
     "op7_secrets": op7_secrets,
     "op8_sharding": op8_sharding,
     "op9_line_dedup": op9_line_dedup,
