@@ -1,4 +1,72 @@
+"""From raw documents to shuffled shards of a clean, mixed corpus.
+
+Each stage takes (spark, docs, sf_dir), is given the stored result of the one before, and applies one operator of
+thalweg.llm to all of it.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from thalweg.llm import language as languages
+from thalweg.llm.common import fresh_path, table
+from thalweg.llm.decontaminate import VERDICT, decontaminate
+from thalweg.llm.mixing import Mixture
+from thalweg.llm.ngram_join import jaccard_classes
+from thalweg.llm.sharding import shuffle_into_shards
+
+#: A text is rejected when no language is found in it or the best one's posterior is below this.
+LEAST_SCORE = 0.5
+SHARDS = 40
+
+
+def _others(docs: DataFrame, *taken: str) -> list:
+    """Columns besides id and text; a column named like one that the operator adds is replaced, that is, dropped."""
+    return [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text", *taken)]
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents without a recognisable language: null text, no letters, or no language that stands out."""
+    others = _others(docs, "lang_pred", "score")
+    found = languages.identify(docs, languages.fit(docs), "doc_id", "text", *others)
+    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select("doc_id", "text", *others)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near copies the document of smallest id stays."""
+    gone = jaccard_classes(docs).where(~F.col("kept")).select(F.col("rid").alias("__rid"))
+    return docs.withColumn("__rid", F.monotonically_increasing_id()).join(gone, "__rid", "left_anti").drop("__rid")
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a benchmark item."""
+    others = _others(docs, *VERDICT)
+    found = decontaminate(docs, table(spark, sf_dir, "benchmark"), more=tuple(others), keep_text=True)
+    return found.where(~F.col("contaminated")).select("doc_id", "text", *others)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources in proportion to their weights: the words that the mix takes, a row per document and pass over its source."""
+    return Mixture(docs).documents()
+
+
+def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A uniform shuffle into shards of equal size: adds shard and slot."""
+    return shuffle_into_shards(docs, SHARDS)
+
+
+STAGES = [("language", language), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("mix", mix), ("shards", shards)]
+
+#: Language models, minhash verification, tiling and random draws: SQL cannot express them. tests/llm compares with
+#: brute force.
 ORACLE_SQL = None
-STAGES = []
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        path = fresh_path(spark, f"pipeline-{name}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs

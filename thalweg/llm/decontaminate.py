@@ -144,7 +144,7 @@ class Benchmark:
         return found
 
 
-SCHEMA = "doc_id long, n_items long, coverage double, n_tiles long, item_ids array<bigint>, contaminated boolean"
+VERDICT = {"n_items": "long", "coverage": "double", "n_tiles": "long", "item_ids": "array<bigint>", "contaminated": "boolean"}
 
 
 def _verdict(found: list[tuple[int, float, int]], threshold: float) -> tuple:
@@ -153,8 +153,8 @@ def _verdict(found: list[tuple[int, float, int]], threshold: float) -> tuple:
     return len(hit), best[1], best[2], [x[0] for x in hit], bool(hit)
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", threshold: float = COVERAGE, min_tile: int = MIN_TILE, broadcast_chars: int = BROADCAST_CHARS) -> DataFrame:
-    """One row per input row: doc_id, n_items, coverage, n_tiles, item_ids, contaminated.
+def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", threshold: float = COVERAGE, min_tile: int = MIN_TILE, broadcast_chars: int = BROADCAST_CHARS, more: tuple = (), keep_text: bool = False) -> DataFrame:
+    """One row per input row: doc_id, the columns of `more`, n_items, coverage, n_tiles, item_ids, contaminated.
 
     Words ignore case (A-Z) and ASCII punctuation. n_items and item_ids are the items of which tiles of at least min_tile
     words cover threshold or more; coverage and n_tiles are those of the item covered most.
@@ -165,7 +165,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     is joined by seed: distinct (document, item) pairs of common seeds, then texts by row number.
     """
     size = items.agg(F.coalesce(F.sum(F.length(item_text_col)), F.lit(0))).first()[0]
-    frame = text_batches(docs, id_col, text_col)
+    frame = text_batches(docs, id_col, text_col, *more)
+    carried = [c for c in frame.columns if keep_text or c != "text"]
     if size <= broadcast_chars:
         rows = items.select(F.col(item_col).cast("long"), item_text_col).collect()
         shared = docs.sparkSession.sparkContext.broadcast(Benchmark([tuple(r) for r in rows], min_tile))
@@ -173,14 +174,15 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
         def run(batches):
             bench = shared.value
             for pdf in batches:
-                out = [(d, *_verdict(bench.coverage(t), threshold)) for d, t in zip(pdf["doc_id"], pdf["text"])]
-                yield pd.DataFrame(out, columns=["doc_id", "n_items", "coverage", "n_tiles", "item_ids", "contaminated"]).astype({"doc_id": "Int64"})
+                out = [_verdict(bench.coverage(t), threshold) for t in pdf["text"]]
+                yield pdf[carried].assign(**{name: [x[k] for x in out] for k, name in enumerate(VERDICT)})
 
-        return frame.mapInPandas(run, SCHEMA)
-    return _joined(frame, items.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("item_text")), threshold, min_tile)
+        fields = {f.name: f.dataType.simpleString() for f in frame.select(*[f"`{c}`" for c in carried]).schema.fields} | VERDICT
+        return frame.mapInPandas(run, ", ".join(f"`{k}` {v}" for k, v in fields.items()))
+    return _joined(frame, items.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("item_text")), threshold, min_tile, carried)
 
 
-def _joined(frame: DataFrame, items: DataFrame, threshold: float, min_tile: int) -> DataFrame:
+def _joined(frame: DataFrame, items: DataFrame, threshold: float, min_tile: int, carried: list[str]) -> DataFrame:
     """The same for a benchmark of any size: seeds of both sides meet in a shuffled join."""
 
     def exploded(key):
@@ -197,7 +199,7 @@ def _joined(frame: DataFrame, items: DataFrame, threshold: float, min_tile: int)
 
         return run
 
-    whole = frame.withColumn("rid", F.monotonically_increasing_id())
+    whole = frame.select(F.monotonically_increasing_id().alias("rid"), "text", F.struct(*[f"`{c}`" for c in carried]).alias("row"))
     named = items.where("item_id is not null").withColumnRenamed("item_text", "text").where("text is not null")
     of_docs = whole.select("rid", "text").mapInPandas(exploded("rid"), "rid long, h long")
     of_items = named.mapInPandas(exploded("item_id"), "item_id long, h long").distinct()
@@ -220,6 +222,6 @@ def _joined(frame: DataFrame, items: DataFrame, threshold: float, min_tile: int)
         F.array_sort(F.collect_list(F.when(over, F.col("item_id")))).alias("item_ids"),
     )
     zero = F.lit(0).cast("long")
-    return whole.select("rid", "doc_id").join(per, "rid", "left").select(
-        "doc_id", F.coalesce("n_items", zero).alias("n_items"), F.coalesce("top.coverage", F.lit(0.0)).alias("coverage"), F.coalesce("top.n_tiles", zero).alias("n_tiles"), F.coalesce("item_ids", F.array().cast("array<bigint>")).alias("item_ids"), (F.coalesce("n_items", zero) > 0).alias("contaminated")
+    return whole.select("rid", "row").join(per, "rid", "left").select(
+        "row.*", F.coalesce("n_items", zero).alias("n_items"), F.coalesce("top.coverage", F.lit(0.0)).alias("coverage"), F.coalesce("top.n_tiles", zero).alias("n_tiles"), F.coalesce("item_ids", F.array().cast("array<bigint>")).alias("item_ids"), (F.coalesce("n_items", zero) > 0).alias("contaminated")
     )
