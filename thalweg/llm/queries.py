@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from . import pii
 from .common import durable, fresh_path, table
 from .decontaminate import decontaminate
+from .embedding_dedup import near_vectors
 from .language import fit, identify
 from .line_dedup import drop_common_lines
 from .mixing import Mixture
@@ -21,6 +22,10 @@ def op1_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Mixture(table(spark, sf_dir, "documents")).summary()
 
 
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -99,6 +104,7 @@ GROUP BY doc_id, t
 
 QUERIES = {
     "op1_mixture": op1_mixture,
+    "op2_embedding_dedup": op2_embedding_dedup,
     "op3_decontaminate": op3_decontaminate,
     "op4_token_counts": op4_token_counts,
     "op5_pii": op5_pii,
