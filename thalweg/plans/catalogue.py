@@ -1,2 +1,802 @@
-QUERIES = {}
-ORACLES = {}
+"""One query per operator on the driver's tables, with the SQL that gives the same rows where SQL can."""
+
+from __future__ import annotations
+
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from ..functions import aggregators, scalars, transforms
+from ..operators import cleaning, graph, inference, mlpe, points, samc, surface
+from ..sources import sinks
+from ..sources.tables import reindex_matrix
+from ..streaming import hall_of_fame
+from . import ensemble, evaluate, inputs, search, simulate
+from .inputs import ANC, COVARIATES, INC, METHODS, MODELS, PREDICTORS, PTS, RANKED, RESP, SURFACES, TREE, VARIABLES, mlpe_sql, table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Doubles rounded, as sums depend on order in their last digits."""
+    return df.withColumns({c: F.round(c, digits) for c, t in df.dtypes if t == "double"})
+
+
+# ---- aggregators
+
+_AGGREGATES = {
+    "ARITH": "avg(l_quantity)", "GEOM": "exp(avg(ln(l_quantity)))", "HARM": "count(*) / sum(1.0 / l_quantity)", "MEDIAN": "median(l_quantity)", "MAX": "max(l_quantity)", "MIN": "min(l_quantity)",
+    "SD": "stddev_pop(l_quantity)", "VAR": "var_pop(l_quantity)", "CV": "stddev_pop(l_quantity) / avg(l_quantity)", "FIRST": "(list(l_quantity ORDER BY l_orderkey, l_linenumber, l_quantity))[1]", "SUM": "sum(l_quantity)",
+}
+
+
+def _aggregate(method: str):
+    def run(spark, d):
+        order = F.struct("l_orderkey", "l_linenumber", "l_quantity")
+        return rounded(table(spark, d, "lineitem").groupBy("l_suppkey").agg(aggregators.aggregate(method, "l_quantity", order).cast("double").alias("value")))
+
+    return run
+
+
+for _method, _sql in _AGGREGATES.items():
+    query(f"agg_{_method.lower()}", f"SELECT l_suppkey, round(CAST({_sql} AS DOUBLE), 6) AS value FROM lineitem GROUP BY l_suppkey")(_aggregate(_method))
+
+
+@query("agg_adjharm", """SELECT c_nationkey, CASE WHEN p = 0 THEN 0.0 ELSE round((2 * p - n) / inv * p / n, 6) END AS value FROM (
+  SELECT c_nationkey, count(*) AS n, count(*) FILTER (c_acctbal > 0) AS p, sum(1.0 / c_acctbal) FILTER (c_acctbal > 0) AS inv FROM customer GROUP BY 1)""")
+def _(spark, d):
+    return rounded(table(spark, d, "customer").groupBy("c_nationkey").agg(aggregators.aggregate("ADJHARM", "c_acctbal").alias("value")))
+
+
+@query("edge_covariates", f"WITH {COVARIATES} SELECT edge_id, round(quantity, 6) AS quantity, round(discount, 6) AS discount, round(price, 6) AS price FROM covariates")
+def _(spark, d):
+    return rounded(surface.edge_covariates(inputs.reaches(spark, d), METHODS, "pos"))
+
+
+@query("edge_predictors", f"WITH {PREDICTORS} SELECT edge_id, round(quantity, 6) AS quantity, round(discount, 6) AS discount, round(price, 6) AS price FROM predictors")
+def _(spark, d):
+    return rounded(surface.predictors(inputs.reaches(spark, d), METHODS, "pos"))
+
+
+_SAMPLES = "samples AS (SELECT c_custkey, c_nationkey, c_acctbal FROM customer WHERE c_custkey < 60)"
+_MEMBERS = "members AS (SELECT c_custkey AS label, dense_rank() OVER (ORDER BY c_nationkey) - 1 AS pt, c_acctbal FROM samples)"
+
+
+def _samples(spark, d):
+    s = table(spark, d, "customer").where("c_custkey < 60").select("c_custkey", "c_nationkey", "c_acctbal")
+    members = s.select(F.col("c_custkey").alias("label"), (F.dense_rank().over(W.orderBy("c_nationkey")) - 1).cast("long").alias("pt_idx"))
+    a, b = s.select(F.col("c_custkey").alias("row_label"), F.col("c_acctbal").alias("a")), s.select(F.col("c_custkey").alias("col_label"), F.col("c_acctbal").alias("b"))
+    matrix = a.join(b, F.col("row_label") != F.col("col_label")).select("row_label", "col_label", (F.abs(F.col("a") - F.col("b")) + 1).alias("value"))
+    return members, matrix
+
+
+def _blocks(method, sql):
+    name = f"pop_block_{method.lower()}"
+
+    @query(name, f"""WITH {_SAMPLES}, {_MEMBERS}, cells AS (
+      SELECT a.pt AS i, b.pt AS j, abs(a.c_acctbal - b.c_acctbal) + 1 AS x FROM members a JOIN members b ON a.pt < b.pt),
+    upper AS (SELECT i, j, round({sql}, 5) AS value FROM cells GROUP BY 1, 2)
+    SELECT i, j, value FROM upper UNION ALL SELECT j, i, value FROM upper UNION ALL SELECT DISTINCT pt, pt, 0.0 FROM members""")
+    def _(spark, d):
+        members, matrix = _samples(spark, d)
+        return rounded(points.population_blocks(matrix, members, method), 5)
+
+
+for _m, _s in (("ARITH", "avg(x)"), ("MEDIAN", "median(x)"), ("HARM", "count(*) / sum(1.0 / x)"), ("GEOM", "exp(avg(ln(x)))")):
+    _blocks(_m, _s)
+
+
+@query("matrix_reindex", f"""WITH {_SAMPLES}, {_MEMBERS} SELECT a.label AS i, b.label AS j, CASE WHEN a.label <> b.label THEN round(abs(a.c_acctbal - b.c_acctbal) + 1, 6) END AS value FROM members a, members b""")
+def _(spark, d):
+    members, matrix = _samples(spark, d)
+    return rounded(reindex_matrix(matrix, members.select("label", F.col("label").alias("pt_idx"))))
+
+
+# ---- rescaling, transforms, scalars
+
+
+@query("rescale", "SELECT s_suppkey, round((s_acctbal - min(s_acctbal) OVER ()) / (max(s_acctbal) OVER () - min(s_acctbal) OVER ()) * 10, 6) AS value FROM supplier")
+def _(spark, d):
+    df = table(spark, d, "supplier").select("s_suppkey", F.col("s_acctbal").alias("value"))
+    return rounded(transforms.rescale_columns(df, ["value"], 0, 10))
+
+
+def _curve(t: int):
+    @query(f"transform_{t}", f"""WITH {PREDICTORS}, x AS (SELECT edge_id, var, {t} AS t, 5.0::DOUBLE AS shape, value, min(value) OVER w AS low, max(value) OVER w AS high
+      FROM long_predictors WINDOW w AS (PARTITION BY var)), y AS (SELECT edge_id, var, {inputs.CURVE} AS v FROM x)
+    SELECT var, edge_id, round((v - min(v) OVER w) / (max(v) OVER w - min(v) OVER w), 6) AS value FROM y WINDOW w AS (PARTITION BY var)""")
+    def _(spark, d):
+        long = surface.long_predictors(surface.predictors(inputs.reaches(spark, d), METHODS, "pos"))
+        curves = long.select("var").distinct().select("var", F.lit(t).alias("transform"), F.lit(5.0).alias("shape"))
+        return rounded(surface.transformed(long, curves).select("var", "edge_id", "value"))
+
+
+for _t in transforms.NAMES:
+    _curve(_t)
+
+
+@query("minmax", "SELECT c_custkey, round((c_acctbal - min(c_acctbal) OVER w) / (max(c_acctbal) OVER w - min(c_acctbal) OVER w), 6) AS value FROM customer WINDOW w AS (PARTITION BY c_nationkey)")
+def _(spark, d):
+    return rounded(table(spark, d, "customer").select("c_custkey", transforms.rescale_over(F.col("c_acctbal"), W.partitionBy("c_nationkey")).alias("value")))
+
+
+@query("minmax_nonzero", """WITH x AS (SELECT c_custkey, c_nationkey, (c_acctbal - min(c_acctbal) OVER w) / (max(c_acctbal) OVER w - min(c_acctbal) OVER w) AS v FROM customer WINDOW w AS (PARTITION BY c_nationkey))
+SELECT c_custkey, round(CASE WHEN v = 0 THEN min(v) FILTER (v > 0) OVER (PARTITION BY c_nationkey) ELSE v END, 6) AS value FROM x""")
+def _(spark, d):
+    df = table(spark, d, "customer").select("c_custkey", "c_nationkey", F.col("c_acctbal").alias("value"))
+    return rounded(transforms.minmax_nonzero(df, "value", W.partitionBy("c_nationkey")).select("c_custkey", "value"))
+
+
+@query("masked_minmax", """WITH x AS (SELECT c_custkey, c_acctbal AS v, c_acctbal > 0 AS m, min(c_acctbal) FILTER (c_acctbal > 0) OVER w AS low, max(c_acctbal) FILTER (c_acctbal > 0) OVER w AS high FROM customer WINDOW w AS (PARTITION BY c_nationkey))
+SELECT c_custkey, round(CASE WHEN m AND high > low THEN (v - low) / (high - low) ELSE v END, 6) AS value FROM x""")
+def _(spark, d):
+    x = F.col("c_acctbal")
+    return rounded(table(spark, d, "customer").select("c_custkey", transforms.masked_minmax(x, x > 0, W.partitionBy("c_nationkey")).alias("value")))
+
+
+@query("zscore", "SELECT c_custkey, round((c_acctbal - avg(c_acctbal) OVER w) / stddev_pop(c_acctbal) OVER w, 6) AS value FROM customer WINDOW w AS (PARTITION BY c_nationkey)")
+def _(spark, d):
+    return rounded(table(spark, d, "customer").select("c_custkey", transforms.zscore(F.col("c_acctbal"), W.partitionBy("c_nationkey")).alias("value")))
+
+
+_SITES = "sites AS (SELECT c_name AS sample, (c_custkey * 37 % 1000) / 10.0::DOUBLE AS long, c_acctbal / 200 AS lat FROM customer)"
+_NODES = "nodes AS (SELECT CAST(s_suppkey AS BIGINT) AS node_id, (s_suppkey * 53 % 1000) / 10.0::DOUBLE AS x, s_acctbal / 200 AS y FROM supplier)"
+_KM = "2 * 6371.0 * asin(sqrt(least(pow(sin((radians(y) - radians(lat)) / 2), 2) + cos(radians(lat)) * cos(radians(y)) * pow(sin((radians(x) - radians(long)) / 2), 2), 1.0)))"
+_SNAP = f"{_SITES}, {_NODES}, snapped AS (SELECT *, {_KM} AS km FROM sites, nodes QUALIFY row_number() OVER (PARTITION BY sample ORDER BY pow(long - x, 2) + pow(lat - y, 2), node_id) = 1)"
+
+
+def _sites(spark, d):
+    return table(spark, d, "customer").select(F.col("c_name").alias("sample"), (F.col("c_custkey") * 37 % 1000 / 10.0).alias("long"), (F.col("c_acctbal") / 200).alias("lat"))
+
+
+def _nodes(spark, d):
+    return table(spark, d, "supplier").select(F.col("s_suppkey").cast("long").alias("node_id"), (F.col("s_suppkey") * 53 % 1000 / 10.0).alias("x"), (F.col("s_acctbal") / 200).alias("y"))
+
+
+@query("haversine", f"WITH {_SITES}, {_NODES} SELECT sample, node_id, round({_KM}, 5) AS km FROM sites, nodes WHERE node_id < 5")
+def _(spark, d):
+    both = _sites(spark, d).join(F.broadcast(_nodes(spark, d).where("node_id < 5")), F.lit(True))
+    return rounded(both.select("sample", "node_id", scalars.haversine(F.col("lat"), F.col("long"), F.col("y"), F.col("x")).alias("km")), 5)
+
+
+@query("combinations", "SELECT n_nationkey, CAST(n_nationkey * (n_nationkey - 1) // 2 AS BIGINT) AS pairs, CAST(n_nationkey * (n_nationkey - 1) * (n_nationkey - 2) // 6 AS BIGINT) AS triples FROM nation")
+def _(spark, d):
+    n = F.col("n_nationkey").cast("long")
+    return table(spark, d, "nation").select("n_nationkey", scalars.combinations(n, 2).alias("pairs"), scalars.combinations(n, 3).alias("triples"))
+
+
+_ROUTES = "routes AS (SELECT l_orderkey, list(l_suppkey ORDER BY l_linenumber, l_suppkey) AS route FROM lineitem GROUP BY 1)"
+
+
+def _routes(spark, d):
+    stops = F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_suppkey"))), lambda s: s["l_suppkey"])
+    return table(spark, d, "lineitem").groupBy("l_orderkey").agg(stops.alias("route"))
+
+
+@query("unique", f"""WITH {_ROUTES}, e AS (SELECT l_orderkey, unnest(route) AS s, unnest(range(len(route))) AS p FROM routes), f AS (SELECT l_orderkey, s, min(p) AS p FROM e GROUP BY 1, 2)
+SELECT l_orderkey, string_agg(CAST(s AS VARCHAR), ',' ORDER BY p) AS stops FROM f GROUP BY 1""")
+def _(spark, d):
+    return _routes(spark, d).select("l_orderkey", F.concat_ws(",", scalars.unique(F.col("route")).cast("array<string>")).alias("stops"))
+
+
+@query("find_pair", f"""WITH {_ROUTES} SELECT l_orderkey, coalesce(list_position(route, route[1]) > 0 AND list_position(route, 7) > 0 AND abs(list_position(route, route[1]) - list_position(route, 7)) = 1, false) AS adjacent FROM routes""")
+def _(spark, d):
+    return _routes(spark, d).select("l_orderkey", scalars.adjacent(F.col("route"), F.get("route", F.lit(0)), F.lit(7).cast("long")).alias("adjacent"))
+
+
+# ---- cleaning
+
+
+@query("scrub_bad_columns", "SELECT l_suppkey, round(sum(l_quantity), 4) AS quantity FROM lineitem GROUP BY l_suppkey")
+def _(spark, d):
+    df = table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.round(F.sum("l_quantity"), 4).alias("quantity"), F.lit(1.0).alias("constant"), F.max(F.lit(None).cast("double")).alias("empty"))
+    return cleaning.scrub_bad_columns(df, ["quantity", "constant", "empty", "absent"])
+
+
+@query("columns_vary", "SELECT 'all' AS part, count(DISTINCT r_name) > 1 AS vary FROM region UNION ALL SELECT 'first', count(DISTINCT r_name) > 1 FROM region WHERE r_regionkey = 0")
+def _(spark, d):
+    r = table(spark, d, "region")
+    return spark.createDataFrame([(n, cleaning.columns_vary(x)) for n, x in (("all", r), ("first", r.where("r_regionkey = 0")))], "part string, vary boolean")
+
+
+@query("clean_models", f"WITH {MODELS} SELECT model_id, fitness, " + ", ".join(f"{v}, CASE WHEN {v} <> 0 THEN {v}_{s} END AS {v}_{s}" for v in VARIABLES for s in ("weight",)) + " FROM models")
+def _(spark, d):
+    df = cleaning.mask_unselected(inputs.models(spark, d), VARIABLES)
+    return df.select("model_id", "fitness", *[c for v in VARIABLES for c in (v, f"{v}_weight")])
+
+
+@query("numeric_columns", "SELECT event_id, CASE WHEN event_type = 'view' THEN 0.0 WHEN event_type = 'click' THEN value END AS x FROM events")
+def _(spark, d):
+    kind, e = F.col("event_type"), table(spark, d, "events")
+    text = e.select("event_id", F.when(kind == "view", "-").when(kind == "click", F.col("value").cast("string")).otherwise("n/a").alias("x"))
+    return cleaning.numeric(text)
+
+
+@query("normalise_sign", "WITH m AS (SELECT user_id AS model_id, round(avg(value), 3) AS aic FROM events GROUP BY 1) SELECT model_id, aic, -aic AS fitness FROM m")
+def _(spark, d):
+    m = table(spark, d, "events").groupBy(F.col("user_id").alias("model_id")).agg(F.round(F.avg("value"), 3).alias("aic"))
+    return cleaning.normalise_sign(m.withColumn("fitness", F.col("aic")))
+
+
+@query("finite_fitness", "SELECT event_id, value AS fitness FROM events WHERE event_type <> 'error' AND value > 50")
+def _(spark, d):
+    e = table(spark, d, "events").select("event_id", F.when(F.col("event_type") == "error", float("-inf")).otherwise(F.col("value")).alias("fitness"))
+    return cleaning.better_than(cleaning.finite_fitness(e), 50.0)
+
+
+@query("membership", "SELECT c_custkey, c_nationkey FROM customer WHERE c_nationkey IN (SELECT s_nationkey FROM supplier)")
+def _(spark, d):
+    c = table(spark, d, "customer").select("c_custkey", F.col("c_nationkey").alias("k"))
+    s = table(spark, d, "supplier").select(F.col("s_nationkey").alias("k"))
+    return cleaning.in_both(c, s, "k")[0].select("c_custkey", F.col("k").alias("c_nationkey"))
+
+
+@query("variables_of", "SELECT unnest(['va', 'vb', 'vc']) AS variable")
+def _(spark, d):
+    return spark.createDataFrame([(v,) for v in cleaning.variables_of(inputs.models(spark, d))], "variable string")
+
+
+# ---- points
+
+
+@query("snap_nearest", f"WITH {_SNAP} SELECT sample, node_id, round(km, 5) AS km FROM snapped")
+def _(spark, d):
+    return rounded(points.snap_nearest(_sites(spark, d), _nodes(spark, d)).select("sample", "node_id", "km"), 5)
+
+
+@query("snap_nearest_grid", f"WITH {_SNAP} SELECT sample, node_id, round(km, 5) AS km FROM snapped")
+def _(spark, d):
+    return rounded(points.snap_nearest(_sites(spark, d), _nodes(spark, d), cell=5.0).select("sample", "node_id", "km"), 5)
+
+
+@query("points_table", f"""WITH {_SNAP} SELECT row_number() OVER (ORDER BY x, y) - 1 AS pt_idx, node_id, label, names FROM (
+  SELECT node_id, x, y, (list(sample ORDER BY long, lat, sample))[1] AS label, string_agg(sample, ',' ORDER BY long, lat, sample) AS names FROM snapped GROUP BY 1, 2, 3)""")
+def _(spark, d):
+    out = points.points_table(points.snap_nearest(_sites(spark, d), _nodes(spark, d)))
+    return out.select(F.col("pt_idx").cast("long").alias("pt_idx"), "node_id", "label", F.concat_ws(",", "names").alias("names"))
+
+
+@query("flatten_points", "SELECT CAST(s_nationkey AS DOUBLE) AS long, CAST(s_nationkey % 7 AS DOUBLE) AS lat, count(*) AS n FROM supplier GROUP BY 1, 2")
+def _(spark, d):
+    s = table(spark, d, "supplier").select(F.col("s_name").alias("sample"), F.col("s_nationkey").cast("double").alias("long"), (F.col("s_nationkey") % 7).cast("double").alias("lat"))
+    return points.flatten_points(s).select("long", "lat", F.size("names").cast("long").alias("n"))
+
+
+@query("distinct_coordinates", "SELECT min(s_name) AS sample, s_nationkey AS lat, s_nationkey % 7 AS long FROM supplier GROUP BY 2, 3")
+def _(spark, d):
+    s = table(spark, d, "supplier").select(F.col("s_name").alias("sample"), F.col("s_nationkey").alias("lat"), (F.col("s_nationkey") % 7).alias("long"))
+    return ensemble.distinct_coordinates(s)
+
+
+@query("pairs", f"WITH {PTS} SELECT a.pt_idx AS i, b.pt_idx AS j, a.pt_idx * (a.pt_idx - 1) // 2 + b.pt_idx AS pair_idx FROM pts a JOIN pts b ON a.pt_idx > b.pt_idx")
+def _(spark, d):
+    return points.pairs(inputs.points(spark, d))
+
+
+@query("lower_triangle", f"WITH {RESP} SELECT i, j, i * (i - 1) // 2 + j AS pair_idx, round(value, 6) AS value FROM resp")
+def _(spark, d):
+    r = inputs.response(spark, d)
+    return rounded(points.lower_triangle(surface.symmetric(r, inputs.points(spark, d), "value")))
+
+
+@query("combination_labels", """WITH p AS (SELECT a, b, row_number() OVER (ORDER BY a, b) - 1 AS pair_idx FROM range(1, 26) x(a), range(1, 26) y(b) WHERE a < b)
+SELECT pair_idx, CASE WHEN a = 1 AND b = 25 THEN b ELSE a END AS pop1, CASE WHEN a = 1 AND b = 25 THEN a ELSE b END AS pop2 FROM p""")
+def _(spark, d):
+    return points.combination_labels(spark, table(spark, d, "nation").count())
+
+
+# ---- graph
+
+
+def _used(spark, d):
+    return graph.stored(graph.path_subgraph(inputs.tree(spark, d), inputs.points(spark, d).select("node_id")))
+
+
+@query("degrees", f"WITH {TREE} SELECT node_id, count(*) AS degree FROM (SELECT child AS node_id FROM tree UNION ALL SELECT parent FROM tree) GROUP BY 1")
+def _(spark, d):
+    return graph.degrees(inputs.edges(spark, d))
+
+
+@query("edge_table", f"WITH {TREE} SELECT edge_id, child AS \"left\", parent AS \"right\", round(length_km, 6) AS length_km FROM tree")
+def _(spark, d):
+    return rounded(graph.edge_table(inputs.edges(spark, d)))
+
+
+def _ringed(spark, d):
+    """The tree with its regions joined in a ring, so that there are cycles."""
+    ring = spark.range(5).select((F.col("id") + 5000).alias("edge_id"), (F.col("id") + 1).alias("src"), ((F.col("id") + 1) % 5 + 1).alias("dst"), (1.5 + F.col("id")).alias("length_km"))
+    return inputs.edges(spark, d).unionByName(ring)
+
+
+@query("shortest_path_tree", f"""WITH RECURSIVE {TREE}, hops AS (
+  SELECT edge_id, child AS src, parent AS dst, length_km FROM tree UNION ALL SELECT edge_id, parent, child, length_km FROM tree
+  UNION ALL SELECT 5000 + k, k + 1, (k + 1) % 5 + 1, 1.5 + k FROM range(5) r(k) UNION ALL SELECT 5000 + k, (k + 1) % 5 + 1, k + 1, 1.5 + k FROM range(5) r(k)
+), walk AS (SELECT CAST(1000 AS BIGINT) AS node, CAST(NULL AS BIGINT) AS parent, CAST(0 AS DOUBLE) AS distance, [CAST(1000 AS BIGINT)] AS seen
+  UNION ALL SELECT h.dst, w.node, w.distance + h.length_km, list_append(w.seen, h.dst) FROM walk w JOIN hops h ON w.node = h.src WHERE NOT list_contains(w.seen, h.dst))
+SELECT node AS child, arg_min(parent, distance) AS parent, round(min(distance), 6) AS distance FROM walk WHERE parent IS NOT NULL GROUP BY 1""")
+def _(spark, d):
+    return rounded(graph.shortest_path_tree(_ringed(spark, d), 1000, "length").select("child", "parent", "distance"))
+
+
+@query("ancestors", f"WITH RECURSIVE {ANC} SELECT node, edge_id, child, parent, depth FROM anc")
+def _(spark, d):
+    return graph.ancestors(inputs.tree(spark, d), inputs.points(spark, d).select("node_id"))
+
+
+@query("path_subgraph", f"WITH RECURSIVE {ANC} SELECT DISTINCT child, parent, edge_id FROM anc")
+def _(spark, d):
+    return graph.path_subgraph(inputs.tree(spark, d), inputs.points(spark, d).select("node_id")).select("child", "parent", "edge_id")
+
+
+@query("incidence", f"WITH RECURSIVE {INC} SELECT i, j, edge_id FROM inc")
+def _(spark, d):
+    return graph.incidence(inputs.tree(spark, d), inputs.points(spark, d))
+
+
+@query("incidence_by_search", f"WITH RECURSIVE {INC} SELECT i, j, edge_id FROM inc WHERE i < 4")
+def _(spark, d):
+    return graph.incidence_by_search(inputs.edges(spark, d), inputs.points(spark, d).where("pt_idx < 4"))
+
+
+@query("orient", f"WITH {TREE} SELECT child, parent, edge_id, CASE WHEN child < 100 THEN 1 WHEN child < 1000 THEN 2 ELSE 3 END AS depth FROM tree")
+def _(spark, d):
+    return graph.orient(inputs.edges(spark, d), 0)
+
+
+@query("diverge", f"WITH {TREE} SELECT parent AS child, child AS parent, edge_id FROM tree")
+def _(spark, d):
+    return graph.diverge(inputs.tree(spark, d)).select("child", "parent", "edge_id")
+
+
+@query("components", "SELECT CAST(1 + r_regionkey AS BIGINT) AS node_id, CAST(1 + r_regionkey AS BIGINT) AS component FROM region WHERE r_regionkey IN (SELECT n_regionkey FROM nation) UNION ALL SELECT 100 + n_nationkey, 1 + n_regionkey FROM nation UNION ALL SELECT 1000 + s_suppkey, 1 + n_regionkey FROM supplier JOIN nation ON s_nationkey = n_nationkey")
+def _(spark, d):
+    return graph.components(inputs.edges(spark, d).where("dst <> 0"))
+
+
+_CONTRACT = ANC + """, used AS (SELECT DISTINCT child, parent, edge_id FROM anc), sized AS (SELECT u.*, length_km FROM used u JOIN tree USING (edge_id)),
+  kids AS (SELECT parent AS node, count(*) AS k FROM used GROUP BY 1),
+  kept AS (SELECT child AS node FROM used LEFT JOIN kids ON child = node WHERE coalesce(k, 0) <> 1 OR child IN (SELECT node_id FROM pts)),
+  runs AS (SELECT s.child AS run_id, s.parent AS above, s.length_km, s.edge_id, 0 AS step FROM sized s JOIN kept ON s.child = kept.node
+    UNION ALL SELECT r.run_id, s.parent, s.length_km, s.edge_id, r.step + 1 FROM runs r JOIN sized s ON r.above = s.child WHERE r.above NOT IN (SELECT node FROM kept))"""
+
+
+@query("contract", f"WITH RECURSIVE {_CONTRACT} SELECT run_id, arg_max(above, step) AS dst, round(sum(length_km), 6) AS length_km, string_agg(CAST(edge_id AS VARCHAR), ',' ORDER BY step) AS reach_ids FROM runs GROUP BY 1")
+def _(spark, d):
+    out = graph.contract(_used(spark, d).select("child", "parent", "edge_id", "length_km"), inputs.points(spark, d).select("node_id"))
+    return rounded(out.select("run_id", "dst", "length_km", F.concat_ws(",", F.col("reach_ids").cast("array<string>")).alias("reach_ids")))
+
+
+@query("reach_to_edge", f"WITH RECURSIVE {_CONTRACT} SELECT edge_id AS reach_id, run_id AS edge FROM runs")
+def _(spark, d):
+    return graph.reach_to_edge(graph.contract(_used(spark, d).select("child", "parent", "edge_id", "length_km"), inputs.points(spark, d).select("node_id")))
+
+
+@query("annotate", f"WITH {TREE} SELECT child, row_number() OVER (ORDER BY child, parent) - 1 AS EDGE_ID FROM tree")
+def _(spark, d):
+    return graph.annotate(inputs.edges(spark, d).drop("edge_id")).select(F.col("src").alias("child"), F.col("EDGE_ID").cast("long").alias("EDGE_ID"))
+
+
+@query("path_attributes", f"WITH RECURSIVE {ANC} SELECT node, string_agg(CAST(edge_id AS VARCHAR), ',' ORDER BY depth) AS path FROM anc WHERE node = 1003 GROUP BY 1")
+def _(spark, d):
+    t = inputs.tree(spark, d)
+    return graph.path_attributes(t, t.withColumn("label", F.col("edge_id").cast("string")), "label", 1003).select("node", F.concat_ws(",", "values").alias("path"))
+
+
+def _downstream(spark, d):
+    """Edges with the reach below each; none below the regions'."""
+    return inputs.edges(spark, d).withColumn("next_down", F.when(F.col("dst") > 0, F.col("dst")))
+
+
+@query("infer_origin", "SELECT CAST(0 AS BIGINT) AS origin")
+def _(spark, d):
+    return spark.createDataFrame([(graph.infer_origin(_downstream(spark, d)),)], "origin long")
+
+
+@query("extend_downstream", f"WITH {TREE} SELECT edge_id FROM tree WHERE child >= 1000 OR edge_id IN (SELECT parent FROM tree WHERE child >= 1000)")
+def _(spark, d):
+    net = _downstream(spark, d)
+    return graph.extend_downstream(net.where("src >= 1000"), net, 1).select("edge_id")
+
+
+@query("buffer_points", f"WITH {TREE} SELECT min(edge_id) AS edge_id FROM tree WHERE child >= 1000 AND parent IN (SELECT child FROM tree WHERE child BETWEEN 100 AND 999) GROUP BY parent")
+def _(spark, d):
+    net = inputs.edges(spark, d)
+    sites = table(spark, d, "nation").select((100 + F.col("n_nationkey")).cast("long").alias("node_id"))
+    return graph.buffer_points(net.where("src < 1000"), net, sites, 1).select("edge_id")
+
+
+@query("adjacency", f"WITH {TREE}, down AS (SELECT a.edge_id AS edge_i, b.edge_id AS edge_j FROM tree a JOIN tree b ON a.parent = b.child) SELECT edge_i, edge_j, 1 AS dir FROM down UNION ALL SELECT edge_j, edge_i, -1 FROM down")
+def _(spark, d):
+    return graph.adjacency(inputs.tree(spark, d))
+
+
+@query("sample_nodes")
+def _(spark, d):
+    return graph.sample_nodes(inputs.edges(spark, d), 20, 7)
+
+
+# ---- surfaces, likelihood, evaluation
+
+
+def _long(spark, d):
+    return surface.long_predictors(graph.stored(surface.predictors(inputs.reaches(spark, d), METHODS, "pos")))
+
+
+@query("composite_surface", f"WITH {SURFACES} SELECT model_id, edge_id, round(resistance, 6) AS resistance FROM surfaces")
+def _(spark, d):
+    return rounded(surface.surfaces(inputs.candidates(spark), _long(spark, d)))
+
+
+_R = SURFACES + ", " + INC + ", pairwise AS (SELECT model_id, i, j, sum(resistance) AS resistance FROM surfaces JOIN inc USING (edge_id) GROUP BY 1, 2, 3)"
+
+
+@query("effective_resistance", f"WITH RECURSIVE {_R} SELECT model_id, i, j, round(resistance, 6) AS resistance FROM pairwise")
+def _(spark, d):
+    inc = graph.incidence(inputs.tree(spark, d), inputs.points(spark, d))
+    return rounded(surface.effective_resistance(surface.surfaces(inputs.candidates(spark), _long(spark, d)), inc))
+
+
+def _response(spark, d, labels="aligned"):
+    p = inputs.points(spark, d)
+    return evaluate.response_pairs(inputs.response(spark, d), p.count(), labels)
+
+
+_FITS = f"WITH RECURSIVE {_R}, {RESP}, joined AS (SELECT model_id AS key, i, j, resistance AS x, value AS y FROM pairwise JOIN resp USING (i, j)), " + mlpe_sql("joined")
+_METRICS = "round(rho, 6) AS rho, round(loglik, 5) AS loglik, round(slope * slope / (slope * slope + mse), 6) AS r2m, round(2 * loglik - 4, 5) AS aic, round(2 * (loglik - loglik_null) - 2, 5) AS delta_aic_null"
+
+
+def _evaluated(spark, d, models, zooms=0, metric="loglik"):
+    inc = graph.stored(graph.incidence(inputs.tree(spark, d), inputs.points(spark, d)))
+    return evaluate.evaluate(models, _long(spark, d), inc, graph.stored(_response(spark, d)), metric, 51, zooms)
+
+
+@query("evaluate_models", f"{_FITS} SELECT key AS model_id, round(loglik, 5) AS fitness, {_METRICS} FROM fits")
+def _(spark, d):
+    return _rounded_metrics(_evaluated(spark, d, inputs.candidates(spark)))
+
+
+def _rounded_metrics(df):
+    return df.withColumns({c: F.round(c, 6 if c in ("rho", "r2m") else 5) for c in ("fitness", "rho", "loglik", "r2m", "aic", "delta_aic_null") if c in df.columns})
+
+
+@query("evaluate_unselected", "SELECT CAST(0 AS BIGINT) AS model_id, CAST('-inf' AS DOUBLE) AS fitness, CAST(NULL AS DOUBLE) AS loglik")
+def _(spark, d):
+    none = spark.createDataFrame([(0, "quantity", 0, 1.0, 1, 5.0)], search.SCHEMA)
+    return _evaluated(spark, d, none).select("model_id", "fitness", "loglik")
+
+
+@query("evaluate_refined")
+def _(spark, d):
+    return _rounded_metrics(_evaluated(spark, d, inputs.candidates(spark), 3, "delta"))
+
+
+@query("mlpe", f"WITH RECURSIVE {INC}, {RESP}, lengths AS (SELECT edge_id, length_km FROM tree), joined AS (SELECT 0 AS key, i, j, sum(length_km) AS x, any_value(value) AS y FROM inc JOIN lengths USING (edge_id) JOIN resp USING (i, j) GROUP BY i, j), {mlpe_sql('joined')} SELECT {_METRICS} FROM fits")
+def _(spark, d):
+    length = inputs.tree(spark, d).select("edge_id", F.col("length_km").alias("resistance"), F.lit(0).alias("model_id"))
+    inc = graph.incidence(inputs.tree(spark, d), inputs.points(spark, d))
+    pairs = surface.effective_resistance(length, inc).join(_response(spark, d), ["i", "j"]).select("model_id", "pop1", "pop2", F.col("resistance").alias("x"), "y")
+    return _rounded_metrics(mlpe.fit(pairs, ["model_id"], 51, 0).drop("model_id", "aic_null"))
+
+
+@query("mlpe_reference_labels")
+def _(spark, d):
+    length = inputs.tree(spark, d).select("edge_id", F.col("length_km").alias("resistance"), F.lit(0).alias("model_id"))
+    inc = graph.incidence(inputs.tree(spark, d), inputs.points(spark, d))
+    pairs = surface.effective_resistance(length, inc).join(_response(spark, d, "reference"), ["i", "j"]).select("model_id", "pop1", "pop2", F.col("resistance").alias("x"), "y")
+    return _rounded_metrics(mlpe.fit(pairs, ["model_id"]).drop("model_id"))
+
+
+@query("null_model", f"WITH RECURSIVE {INC}, {RESP}, lengths AS (SELECT edge_id, length_km FROM tree), joined AS (SELECT 0 AS key, i, j, sum(length_km) AS x, any_value(value) AS y FROM inc JOIN lengths USING (edge_id) JOIN resp USING (i, j) GROUP BY i, j), {mlpe_sql('joined')} SELECT 'distance_only' AS model, round(loglik, 5) AS loglik, round(-2 * loglik + 4, 5) AS aic, round(slope * slope / (slope * slope + mse), 6) AS r2m, round(2 * (loglik - loglik_null) - 2, 5) AS delta_aic_null FROM fits UNION ALL SELECT 'null', round(loglik_null, 5), round(-2 * loglik_null + 2, 5), NULL, 0.0 FROM fits")
+def _(spark, d):
+    inc = graph.incidence(inputs.tree(spark, d), inputs.points(spark, d))
+    return _rounded_metrics(evaluate.null_model(inputs.tree(spark, d).select("edge_id", "length_km"), inc, _response(spark, d), 51, 0))
+
+
+_GRID_ROWS = f"""WITH RECURSIVE {PREDICTORS}, {INC}, {RESP}, grid AS (
+  SELECT (k * 9 + t) * 4 + s - 1 AS model_id, var, t, CAST(s AS DOUBLE) AS shape FROM (SELECT unnest(['quantity', 'discount', 'price']) AS var, unnest([0, 1, 2]) AS k), range(9) a(t), range(1, 5) b(s)
+), curves0 AS (SELECT model_id, edge_id, {inputs.CURVE} AS v FROM grid JOIN (SELECT *, min(value) OVER (PARTITION BY var) AS low, max(value) OVER (PARTITION BY var) AS high FROM long_predictors) USING (var)),
+surfaces AS (SELECT model_id, edge_id, (v - min(v) OVER w) / (max(v) OVER w - min(v) OVER w) AS resistance FROM curves0 WINDOW w AS (PARTITION BY model_id)),
+joined AS (SELECT model_id AS key, i, j, sum(resistance) AS x, any_value(value) AS y FROM surfaces JOIN inc USING (edge_id) JOIN resp USING (i, j) GROUP BY 1, 2, 3), {mlpe_sql('joined')},
+graded AS (SELECT key AS model_id, var AS variable, t AS transform, shape, round(loglik, 5) AS fitness FROM fits JOIN grid ON key = model_id)"""
+
+
+def _grid(spark, d):
+    fits, _ = search.univariate_grid(spark, list(METHODS), lambda m: _rounded_metrics(_evaluated(spark, d, m)), 4)
+    return graph.stored(fits)
+
+
+@query("univariate_grid", f"{_GRID_ROWS} SELECT model_id, variable, transform, shape, fitness FROM graded")
+def _(spark, d):
+    return _grid(spark, d).select("model_id", "variable", F.col("transform").cast("long").alias("transform"), "shape", "fitness")
+
+
+@query("best_per_variable", f"{_GRID_ROWS} SELECT variable, transform, shape, fitness FROM graded QUALIFY row_number() OVER (PARTITION BY variable ORDER BY fitness DESC, shape, transform) = 1")
+def _(spark, d):
+    return inference.best_per_variable(_grid(spark, d)).select("variable", F.col("transform").cast("long").alias("transform"), "shape", "fitness")
+
+
+@query("curve_heat_map", f"{_GRID_ROWS} SELECT shape, " + ", ".join(f"max(fitness) FILTER (transform = {t}) AS t{t}" for t in range(9)) + " FROM graded WHERE variable = 'quantity' GROUP BY shape")
+def _(spark, d):
+    return inference.curve_heat_map(_grid(spark, d).where("variable = 'quantity'"), list(range(9))).toDF("shape", *[f"t{t}" for t in range(9)])
+
+
+@query("simulate_surface", f"""WITH {PREDICTORS}, unit AS (SELECT edge_id, quantity / 10 AS value FROM predictors), c AS (SELECT edge_id, value * exp(-value / 2) AS v FROM unit)
+SELECT edge_id, round(0.7 * (v - min(v) OVER ()) / (max(v) OVER () - min(v) OVER ()), 6) AS resistance FROM c""")
+def _(spark, d):
+    spec = spark.createDataFrame([("quantity", 0.7, 1, 2.0)], "var string, weight double, transform int, shape double")
+    return rounded(simulate.simulated_surface(spec, surface.predictors(inputs.reaches(spark, d), METHODS, "pos")))
+
+
+@query("simulate")
+def _(spark, d):
+    net = inputs.edges(spark, d)
+    nodes = graph.nodes_of(net).select("node_id", F.col("node_id").cast("double").alias("x"), (F.col("node_id") % 17).cast("double").alias("y"))
+    spec = spark.createDataFrame([("length_km", 1.0, 0, 0.0)], "var string, weight double, transform int, shape double")
+    return rounded(simulate.simulate(nodes, net, spec, 6, 2, 1)[1])
+
+
+# ---- multi-model inference
+
+
+def _models(spark, d):
+    return inputs.models(spark, d)
+
+
+def _ranked(spark, d):
+    return inference.ranked(_models(spark, d), 0.95)
+
+
+@query("delta_aic", f"WITH {RANKED} SELECT model_id, round(delta_aic_best, 6) AS delta_aic_best FROM ranked")
+def _(spark, d):
+    return rounded(inference.delta_aic(_models(spark, d)).select("model_id", "delta_aic_best"))
+
+
+@query("akaike_weights", f"WITH {RANKED} SELECT model_id, round(akaike_weight, 8) AS akaike_weight FROM ranked")
+def _(spark, d):
+    return rounded(inference.akaike_weights(_models(spark, d)).select("model_id", "akaike_weight"), 8)
+
+
+@query("cumulative_keep", f"WITH {RANKED} SELECT model_id, round(acc_akaike_weight, 8) AS acc_akaike_weight, keep FROM ranked")
+def _(spark, d):
+    return rounded(_ranked(spark, d).select("model_id", "acc_akaike_weight", "keep"), 8)
+
+
+def _rvi(sel, weight, where):
+    parts = [f"SELECT '{v}' AS variable, {sel.format(v=v)} AS sel, {v}_weight AS weight, akaike_weight AS w FROM ranked WHERE {where}" for v in VARIABLES]
+    return f"WITH {RANKED}, x AS ({' UNION ALL '.join(parts)}) SELECT variable, round({weight}, 8)"
+
+
+@query("variable_importance", _rvi("{v}", "sum(sel * w) / sum(w)", "keep") + " AS RVI FROM x GROUP BY 1")
+def _(spark, d):
+    return rounded(inference.variable_importance(_ranked(spark, d), VARIABLES), 8)
+
+
+@query("variable_importance_all", _rvi("{v}", "sum(sel * w) / sum(w)", "true") + " AS RVI FROM x GROUP BY 1")
+def _(spark, d):
+    return rounded(inference.variable_importance(_ranked(spark, d), VARIABLES, only_kept=False), 8)
+
+
+@query("averaged_weights", _rvi("{v}", "sum(weight * w) / sum(w)", "keep") + " AS MAW FROM x GROUP BY 1")
+def _(spark, d):
+    return rounded(inference.averaged_weights(_ranked(spark, d), VARIABLES), 8)
+
+
+@query("averaged_weights_natural", _rvi("{v}", "sum(weight * w) FILTER (sel <> 0) / sum(w) FILTER (sel <> 0)", "keep") + " AS MAW FROM x GROUP BY 1")
+def _(spark, d):
+    return rounded(inference.averaged_weights(_ranked(spark, d), VARIABLES, natural=True), 8)
+
+
+@query("information_criteria", f"WITH {MODELS} SELECT model_id, va + vb + vc AS k, round(-2 * loglik + 2 * (va + vb + vc), 6) AS aic_k, round(-2 * loglik + (va + vb + vc) * ln(100), 6) AS bic FROM models")
+def _(spark, d):
+    return rounded(inference.information_criteria(_models(spark, d), VARIABLES, 100).select("model_id", "k", "aic_k", "bic"))
+
+
+@query("best_model", f"WITH {MODELS}, top AS (SELECT * FROM models ORDER BY fitness DESC, loglik, model_id LIMIT 1), x AS (" + " UNION ALL ".join(f"SELECT '{v}' AS variable, {v} AS sel, {v}_weight AS weight, {v}_shape AS shape, CAST({v}_trans AS DOUBLE) AS transform FROM top" for v in VARIABLES) + ") SELECT variable, weight, shape, transform FROM x WHERE sel = 1")
+def _(spark, d):
+    return inference.best_model(_models(spark, d), VARIABLES)
+
+
+@query("top_models", f"WITH {MODELS} SELECT model_id, fitness FROM models ORDER BY fitness DESC, loglik, model_id LIMIT 20")
+def _(spark, d):
+    return inference.top_models(_models(spark, d), 20).select("model_id", "fitness")
+
+
+@query("dedup_models", f"WITH {MODELS}, r AS (SELECT model_id, round(fitness, 0) AS fitness, round(loglik, 0) AS loglik FROM models) SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY fitness, loglik ORDER BY model_id) = 1")
+def _(spark, d):
+    coarse = _models(spark, d).select("model_id", F.round("fitness", 0).alias("fitness"), F.round("loglik", 0).alias("loglik"))
+    return inference.dedup_models(coarse)
+
+
+@query("merge_top", f"WITH {MODELS}, u AS (SELECT model_id, fitness, loglik FROM models QUALIFY row_number() OVER (PARTITION BY fitness, loglik ORDER BY model_id) = 1) SELECT model_id, fitness, loglik FROM u ORDER BY fitness DESC, loglik, model_id LIMIT 15")
+def _(spark, d):
+    m = _models(spark, d).select("model_id", "fitness", "loglik")
+    return inference.merge_top(m.where("model_id % 2 = 0"), m, 15)
+
+
+@query("ic_profile", f"WITH {RANKED} SELECT row_number() OVER (ORDER BY aic, model_id) AS model, round(aic, 3) AS aic, round(akaike_weight, 3) AS akaike_weight FROM ranked")
+def _(spark, d):
+    return inference.ic_profile(_ranked(spark, d))
+
+
+_TRIALS = "trials AS (SELECT user_id % 5 AS chain, event_id AS tid, value AS loss, event_id % 20 AS generation, value AS fitness FROM events)"
+
+
+def _trials(spark, d):
+    return table(spark, d, "events").select((F.col("user_id") % 5).alias("chain"), F.col("event_id").alias("tid"), F.col("value").alias("loss"), (F.col("event_id") % 20).alias("generation"), F.col("value").alias("fitness"))
+
+
+@query("best_per_chain", f"WITH {_TRIALS} SELECT chain, tid, loss FROM trials QUALIFY row_number() OVER (PARTITION BY chain ORDER BY loss, tid) = 1")
+def _(spark, d):
+    return inference.best_per_chain(_trials(spark, d)).select("chain", "tid", "loss")
+
+
+@query("generation_log", f"WITH {_TRIALS} SELECT generation, min(fitness) AS worst, max(fitness) AS best, round(avg(fitness), 6) AS mean, round(stddev_pop(fitness), 6) AS stdev FROM trials GROUP BY 1")
+def _(spark, d):
+    return inference.generation_log(_trials(spark, d)).withColumns({c: F.round(c, 6) for c in ("mean", "stdev")})
+
+
+@query("loss_summary", f"WITH {_TRIALS} SELECT chain, round(avg(loss), 6) AS mean_loss, round(stddev_pop(loss), 6) AS sd_loss FROM trials GROUP BY 1")
+def _(spark, d):
+    return rounded(inference.loss_summary(_trials(spark, d), ["chain"]))
+
+
+@query("long_models", f"WITH {MODELS} " + " UNION ALL ".join(f"SELECT model_id, '{v}' AS var, CAST({v} AS INTEGER) AS sel, {v}_weight AS weight, CAST({v}_trans AS INTEGER) AS transform, {v}_shape AS shape FROM models" for v in VARIABLES))
+def _(spark, d):
+    return inference.long_models(_models(spark, d), VARIABLES)
+
+
+@query("wide_models", f"WITH {MODELS} SELECT model_id, CAST(va AS INTEGER) AS va, va_weight, CAST(va_trans AS INTEGER) AS va_trans, va_shape FROM models")
+def _(spark, d):
+    return inference.wide_models(inference.long_models(_models(spark, d), VARIABLES), ["va"])
+
+
+_AVERAGE = f"WITH RECURSIVE {_R}, " + "weights AS (SELECT model_id, 1.0::DOUBLE / (1 + model_id) AS akaike_weight FROM (SELECT DISTINCT model_id FROM candidates))"
+
+
+def _weights(spark):
+    return inputs.candidates(spark).select("model_id").distinct().withColumn("akaike_weight", F.lit(1.0) / (1 + F.col("model_id")))
+
+
+@query("average_edges", f"{_AVERAGE} SELECT edge_id, round(sum(akaike_weight * resistance), 6) AS resistance FROM surfaces JOIN weights USING (model_id) GROUP BY 1")
+def _(spark, d):
+    return rounded(surface.averaged(surface.surfaces(inputs.candidates(spark), _long(spark, d)), _weights(spark), ["edge_id"]))
+
+
+@query("average_matrix", f"{_AVERAGE}, v AS (SELECT i, j, round(sum(akaike_weight * resistance), 6) AS value FROM pairwise JOIN weights USING (model_id) GROUP BY 1, 2) SELECT i, j, value FROM v UNION ALL SELECT j, i, value FROM v UNION ALL SELECT pt_idx, pt_idx, 0.0 FROM pts")
+def _(spark, d):
+    inc = graph.incidence(inputs.tree(spark, d), inputs.points(spark, d))
+    pairs = surface.effective_resistance(surface.surfaces(inputs.candidates(spark), _long(spark, d)), inc)
+    return rounded(surface.symmetric(surface.averaged(pairs, _weights(spark), ["i", "j"]), inputs.points(spark, d)))
+
+
+@query("ensemble", f"""WITH {MODELS.replace("models AS", "models0 AS")}, models AS (SELECT * FROM models0 QUALIFY row_number() OVER (PARTITION BY fitness, loglik ORDER BY model_id) = 1),
+{RANKED[len(MODELS) + 2:]} SELECT model_id, round(akaike_weight, 8) AS akaike_weight, keep FROM ranked""")
+def _(spark, d):
+    return rounded(ensemble.combine(_models(spark, d)).select("model_id", "akaike_weight", "keep"), 8)
+
+
+# ---- sinks, as tables
+
+
+@query("edge_resistances", f"WITH {TREE} SELECT edge_id AS EDGE_ID, round(length_km, 6) AS Resistance FROM tree")
+def _(spark, d):
+    return rounded(sinks.edge_resistances(inputs.tree(spark, d).select("edge_id", F.col("length_km").alias("resistance"))))
+
+
+@query("labelled_matrix", f"WITH {RESP} SELECT 'p' || i AS label, " + ", ".join(f"round(max(value) FILTER (j = {k}), 6) AS p{k}" for k in range(4)) + " FROM (SELECT i, j, value FROM resp UNION ALL SELECT j, i, value FROM resp UNION ALL SELECT CAST(x AS BIGINT), CAST(x AS BIGINT), 0.0 FROM range(4) r(x)) WHERE i < 4 GROUP BY i")
+def _(spark, d):
+    p = inputs.points(spark, d).where("pt_idx < 4")
+    whole = surface.symmetric(inputs.response(spark, d).where("i < 4"), p, "value")
+    return rounded(sinks.matrix(whole, [f"p{k}" for k in range(4)]))
+
+
+@query("incidence_matrix", f"WITH RECURSIVE {INC} SELECT " + ", ".join(f"CAST(count(*) FILTER (edge_id = {1000 + k}) AS INTEGER) AS e{1000 + k}" for k in range(4)) + " FROM inc GROUP BY i, j")
+def _(spark, d):
+    inc = graph.incidence(inputs.tree(spark, d), inputs.points(spark, d))
+    ids = [1000 + k for k in range(4)]
+    return sinks.incidence_matrix(inc, ids).toDF(*[f"e{k}" for k in ids])
+
+
+@query("used_reaches", f"WITH RECURSIVE {ANC} SELECT edge_id, round(length_km, 6) AS length_km FROM tree WHERE edge_id IN (SELECT edge_id FROM anc)")
+def _(spark, d):
+    t = inputs.tree(spark, d)
+    return rounded(sinks.used_reaches(t.select("edge_id", "length_km"), graph.path_subgraph(t, inputs.points(spark, d).select("node_id"))))
+
+
+# ---- Markov chains
+
+
+@query("absorption", f"WITH {TREE}, sizes AS (SELECT CAST(1000 + l_suppkey AS BIGINT) AS node_id, avg(l_quantity) AS size FROM lineitem GROUP BY 1) SELECT edge_id, round(1 / (2 * size), 8) AS absorb FROM tree JOIN sizes ON child = node_id")
+def _(spark, d):
+    sizes = table(spark, d, "lineitem").select((1000 + F.col("l_suppkey")).cast("long").alias("node_id"), F.col("l_quantity").alias("size"))
+    return rounded(samc.absorption(inputs.tree(spark, d), sizes), 8)
+
+
+_CONDUCT = """c0 AS (SELECT edge_id, (length_km - min(length_km) OVER ()) / (max(length_km) OVER () - min(length_km) OVER ()) AS x FROM tree),
+c1 AS (SELECT edge_id, 1 / CASE WHEN x = 0 THEN min(x) FILTER (x > 0) OVER () ELSE x END AS x FROM c0),
+c2 AS (SELECT edge_id, (x - min(x) OVER ()) / (max(x) OVER () - min(x) OVER ()) AS x FROM c1),
+conduct AS (SELECT edge_id, CASE WHEN x = 0 THEN min(x) FILTER (x > 0) OVER () ELSE x END AS v FROM c2)"""
+
+
+def _conduct(spark, d):
+    return samc.conductance(inputs.tree(spark, d).select("edge_id", F.col("length_km").alias("resistance")))
+
+
+@query("conductance", f"WITH {TREE}, {_CONDUCT} SELECT edge_id, round(v, 8) AS conductance FROM conduct")
+def _(spark, d):
+    return rounded(_conduct(spark, d), 8)
+
+
+@query("transition", f"WITH {TREE}, {_CONDUCT}, down AS (SELECT a.edge_id AS i, b.edge_id AS j FROM tree a JOIN tree b ON a.parent = b.child), adj AS (SELECT i, j FROM down UNION ALL SELECT j, i FROM down), w AS (SELECT i, j, (a.v + b.v) / 2 AS w FROM adj JOIN conduct a ON i = a.edge_id JOIN conduct b ON j = b.edge_id) SELECT i, j, round(w / sum(w) OVER (PARTITION BY i), 8) AS p FROM w")
+def _(spark, d):
+    return rounded(samc.transition(graph.adjacency(inputs.tree(spark, d)), _conduct(spark, d)), 8)
+
+
+@query("conditional_passage")
+def _(spark, d):
+    t = graph.stored(_used(spark, d).where("parent <> 0"))
+    sizes = inputs.points(spark, d).select("node_id", F.lit(10.0).alias("size"))
+    absorb = samc.absorption(t, sizes)
+    moves = samc.transition(graph.adjacency(t), samc.conductance(t.select("edge_id", F.col("length_km").alias("resistance"))), absorb=absorb)
+    ids = [r[0] for r in t.select("edge_id").orderBy("edge_id").collect()]
+    sites = [r[0] for r in absorb.select("edge_id").orderBy("edge_id").collect()]
+    return rounded(samc.conditional_passage(moves, absorb, sites, ids), 8)
+
+
+# ---- searches and streams
+
+
+@query("tpe_search")
+def _(spark, d):
+    inc = graph.stored(graph.incidence(inputs.tree(spark, d), inputs.points(spark, d)))
+    long, resp = _long(spark, d), graph.stored(_response(spark, d))
+    fit = lambda m: evaluate.evaluate(m, long, inc, resp, "loglik", 21, 1)
+    return search.tpe(spark, search.Space(list(METHODS), 20), fit, chains=6, max_iter=3, n_startup=2, seed=1)
+
+
+@query("genetic_search")
+def _(spark, d):
+    inc = graph.stored(graph.incidence(inputs.tree(spark, d), inputs.points(spark, d)))
+    long, resp = _long(spark, d), graph.stored(_response(spark, d))
+    fit = lambda m: evaluate.evaluate(m, long, inc, resp, "loglik", 21, 1)
+    return search.genetic(spark, search.Space(list(METHODS), 20), fit, population=10, generations=2, seed=1)[0]
+
+
+@query("streaming_top_models", f"WITH {MODELS}, u AS (SELECT model_id, fitness, loglik FROM models QUALIFY row_number() OVER (PARTITION BY fitness, loglik ORDER BY model_id) = 1) SELECT model_id, fitness, loglik FROM u ORDER BY fitness DESC, loglik, model_id LIMIT 10")
+def _(spark, d):
+    graph.stored(spark.range(0))  # sets the shared folder
+    base = f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
+    _models(spark, d).select("model_id", "fitness", "loglik").repartition(3).write.parquet(f"{base}/in")
+    stream = spark.readStream.schema("model_id long, fitness double, loglik double").option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    run = stream.writeStream.foreachBatch(hall_of_fame.keep_top(f"{base}/top", 10)).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.parquet(f"{base}/top/batch={run.lastProgress['batchId']}")
+
+
+@query("fitness_windows", "SELECT time_bucket(INTERVAL '1 hour', ts) AS start, count(*) AS n, min(value) AS worst, max(value) AS best, round(avg(value), 6) AS mean FROM events GROUP BY 1")
+def _(spark, d):
+    out = hall_of_fame.fitness_windows(table(spark, d, "events").select("ts", F.col("value").alias("fitness")))
+    return out.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "n", "worst", "best", F.round("mean", 6).alias("mean"))
+
+
+def flagship(spark: SparkSession, d: str) -> DataFrame:
+    """The candidate models ranked by Akaike weight."""
+    fits = _evaluated(spark, d, inputs.candidates(spark), 2).withColumn("aic", -F.col("aic"))
+    return inference.ranked(cleaning.finite_fitness(fits), 0.95)
+
+
+QUERIES["ranked_candidates"] = flagship
