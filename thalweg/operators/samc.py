@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.transforms import fill_zeros, rescale_over
+from ..shipping import ship
 
 
 def absorption(tree: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -87,5 +88,6 @@ def conditional_passage(moves: DataFrame, absorb: DataFrame, sites: list[int], e
         return pd.DataFrame(out, columns=["origin", "target", "value"])
 
     spark = moves.sparkSession
+    ship(spark)
     targets = spark.createDataFrame([(t,) for t in at], "target long")
     return targets.groupBy("target").applyInPandas(run, "origin long, target long, value double")
