@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 #: The white space of every contract here: space and the five ASCII controls TAB..CR.
 WHITESPACE = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -55,7 +57,13 @@ def words(text: str | Column) -> Column:
 BATCH_ROWS = 256
 
 
+def python_batches(spark: SparkSession, rows: int) -> None:
+    """Readies the session for a map in Python: the package on the executors, and batches of so many rows."""
+    ship(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+
+
 def text_batches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more: Column) -> DataFrame:
     """(doc_id LONG, text STRING, ...) for a Python map; null texts are empty; batches are kept small."""
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    python_batches(docs.sparkSession, BATCH_ROWS)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *more)

@@ -17,10 +17,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import durable, uniform
+from .common import durable, python_batches, uniform
 from .components import components
 
 THRESHOLD, NEIGHBOURS, TABLES, BUCKET, BLOCK = 0.95, 8, 6, 48, 256
+#: Rows of one Arrow batch.
+BATCH_ROWS = 2048
 #: Refinement rests when fewer than this share of all list places changed, and ends after so many rounds for an audit.
 SETTLED, ROUNDS = 0.02, 4
 #: Vectors of the audit (expected), the recall it asks for, and how often refinement may be resumed for it.
@@ -209,7 +211,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     come after all others. Empty table: no rows. vectors should be a stored table (rows are numbered).
     """
     spark = vectors.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 4096)
+    python_batches(spark, BATCH_ROWS)
     vec = F.col(vector_col).cast("array<double>")
     fine = vec.isNotNull() & F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < math.inf)) & F.exists(vec, lambda x: x != 0)
     rows = vectors.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("vec_id"), F.when(fine, F.col(vector_col)).alias("vec"))

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BATCH_ROWS, durable, text_batches
+from .common import durable, text_batches
 from .components import components
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -181,7 +181,6 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     around its least node, never all pairs. A group of candidates (a component of those stars) is cut in blocks; each pair
     of blocks is compared in one task by matrix products and gives a row per document, not per pair.
     """
-    spark = docs.sparkSession
     rows = text_batches(docs, id_col, text_col, F.monotonically_increasing_id().alias("rid"))
     sketch = durable(rows.mapInPandas(_sketch(trees, depth), "rid long, doc_id long, h1 long, h2 long, labels array<binary>"))
     order = F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("d"), F.col("rid").alias("r"))
@@ -202,7 +201,6 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         for pdf in batches:
             yield pdf.drop(columns="text").assign(data=[s.tobytes() for s in shingle_sets(pdf["text"].tolist())])
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     sets = texts.select("rid", "component", "blocks", "copies", "block", "text").mapInPandas(encode, "rid long, component long, blocks long, copies long, block long, data binary")
     met = sets.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("o"))
     met = met.select("component", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "rid", "copies", "block", "data")

@@ -60,6 +60,34 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return found
 
 
+def labelled_spans(text: str) -> list[tuple[str, int, int]]:
+    """What the network learns from: base spans, and runs of digits that are cards but for their check digit. Check digits
+    are no matter of shape; they are tested after the network has spoken."""
+    spans = base_spans(text)
+    taken = {(a, b) for _, a, b in spans}
+    for m in _CARD.finditer(text):
+        if 13 <= sum(c.isdigit() for c in m[0]) <= 19 and (m.start(), m.end()) not in taken:
+            spans.append(("card", m.start(), m.end()))
+    return spans
+
+
+def variants(text: str, spans: list[tuple[str, int, int]]):
+    """The text with its labelled spans written in ways that the patterns miss: phone numbers without the plus, cards in
+    groups with dots. Yields (text, spans)."""
+    edits = {"phone": lambda s: s.removeprefix("+").lstrip(" "), "card": lambda s: ".".join(re.findall(".{1,4}", re.sub("[ -]", "", s)))}
+    ordered = sorted(spans, key=lambda s: s[1])
+    if any(a[2] > b[1] for a, b in zip(ordered, ordered[1:])) or all(k not in edits for k, _, _ in spans):
+        return
+    out, found, at = [], [], 0
+    for kind, a, b in ordered:
+        piece = edits.get(kind, lambda s: s)(text[a:b])
+        out += [text[at:a], piece]
+        start = sum(map(len, out)) - len(piece)
+        found.append((kind, start, start + len(piece)))
+        at = b
+    yield "".join(out) + text[at:], found
+
+
 # ---- the network
 
 WINDOW, STEP = 96, 48
@@ -172,12 +200,14 @@ class Tagger:
         g["wb"], g["ub"] = _lstm_back(x[::-1], self.p["ub"], sb, dh[::-1, :, HIDDEN:], self.p["wb"].shape)
         return g
 
-    def train(self, x, y, steps=240, batch=48, rate=0.02, seed=0):
-        """x, y: (windows, WINDOW). Adam; the draws depend on the seed alone."""
+    def train(self, x, y, steps=320, batch=50, rate=0.02, seed=0):
+        """x, y: (windows, WINDOW). Adam; the draws depend on the seed alone. Each batch holds as many windows of every kind,
+        rare or not."""
         rng = np.random.default_rng(seed)
+        groups = [g for g in [np.arange(len(x)), *(np.flatnonzero((y == 1 + 2 * k).any(1)) for k in range(len(KINDS)))] if len(g)]
         m, v = ({k: np.zeros_like(p) for k, p in self.p.items()} for _ in range(2))
         for n in range(1, steps + 1):
-            pick = rng.integers(0, len(x), batch)
+            pick = np.concatenate([rng.choice(g, -(-batch // len(groups))) for g in groups])
             for k, g in self.gradients(x[pick].T, y[pick].T).items():
                 g = np.clip(g, -1, 1)
                 m[k] = 0.9 * m[k] + 0.1 * g
@@ -255,7 +285,8 @@ def extra_spans(text: str, cells: np.ndarray, tags: np.ndarray, base: list[tuple
         a, b = a + len(piece) - len(piece.lstrip()), b - len(piece) + len(piece.rstrip())
         least, most, must = _PLAUSIBLE[kind]
         digits = sum(c in "0123456789" for c in text[a:b])
-        if a < b and least <= digits <= most and must in text[a:b] and not covered[a:b].any():
+        fine = least <= digits <= most and must in text[a:b] and (kind != "card" or luhn("".join(c for c in text[a:b] if c in "0123456789")))
+        if a < b and fine and not covered[a:b].any():
             found.append((kind, a, b))
     return found
 
@@ -265,7 +296,7 @@ SAMPLE_DOCS, SAMPLE_WINDOWS = 4000, 1500
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS, sample_windows: int = SAMPLE_WINDOWS) -> Tagger | None:
-    """Trains on windows around base spans and around other digits of about sample_docs documents, chosen by a hash of the
+    """Trains on windows around labelled spans (and their variants) and around other digits of about sample_docs documents, chosen by a hash of the
     id; of those windows at most sample_windows, chosen by a hash, are collected. None if no span is found there."""
     n = docs.count()
     chosen = docs.where(uniform("pii", F.col(id_col)) < min(1.0, sample_docs / max(1, n))).where(F.col(text_col).rlike("[0-9@]"))
@@ -274,11 +305,14 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_
         for pdf in batches:
             rows = []
             for text in pdf["text"]:
-                x = classes(text)
-                y = tags_of(base_spans(text), len(x))
-                starts = window_starts(_marks(x), len(x))[:: 2]
-                for a, b in zip(_cut(x, starts), _cut(y, starts)):
-                    rows.append((a.tobytes(), np.where(a == N_CLASSES - 1, 0, b).astype(np.int8).tobytes()))
+                spans = labelled_spans(text)
+                for t, s in [(text, spans), *variants(text, spans)]:
+                    x = classes(t)
+                    y = tags_of(s, len(x))
+                    starts = window_starts(_marks(x), len(x))
+                    inside = (starts[:, None] + np.arange(WINDOW) >= 0) & (starts[:, None] + np.arange(WINDOW) < len(x))
+                    for a, b in zip(_cut(x, starts), np.where(inside, _cut(y, starts), 0).astype(np.int8)):
+                        rows.append((a.tobytes(), b.tobytes()))
             yield pd.DataFrame(rows, columns=["x", "y"])
 
     windows = text_batches(chosen, id_col, text_col).mapInPandas(cut, "x binary, y binary").distinct()

@@ -14,7 +14,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BATCH_ROWS, durable
+from .common import BATCH_ROWS, durable, python_batches
 
 RULE_VERSION = "2"
 BASE_KINDS = ("assign", "access", "hex")
@@ -85,7 +85,7 @@ def scan_history(versions: DataFrame, ledger: str, id_col: str = "doc_id", text_
         due = due.join(known.where(F.col("rule_version") == rule_version).select("blob"), "blob", "left_anti")
     due = durable(due)
     if not due.isEmpty():
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+        python_batches(spark, BATCH_ROWS)
         found = rows.select("rid", "text").join(due.hint("shuffle_hash"), "rid").select("blob", "text").mapInPandas(_findings, "blob binary, findings array<struct<kind:string,start:bigint,end:bigint>>")
         found.select("blob", F.lit(rule_version).alias("rule_version"), "findings").write.mode("append").parquet(ledger)
     known = read_ledger(spark, ledger)
