@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.aggregators import aggregate
 from ..functions.transforms import rescale, rescale_columns, transform
 from .cleaning import nan_to_null, scrub_bad_columns
+from .graph import stored
 
 
 def edge_covariates(reaches: DataFrame, methods: dict[str, str], order: str | None = None) -> DataFrame:
@@ -18,8 +19,11 @@ def edge_covariates(reaches: DataFrame, methods: dict[str, str], order: str | No
 
 
 def predictors(reaches: DataFrame, methods: dict[str, str], order: str | None = None, low: float = 0.0, high: float = 10.0) -> DataFrame:
-    """Covariates per edge, useless ones dropped, each rescaled to [low, high] over all edges."""
-    wide = scrub_bad_columns(edge_covariates(reaches, methods, order), list(methods))
+    """Covariates per edge, useless ones dropped, each rescaled to [low, high] over all edges.
+
+    The table of edges is stored once: which columns vary, and their ranges, are asked of it and not of the reaches.
+    """
+    wide = scrub_bad_columns(stored(edge_covariates(reaches, methods, order)), list(methods))
     return rescale_columns(wide, [v for v in methods if v in wide.columns], low, high)
 
 

@@ -433,7 +433,7 @@ def _(spark, d):
 
 
 def _long(spark, d):
-    return surface.long_predictors(graph.stored(surface.predictors(inputs.reaches(spark, d), METHODS, "pos")))
+    return surface.long_predictors(surface.predictors(inputs.reaches(spark, d), METHODS, "pos"))
 
 
 @query("composite_surface", f"WITH {SURFACES} SELECT model_id, edge_id, round(resistance, 6) AS resistance FROM surfaces")
