@@ -80,6 +80,24 @@ def test_shapefile_network(spark, tmp_path):
     assert sorted(tuple(r) for r in edges.select("edge_id", "length_km", "src", "dst").collect()) == [(7, 1.5, 0, 1), (8, 2.25, 1, 2)]
 
 
+def test_geopackage_network(spark, tmp_path):
+    import sqlite3
+
+    path = str(tmp_path / "n.gpkg")
+    line = lambda *pts: b"\x01" + struct.pack("<II", 2, len(pts)) + b"".join(struct.pack("<dd", *p) for p in pts)
+    several = lambda *lines: b"\x01" + struct.pack("<II", 5, len(lines)) + b"".join(lines)
+    blob = lambda wkb, code=0: b"GP\0" + bytes([1 | code << 1]) + struct.pack("<i", 4326) + b"\0" * (32 if code else 0) + wkb
+    with sqlite3.connect(path) as db:
+        db.execute("CREATE TABLE gpkg_geometry_columns (table_name TEXT, column_name TEXT)")
+        db.execute("INSERT INTO gpkg_geometry_columns VALUES ('rivers', 'geom')")
+        db.execute("CREATE TABLE rivers (edge_id INTEGER, geom BLOB, length_km REAL, name TEXT)")
+        shapes = [blob(line((0, 0), (1, 1), (2, 0))), blob(several(line((2, 0), (2, 1)), line((2, 1), (3, 3))), 1), None]
+        db.executemany("INSERT INTO rivers VALUES (?, ?, ?, ?)", [(7 + k, b, 1.5 + k, f"r{k}") for k, b in enumerate(shapes)])
+    nodes, edges = tables.read_network(spark, path)
+    assert nodes.count() == 3
+    assert sorted(tuple(r) for r in edges.select("edge_id", "length_km", "name", "src", "dst").collect()) == [(7, 1.5, "r0", 0, 1), (8, 2.5, "r1", 1, 2)]
+
+
 def test_sinks(spark, tmp_path):
     m = spark.createDataFrame([(0, 1, 2.0), (1, 0, 2.0), (0, 0, 0.0), (1, 1, 0.0)], "i long, j long, value double")
     sinks.write_tsv(sinks.matrix(m, ["p", "q"]), str(tmp_path / "m"))

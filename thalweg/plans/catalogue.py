@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import aggregators, scalars, transforms
 from ..operators import cleaning, graph, inference, mlpe, points, samc, surface
-from ..sources import sinks
+from ..sources import sinks, tables
 from ..sources.tables import reindex_matrix
 from ..streaming import hall_of_fame
 from . import ensemble, evaluate, inputs, search, simulate
@@ -757,6 +757,115 @@ def _(spark, d):
     return rounded(samc.conditional_passage(moves, absorb, sites, ids), 8)
 
 
+@query("transition_directional", f"WITH {TREE}, {_CONDUCT}, down AS (SELECT a.edge_id AS i, b.edge_id AS j FROM tree a JOIN tree b ON a.parent = b.child), adj AS (SELECT i, j FROM down UNION ALL SELECT j, i FROM down), w AS (SELECT i, j, greatest(a.v - b.v, 0) AS w FROM adj JOIN conduct a ON i = a.edge_id JOIN conduct b ON j = b.edge_id), t AS (SELECT i, j, w, sum(w) OVER (PARTITION BY i) AS total FROM w) SELECT i, j, round(CASE WHEN total = 0 THEN 0 ELSE w / total END, 8) AS p FROM t")
+def _(spark, d):
+    return rounded(samc.transition(graph.adjacency(inputs.tree(spark, d)), _conduct(spark, d), directional=True), 8)
+
+
+@query("neighbour_means", f"WITH {TREE}, {_CONDUCT}, down AS (SELECT a.edge_id AS i, b.edge_id AS j FROM tree a JOIN tree b ON a.parent = b.child), adj AS (SELECT i, j, 1 AS dir FROM down UNION ALL SELECT j, i, -1 FROM down), w AS (SELECT i, j, dir, (a.v + b.v) / 2 AS w FROM adj JOIN conduct a ON i = a.edge_id JOIN conduct b ON j = b.edge_id), p AS (SELECT i, j, dir, w / sum(w) OVER (PARTITION BY i) AS p FROM w) SELECT i AS edge_id, round(avg(p) FILTER (dir > 0), 8) AS downstream, round(avg(p) FILTER (dir < 0), 8) AS upstream FROM p GROUP BY 1")
+def _(spark, d):
+    adj = graph.adjacency(inputs.tree(spark, d))
+    return rounded(samc.neighbour_means(adj, samc.transition(adj, _conduct(spark, d))), 8)
+
+
+# ---- scans: tables written as text and read back
+
+
+def _folder(spark):
+    graph.stored(spark.range(0))  # sets the shared folder
+    return f"{spark.sparkContext.getCheckpointDir()}/scan-{uuid.uuid4().hex}"
+
+
+@query("scan_points", "SELECT c_name AS sample, c_acctbal AS lat, CAST(c_nationkey AS DOUBLE) AS long FROM customer")
+def _(spark, d):
+    path = _folder(spark)
+    c = table(spark, d, "customer").select(F.col("c_nationkey").alias("long"), F.col("c_mktsegment").alias("ignored"), F.col("c_name").alias("sample"), F.col("c_acctbal").alias("lat"))
+    sinks.write_tsv(c, path, single=False)
+    return tables.read_points(spark, path)
+
+
+@query("scan_matrix", f"WITH {RESP} SELECT 'p' || i AS row_label, 'p' || j AS col_label, value FROM (SELECT i, j, round(value, 6) AS value FROM resp UNION ALL SELECT j, i, round(value, 6) FROM resp UNION ALL SELECT CAST(x AS BIGINT), CAST(x AS BIGINT), 0.0 FROM range(4) r(x)) WHERE i < 4 AND j < 4")
+def _(spark, d):
+    path = _folder(spark)
+    p = inputs.points(spark, d).where("pt_idx < 4")
+    whole = surface.symmetric(inputs.response(spark, d).where("i < 4"), p, "value")
+    sinks.write_tsv(sinks.matrix(rounded(whole), [f"p{k}" for k in range(4)]), path)
+    return tables.read_matrix(spark, path)
+
+
+@query("scan_many_files", "SELECT DISTINCT n_name || '_' || f AS label, n_regionkey FROM nation, (SELECT unnest([1, 2]) AS f)")
+def _(spark, d):
+    path = _folder(spark)
+    for part in ("a", "b"):
+        n = table(spark, d, "nation").select(F.col("n_name").alias("label"), "n_regionkey")
+        sinks.write_tsv(n.unionByName(n), f"{path}/{part}.tab")
+    return tables.read_many(spark, f"{path}/", ".tab/*.csv", "label")
+
+
+@query("scan_losses", "SELECT user_id AS worker, round(value, 2) AS loss FROM events WHERE event_type <> 'view'")
+def _(spark, d):
+    path = _folder(spark)
+    e, view = table(spark, d, "events"), F.col("event_type") == "view"
+    worker = F.concat(F.lit("Worker "), F.col("user_id"))
+    e.select(F.when(view, F.concat(worker, F.lit(": started"))).otherwise(F.concat(worker, F.lit(": Best = "), F.col("value")))).write.text(path)
+    return tables.read_losses(spark, path)
+
+
+@query("scan_fixed", "SELECT event_type AS variable, CAST(user_id AS DOUBLE) AS shape, event_id % 9 AS transform FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY value DESC, user_id, event_id % 9) = 1")
+def _(spark, d):
+    path = _folder(spark)
+    e = table(spark, d, "events").select(F.col("event_type").alias("variable"), F.col("user_id").alias("shape"), (F.col("event_id") % 9).alias("transform"), F.col("value").alias("fitness"))
+    sinks.write_tsv(e, path, single=False)
+    return spark.createDataFrame([(v, x["shape"], x["transform"]) for v, x in tables.read_fixed(spark, path).items()], "variable string, shape double, transform long")
+
+
+# ---- joins for reports and plots
+
+
+def _resistances(spark, d):
+    return sinks.edge_resistances(surface.surfaces(inputs.candidates(spark).where("model_id = 4"), _long(spark, d)).select("edge_id", "resistance"))
+
+
+@query("edges_with_resistance", f"WITH {TREE}, {SURFACES} SELECT child AS \"left\", parent AS \"right\", edge_id AS EDGE_ID, round(resistance, 6) AS Resistance FROM tree JOIN surfaces USING (edge_id) WHERE model_id = 4")
+def _(spark, d):
+    e = graph.edge_table(inputs.edges(spark, d)).withColumnRenamed("edge_id", "EDGE_ID")
+    return rounded(e.join(_resistances(spark, d), "EDGE_ID").select("left", "right", "EDGE_ID", "Resistance"))
+
+
+@query("reaches_left_join", f"WITH {TREE}, {SURFACES} SELECT edge_id AS EDGE_ID, round(resistance, 6) AS Resistance FROM tree LEFT JOIN (SELECT * FROM surfaces WHERE model_id = 4 AND edge_id >= 100) USING (edge_id)")
+def _(spark, d):
+    return rounded(inputs.tree(spark, d).select(F.col("edge_id").alias("EDGE_ID")).join(_resistances(spark, d).where("EDGE_ID >= 100"), "EDGE_ID", "left"))
+
+
+@query("pairwise_regression", f"WITH RECURSIVE {_R}, {RESP} SELECT i, j, i + 1 AS pop2, j + 1 AS pop1, round(resistance, 6) AS resistance, round(value, 6) AS y FROM pairwise JOIN resp USING (i, j) WHERE model_id = 4")
+def _(spark, d):
+    inc = graph.incidence(inputs.tree(spark, d), inputs.points(spark, d))
+    r = surface.effective_resistance(surface.surfaces(inputs.candidates(spark).where("model_id = 4"), _long(spark, d)), inc)
+    return rounded(r.join(_response(spark, d), ["i", "j"]).select("i", "j", "pop2", "pop1", "resistance", "y"))
+
+
+@query("rescale_matrix_columns", f"WITH {RESP}, v AS (SELECT i, j, value FROM resp UNION ALL SELECT j, i, value FROM resp UNION ALL SELECT pt_idx, pt_idx, 0.0 FROM ({PTS[8:-1]})) SELECT i, j, round((value - min(value) OVER w) / (max(value) OVER w - min(value) OVER w), 6) AS value FROM v WINDOW w AS (PARTITION BY j)")
+def _(spark, d):
+    return rounded(simulate.rescaled_columns_matrix(surface.symmetric(inputs.response(spark, d), inputs.points(spark, d), "value")))
+
+
+@query("drop_empty_columns", "SELECT event_id, CASE WHEN event_type = 'view' THEN value END AS some FROM events")
+def _(spark, d):
+    e = table(spark, d, "events").select("event_id", F.when(F.col("event_type") == "view", F.col("value")).alias("some"), F.lit(None).cast("double").alias("none"))
+    return cleaning.drop_empty_columns(e)
+
+
+@query("connectivity", "SELECT true AS whole, false AS cut")
+def _(spark, d):
+    e = inputs.edges(spark, d)
+    return spark.createDataFrame([(graph.is_connected(e), graph.is_connected(e.where("dst <> 0")))], "whole boolean, cut boolean")
+
+
+@query("univariate_models", "SELECT (k * 9 + t) * 100 + s - 1 AS model_id, var, 1 AS sel, 1.0::DOUBLE AS weight, CAST(t AS INTEGER) AS transform, CAST(s AS DOUBLE) AS shape FROM (SELECT unnest(['quantity', 'discount', 'price']) AS var, unnest([0, 1, 2]) AS k), range(9) a(t), range(1, 101) b(s)")
+def _(spark, d):
+    return search.univariate_models(spark, list(METHODS), 100)
+
+
 # ---- searches and streams
 
 
