@@ -19,7 +19,7 @@ from .components import components
 SHINGLE, THRESHOLD = 5, 0.8
 TREES, DEPTH, RECALL = 24, 6, 0.9995
 #: Documents of a candidate group that are compared at once with as many others.
-BLOCK = 256
+BLOCK = 128
 
 
 def prefix_depth(threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> int:
