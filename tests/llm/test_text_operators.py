@@ -83,8 +83,8 @@ def test_held_out_accuracy_and_edges(spark, sf, frame):
     model = language.fit(docs)
     out = language.identify(docs, model, "doc_id", "text", F.col("lang")).where(F.crc32(F.col("doc_id").cast("string")) % 4 == 2).toPandas()
     assert len(out) > 20 and (out.lang == out.lang_pred).mean() > 0.97
-    odd = language.identify(frame(documents([*EDGES, "123 456"]), DOCS), model).toPandas().set_index("doc_id")
-    assert all(odd.lang_pred[k] == "und" and odd.score[k] == 0 for k in (0, 1, 2, 3, 7)) and odd.score.between(0, 1).all()
+    odd = language.identify(frame(documents([*EDGES, "123 456", "²³ Ⅷ"]), DOCS), model).toPandas().set_index("doc_id")
+    assert all(odd.lang_pred[k] == "und" and odd.score[k] == 0 for k in (0, 1, 2, 3, 7, 8)) and odd.score.between(0, 1).all()
     assert language.identify(frame([], DOCS), model).count() == 0
     unlabelled = language.fit(frame([(1, "words", None, None, 0)], DOCS))
     assert language.identify(docs.limit(3), unlabelled).select("lang_pred").distinct().collect()[0][0] == "und"

@@ -40,6 +40,10 @@ def read_pieces(path: str) -> list[str]:
 
 def words_of(text: str) -> Counter:
     found = Counter(LETTERS.findall(text.lower()))
+    for word in [w for w in found if not w.isalpha()]:  # numerals such as superscripts are among them
+        n = found.pop(word)
+        for part in "".join(c if c.isalpha() else " " for c in word).split():
+            found[part] += n
     for word in [w for w in found if len(w) > WORD_LETTERS]:
         n = found.pop(word)
         for i in range(0, len(word), WORD_LETTERS):
