@@ -904,7 +904,7 @@ def _(spark, d):
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """The candidate models ranked by Akaike weight."""
-    fits = _evaluated(spark, d, inputs.candidates(spark), 2).withColumn("aic", -F.col("aic"))
+    fits = graph.stored(_evaluated(spark, d, inputs.candidates(spark), 2).withColumn("aic", -F.col("aic")))
     return inference.ranked(cleaning.finite_fitness(fits), 0.95)
 
 
