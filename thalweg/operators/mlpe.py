@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 RHO_LOW, RHO_HIGH = 0.0001, 0.4999
@@ -40,32 +40,33 @@ def sufficient(pairs: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def likelihood(rho: Column) -> dict[str, Column]:
-    """Generalised least squares at rho over the columns of sufficient(): the fit with x and the fit without."""
+def likelihood(df: DataFrame) -> DataFrame:
+    """Adds loglik, loglik_null, slope and mse of the generalised least squares fits, with x and without, at the column rho.
+
+    Built in steps, so that the optimiser keeps shared terms as columns. x is standardised: its cross terms with the
+    intercept vanish.
+    """
     c = F.col
-    n, m = c("n"), c("m")
-    b = rho * rho
-    a = 1 - 2 * b
-    own = a + b * (n - 2)
-    total = own + b * n
 
     def product(uv, per_population, su, sv):
-        return (uv - b * (per_population / own - b * su * sv / (own * total) * 4)) / a
-
-    # sums over populations of sums over pairs count each pair twice, hence the 4
-    one, zero = m, F.lit(0.0)
-    a11 = product(m, c("p11"), one, one)
-    a1x = product(zero, c("p1x"), one, zero)
-    axx = product(c("xx"), c("pxx"), zero, zero)
-    a1y = product(c("y"), c("p1y"), one, c("y"))
-    axy = product(c("xy"), c("pxy"), zero, c("y"))
-    ayy = product(c("yy"), c("pyy"), c("y"), c("y"))
-    det = a11 * axx - a1x * a1x
-    b0, b1 = F.try_divide(axx * a1y - a1x * axy, det), F.try_divide(a11 * axy - a1x * a1y, det)
-    ssr, ssr0 = ayy - b0 * a1y - b1 * axy, ayy - a1y * a1y / a11
-    logdet = F.ln(a + 2 * b * (n - 1)) + (n - 1) * F.ln(own) + (m - n) * F.ln(a)
-    fit = lambda s: -m / 2 * F.ln(s) - m / 2 * (1 + F.ln(math.pi / (m / 2))) - logdet / 2
-    return {"loglik": fit(ssr), "loglik_null": fit(ssr0), "intercept": b0, "slope": b1, "mse": ssr / (m - 2)}
+        # sums over populations of sums over pairs count each pair twice, hence the 4
+        return (uv - c("_b") * (per_population / c("_own") - c("_b") * su * sv * 4 / (c("_own") * c("_total")))) / c("_a")
+
+    zero, n, m = F.lit(0.0), c("n"), c("m")
+    out = df.withColumn("_b", c("rho") * c("rho"))
+    out = out.withColumns({"_a": 1 - 2 * c("_b"), "_own": 1 - 2 * c("_b") + c("_b") * (n - 2), "_total": 1 - 2 * c("_b") + c("_b") * (2 * n - 2)})
+    out = out.withColumns(
+        {
+            "_11": product(m, c("p11"), m, m), "_xx": product(c("xx"), c("pxx"), zero, zero), "_1y": product(c("y"), c("p1y"), m, c("y")),
+            "_xy": product(c("xy"), c("pxy"), zero, c("y")), "_yy": product(c("yy"), c("pyy"), c("y"), c("y")),
+            "_det": F.ln("_total") + (n - 1) * F.ln("_own") + (m - n) * F.ln("_a"),
+        }
+    )
+    out = out.withColumns({"_ssr0": c("_yy") - c("_1y") * c("_1y") / c("_11"), "slope": F.try_divide(c("_xy"), c("_xx"))})
+    out = out.withColumn("_ssr", c("_ssr0") - c("slope") * c("_xy"))
+    at = lambda ssr: -m / 2 * F.ln(ssr) - m / 2 * (1 + F.ln(math.pi / (m / 2))) - c("_det") / 2
+    out = out.withColumns({"loglik": at(c("_ssr")), "loglik_null": at(c("_ssr0")), "mse": c("_ssr") / (m - 2)})
+    return out.drop(*[x for x in out.columns if x.startswith("_")])
 
 
 def fit(pairs: DataFrame, keys: list[str], grid: int = 51, zooms: int = 3) -> DataFrame:
@@ -81,15 +82,13 @@ def fit(pairs: DataFrame, keys: list[str], grid: int = 51, zooms: int = 3) -> Da
     step = (RHO_HIGH - RHO_LOW) / (grid - 1)
     here = sums.withColumn("rho", F.explode(F.transform(F.sequence(F.lit(0), F.lit(grid - 1)), lambda i: RHO_LOW + i * step)))
     for zoom in range(zooms + 1):
-        scored = here.withColumn("__l", likelihood(F.col("rho"))["loglik"])
-        best = scored.groupBy(*keys, *names).agg(F.max_by("rho", F.struct("__l", -F.col("rho"))).alias("rho"))
+        best = likelihood(here).groupBy(*keys).agg(*[F.first(x).alias(x) for x in names], F.max_by("rho", F.struct("loglik", -F.col("rho"))).alias("rho"))
         if zoom == zooms:
             break
         low, high = F.greatest(F.col("rho") - step, F.lit(RHO_LOW)), F.least(F.col("rho") + step, F.lit(RHO_HIGH))
         here = best.select(*keys, *names, F.explode(F.transform(F.sequence(F.lit(0), F.lit(20)), lambda i: low + i * (high - low) / 20)).alias("rho"))
         step = 2 * step / 20
-    found = likelihood(F.col("rho"))
-    out = best.select(*keys, "rho", *[v.alias(k) for k, v in found.items()])
+    out = likelihood(best)
     aic, aic_null = -2 * F.col("loglik") + 4, -2 * F.col("loglik_null") + 2
     r2m = F.col("slope") * F.col("slope") / (F.col("slope") * F.col("slope") + F.col("mse"))
     return out.select(*keys, "rho", "loglik", r2m.alias("r2m"), (-aic).alias("aic"), (aic_null - aic).alias("delta_aic_null"), (-aic_null).alias("aic_null"))
