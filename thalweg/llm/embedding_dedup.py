@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import durable, python_batches, uniform
 from .components import components
 
-THRESHOLD, NEIGHBOURS, TABLES, BUCKET, BLOCK = 0.95, 8, 6, 48, 256
+THRESHOLD, NEIGHBOURS, TABLES, BUCKET, BLOCK = 0.95, 8, 6, 48, 128
 #: Rows of one Arrow batch.
 BATCH_ROWS = 2048
 #: Refinement rests when fewer than this share of all list places changed, and ends after so many rounds for an audit.
@@ -75,12 +75,12 @@ def _compare(k: int, threshold: float):
             x = _unit(g["vec"])
             sims = x @ x.T
             np.fill_diagonal(sims, -2)
-            near = sims >= threshold
-            if near.any():
+            near, unmet = sims >= threshold, new[:, None] | new[None, :]
+            if (near & unmet).any():  # links between old members were reported when these first met
                 hub = _hubs(near, ids)
                 at = np.flatnonzero(hub != ids)
                 out.append(pd.DataFrame({"u": ids[at], "w": hub[at], "sim": 1.0, "link": True}))
-            sims[~(new[:, None] | new[None, :])] = -2
+            sims[~unmet] = -2
             sims[ids[:, None] == ids[None, :]] = -2
             m = min(k, len(g) - 1)
             best = np.argpartition(-sims, m - 1, axis=1)[:, :m]
