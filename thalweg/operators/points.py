@@ -10,7 +10,7 @@ from ..functions.aggregators import aggregate
 from ..functions.scalars import haversine
 
 #: Up to so many nodes the snap compares every point with every node; beyond that, through a grid.
-DIRECT_NODES = 2_000
+DIRECT_NODES = 256
 
 
 def snap_nearest(points: DataFrame, nodes: DataFrame, cell: float | None = None) -> DataFrame:

@@ -47,15 +47,17 @@ def transformed(long: DataFrame, curves: DataFrame, final: bool = True) -> DataF
     return raw.withColumn("value", rescale(F.col("value"), F.min("value").over(over), F.max("value").over(over)))
 
 
-def surfaces(models: DataFrame, long: DataFrame, final: bool = True) -> DataFrame:
+def surfaces(models: DataFrame, long: DataFrame, final: bool = True, by_model: bool = False) -> DataFrame:
     """models: (model_id, var, sel, weight, transform, shape) -> (model_id, edge_id, resistance).
 
     The weighted sum of the selected variables' curves, in [0, 1] per model if final. Models that select nothing have no
-    rows.
+    rows. by_model deals rows out by model before they are summed: with many models, all that follows (rescaling, path
+    sums, likelihood) then goes without another exchange.
     """
     chosen = models.where("sel = 1").select("model_id", "var", "weight", "transform", F.col("shape").cast("double").alias("shape"))
     curves = transformed(long, chosen.select("var", "transform", "shape").distinct())
-    summed = chosen.join(curves, ["var", "transform", "shape"]).groupBy("model_id", "edge_id").agg(F.sum(F.col("weight") * F.col("value")).alias("resistance"))
+    parts = chosen.join(curves, ["var", "transform", "shape"])
+    summed = (parts.repartition("model_id") if by_model else parts).groupBy("model_id", "edge_id").agg(F.sum(F.col("weight") * F.col("value")).alias("resistance"))
     if not final:
         return summed
     over = W.partitionBy("model_id")

@@ -27,8 +27,11 @@ def evaluate(models: DataFrame, predictors: DataFrame, incidence: DataFrame, res
     Models that select nothing, or whose surface is constant, have fitness -infinity and null metrics.
     """
     inc = incidence.persist()
-    resistance = effective_resistance(surfaces(models, predictors), F.broadcast(inc) if inc.count() <= BROADCAST_INCIDENCE else inc)
-    pairs = resistance.join(response, ["i", "j"]).select("model_id", "pop1", "pop2", F.col("resistance").alias("x"), "y")
+    many = models.select("model_id").distinct().count() >= int(models.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # every pair of connected points has an edge, so pairs are no more than the rows of the incidence
+    small = F.broadcast if inc.count() <= BROADCAST_INCIDENCE else lambda df: df
+    resistance = effective_resistance(surfaces(models, predictors, by_model=many), small(inc))
+    pairs = resistance.join(small(response), ["i", "j"]).select("model_id", "pop1", "pop2", F.col("resistance").alias("x"), "y")
     fits = mlpe.fit(pairs, ["model_id"], grid, zooms)
     out = models.select("model_id").distinct().join(fits, "model_id", "left")
     return out.select("model_id", F.coalesce(F.col(fitness_metric(metric)), F.lit(float("-inf"))).alias("fitness"), "rho", "loglik", "r2m", "aic", "delta_aic_null")
