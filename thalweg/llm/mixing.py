@@ -18,6 +18,8 @@ from .common import durable, uniform, words
 CELLS = 4096
 #: Up to so many sources their table is broadcast; beyond that it is joined by shuffle.
 BROADCAST_SOURCES = 10_000
+#: Documents (expected) of one window when places within a source are summed up.
+BUCKET_DOCS = 1_000
 #: Rounds of the swap-or-not permutation.
 ROUNDS = 24
 
@@ -56,12 +58,13 @@ class Mixture:
 
     def __init__(self, docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", block_words=256, min_blocks=256, shard_blocks=4096, cap=3.0, seed=0):
         self.docs, self.seed, self.text_col = docs.withColumn("__rid", F.monotonically_increasing_id()), seed, text_col
-        self.meta = durable(self.docs.select(F.col("__rid").alias("rid"), F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), words(F.col(text_col)).alias("size")))
+        self.meta = durable(self.docs.select(F.col("__rid").alias("rid"), F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), words(F.col(text_col)).alias("size"), F.xxhash64(id_col, text_col).alias("key")))
         sizes = self.meta.groupBy("source").agg(F.sum("size").alias("source_size"))
         size = F.col("source_size")
         blocks = F.greatest(F.ceil(size / block_words), F.least(size, F.lit(min_blocks)))
         quota = F.when(size > 0, F.round(F.col("target") * F.col("blocks") / size)).otherwise(0).cast("long")
         self.sources = durable(source_targets(sizes, cap).withColumn("blocks", blocks.cast("long")).withColumn("quota", quota))
+        self.n_buckets = max(1, -(-self.meta.count() // BUCKET_DOCS))
         self.n_slots, n_sources = (x or 0 for x in self.sources.agg(F.sum("quota"), F.count(F.lit(1))).first())
         self.small = F.broadcast if n_sources <= BROADCAST_SOURCES else lambda df: df
         self.shard_blocks = shard_blocks
@@ -98,14 +101,15 @@ class Mixture:
     def pieces(self) -> DataFrame:
         """(rid, source, block, first, n_words): the words, counted from 0 in the document, that lie in each block.
 
-        A document's place in its source is a running sum kept per input partition and source, offset by the sums of the
-        partitions before: no window holds more than one input partition.
+        A document's place in its source is a running sum kept per source and bucket of a hash of id and text, offset by the
+        sums of the buckets before: no window holds more than a bucket, and the order does not depend on how rows are stored
+        (row numbers only tell equal rows apart).
         """
-        sized = self.meta.where("size > 0").withColumn("pid", F.shiftright("rid", 33))
-        per = sized.groupBy("source", "pid").agg(F.sum("size").alias("n"))
-        before = per.select(F.col("source").alias("s"), F.col("pid").alias("p"), (F.sum("n").over(W.partitionBy("source").orderBy("pid")) - F.col("n")).alias("before"))
-        here = sized.withColumn("at", F.sum("size").over(W.partitionBy("source", "pid").orderBy("rid")) - F.col("size"))
-        here = here.join(before, F.col("source").eqNullSafe(F.col("s")) & (F.col("pid") == F.col("p"))).select("rid", "source", "size", (F.col("at") + F.col("before")).alias("at"))
+        sized = self.meta.where("size > 0").withColumn("bucket", F.pmod(F.shiftrightunsigned("key", 20), F.lit(self.n_buckets)))
+        per = sized.groupBy("source", "bucket").agg(F.sum("size").alias("n"))
+        before = per.select(F.col("source").alias("s"), F.col("bucket").alias("p"), (F.sum("n").over(W.partitionBy("source").orderBy("bucket")) - F.col("n")).alias("before"))
+        here = sized.withColumn("at", F.sum("size").over(W.partitionBy("source", "bucket").orderBy("key", "doc_id", "rid").rowsBetween(W.unboundedPreceding, 0)) - F.col("size"))
+        here = here.join(before, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("p"))).select("rid", "source", "size", (F.col("at") + F.col("before")).alias("at"))
         by = self.sources.where("blocks > 0").select(F.col("source").alias("s"), F.expr("source_size div blocks").alias("q"), (F.col("source_size") % F.col("blocks")).alias("r"))
         here = here.join(self.small(by), F.col("source").eqNullSafe(F.col("s")))
 
