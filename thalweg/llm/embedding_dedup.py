@@ -136,7 +136,9 @@ class NearestGraph:
         if self.lists is None:
             nodes = self.nodes.withColumn("low", F.lit(-2.0))
         else:
-            last = self.lists.groupBy(F.col("u").alias("id")).agg(F.when(F.count(F.lit(1)) >= self.k, F.min("sim")).otherwise(-2.0).alias("low"))
+            # a list full of links takes no more: it is enlarged to its whole component in the end
+            low = F.when(F.min("sim") >= self.threshold, 2.0).otherwise(F.min("sim"))
+            last = self.lists.groupBy(F.col("u").alias("id")).agg(F.when(F.count(F.lit(1)) >= self.k, low).otherwise(-2.0).alias("low"))
             nodes = self.nodes.join(last, "id", "left").withColumn("low", F.coalesce("low", F.lit(-2.0)))
         members = meetings.join(nodes, "id").select("g1", "g2", "id", "fresh", "low", "vec")
         dealt = members.repartition("g1", "g2").sortWithinPartitions("g1", "g2", "id")
