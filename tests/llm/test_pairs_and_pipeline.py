@@ -3,6 +3,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -171,6 +172,45 @@ def test_descent_finds_neighbours_without_the_audit(spark, frame):
     assert sum(len(true[k] & got[k]) for k in true) / 2400 > 0.85
 
 
+def hot_and_pairs(seed=7, hot=150, pairs=60):
+    """A hot cluster first, then pairs of near copies: rows and the number of hot ones."""
+    rng, rows = np.random.default_rng(seed), []
+    hub = rng.standard_normal(8)
+    for v in [hub + 0.05 * rng.standard_normal(8) for _ in range(hot)]:
+        rows.append((len(rows), [float(x) for x in v.astype(np.float32)]))
+    for _ in range(pairs):
+        base = rng.standard_normal(8)
+        for v in (base, base + 0.05 * rng.standard_normal(8)):
+            rows.append((len(rows), [float(x) for x in v.astype(np.float32)]))
+    return rows, hot
+
+
+def test_a_hot_cluster_does_not_hide_lost_pairs(frame, monkeypatch):
+    """A graph that finds the hot cluster only; the audit is too small for its own links to make up for the others."""
+    rows, hot = hot_and_pairs()
+    found = ed.NearestGraph.found
+    monkeypatch.setattr(ed.NearestGraph, "found", lambda self: found(self).limit(0).unionByName(self.nodes.where(F.element_at("vec", 1).isin([r[1][0] for r in rows[:hot]])).select(F.col("id").alias("a"), F.min("id").over(W.partitionBy(F.lit(1))).alias("b"))))
+    monkeypatch.setattr(ed, "AUDIT", 40)
+    monkeypatch.setattr(ed, "RESUMED", 1)
+    out = ed.near_vectors(frame(rows, "vec_id long, embedding array<float>")).collect()
+    assert sorted((repr(r["vec_id"]), r["n_links"], r["component_id"]) for r in out) == brute_vectors(rows)
+
+
+def test_tables_grow_with_the_number_of_vectors():
+    for n in (100, 10_000, 51_282, 10**6, 10**7):
+        bits = max(1, round(np.log2(max(2, n / ed.BUCKET))))
+        assert (1 - (1 - np.arccos(0.95) / np.pi) ** bits) ** ed.tables_for(n) <= 0.001
+
+
+def test_graph_finds_pairs_beside_a_hot_cluster_without_the_audit(frame):
+    rows, _ = hot_and_pairs(8, 500, 500)
+    nodes = frame([(k, v) for k, v in rows], "id long, vec array<float>")
+    graph = ed.NearestGraph(nodes, len(rows), 8)
+    graph.refine()
+    label = {r["node"]: r["component"] for r in components(graph.found()).collect()}
+    assert sorted((repr(k), label.get(k, k)) for k, _ in rows) == [(i, c) for i, _, c in brute_vectors(rows)]
+
+
 # ---- pipeline
 
 

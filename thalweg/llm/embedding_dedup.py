@@ -4,7 +4,8 @@ A graph of each vector's best neighbours known so far starts from buckets of ran
 neighbours of neighbours: vectors that meet around a common neighbour are compared, and better ones enter the lists. Links
 (cosine at the threshold or above) that turn up are kept whether or not they enter a list. A list that is saturated with
 links says too little about its vector, so lists are enlarged to the whole component of links, block against block. An
-audit compares a sample with all vectors; while it finds links that the graph missed, refinement goes on.
+audit compares a sample with all vectors; while any vector of it misses links, refinement goes on with further tables, and
+where that does not help, all vectors are compared with all.
 """
 
 from __future__ import annotations
@@ -25,8 +26,11 @@ THRESHOLD, NEIGHBOURS, TABLES, BUCKET, BLOCK = 0.95, 8, 6, 48, 128
 BATCH_ROWS = 2048
 #: Refinement rests when fewer than this share of all list places changed, and ends after so many rounds for an audit.
 SETTLED, ROUNDS = 0.02, 4
-#: Vectors of the audit (expected), the recall it asks for, and how often refinement may be resumed for it.
+#: Vectors of the audit (expected; more from 10,000 vectors on), the recall it asks for of each of them, and how often
+#: refinement may be resumed for it.
 AUDIT, RECALL, RESUMED = 400, 0.999, 4
+#: Probability that a pair at the threshold is in no common bucket of all tables; block of the comparison of all with all.
+APART, ALL_BLOCK = 0.001, 1024
 
 
 def _unit(vectors) -> np.ndarray:
@@ -95,17 +99,35 @@ def _compare(k: int, threshold: float):
     return run
 
 
+def _bits(n: int, bucket: int) -> int:
+    return max(1, round(math.log2(max(2, n / bucket))))
+
+
+def tables_for(n: int, threshold: float = THRESHOLD, bucket: int = BUCKET) -> int:
+    """Tables that part a pair at the threshold everywhere with probability APART at most; grows with n."""
+    together = (1 - math.acos(max(-1.0, min(threshold, 1.0))) / math.pi) ** _bits(n, bucket)
+    return TABLES if together >= 1 else max(TABLES, math.ceil(math.log(APART) / math.log1p(-together)))
+
+
 class NearestGraph:
     """nodes: (id, vec) -> neighbour lists (u, w, sim, fresh) and links found (a, b)."""
 
-    def __init__(self, nodes: DataFrame, n: int, dim: int, k=NEIGHBOURS, threshold=THRESHOLD, tables=TABLES, bucket=BUCKET):
+    def __init__(self, nodes: DataFrame, n: int, dim: int, k=NEIGHBOURS, threshold=THRESHOLD, tables=None, bucket=BUCKET):
         self.nodes, self.n, self.dim, self.k, self.threshold, self.bucket = nodes, n, dim, k, threshold, bucket
-        self.lists, self.links, self.round = None, [], 0
-        self.join(self.buckets(0, tables))
+        self.lists, self.links, self.round, self.used = None, [], 0, 0
+        self.seed(tables or tables_for(n, threshold, bucket))
+
+    def seed(self, tables: int) -> None:
+        """Joins the buckets of so many tables not used before, a few at a time."""
+        end = self.used + tables
+        while self.used < end:
+            some = min(TABLES, end - self.used)
+            self.join(self.buckets(self.used, some))
+            self.used += some
 
     def buckets(self, first: int, tables: int) -> DataFrame:
         """(g1, g2, id, fresh): vectors on the same side of random planes, buckets beyond BLOCK split by a hash."""
-        bits, dim = max(1, round(math.log2(max(2, self.n / self.bucket)))), self.dim
+        bits, dim = _bits(self.n, self.bucket), self.dim
 
         def run(batches):
             planes = [np.random.default_rng(1000 + t).standard_normal((dim, bits)) for t in range(first, first + tables)]
@@ -165,21 +187,39 @@ class NearestGraph:
         return out.unionByName(self.lists.where(F.col("sim") >= self.threshold).select(F.col("u").alias("a"), F.col("w").alias("b")))
 
 
-def _audit(nodes: DataFrame, n: int, threshold: float) -> DataFrame:
-    """(a, b): all links of a sample (AUDIT vectors expected, chosen by a hash), by comparing it with every vector."""
-    sample = nodes.where(uniform("audit", F.col("id")) < min(1.0, AUDIT / max(1, n))).collect()
+def _audit(nodes: DataFrame, n: int, groups: DataFrame, threshold: float, again: int = 0) -> DataFrame:
+    """(a, b): all links of a sample, by comparing it with every vector.
+
+    Half of the sample is drawn evenly from vectors, half evenly from components (vectors without links are their own), so
+    that a large component does not crowd out the others. Draws are by a hash, anew for each audit.
+    """
+    sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    linked, classes = sizes.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()
+    half = AUDIT * max(1.0, math.sqrt(n / 10_000)) / 2
+    size = groups.join(sizes, "component").select(F.col("node").alias("id"), "size")
+    rate = half / max(1, n) + half / max(1, n - linked + classes) / F.coalesce("size", F.lit(1))
+    sample = nodes.join(size, "id", "left").where(uniform("audit", F.lit(again), F.col("id")) < rate).select("id", "vec").collect()
     if not sample:
         return nodes.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
     ids, x = np.array([r["id"] for r in sample], np.int64), _unit([r["vec"] for r in sample])
 
     def run(batches):
         for pdf in batches:
-            r, c = np.nonzero(_unit(pdf["vec"]) @ x.T >= threshold)
-            yield pd.DataFrame({"a": ids[c], "b": pdf["id"].to_numpy()[r]})
+            y, to = _unit(pdf["vec"]), pdf["id"].to_numpy()
+            for at in range(0, len(ids), 2048):
+                r, c = np.nonzero(y @ x[at : at + 2048].T >= threshold)
+                yield pd.DataFrame({"a": ids[at + c], "b": to[r]})
 
     return nodes.mapInPandas(run, "a long, b long").where("a <> b")
 
 
+def _recall(truth: DataFrame, groups: DataFrame) -> float:
+    """The least share, over audited vectors with links, of links whose ends are in one component."""
+    ends = truth.join(groups.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(groups.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
+    least = ends.groupBy("a").agg((F.count_if(F.col("ca") == F.col("cb")) / F.count(F.lit(1))).alias("recall")).agg(F.min("recall")).first()[0]
+    return 1.0 if least is None else least
+
+
 def _complete(threshold: float):
     """(id, links, hub): exact links between two blocks of a component, as counts and stars."""
 
@@ -227,17 +267,20 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     links = None
     if n > 1:
         graph = NearestGraph(nodes, n, dim, k, threshold)
-        truth = durable(_audit(nodes, n, threshold))
+        known, block = None, BLOCK
         for again in range(RESUMED + 1):
             graph.refine()
             groups = components(graph.found())
-            ends = truth.join(groups.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(groups.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
-            seen, true = ends.agg(F.count_if(F.col("ca") == F.col("cb")), F.count(F.lit(1))).first()
-            if seen >= RECALL * true:
+            truth = durable(_audit(nodes, n, groups, threshold, again))
+            known = truth if known is None else known.unionByName(truth)
+            if _recall(known, groups) >= RECALL:
+                groups = components(graph.found().unionByName(known))
                 break
-            graph.join(graph.buckets(TABLES * (again + 1), TABLES))
-        groups = components(graph.found().unionByName(truth))
-        sizes = durable(groups.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks")))
+            if again < RESUMED:
+                graph.seed(tables_for(n, threshold))
+        else:  # the graph stays below the target: all vectors against all, as one component
+            groups, block = nodes.select(F.col("id").alias("node"), F.lit(0).cast("long").alias("component")), ALL_BLOCK
+        sizes = durable(groups.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks")))
         due = groups.withColumnRenamed("node", "id").join(sizes, "component").join(equal.select("id", "copies"), "id").join(nodes, "id")
         due = due.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks"))).withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
         due = due.select("component", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "id", "copies", "block", "vec")
