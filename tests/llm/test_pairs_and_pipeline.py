@@ -211,6 +211,30 @@ def test_graph_finds_pairs_beside_a_hot_cluster_without_the_audit(frame):
     assert sorted((repr(k), label.get(k, k)) for k, _ in rows) == [(i, c) for i, _, c in brute_vectors(rows)]
 
 
+def test_all_that_share_a_neighbour_meet(frame):
+    """Pairs of near copies that only a hub knows: more of them than a list has places."""
+    rng = np.random.default_rng(4)
+    spokes = [v for b in rng.standard_normal((40, 8)) for v in (b, b + 0.02 * rng.standard_normal(8))]
+    rows = [(k, [float(x) for x in v]) for k, v in enumerate([*spokes, rng.standard_normal(8)])]
+    graph = ed.NearestGraph.__new__(ed.NearestGraph)
+    graph.nodes, graph.n, graph.dim, graph.k, graph.threshold = frame(rows, "id long, vec array<float>"), len(rows), 8, 8, 0.95
+    graph.links, graph.round = [], 1
+    graph.lists = frame([(k, 80, 0.0, True) for k in range(80)], "u long, w long, sim double, fresh boolean")
+    graph.join(graph.around())
+    label = {r["node"]: r["component"] for r in components(graph.found()).collect()}
+    assert all(label[k] == label[k + 1] for k in range(0, 80, 2))
+
+
+def test_entries_stay_fresh_until_they_met(frame):
+    rng = np.random.default_rng(6)
+    nodes = frame([(k, [float(x) for x in v]) for k, v in enumerate(rng.standard_normal((200, 8)))], "id long, vec array<float>")
+    graph = ed.NearestGraph(nodes, 200, 8, tables=1)
+    before = {(r["u"], r["w"]) for r in graph.lists.where("fresh").collect()}
+    graph.join(graph.buckets(1, 1), around=False)
+    after = {(r["u"], r["w"]): r["fresh"] for r in graph.lists.collect()}
+    assert before and all(after.values()) and before & set(after)
+
+
 # ---- pipeline
 
 

@@ -122,7 +122,7 @@ class NearestGraph:
         end = self.used + tables
         while self.used < end:
             some = min(TABLES, end - self.used)
-            self.join(self.buckets(self.used, some))
+            self.join(self.buckets(self.used, some), around=False)
             self.used += some
 
     def buckets(self, first: int, tables: int) -> DataFrame:
@@ -142,19 +142,24 @@ class NearestGraph:
         return keys.join(durable(large), ["g1", "side"], "left").select("g1", (F.col("side") * 2**20 + parts).alias("g2"), "id", F.lit(True).alias("fresh"))
 
     def around(self) -> DataFrame:
-        """(g1, g2, id, fresh): the neighbours of each vector, and as many of those that it is a neighbour of.
+        """(g1, g2, id, fresh): the neighbours of each vector, and all that it is a neighbour of.
 
-        Which of these is drawn by a hash anew each round. Vectors around which nothing is new are left out.
+        More than BLOCK of the latter are dealt to blocks by a hash anew each round, each with all the neighbours ahead; as
+        they have not all met, they stay fresh. Blocks in which nothing is new are left out.
+        """
+        large = durable(self.lists.groupBy(F.col("w").alias("g2")).agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts")).where("parts > 1"))
+        parts = F.coalesce("parts", F.lit(1))
+        ahead = self.lists.select(F.col("u").alias("g2"), F.col("w").alias("id"), "fresh").join(large, "g2", "left").select("g2", "id", "fresh", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"))
+        behind = self.lists.select(F.col("w").alias("g2"), F.col("u").alias("id"), "fresh").join(large, "g2", "left").select("g2", "id", (F.col("fresh") | (parts > 1)).alias("fresh"), F.pmod(F.xxhash64("id", F.lit(self.round)), parts).alias("part"))
+        met = durable(ahead.unionByName(behind).groupBy("g2", "part", "id").agg(F.bool_or("fresh").alias("fresh")))
+        awake = met.groupBy("g2", "part").agg(F.bool_or("fresh").alias("new"), F.count(F.lit(1)).alias("size")).where("new and size > 1").select("g2", "part")
+        return met.join(awake, ["g2", "part"], "left_semi").select((-1 - F.col("part")).alias("g1"), "g2", "id", "fresh")
+
+    def join(self, meetings: DataFrame, around: bool = True) -> int:
+        """Compares all that meet and updates the lists; returns how many places changed.
+
+        Only meetings around neighbours make entries of the lists old; after those in buckets, entries are as fresh as before.
         """
-        ahead = self.lists.select(F.col("u").alias("g2"), F.col("w").alias("id"), "fresh")
-        pick = W.partitionBy("w").orderBy(F.xxhash64("u", F.lit(self.round)))
-        behind = self.lists.withColumn("r", F.row_number().over(pick)).where(F.col("r") <= self.k).select(F.col("w").alias("g2"), F.col("u").alias("id"), "fresh")
-        met = durable(ahead.unionByName(behind).groupBy("g2", "id").agg(F.bool_or("fresh").alias("fresh")))
-        awake = met.where("fresh").select("g2").distinct()
-        return met.join(awake, "g2", "left_semi").select(F.lit(-1).cast("long").alias("g1"), "g2", "id", "fresh")
-
-    def join(self, meetings: DataFrame) -> int:
-        """Compares all that meet and updates the lists; returns how many places changed."""
         if self.lists is None:
             nodes = self.nodes.withColumn("low", F.lit(-2.0))
         else:
@@ -168,7 +173,7 @@ class NearestGraph:
         self.links.append(durable(found.where("link").select(F.col("u").alias("a"), F.col("w").alias("b")).distinct()))
         better = found.where("not link").select("u", "w", "sim", F.lit(True).alias("fresh"))
         if self.lists is not None:
-            better = better.unionByName(self.lists.withColumn("fresh", F.lit(False)))
+            better = better.unionByName(self.lists.withColumn("fresh", F.lit(False)) if around else self.lists)
         known = better.groupBy("u", "w").agg(F.max("sim").alias("sim"), F.bool_and("fresh").alias("fresh"))
         best = W.partitionBy("u").orderBy(F.desc("sim"), "w")
         self.lists = durable(known.withColumn("r", F.row_number().over(best)).where(F.col("r") <= self.k).drop("r"))
