@@ -218,7 +218,7 @@ def test_all_that_share_a_neighbour_meet(frame):
     rows = [(k, [float(x) for x in v]) for k, v in enumerate([*spokes, rng.standard_normal(8)])]
     graph = ed.NearestGraph.__new__(ed.NearestGraph)
     graph.nodes, graph.n, graph.dim, graph.k, graph.threshold = frame(rows, "id long, vec array<float>"), len(rows), 8, 8, 0.95
-    graph.links, graph.round = [], 1
+    graph.inside, graph.own, graph.links, graph.round = None, None, [], 1
     graph.lists = frame([(k, 80, 0.0, True) for k in range(80)], "u long, w long, sim double, fresh boolean")
     graph.join(graph.around())
     label = {r["node"]: r["component"] for r in components(graph.found()).collect()}
@@ -235,6 +235,25 @@ def test_entries_stay_fresh_until_they_met(frame):
     assert before and all(after.values()) and before & set(after)
 
 
+def test_saturated_vectors_search_outside_their_component(frame):
+    """Two tight clusters that are linked, each of which fills the lists of its vectors, and no bucket held both of them."""
+    rng = np.random.default_rng(3)
+    a, b = np.linalg.qr(rng.standard_normal((16, 16)))[0][:2]
+    centres = a, 0.953 * a + np.sqrt(1 - 0.953**2) * b
+    x = [c + 0.004 * rng.standard_normal(16) for c in centres for _ in range(30)] + list(rng.standard_normal((100, 16)))
+    nodes = frame([(k, [float(v) for v in r]) for k, r in enumerate(x)], "id long, vec array<float>")
+    graph = ed.NearestGraph.__new__(ed.NearestGraph)
+    graph.nodes, graph.n, graph.dim, graph.k, graph.threshold, graph.bucket = nodes, len(x), 16, 8, 0.95, 16
+    graph.lists, graph.inside, graph.own, graph.links, graph.round, graph.used = None, None, None, [], 0, 0
+    apart = graph.buckets(0, 6)
+    graph.join(apart.withColumn("g2", F.col("g2") * 2 + (F.col("id") < 30).cast("int")), around=False)
+    graph.refine()
+    label = {r["node"]: r["component"] for r in components(graph.found()).collect()}
+    assert {label[k] for k in range(60)} == {0, 30}
+    label = {r["node"]: r["component"] for r in ed.outside(graph).collect()}
+    assert {label[k] for k in range(60)} == {0}
+
+
 # ---- pipeline
 
 

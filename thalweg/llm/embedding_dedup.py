@@ -76,11 +76,15 @@ def _compare(k: int, threshold: float):
             if len(g) < 2:
                 continue
             ids, low, new = g["id"].to_numpy(np.int64), g["low"].to_numpy(float), g["fresh"].to_numpy(bool)
+            own = g["component"].to_numpy(np.int64)
+            if (own == own[0]).all():
+                continue
             x = _unit(g["vec"])
             sims = x @ x.T
             np.fill_diagonal(sims, -2)
-            near, unmet = sims >= threshold, new[:, None] | new[None, :]
-            if (near & unmet).any():  # links between old members were reported when these first met
+            # links between old members were reported when these first met; those within a component are counted in the end
+            near, unmet = sims >= threshold, (new[:, None] | new[None, :]) & (own[:, None] != own[None, :])
+            if (near & unmet).any():
                 hub = _hubs(near, ids)
                 at = np.flatnonzero(hub != ids)
                 out.append(pd.DataFrame({"u": ids[at], "w": hub[at], "sim": 1.0, "link": True}))
@@ -114,7 +118,7 @@ class NearestGraph:
 
     def __init__(self, nodes: DataFrame, n: int, dim: int, k=NEIGHBOURS, threshold=THRESHOLD, tables=None, bucket=BUCKET):
         self.nodes, self.n, self.dim, self.k, self.threshold, self.bucket = nodes, n, dim, k, threshold, bucket
-        self.lists, self.links, self.round, self.used = None, [], 0, 0
+        self.lists, self.inside, self.own, self.links, self.round, self.used = None, None, None, [], 0, 0
         self.seed(tables or tables_for(n, threshold, bucket))
 
     def seed(self, tables: int) -> None:
@@ -147,10 +151,11 @@ class NearestGraph:
         More than BLOCK of the latter are dealt to blocks by a hash anew each round, each with all the neighbours ahead; as
         they have not all met, they stay fresh. Blocks in which nothing is new are left out.
         """
-        large = durable(self.lists.groupBy(F.col("w").alias("g2")).agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts")).where("parts > 1"))
+        lists = self.lists if self.inside is None else self.lists.unionByName(self.inside)
+        large = durable(lists.groupBy(F.col("w").alias("g2")).agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts")).where("parts > 1"))
         parts = F.coalesce("parts", F.lit(1))
-        ahead = self.lists.select(F.col("u").alias("g2"), F.col("w").alias("id"), "fresh").join(large, "g2", "left").select("g2", "id", "fresh", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"))
-        behind = self.lists.select(F.col("w").alias("g2"), F.col("u").alias("id"), "fresh").join(large, "g2", "left").select("g2", "id", (F.col("fresh") | (parts > 1)).alias("fresh"), F.pmod(F.xxhash64("id", F.lit(self.round)), parts).alias("part"))
+        ahead = lists.select(F.col("u").alias("g2"), F.col("w").alias("id"), "fresh").join(large, "g2", "left").select("g2", "id", "fresh", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"))
+        behind = lists.select(F.col("w").alias("g2"), F.col("u").alias("id"), "fresh").join(large, "g2", "left").select("g2", "id", (F.col("fresh") | (parts > 1)).alias("fresh"), F.pmod(F.xxhash64("id", F.lit(self.round)), parts).alias("part"))
         met = durable(ahead.unionByName(behind).groupBy("g2", "part", "id").agg(F.bool_or("fresh").alias("fresh")))
         awake = met.groupBy("g2", "part").agg(F.bool_or("fresh").alias("new"), F.count(F.lit(1)).alias("size")).where("new and size > 1").select("g2", "part")
         return met.join(awake, ["g2", "part"], "left_semi").select((-1 - F.col("part")).alias("g1"), "g2", "id", "fresh")
@@ -163,11 +168,12 @@ class NearestGraph:
         if self.lists is None:
             nodes = self.nodes.withColumn("low", F.lit(-2.0))
         else:
-            # a list full of links takes no more: it is enlarged to its whole component in the end
+            # a list full of links takes no more for now: leave() gives it new places, for vectors outside its component
             low = F.when(F.min("sim") >= self.threshold, 2.0).otherwise(F.min("sim"))
             last = self.lists.groupBy(F.col("u").alias("id")).agg(F.when(F.count(F.lit(1)) >= self.k, low).otherwise(-2.0).alias("low"))
             nodes = self.nodes.join(last, "id", "left").withColumn("low", F.coalesce("low", F.lit(-2.0)))
-        members = meetings.join(nodes, "id").select("g1", "g2", "id", "fresh", "low", "vec")
+        nodes = nodes.withColumn("component", F.col("id")) if self.own is None else nodes.join(self.own, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        members = meetings.join(nodes, "id").select("g1", "g2", "id", "fresh", "low", "component", "vec")
         dealt = members.repartition("g1", "g2").sortWithinPartitions("g1", "g2", "id")
         found = durable(dealt.mapInPandas(_compare(self.k, self.threshold), "u long, w long, sim double, link boolean"))
         self.links.append(durable(found.where("link").select(F.col("u").alias("a"), F.col("w").alias("b")).distinct()))
@@ -177,9 +183,25 @@ class NearestGraph:
         known = better.groupBy("u", "w").agg(F.max("sim").alias("sim"), F.bool_and("fresh").alias("fresh"))
         best = W.partitionBy("u").orderBy(F.desc("sim"), "w")
         self.lists = durable(known.withColumn("r", F.row_number().over(best)).where(F.col("r") <= self.k).drop("r"))
+        if around and self.inside is not None:
+            self.inside = self.inside.withColumn("fresh", F.lit(False))
         self.round += 1
         return self.lists.where("fresh").count()
 
+    def leave(self, groups: DataFrame) -> None:
+        """From now on lists take only vectors outside their own vector's component.
+
+        Neighbours inside keep leading the search (the best k, as they are now) but take no place in the list, so that a
+        vector among many near ones finds those beyond them. All meet anew, since a full list took no note of others.
+        """
+        self.own = durable(groups.select(F.col("node").alias("id"), "component"))
+        old = self.lists if self.inside is None else self.lists.unionByName(self.inside)
+        ends = old.join(self.own.select(F.col("id").alias("u"), F.col("component").alias("cu")), "u", "left").join(self.own.select(F.col("id").alias("w"), F.col("component").alias("cw")), "w", "left")
+        held = durable(ends.select("u", "w", "sim", F.lit(True).alias("fresh"), F.coalesce(F.col("cu") == F.col("cw"), F.lit(False)).alias("same")))
+        best = W.partitionBy("u").orderBy(F.desc("sim"), "w")
+        self.inside = durable(held.where("same").withColumn("r", F.row_number().over(best)).where(F.col("r") <= self.k).drop("r", "same"))
+        self.lists = held.where("not same").drop("same")
+
     def refine(self) -> None:
         for _ in range(ROUNDS):
             if self.join(self.around()) < SETTLED * self.k * self.n:
@@ -189,7 +211,8 @@ class NearestGraph:
         out = self.links[0]
         for more in self.links[1:]:
             out = out.unionByName(more)
-        return out.unionByName(self.lists.where(F.col("sim") >= self.threshold).select(F.col("u").alias("a"), F.col("w").alias("b")))
+        lists = self.lists if self.inside is None else self.lists.unionByName(self.inside)
+        return out.unionByName(lists.where(F.col("sim") >= self.threshold).select(F.col("u").alias("a"), F.col("w").alias("b")))
 
 
 def _audit(nodes: DataFrame, n: int, groups: DataFrame, threshold: float, again: int = 0) -> DataFrame:
@@ -248,6 +271,24 @@ def _complete(threshold: float):
     return run
 
 
+def outside(graph: NearestGraph) -> DataFrame:
+    """Components of links, searched from outside of those already found until none are joined any more."""
+    groups = components(graph.found())
+    while True:
+        graph.leave(groups)
+        graph.seed(TABLES)
+        graph.refine()
+        known, groups = groups, components(graph.found())
+        if not _grown(known, groups):
+            return groups
+
+
+def _grown(known: DataFrame, groups: DataFrame) -> bool:
+    """Whether a component of more than one vector was joined to another such."""
+    parts = known.join(groups.withColumnRenamed("component", "now"), "node").groupBy("now").agg(F.count_distinct("component").alias("parts"))
+    return bool(parts.where("parts > 1").limit(1).count())
+
+
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD, k: int = NEIGHBOURS) -> DataFrame:
     """One row per input row: vec_id, n_links, component_id, kept.
 
@@ -275,7 +316,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
         known, block = None, BLOCK
         for again in range(RESUMED + 1):
             graph.refine()
-            groups = components(graph.found())
+            groups = outside(graph)
             truth = durable(_audit(nodes, n, groups, threshold, again))
             known = truth if known is None else known.unionByName(truth)
             if _recall(known, groups) >= RECALL:
