@@ -10,9 +10,36 @@ def frame(spark, tmp_path):
         spark.createDataFrame(rows, schema).repartition(partitions).write.parquet(path)
         return spark.read.parquet(path)
 
+    make.path = tmp_path
     return make
 
 
+@pytest.fixture()
+def restless(spark, monkeypatch):
+    """Executors that come and go: the parallelism that splits of files follow changes before and after every checkpoint."""
+    seen = []
+
+    def turn():
+        seen.append(1)
+        spark.conf.set("spark.sql.leafNodeDefaultParallelism", 2 if len(seen) % 2 else 16)
+
+    kind = type(spark.range(1))
+    checkpoint = kind.checkpoint
+
+    def changed(self, *args, **options):
+        turn()
+        try:
+            return checkpoint(self, *args, **options)
+        finally:
+            turn() if len(seen) % 3 else None
+
+    monkeypatch.setattr(kind, "checkpoint", changed)
+    spark.conf.set("spark.sql.files.openCostInBytes", 0)
+    yield seen
+    spark.conf.unset("spark.sql.leafNodeDefaultParallelism")
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
 

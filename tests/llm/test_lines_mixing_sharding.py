@@ -1,12 +1,13 @@
 import hashlib
 import random
+import time
 from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
 from thalweg.llm.line_dedup import drop_common_lines
-from thalweg.llm.mixing import Mixture, permuted, source_targets
+from thalweg.llm.mixing import Mixture, permuted, source_targets, sums_before
 from thalweg.llm.sharding import communication_matrix, hypergeometric, shuffle_into_shards
 
 from .conftest import DOCS, documents
@@ -186,6 +187,48 @@ def test_shuffle_empty(frame):
     assert shuffle_into_shards(frame([], DOCS), 4).count() == 0
 
 
+def test_shuffle_does_not_depend_on_parallelism(frame, restless):
+    """No row is lost or doubled when splits change between the jobs of one shuffle, or before its result is read."""
+    docs = frame([(k, f"text {k}", k % 7) for k in range(10_000)], "doc_id long, text string, x int", 5)
+    out = shuffle_into_shards(docs, 40)
+    rows = out.collect()
+    assert sorted((r["doc_id"], r["text"], r["x"]) for r in rows) == [(k, f"text {k}", k % 7) for k in range(10_000)]
+    assert {(r["shard"], r["slot"]) for r in rows} == {(s, k) for s in range(40) for k in range(250)}
+
+
+def test_mixture_does_not_depend_on_parallelism(spark, frame, restless):
+    docs = frame([(k, f"w{k} " * (k % 9), f"s{k % 3}") for k in range(400)], "doc_id long, text string, source string", 5)
+    mix = Mixture(docs, with_documents=True)
+    got = sorted((r["doc_id"], r["text"]) for r in mix.documents().collect())
+    words = {}
+    for d, t in got:
+        words[d] = words.get(d, 0) + len(t.split())
+        assert set(t.split()) == {f"w{d}"}
+    assert words == {r["doc_id"]: r["taken"] for r in Mixture(docs).summary().collect() if r["taken"]}
+
+
+def test_matrix_of_many_partitions(spark):
+    """Counts of 100,000 partitions are dealt as rows, level by level."""
+    start = time.perf_counter()
+    n = F.pmod(F.xxhash64("id"), F.lit(5)) + 8
+    counts = spark.range(100_000).select(F.col("id").alias("pid"), n.alias("n"))
+    matrix = communication_matrix(counts, 40).cache()
+    assert matrix.count() == 100_000
+    assert matrix.join(counts, "pid").where(F.aggregate("sends", F.lit(0).cast("long"), lambda a, x: a + x) != F.col("n")).count() == 0
+    sums = [r[0] for r in matrix.select(F.posexplode("sends")).groupBy("pos").agg(F.sum("col").alias("n")).select("n").collect()]
+    assert len(sums) == 40 and max(sums) - min(sums) <= 1
+    assert time.perf_counter() - start < 60
+    matrix.unpersist()
+
+
+@pytest.mark.parametrize("rows", [[("a", k, 1) for k in range(5000)] + [(None, 3, 2), (None, 1, 5), ("b", 0, 4)], []])
+def test_sums_before(spark, rows):
+    """Two levels of windows give what one window gives."""
+    df = spark.createDataFrame(rows, "source string, place long, n long")
+    got = {(r["s"], r["p"]): r["before"] for r in sums_before(df, "place").collect()}
+    assert got == {(s, p): sum(n for t, q, n in rows if t == s and q < p) for s, p, n in rows if s != "a"} | {("a", k): k for k in range(5000 if rows else 0)}
+
+
 def test_registered_queries(spark, sf):
     from thalweg.llm.queries import QUERIES
 

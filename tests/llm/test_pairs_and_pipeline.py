@@ -7,9 +7,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from thalweg.llm import decontaminate as dc
 from thalweg.llm import embedding_dedup as ed
 from thalweg.llm import ngram_join as nj
-from thalweg.llm.common import fresh_path
+from thalweg.llm.common import fresh_path, shared_folder
 from thalweg.llm.components import components
 
 from .conftest import DOCS, documents
@@ -105,6 +106,66 @@ def test_prefixes_are_shortened_until_recall():
     assert 1 - (1 - 0.8**d) ** nj.TREES >= nj.RECALL
 
 
+def test_depth_follows_the_data(frame):
+    """Documents among many close copies are settled at longer prefixes than others."""
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+    crowd = [" ".join([*base[:k], "x", *base[k:]]) for k in range(60)]
+    pair = [f"v{k}" for k in range(200)]
+    rows = [(k, t) for k, t in enumerate([*crowd, " ".join(pair), " ".join([*pair, "end"]), "nothing like the others at all"])]
+    out = {r["doc_id"]: r for r in nj.jaccard_classes(frame(rows, "doc_id long, text string")).collect()}
+    assert {out[k]["depth"] for k in range(60)} == {8} and out[60]["depth"] == out[61]["depth"] == 6 and out[62]["depth"] == 5
+    assert all(out[k]["n_links"] == 59 for k in range(60)) and out[60]["n_links"] == 1
+
+
+def test_recall_near_the_threshold(frame):
+    """Pairs of similarity 0.80 to 0.85, which the forest finds hardest: all but few in ten thousand are found."""
+    rng, rows = random.Random(1), []
+    for k in range(700):
+        base = [f"w{rng.randrange(10**9)}" for _ in range(120)]
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join([*base[: rng.randrange(100, 104)], *(f"z{rng.randrange(10**9)}" for _ in range(4))]))]
+    rng.shuffle(rows)
+    truth = {k: shingles(t) for k, t in rows}
+    linked = {k // 2 for k in truth if k % 2 == 0 and len(truth[k] & truth[k + 1]) >= 0.8 * len(truth[k] | truth[k + 1])}
+    out = {r["doc_id"]: r["n_links"] for r in nj.jaccard_classes(frame(rows, "doc_id long, text string")).collect()}
+    found = {k // 2 for k, n in out.items() if n}
+    assert len(linked) >= 500 and found <= linked and len(found) >= 0.9995 * len(linked)
+
+
+def test_recall_of_chains_and_copies(frame):
+    """Chains whose ends are unlike, exact copies of their links, and hot copies."""
+    words = [f"c{k}" for k in range(400)]
+    rows = [(k, " ".join(words[3 * k : 3 * k + 100])) for k in range(60)]
+    rows += [(100 + k, rows[k % 7][1]) for k in range(200)] + [(400, " ".join(words[:95]))]
+    out = nj.jaccard_classes(frame(rows, "doc_id long, text string"), block=16).collect()
+    assert sorted((repr(r["doc_id"]), r["n_links"], r["class_id"]) for r in out) == brute_join(rows)
+
+
+def test_string_ids(frame):
+    rows = [("b", "one two three"), ("a", "one two three"), (None, "one two three"), ("c", None)]
+    out = {r["doc_id"]: (r["n_links"], r["class_id"], r["kept"]) for r in nj.jaccard_classes(frame(rows, "doc_id string, text string")).collect()}
+    assert out == {"a": (2, "a", True), "b": (2, "a", False), None: (2, "a", False), "c": (0, "c", True)}
+
+
+def test_large_ids_beside_null(frame):
+    rows = [(2**60 + 1, "one two"), (None, "one two"), (2**60 + 3, "three")]
+    out = {r["doc_id"]: r["class_id"] for r in nj.jaccard_classes(frame(rows, "doc_id long, text string", 1)).collect()}
+    assert out == {2**60 + 1: 2**60 + 1, None: 2**60 + 1, 2**60 + 3: 2**60 + 3}
+    vecs = [(2**60 + 1, [1.0, 0.0]), (None, [1.0, 0.0]), (2**60 + 3, [0.0, 1.0])]
+    out = {r["vec_id"]: r["component_id"] for r in ed.near_vectors(frame(vecs, "vec_id long, embedding array<float>", 1)).collect()}
+    assert out == {2**60 + 1: 2**60 + 1, None: 2**60 + 1, 2**60 + 3: 2**60 + 3}
+
+
+def test_pairs_do_not_depend_on_parallelism(frame, restless):
+    rows = near_copies(3)
+    docs = frame(rows, "doc_id long, text string", 5)
+    out = nj.jaccard_classes(docs, block=32).collect()
+    assert sorted((repr(r["doc_id"]), r["n_links"], r["class_id"]) for r in out) == brute_join(rows)
+    rows = vectors(3)
+    out = ed.near_vectors(frame(rows, "vec_id long, embedding array<float>", 5)).collect()
+    assert sorted((repr(r["vec_id"]), r["n_links"], r["component_id"]) for r in out) == brute_vectors(rows) and len(restless) > 20
+
+
 def test_intersections():
     rng = np.random.default_rng(0)
     x, y = ([np.unique(rng.integers(0, 3000, rng.integers(1, 900)).astype(np.uint64)) for _ in range(n)] for n in (7, 5))
@@ -254,6 +315,37 @@ def test_saturated_vectors_search_outside_their_component(frame):
     assert {label[k] for k in range(60)} == {0}
 
 
+def test_saturated_lists_grow(frame):
+    """Lists of 8 places in clusters of 20: they grow until they hold vectors that are no links, and no block is compared."""
+    rng, x = np.random.default_rng(11), []
+    for c in np.linalg.qr(rng.standard_normal((16, 16)))[0][:6]:
+        x += [c + 0.01 * rng.standard_normal(16) for _ in range(20)]
+    nodes = frame([(k, [float(v) for v in r]) for k, r in enumerate(x)], "id long, vec array<float>")
+    graph = ed.NearestGraph(nodes, len(x), 16)
+    graph.refine()
+    assert graph.saturated().count() == 120
+    ed.outside(graph)
+    assert graph.own is None and graph.saturated().count() == 0
+    assert {r["k"] for r in graph.room.collect()} == {32}
+    assert graph.pairs().count() == 6 * 20 * 19
+
+
+def test_extreme_values(frame):
+    rows = [(1, [1e200, 1e200]), (2, [2e200, 2e200]), (3, [1e-200, 1e-200]), (4, [1e-200, -1e-200]), (5, [5e-324, 5e-324])]
+    out = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in ed.near_vectors(frame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert out == {1: (3, 1), 2: (3, 1), 3: (3, 1), 5: (3, 1), 4: (0, 4)}
+
+
+def test_fallback_is_exact(frame, monkeypatch):
+    """A graph that finds nothing at all: the audit sees it, and all vectors are compared with all."""
+    rows = vectors(2)
+    monkeypatch.setattr(ed, "RESUMED", 0)
+    monkeypatch.setattr(ed.NearestGraph, "pairs", lambda self: self.lists.select(F.col("u").alias("a"), F.col("w").alias("b")).limit(0))
+    monkeypatch.setattr(ed, "outside", lambda graph: components(graph.found().limit(0)))
+    out = ed.near_vectors(frame(rows, "vec_id long, embedding array<float>")).collect()
+    assert sorted((repr(r["vec_id"]), r["n_links"], r["component_id"]) for r in out) == brute_vectors(rows)
+
+
 # ---- pipeline
 
 
@@ -301,3 +393,50 @@ def test_pipeline_of_nothing(spark, frame, tmp_path):
     assert corpus_pipeline.run(spark, sf).count() == 0
     frame(documents([None, ""]), DOCS).write.mode("overwrite").parquet(f"{sf}/documents.parquet")
     assert corpus_pipeline.run(spark, sf).count() == 0
+
+
+def test_pipeline_loses_no_column(spark, frame, tmp_path):
+    """Columns named as those of operators, in any case, large numbers beside nulls: every stage hands them on."""
+    rows, item = corpus(spark)
+    docs = frame(rows, DOCS, 1).withColumns({"Score": F.lit(0.5), "lang_pred": F.lit("mine"), "coverage": F.lit(2), "contaminated": F.lit("no"), "__rid": F.lit(3), "__size": F.lit(4), "rid": F.lit(5), "row": F.lit(6), "a.b": F.lit(7)})
+    docs = docs.withColumn("k", F.when(F.col("doc_id") % 2 == 0, F.lit(2**60 + 1)))
+    sf = str(tmp_path / "sf")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, sf)
+        assert out.columns[: len(docs.columns)] == docs.columns, name
+        got = out.select("doc_id", "k", "Score", "`a.b`", "rid", "row", "__rid").distinct().collect()
+        assert got and all(r["k"] == (2**60 + 1 if r["doc_id"] % 2 == 0 else None) and tuple(r)[2:] == (0.5, 7, 5, 6, 3) for r in got)
+    out = corpus_pipeline.shards(spark, docs.withColumn("Shard", F.lit("x")), sf)
+    assert [c for c in out.columns if c.lower() == "shard"] == ["shard"] and out.count() == len(rows)
+
+
+def test_pipeline_stages_do_not_depend_on_parallelism(spark, frame, restless):
+    rows, item = corpus(spark)
+    docs = frame([r for r in rows if r[1]], DOCS, 5)
+    kept = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()}
+    assert kept == {r[0] for r in rows if r[1]} - {200, 201}
+    once = {(r["doc_id"], r["text"]) for r in corpus_pipeline.mix(spark, docs, "").collect()}
+    assert once == {(r["doc_id"], r["text"]) for r in corpus_pipeline.mix(spark, docs, "").collect()}
+    joined = dc.decontaminate(docs, frame([(1, item)], "item_id long, text string"), broadcast_chars=0)
+    assert {r["doc_id"] for r in joined.collect() if r["contaminated"]} == {202}
+
+
+def test_no_machine_local_folder_on_a_cluster(spark, monkeypatch):
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext, conf = Context(), spark.conf
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        shared_folder(Session())
+
+
+def test_what_is_stored_on_the_way_is_deleted(spark, frame):
+    before = set(spark.sparkContext._thalweg_paths)
+    nj.jaccard_classes(frame(near_copies()[:40], "doc_id long, text string")).count()
+    assert set(spark.sparkContext._thalweg_paths) == before

@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
+from functools import wraps
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..shipping import ship
 
@@ -21,10 +26,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where that is unset and the executors live in the driver's process (tests), a temporary folder; on a cluster that would
+    be another folder on every machine, so there it is an error.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='thalweg-')}")
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or f"file://{tempfile.mkdtemp(prefix='thalweg-')}")
     return sc.getCheckpointDir()
 
 
@@ -35,7 +47,57 @@ def durable(df: DataFrame) -> DataFrame:
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    """A path in the shared folder that nothing else uses."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    spark.sparkContext.__dict__.setdefault("_thalweg_paths", []).append(path)
+    return path
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    sc = spark.sparkContext
+    there = sc._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(sc._jsc.hadoopConfiguration()).delete(there, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Deletes at its end what fresh_path() gave out within: for results that were written by then."""
+    before = len(spark.sparkContext.__dict__.setdefault("_thalweg_paths", []))
+    yield
+    paths = spark.sparkContext._thalweg_paths
+    while len(paths) > before:
+        delete(spark, paths.pop())
+
+
+def tidy(operator):
+    """For an operator (docs, ...) whose result depends on checkpoints alone: deletes what it stored on the way."""
+
+    @wraps(operator)
+    def run(docs: DataFrame, *args, **options):
+        with scratch(docs.sparkSession):
+            return operator(docs, *args, **options)
+
+    return run
+
+
+def stored(df: DataFrame, name: str = "stored") -> DataFrame:
+    """Written to the shared folder and read: for what goes round in a loop. A checkpoint keeps the planner's estimate of its
+    size, and joins multiply estimates from round to round until they fill the driver; a table has its true size."""
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def numbered(df: DataFrame, name: str = "rows") -> DataFrame:
+    """(rid LONG, row STRUCT): the rows of df, numbered and stored in the shared folder.
+
+    Numbers depend on how the input is split, and a second scan may be split otherwise, as executors come and go; so number
+    and row are written once, together, and everything after reads that table. The upper bits of rid are the partition.
+    """
+    path = fresh_path(df.sparkSession, name)
+    rows = df.select(F.monotonically_increasing_id().alias("rid"), F.struct(*[f"`{c}`" for c in df.columns]).alias("row"))
+    rows.write.parquet(path)
+    return df.sparkSession.read.schema(rows.schema).parquet(path)
 
 
 def uniform(*parts) -> Column:
@@ -53,17 +115,30 @@ def words(text: str | Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-#: Rows of one Arrow batch: texts can be very long, and a batch is held whole by a Python worker.
-BATCH_ROWS = 256
+def field(row: str, column: str) -> Column:
+    """A field of a struct, whatever characters its name holds."""
+    return F.col(f"{row}.`{column}`")
+
 
+def map_texts(docs: DataFrame, text: str | Column, carried: dict[str, Column], fields: dict[str, str], start) -> DataFrame:
+    """(carried columns, fields): what Python finds in each text, beside columns that it never sees.
 
-def python_batches(spark: SparkSession, rows: int) -> None:
-    """Readies the session for a map in Python: the package on the executors, and batches of so many rows."""
-    ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    start() is called once in each task and returns a function from a list of texts (null: empty; or of the values of a
+    column, as they are) to one list for each of `fields` (name -> SQL type). Carried columns pass as Arrow arrays, so that no id or nullable number is turned into a
+    float. Spark bounds the bytes of a batch (spark.sql.execution.arrow.maxBytesPerBatch); no session setting is changed.
+    """
+    ship(docs.sparkSession)
+    text = F.coalesce(F.col(text), F.lit("")) if isinstance(text, str) else text
+    frame = docs.select(text.alias("text"), F.struct(*[c.alias(n) for n, c in (carried or {"none": F.lit(True)}).items()]).alias("row"))
+    added = T.StructType([T.StructField(n, T._parse_datatype_string(t)) for n, t in fields.items()])
+    types = [f.type for f in to_arrow_schema(added)]
+    kept = frame.schema["row"]
 
+    def run(batches):
+        work = start()
+        for batch in batches:
+            found = work(batch.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column("row"), *(pa.array(x, t) for x, t in zip(found, types, strict=True))], ["row", *fields])
 
-def text_batches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more: Column) -> DataFrame:
-    """(doc_id LONG, text STRING, ...) for a Python map; null texts are empty; batches are kept small."""
-    python_batches(docs.sparkSession, BATCH_ROWS)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *more)
+    out = frame.mapInArrow(run, T.StructType([kept, *added.fields]))
+    return out.select(*[field("row", n).alias(n) for n in carried], *[f"`{n}`" for n in fields])

@@ -2,28 +2,41 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, scratch, stored
 
 
 def components(links: DataFrame) -> DataFrame:
     """links: (a, b) LONG -> (node, component): the smallest node reachable. Nodes without a link are absent.
 
     Null ends, loops and repeated links are harmless. Each round takes the least label among neighbours, then the label of
-    that label; paths shrink by half at least, and stars, as the callers send them, end within two or three rounds. Rounds
-    are cut by checkpoints. A hub's links are joined from two stored tables, so adaptive execution can split them.
+    that label; paths shrink by half at least, and stars, as the callers send them, end within two or three rounds. Each
+    round is stored. A hub's links are joined from two stored tables, so adaptive execution can split them.
     """
+    spark = links.sparkSession
     ends = links.where("a is not null and b is not null and a <> b").select("a", "b")
-    both = durable(ends.unionByName(ends.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = durable(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("component")).select("node", "component"))
+    with scratch(spark):
+        both = stored(ends.unionByName(ends.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+        labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("component")).select("node", "component"))
+        while True:
+            near = both.join(labels.withColumnRenamed("node", "a"), "a").groupBy(F.col("b").alias("node")).agg(F.min("component").alias("other"))
+            lower = stored(labels.join(near, "node").select("node", "component", F.least("component", "other").alias("now")))
+            up = lower.select(F.col("node").alias("now"), F.col("now").alias("top"))
+            now = stored(lower.join(up, "now", "left").select("node", F.col("component").alias("was"), F.coalesce(F.least("now", "top"), "now").alias("component")))
+            labels = now.select("node", "component")
+            if now.where("was <> component").isEmpty():
+                return durable(labels)
+
+
+def stars(near: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """near: which of the nodes `rows` are linked to which of `columns` -> the least node that each of either reaches."""
+    of_rows, of_columns = rows.astype(np.int64), columns.astype(np.int64)
     while True:
-        near = both.join(labels.withColumnRenamed("node", "a"), "a").groupBy(F.col("b").alias("node")).agg(F.min("component").alias("other"))
-        lower = durable(labels.join(near, "node").select("node", "component", F.least("component", "other").alias("now")))
-        up = lower.select(F.col("node").alias("now"), F.col("now").alias("top"))
-        now = durable(lower.join(up, "now", "left").select("node", F.col("component").alias("was"), F.coalesce(F.least("now", "top"), "now").alias("component")))
-        changed = now.where("was <> component").limit(1).count()
-        labels = now.select("node", "component")
-        if not changed:
-            return labels
+        low = np.minimum(of_rows, np.where(near, of_columns[None, :], np.iinfo(np.int64).max).min(1, initial=np.iinfo(np.int64).max))
+        right = np.minimum(of_columns, np.where(near, low[:, None], np.iinfo(np.int64).max).min(0, initial=np.iinfo(np.int64).max))
+        if (low == of_rows).all() and (right == of_columns).all():
+            return low, right
+        of_rows, of_columns = low, right

@@ -11,17 +11,15 @@ import re
 from collections import Counter
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import text_batches, uniform
+from .common import durable, map_texts, uniform
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
-#: Bounds of the training sample, for each language: documents (expected), code points of a document, distinct words.
-SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_WORDS = 300, 20_000, 6_000
-#: More labels than these are refused: the models of all languages are broadcast.
-MOST_LANGUAGES = 500
+#: Bounds of the training sample, for each language: documents (expected), distinct words.
+SAMPLE_DOCS, SAMPLE_WORDS = 300, 6_000
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Longer runs of letters are scored as several words, so that probabilities stay within doubles.
 WORD_LETTERS = 40
@@ -145,37 +143,45 @@ class LanguageModel:
         return np.log(np.maximum(lattice.forward(self.p)[np.arange(len(words)), lattice.length], 1e-300))
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", pieces: str = VOCABULARY, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS, sample_words: int = SAMPLE_WORDS) -> LanguageModel:
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", pieces: str = VOCABULARY, sample_docs: int = SAMPLE_DOCS, sample_words: int = SAMPLE_WORDS) -> LanguageModel:
     """Learns from labelled documents whose crc32(doc_id) mod 4 is not 2: about sample_docs of each language, chosen by a
-    hash of the id among those of at most sample_chars code points, and their sample_words most frequent words."""
-    known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.crc32(F.col(id_col).cast("string")) % 4 != 2) & (F.length(text_col) <= sample_chars))
-    per = {r[0]: r[1] for r in known.groupBy(F.col(lang_col).cast("string").alias("l")).count().limit(MOST_LANGUAGES + 1).collect()}
-    if len(per) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    if not per:
-        return LanguageModel(read_pieces(pieces), {})
-    rate = F.create_map(*[F.lit(x) for l, n in sorted(per.items()) for x in (l, min(1.0, sample_docs / n))])
-    rows = known.where(uniform("sample", F.col(id_col)) < F.element_at(rate, F.col(lang_col).cast("string"))).select(F.col(lang_col).cast("string").alias("l"), F.col(text_col).alias("t"))
-    counts: dict[str, Counter] = {l: Counter() for l in per}
-    for l, t in rows.collect():
-        counts[l] += words_of(t)
-    return LanguageModel(read_pieces(pieces), {l: Counter(dict(sorted(c.items(), key=lambda x: (-x[1], x[0]))[:sample_words])) for l, c in counts.items()})
-
-
-def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", *more) -> DataFrame:
-    """One row per input row: doc_id, text, the columns of `more`, lang_pred, score (posterior of lang_pred, 0 to 1).
+    hash of the id, and the sample_words most frequent words of those (ties: by the word).
+
+    Words are counted by the executors; the driver gets sample_words rows a language. Null ids are not learned from. No
+    labelled document: a model of no language.
+    """
+    label = F.col(lang_col).cast("string")
+    known = docs.where(label.isNotNull() & F.col(text_col).isNotNull() & (F.crc32(F.col(id_col).cast("string")) % 4 != 2)).select(label.alias("language"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rates = known.groupBy("language").agg((F.lit(float(sample_docs)) / F.count(F.lit(1))).alias("rate"))
+    chosen = known.withColumn("u", uniform("sample", F.col("id"))).join(durable(rates), "language").where("u < rate")
+
+    def start():
+        return lambda texts: ([[{"word": w, "n": n} for w, n in words_of(t).items()] for t in texts],)
+
+    words = map_texts(chosen, "text", {"language": F.col("language")}, {"words": "array<struct<word:string,n:bigint>>"}, start).select("language", F.explode("words").alias("x"))
+    counts = words.groupBy("language", F.col("x.word").alias("word")).agg(F.sum("x.n").alias("n"))
+    best = counts.withColumn("r", F.row_number().over(W.partitionBy("language").orderBy(F.desc("n"), "word"))).where(F.col("r") <= sample_words)
+    found: dict[str, Counter] = {r["language"]: Counter() for r in rates.select("language").collect()}
+    for r in best.select("language", "word", "n").collect():
+        found[r["language"]][r["word"]] = r["n"]
+    return LanguageModel(read_pieces(pieces), {l: Counter(dict(sorted(c.items(), key=lambda x: (-x[1], x[0])))) for l, c in found.items()})
+
+
+def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", *more: Column, named: dict[str, Column] | None = None) -> DataFrame:
+    """One row per input row: doc_id, the columns `more` and `named`, lang_pred, score (posterior of lang_pred, 0 to 1).
 
     Only the text is looked at, whole. Null text, no letter, or no language learned: `und`, score 0. Languages that tie:
-    the first by name. Repeated rows and null ids come back as they are. Empty table: no rows.
-    A map over input partitions; the model (vocabulary x languages) is broadcast, its size bounded by MOST_LANGUAGES.
+    the first by name. Repeated rows come back as they are, ids of any type, null ones too. Empty table: no rows.
+    A map over input partitions; the model is broadcast: 8 bytes for each piece of the vocabulary and language, whatever
+    the number of documents.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    frame = text_batches(docs, id_col, text_col, *more)
 
-    def run(batches):
+    def start():
         model, memo = shared.value, {}
-        for pdf in batches:
-            found = [words_of(t) for t in pdf["text"]]
+
+        def work(texts):
+            found = [words_of(t) for t in texts]
             new = list({w for c in found for w in c if w not in memo}) if model.languages else []
             for i in range(0, len(new), 20_000):
                 memo.update(zip(new[i : i + 20_000], model.log_words(new[i : i + 20_000])))
@@ -189,7 +195,9 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
                 best.append(model.languages[j]), score.append(float(1 / np.exp(total - total[j]).sum()))
             if len(memo) > MEMO_WORDS:
                 memo.clear()
-            yield pdf.assign(lang_pred=best, score=score)
+            return best, score
+
+        # texts of a batch are taken by the hundred, so that the words held at once stay few
+        return lambda texts: tuple(sum(x, []) for x in zip(*(work(texts[i : i + 256]) for i in range(0, len(texts), 256)), strict=True)) or ([], [])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema.fields)
-    return frame.mapInPandas(run, f"{schema}, lang_pred string, score double")
+    return map_texts(docs, text_col, {"doc_id": F.col(id_col), **dict(zip(docs.select(*more).columns, more)), **(named or {})}, {"lang_pred": "string", "score": "double"}, start)

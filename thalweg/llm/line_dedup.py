@@ -35,7 +35,7 @@ def drop_common_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     lines = F.split(text, "\n", -1)
     own = [F.col(id_col).alias("id"), *_hashes(text, ("t1", "t2"))]
     keyed = docs.select(*own, F.posexplode(lines).alias("pos", "line")).select("id", "t1", "t2", "pos", line_key(F.col("line")).alias("key"))
-    keyed = keyed.where(F.length("key") >= min_length).select("id", "t1", "t2", "pos", *_hashes(F.col("key"), ("k1", "k2")))
+    keyed = durable(keyed.where(F.length("key") >= min_length).select("id", "t1", "t2", "pos", *_hashes(F.col("key"), ("k1", "k2"))))
     held = keyed.select("k1", "k2", "id").distinct()
     common = durable(held.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("keeper")).where(F.col("n") >= min_docs).drop("n"))
     losing = keyed.join(common, ["k1", "k2"]).where(~F.col("id").eqNullSafe(F.col("keeper")))

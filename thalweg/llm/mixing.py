@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import durable, uniform, words
+from .common import durable, field, numbered, uniform, words
 
 #: Cells that [0, 1) is cut into so that a draw finds its source by an equi-join, whatever the number of sources.
 CELLS = 4096
@@ -20,6 +20,8 @@ CELLS = 4096
 BROADCAST_SOURCES = 10_000
 #: Documents (expected) of one window when places within a source are summed up.
 BUCKET_DOCS = 1_000
+#: Places that one window sums up; sums of so many places each are summed up in a second one.
+SPAN = 1_024
 #: Rounds of the swap-or-not permutation.
 ROUNDS = 24
 
@@ -48,17 +50,38 @@ def source_targets(sizes: DataFrame, cap: float = 3.0, cycle: int = 3) -> DataFr
     return unit.withColumn("target", F.least("most", F.max("unit").over(W.partitionBy()) * F.col("weight"))).select("source", "source_size", "weight", "target")
 
 
+def sums_before(sums: DataFrame, place: str) -> DataFrame:
+    """sums: (source, place, n), a row for each source and place -> (s, p, before): n over the source's earlier places.
+
+    In two levels, so that no window holds all places of a source, however large its share.
+    """
+    spans = sums.withColumn("span", F.floor(F.col(place) / SPAN))
+    per = spans.groupBy("source", "span").agg(F.sum("n").alias("n"))
+    ahead = per.select(F.col("source").alias("s"), F.col("span").alias("at"), (F.sum("n").over(W.partitionBy("source").orderBy("span")) - F.col("n")).alias("ahead"))
+    inside = spans.select("source", "span", F.col(place).alias("p"), (F.sum("n").over(W.partitionBy("source", "span").orderBy(place)) - F.col("n")).alias("inside"))
+    return inside.join(ahead, F.col("source").eqNullSafe(F.col("s")) & (F.col("span") == F.col("at"))).select("s", "p", (F.col("ahead") + F.col("inside")).alias("before"))
+
+
 class Mixture:
-    """A mix of docs. Rows are numbered by monotonically_increasing_id(), so docs should be a stored table.
+    """A mix of docs.
 
     Texts without words take no part; null sources are a source of their own, the last; a source without words has
     target 0. Repeated rows are separate documents. An empty table gives an empty mix. No block is taken more than
     ceil(cap) times, so no document is either.
+
+    Rows are numbered once and stored, for summary() with id, source and size alone. documents() needs them with their
+    payload: with_documents stores that, too.
     """
 
-    def __init__(self, docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", block_words=256, min_blocks=256, shard_blocks=4096, cap=3.0, seed=0):
-        self.docs, self.seed, self.text_col = docs.withColumn("__rid", F.monotonically_increasing_id()), seed, text_col
-        self.meta = durable(self.docs.select(F.col("__rid").alias("rid"), F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), words(F.col(text_col)).alias("size"), F.xxhash64(id_col, text_col).alias("key")))
+    def __init__(self, docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", block_words=256, min_blocks=256, shard_blocks=4096, cap=3.0, seed=0, with_documents=False):
+        self.given = {"docs": docs, "id_col": id_col, "text_col": text_col, "source_col": source_col, "block_words": block_words, "min_blocks": min_blocks, "shard_blocks": shard_blocks, "cap": cap, "seed": seed}
+        self.docs, self.seed, self.text_col = docs, seed, text_col
+        self.stored = numbered(docs, "mix-docs") if with_documents else None
+        if with_documents:
+            rid, by_id, text, source, rows = F.col("rid"), *(field("row", c) for c in (id_col, text_col, source_col)), self.stored
+        else:
+            rid, by_id, text, source, rows = F.monotonically_increasing_id(), *(F.col(c) for c in (id_col, text_col, source_col)), docs
+        self.meta = durable(rows.select(rid.alias("rid"), by_id.alias("doc_id"), source.cast("string").alias("source"), words(text).alias("size"), F.xxhash64(by_id, text).alias("key")))
         sizes = self.meta.groupBy("source").agg(F.sum("size").alias("source_size"))
         size = F.col("source_size")
         blocks = F.greatest(F.ceil(size / block_words), F.least(size, F.lit(min_blocks)))
@@ -78,9 +101,9 @@ class Mixture:
         slots = self.docs.sparkSession.range(self.n_slots).select(F.col("id").alias("slot"), F.floor(F.col("id") / self.shard_blocks).alias("shard"), uniform(self.seed, F.lit("slot"), F.col("id")).alias("u"))
         drawn = slots.withColumn("cell", F.floor(F.col("u") * CELLS)).join(self.small(cells), "cell").where("u >= lo and u < hi").select("slot", "shard", "source", "quota")
         counts = durable(drawn.groupBy("source", "shard").agg(F.count(F.lit(1)).alias("n")))
-        before = counts.select(F.col("source").alias("s"), F.col("shard").alias("sh"), (F.sum("n").over(W.partitionBy("source").orderBy("shard")) - F.col("n")).alias("before"))
+        before = sums_before(counts, "shard")
         ranked = drawn.withColumn("r", F.row_number().over(W.partitionBy("shard", "source").orderBy("slot")) - 1)
-        ranked = ranked.join(before, F.col("source").eqNullSafe(F.col("s")) & (F.col("shard") == F.col("sh"))).select("slot", "shard", "source", "quota", (F.col("r") + F.col("before")).alias("k"))
+        ranked = ranked.join(before, F.col("source").eqNullSafe(F.col("s")) & (F.col("shard") == F.col("p"))).select("slot", "shard", "source", "quota", (F.col("r") + F.col("before")).alias("k"))
         # A source drawn beyond its quota hands its last slots to those drawn short of theirs, in order.
         total = counts.groupBy("source").agg(F.sum("n").alias("n")).select(F.col("source").alias("s"), "n")
         balance = self.sources.where("quota > 0").join(self.small(total), F.col("source").eqNullSafe(F.col("s")), "left").select("source", "quota", F.coalesce("n", F.lit(0)).alias("n"))
@@ -107,7 +130,7 @@ class Mixture:
         """
         sized = self.meta.where("size > 0").withColumn("bucket", F.pmod(F.shiftrightunsigned("key", 20), F.lit(self.n_buckets)))
         per = sized.groupBy("source", "bucket").agg(F.sum("size").alias("n"))
-        before = per.select(F.col("source").alias("s"), F.col("bucket").alias("p"), (F.sum("n").over(W.partitionBy("source").orderBy("bucket")) - F.col("n")).alias("before"))
+        before = sums_before(per, "bucket")
         here = sized.withColumn("at", F.sum("size").over(W.partitionBy("source", "bucket").orderBy("key", "doc_id", "rid").rowsBetween(W.unboundedPreceding, 0)) - F.col("size"))
         here = here.join(before, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("p"))).select("rid", "source", "size", (F.col("at") + F.col("before")).alias("at"))
         by = self.sources.where("blocks > 0").select(F.col("source").alias("s"), F.expr("source_size div blocks").alias("q"), (F.col("source_size") % F.col("blocks")).alias("r"))
@@ -136,17 +159,20 @@ class Mixture:
         """The mix as documents: for each document and epoch a row whose text is the words taken, in order, with the white
         space around them; all words taken: the text unchanged. Other columns are as they were; n_chars, where there is
         such a column, is that of the new text."""
+        if self.stored is None:
+            return Mixture(**self.given, with_documents=True).documents()
         at = self.blocks_taken().select(F.col("source").alias("s"), F.col("block").alias("b"), "epoch")
         used = self.pieces().join(at, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")))
-        ranges = used.groupBy(F.col("rid").alias("__rid"), "epoch").agg(F.array_sort(F.collect_list(F.struct("first", "n_words"))).alias("__ranges"), F.sum("n_words").alias("__n")).drop("epoch")
-        names = [c for c in self.docs.columns if c != "__rid"]
-        got = self.docs.join(ranges, "__rid").join(self.meta.select(F.col("rid").alias("__rid"), F.col("size").alias("__size")), "__rid")
+        ranges = used.groupBy("rid", "epoch").agg(F.array_sort(F.collect_list(F.struct("first", "n_words"))).alias("ranges"), F.sum("n_words").alias("n")).drop("epoch")
+        columns = {c: f"c{i}" for i, c in enumerate(self.docs.columns)}
+        flat = self.stored.select("rid", field("row", self.text_col).alias("whole"), *[field("row", c).alias(n) for c, n in columns.items()])
+        got = flat.join(ranges, "rid").join(self.meta.select("rid", "size"), "rid")
+        whole = F.col("whole")
         # exploding an array of one makes the split text a column that is computed once for each row
-        pieces = F.when(F.col("__n") < F.col("__size"), F.regexp_extract_all(F.col(self.text_col), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+(?:[\x20\x09-\x0D]+\z)?"), F.lit(0)))
-        got = got.withColumn("__words", F.explode(F.array(pieces)))
-        parts = F.transform("__ranges", lambda r: F.array_join(F.slice("__words", r["first"].cast("int") + 1, r["n_words"].cast("int")), ""))
-        text = F.when(F.col("__words").isNull(), F.col(self.text_col)).otherwise(F.array_join(parts, ""))
-        got = got.withColumn(self.text_col, F.explode(F.array(text)))
-        if "n_chars" in names:
-            got = got.withColumn("n_chars", F.length(self.text_col).cast("long"))
-        return got.select(*[f"`{c}`" for c in names])
+        pieces = F.when(F.col("n") < F.col("size"), F.regexp_extract_all(whole, F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+(?:[\x20\x09-\x0D]+\z)?"), F.lit(0)))
+        got = got.withColumn("words", F.explode(F.array(pieces)))
+        parts = F.transform("ranges", lambda r: F.array_join(F.slice("words", r["first"].cast("int") + 1, r["n_words"].cast("int")), ""))
+        text = F.when(F.col("words").isNull(), whole).otherwise(F.array_join(parts, ""))
+        got = got.withColumn("mixed", F.explode(F.array(text)))
+        new = {self.text_col.lower(): F.col("mixed"), "n_chars": F.length("mixed").cast("long")}
+        return got.select(*[new.get(c.lower(), F.col(n)).alias(c) for c, n in columns.items()])

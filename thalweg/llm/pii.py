@@ -1,20 +1,21 @@
 """Personal data: patterns, and a character-level bidirectional LSTM with a CRF on top, trained in numpy.
 
-The base spans are what the patterns match. The network learns from the base spans of a bounded sample of documents and
-adds spans that the patterns miss. It reads overlapping windows; each position is decided by the window in whose middle it
-lies, so a text gets one labelling whatever its length.
+The base spans are what the patterns match. The network learns from the base spans of a bounded sample of documents, and
+from the same data written as people write it to hide it, and adds spans that the patterns miss. It reads every text whole,
+in overlapping windows; where windows overlap their scores are added, fading from one to the next, and the text is then
+decoded once, so it gets one labelling whatever its length.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_batches, uniform
+from .common import durable, map_texts, uniform
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -71,31 +72,47 @@ def labelled_spans(text: str) -> list[tuple[str, int, int]]:
     return spans
 
 
+#: Ways of writing that the patterns miss: fixed values. Emails: what stands for the at sign and for the dots.
+_AT_DOT = [(" at ", " dot "), (" [at] ", " [dot] "), ("(at)", "."), (" AT ", " DOT "), ("[at]", "[dot]"), (" (at) ", " (dot) ")]
+_EDITS = {
+    "email": [lambda s, at=at, dot=dot: at.join((s.split("@")[0], s.split("@")[1].replace(".", dot))) for at, dot in _AT_DOT],
+    "phone": [lambda s: s.removeprefix("+").lstrip(" "), lambda s: "00" + s.removeprefix("+").lstrip(" "), lambda s: re.sub(r"[^0-9]", "", s), lambda s: re.sub(r"[ ().-]+", ".", s.removeprefix("+").strip())],
+    "card": [lambda s: ".".join(re.findall(".{1,4}", re.sub("[ -]", "", s))), lambda s: "_".join(re.findall(".{1,4}", re.sub("[ -]", "", s)))],
+    "ip": [lambda s: s.replace(".", "[.]"), lambda s: s.replace(".", " . "), lambda s: s.replace(".", " dot ")],
+}
+
+
 def variants(text: str, spans: list[tuple[str, int, int]]):
-    """The text with its labelled spans written in ways that the patterns miss: phone numbers without the plus, cards in
-    groups with dots. Yields (text, spans)."""
-    edits = {"phone": lambda s: s.removeprefix("+").lstrip(" "), "card": lambda s: ".".join(re.findall(".{1,4}", re.sub("[ -]", "", s)))}
+    """The text with its labelled spans written in ways that the patterns miss. Yields (text, spans)."""
     ordered = sorted(spans, key=lambda s: s[1])
-    if any(a[2] > b[1] for a, b in zip(ordered, ordered[1:])) or all(k not in edits for k, _, _ in spans):
+    if not ordered or any(a[2] > b[1] for a, b in zip(ordered, ordered[1:])):
         return
-    out, found, at = [], [], 0
-    for kind, a, b in ordered:
-        piece = edits.get(kind, lambda s: s)(text[a:b])
-        out += [text[at:a], piece]
-        start = sum(map(len, out)) - len(piece)
-        found.append((kind, start, start + len(piece)))
-        at = b
-    yield "".join(out) + text[at:], found
+    for n in range(max(len(_EDITS[k]) for k, _, _ in ordered)):
+        out, found, at = [], [], 0
+        for kind, a, b in ordered:
+            piece = _EDITS[kind][n % len(_EDITS[kind])](text[a:b])
+            out += [text[at:a], piece]
+            start = sum(map(len, out)) - len(piece)
+            found.append((kind, start, start + len(piece)))
+            at = b
+        yield "".join(out) + text[at:], found
 
 
 # ---- the network
 
-WINDOW, STEP = 96, 48
-HIDDEN, TAGS = 12, 1 + 2 * len(KINDS)  # O, then B and I of each kind
-#: Character classes: fixed values.
-_CLASSES = ["0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", " ", "\n\t\r\x0b\x0c", "@", ".", "-", "+", "()", "_%", ":", ",;", "/", "[]{}<>", "\"'"]
+#: Windows that are learned from; windows that texts are read in, each beginning STEP after the one before, and their overlap.
+TRAINED, WINDOW, STEP = 96, 192, 160
+OVERLAP = WINDOW - STEP
+HIDDEN, TAGS = 8, 1 + 2 * len(KINDS)  # O, then B and I of each kind
+#: Windows that are read at once.
+BATCH = 1024
+#: A position is given to the decoder unless the best other tag's score is so far below that of O (in nats).
+CUT = 4.0
+#: Character classes: fixed values. The letters of "at" and "dot" are told apart from others.
+_CLASSES = ["0123456789", "BCEFGHIJKLMNPQRSUVWXYZ", "bcefghijklmnpqrsuvwxyz", " ", "\n\t\r\x0b\x0c", "@", ".", "-", "+", "()", "_%", ":", ",;", "/", "[]{}<>", "\"'", "aA", "tT", "dD", "oO"]
 N_CLASSES = len(_CLASSES) + 2  # other ASCII, all else
-_TABLE = np.full(128, len(_CLASSES), np.int8)
+_TABLE = np.full(129, len(_CLASSES), np.int8)
+_TABLE[128] = N_CLASSES - 1
 for _i, _chars in enumerate(_CLASSES):
     for _c in _chars:
         _TABLE[ord(_c)] = _i
@@ -103,7 +120,7 @@ for _i, _chars in enumerate(_CLASSES):
 
 def classes(text: str) -> np.ndarray:
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    return np.where(codes < 128, _TABLE[np.minimum(codes, 127)], N_CLASSES - 1).astype(np.int8)
+    return _TABLE[np.minimum(codes, 128)]
 
 
 def _sigmoid(x):
@@ -170,8 +187,8 @@ class Tagger:
     def moves(self):
         return np.where(self.barred, np.float32(-1e4), self.p["a"])
 
-    def gradients(self, x, y):
-        """Of the mean negative log likelihood of tags y (T, B)."""
+    def gradients(self, x, y, local=0.0):
+        """Of the mean negative log likelihood of tags y (T, B), and `local` times that of each tag by its emissions alone."""
         e, (h, sf, sb) = self.emissions(x, True)
         a, (steps, batch) = self.moves(), x.shape
         first = np.where(np.arange(TAGS) % 2 == 0, np.float32(-1e4), 0) * (np.arange(TAGS) > 0)
@@ -190,6 +207,11 @@ class Tagger:
             da += np.exp(up[t - 1][:, :, None] + a + (e[t] + down[t])[:, None, :] - z[:, None, None]).sum(0)
         t, b = np.indices((steps, batch))
         de[t, b, y] -= 1
+        if local:
+            alone = np.exp(e - e.max(2, keepdims=True))
+            alone /= alone.sum(2, keepdims=True)
+            alone[t, b, y] -= 1
+            de += local * alone
         np.add.at(da, (y[:-1], y[1:]), -1)
         scale = np.float32(1 / batch)
         de, da = de * scale, np.where(self.barred, 0, da * scale)
@@ -200,53 +222,111 @@ class Tagger:
         g["wb"], g["ub"] = _lstm_back(x[::-1], self.p["ub"], sb, dh[::-1, :, HIDDEN:], self.p["wb"].shape)
         return g
 
-    def train(self, x, y, steps=320, batch=50, rate=0.02, seed=0):
-        """x, y: (windows, WINDOW). Adam; the draws depend on the seed alone. Each batch holds as many windows of every kind,
-        rare or not."""
+    def train(self, x, y, steps=500, batch=60, rate=0.03, local=0.5, seed=0):
+        """x, y: (windows, TRAINED). Adam; the draws depend on the seed alone. Each batch holds as many windows of every kind,
+        rare or not. The emissions are also trained alone, so that they tell by themselves where there is nothing."""
         rng = np.random.default_rng(seed)
         groups = [g for g in [np.arange(len(x)), *(np.flatnonzero((y == 1 + 2 * k).any(1)) for k in range(len(KINDS)))] if len(g)]
         m, v = ({k: np.zeros_like(p) for k, p in self.p.items()} for _ in range(2))
         for n in range(1, steps + 1):
             pick = np.concatenate([rng.choice(g, -(-batch // len(groups))) for g in groups])
-            for k, g in self.gradients(x[pick].T, y[pick].T).items():
+            for k, g in self.gradients(x[pick].T, y[pick].T, local).items():
                 g = np.clip(g, -1, 1)
                 m[k] = 0.9 * m[k] + 0.1 * g
                 v[k] = 0.99 * v[k] + 0.01 * g * g
                 self.p[k] = (self.p[k] - rate * (1 - n / (steps + 1)) * (m[k] / (1 - 0.9**n)) / (np.sqrt(v[k] / (1 - 0.99**n)) + 1e-6)).astype(np.float32)
         return self
 
-    def decode(self, x) -> np.ndarray:
-        """x: (windows, WINDOW) -> best tags, by Viterbi."""
-        e, _ = self.emissions(x.T)
-        a, (steps, batch) = self.moves(), e.shape[:2]
-        back, best = np.empty((steps, batch, TAGS), np.int8), e[0].copy()
-        for t in range(1, steps):
-            scores = best[:, :, None] + a
-            back[t] = scores.argmax(1)
-            best = e[t] + scores.max(1)
-        out, tag = np.empty((steps, batch), np.int8), best.argmax(1)
-        for t in range(steps - 1, -1, -1):
-            out[t] = tag
-            tag = back[t, np.arange(batch), tag] if t else tag
-        return out.T
-
-
-def window_starts(marks: np.ndarray, length: int) -> np.ndarray:
-    """Starts of the windows of a text that are read: those whose middle, or a neighbour's, holds a digit or an @.
-
-    Without either no span of the four kinds exists, so the windows left out hold nothing by definition.
-    Window j starts at STEP * j - STEP / 2 and decides the STEP positions from STEP * j.
-    """
-    if not len(marks):
-        return marks
-    cells = np.unique(marks // STEP)
-    cells = np.unique(np.concatenate((cells - 1, cells, cells + 1)))
-    return cells[(cells >= 0) & (cells * STEP < length)] * STEP - STEP // 2
-
-
-def _cut(x: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    at = starts[:, None] + np.arange(WINDOW)
-    return np.where((at >= 0) & (at < len(x)), x[np.clip(at, 0, len(x) - 1)], np.int8(N_CLASSES - 1))
+    def scores(self, x) -> np.ndarray:
+        """x: (steps, windows) -> (steps, TAGS, windows): the emissions, in the order of axes that is fastest to read in."""
+        out = np.empty((len(x), TAGS, x.shape[1]), np.float32)
+        half = np.repeat(np.float32([0.5, 1]), [3 * HIDDEN, HIDDEN])  # a sigmoid is a tanh of half, halved
+        for w, u, v, back in (("wf", "uf", self.p["v"][:HIDDEN], False), ("wb", "ub", self.p["v"][HIDDEN:], True)):
+            w, u, v = (np.ascontiguousarray(m.T, np.float32) for m in (self.p[w] * half, self.p[u] * half, v))
+            h = c = np.zeros((HIDDEN, x.shape[1]), np.float32)
+            for t in range(len(x) - 1, -1, -1) if back else range(len(x)):
+                z = u @ h
+                z += w[:, x[t]]
+                np.tanh(z, out=z)
+                gates = z[: 3 * HIDDEN]
+                gates *= 0.5
+                gates += 0.5
+                c = gates[HIDDEN : 2 * HIDDEN] * c
+                c += gates[:HIDDEN] * z[3 * HIDDEN :]
+                h = gates[2 * HIDDEN :] * np.tanh(c)
+                if back:
+                    out[t] += v @ h
+                else:
+                    np.matmul(v, h, out=out[t])
+        out += self.p["b"][:, None]
+        return out
+
+    def decode(self, runs: list[np.ndarray]) -> list[np.ndarray]:
+        """Scores (length, TAGS) of stretches between positions that are O -> their best tags, by Viterbi."""
+        a, out = self.moves().astype(np.float32), [None] * len(runs)
+        order = sorted(range(len(runs)), key=lambda i: len(runs[i]))
+        for at in range(0, len(order), 256):
+            some = order[at : at + 256]
+            steps = len(runs[some[-1]]) + 1
+            e = np.full((steps, len(some), TAGS), np.float32(-1e4))
+            e[:, :, 0] = 0
+            for j, i in enumerate(some):
+                e[: len(runs[i]), j] = runs[i]
+            back, best = np.zeros((steps, len(some), TAGS), np.int8), e[0] + a[0]
+            for t in range(1, steps):
+                moved = best[:, :, None] + a
+                back[t] = moved.argmax(1)
+                best = e[t] + moved.max(1)
+            tags, tag = np.zeros((steps, len(some)), np.int8), np.zeros(len(some), np.int64)
+            for t in range(steps - 1, 0, -1):  # every stretch ends in O
+                tag = back[t, np.arange(len(some)), tag].astype(np.int64)
+                tags[t - 1] = tag
+            for j, i in enumerate(some):
+                out[i] = tags[: len(runs[i]), j]
+        return out
+
+    def read(self, texts: list[str]) -> list[list[tuple[str, int, int]]]:
+        """(kind, start, end) of every text, by start.
+
+        Texts lie behind each other in one row of cells of STEP positions, with an OVERLAP of padding ahead of each, so
+        that every window reads one text.
+        """
+        cells = np.array([-(-(OVERLAP + len(t)) // STEP) for t in texts], np.int64)
+        first = np.concatenate(([0], np.cumsum(cells))) * STEP
+        flat = np.full(first[-1] + OVERLAP, N_CLASSES - 1, np.int8)
+        for a, t in zip(first, texts):
+            flat[a + OVERLAP : a + OVERLAP + len(t)] = classes(t)
+        windows = np.lib.stride_tricks.sliding_window_view(flat, WINDOW)[::STEP]
+        fade = ((np.arange(OVERLAP, dtype=np.float32) + 0.5) / OVERLAP)[:, None, None]
+        before, places, found = np.zeros((OVERLAP, TAGS), np.float32), [], []
+        for at in range(0, len(windows), BATCH):
+            e = self.scores(np.ascontiguousarray(windows[at : at + BATCH].T, np.intp))
+            e[:OVERLAP] *= fade
+            e[STEP:] *= fade[::-1]
+            e[:OVERLAP, :, 1:] += e[STEP:, :, :-1]
+            e[:OVERLAP, :, 0] += before
+            before = e[STEP:, :, -1].copy()
+            k, t = np.nonzero((e[:STEP, 1:].max(1) > e[:STEP, 0] - CUT).T)
+            places.append((at + k) * STEP + t)
+            found.append(e[t, :, k])
+        places, found = np.concatenate([np.zeros(0, np.int64), *places]), np.concatenate([np.zeros((0, TAGS), np.float32), *found])
+        text = np.searchsorted(first, places, "right") - 1
+        inside = places - first[text] - OVERLAP
+        mine = (inside >= 0) & (inside < np.array([len(t) for t in texts], np.int64)[text])
+        places, found, text, inside = places[mine], found[mine], text[mine], inside[mine]
+        out = [[] for _ in texts]
+        if not len(places):
+            return out
+        cuts = np.flatnonzero(np.append(True, np.diff(places) > 1))
+        tags = np.concatenate(self.decode(np.split(found, cuts[1:])))
+        kinds, starts = (tags + 1) // 2, np.zeros(len(tags), bool)
+        starts[cuts] = True
+        starts |= (tags % 2 == 1) | np.append(True, kinds[1:] != kinds[:-1])
+        begin = np.flatnonzero(starts)
+        for a, b in zip(begin.tolist(), [*begin[1:].tolist(), len(tags)]):
+            if kinds[a]:
+                out[text[a]].append((KINDS[kinds[a] - 1], int(inside[a]), int(inside[b - 1]) + 1))
+        return out
 
 
 def tags_of(spans: list[tuple[str, int, int]], length: int) -> np.ndarray:
@@ -258,140 +338,135 @@ def tags_of(spans: list[tuple[str, int, int]], length: int) -> np.ndarray:
     return y
 
 
-def _marks(x: np.ndarray) -> np.ndarray:
-    return np.flatnonzero((x == 0) | (x == 5))
-
-
-#: What a span of each kind must hold for the network's word to be taken: least digits, most digits, and a character.
-_PLAUSIBLE = {"email": (0, 10**9, "@"), "ip": (4, 12, "."), "card": (13, 19, ""), "phone": (9, 15, "")}
+_HIDDEN_DOT = r"\s*[\[({<]?\s*(?:\.|dot)\s*[\])}>]?\s*"
+#: What a span of the network has to look like: digits (least, most), and a pattern. Fixed values.
+_PLAUSIBLE = {
+    "email": (0, 10**9, re.compile(rf"[A-Za-z0-9._%+-]+\s*[\[({{<]?\s*(?:@|\bat\b)\s*[\])}}>]?\s*[A-Za-z0-9-]+(?:{_HIDDEN_DOT}[A-Za-z0-9-]+)+", re.ASCII | re.IGNORECASE)),
+    "ip": (4, 12, re.compile(rf"[0-9]+(?:{_HIDDEN_DOT}[0-9]+){{3}}", re.ASCII | re.IGNORECASE)),
+    "card": (13, 19, re.compile(r"[0-9](?:[ ._-]{0,2}[0-9])+")),
+    "phone": (9, 15, re.compile(r"\+?[0-9(][ ().0-9-]+[0-9]")),
+}
 
 
-def extra_spans(text: str, cells: np.ndarray, tags: np.ndarray, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    """Spans of the network: runs of one kind over the decided positions, reconciled with each other and with the base."""
-    decided = np.zeros(len(text), np.int8)
-    for start, row in zip(cells, tags):
-        a = int(start) + STEP // 2
-        decided[a : a + STEP] = row[STEP // 2 : STEP // 2 + STEP][: max(0, len(text) - a)]
-    covered = np.zeros(len(text), bool)
-    for _, a, b in base:
-        covered[a:b] = True
-    kinds = (decided + 1) // 2
-    begins = (decided % 2 == 1) | (np.concatenate(([0], kinds[:-1])) != kinds)
-    starts, found = np.flatnonzero((kinds > 0) & begins), []
-    ends_at = np.flatnonzero(np.concatenate((begins[1:] | (kinds[1:] == 0), [True])) & (kinds > 0)) + 1
-    for a, b in zip(starts.tolist(), ends_at.tolist()):
-        kind = KINDS[kinds[a] - 1]
+def extra_spans(text: str, found: list[tuple[str, int, int]], base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """Of the network's spans those that are plausible and overlap no base span."""
+    covered, out = sorted((a, b) for _, a, b in base), []
+    for kind, a, b in found:
         piece = text[a:b]
         a, b = a + len(piece) - len(piece.lstrip()), b - len(piece) + len(piece.rstrip())
-        least, most, must = _PLAUSIBLE[kind]
-        digits = sum(c in "0123456789" for c in text[a:b])
-        fine = least <= digits <= most and must in text[a:b] and (kind != "card" or luhn("".join(c for c in text[a:b] if c in "0123456789")))
-        if a < b and fine and not covered[a:b].any():
-            found.append((kind, a, b))
-    return found
+        piece, (least, most, shape) = text[a:b], _PLAUSIBLE[kind]
+        digits = re.sub("[^0-9]", "", piece)
+        fine = least <= len(digits) <= most and shape.fullmatch(piece) and (kind != "card" or luhn(digits)) and (kind != "ip" or all(int(x) <= 255 for x in re.findall("[0-9]+", piece)))
+        if fine and not any(x < b and a < y for x, y in covered):
+            out.append((kind, a, b))
+    return out
 
 
 #: Bounds of the training sample: documents looked at (expected) and windows learned from.
-SAMPLE_DOCS, SAMPLE_WINDOWS = 4000, 1500
+SAMPLE_DOCS, SAMPLE_WINDOWS = 4000, 3000
+
+
+def training_windows(text: str) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(classes, tags) of TRAINED positions around each labelled span of the text and of its variants, and of clean ones,
+    one of them with an "at" and a "dot" that hide nothing. Places are drawn by the text itself."""
+    rng, spans, out = np.random.default_rng(zlib.crc32(text.encode("utf-8", "replace"))), labelled_spans(text), []
+
+    def cut(t, s, start):
+        x, y = classes(t), tags_of(s, len(t))
+        at = start + np.arange(TRAINED)
+        inside = (at >= 0) & (at < len(x))
+        xs, ys = np.where(inside, x[np.clip(at, 0, len(x) - 1)], np.int8(N_CLASSES - 1)), np.where(inside, y[np.clip(at, 0, len(x) - 1)], np.int8(0))
+        if ys[0] > 0 and ys[0] % 2 == 0:  # it begins inside a span
+            ys[0] -= 1
+        out.append((xs.astype(np.int8), ys.astype(np.int8)))
+
+    for t, s in [(text, spans), *variants(text, spans)]:
+        for _, a, b in s:
+            cut(t, s, a - int(rng.integers(2, max(3, TRAINED - min(b - a, TRAINED - 8)))))
+    if len(text) > 8:
+        at = int(rng.integers(0, len(text)))
+        cut(text, spans, at)
+        gap = text.find(" ", at)
+        if gap >= 0:
+            more = [" at ", " dot ", " at a ", " dot at "][int(rng.integers(4))]
+            moved = [(k, a + (a > gap) * (len(more) - 1), b + (a > gap) * (len(more) - 1)) for k, a, b in spans if not a <= gap < b]
+            if len(moved) == len(spans):
+                cut(text[:gap] + more + text[gap + 1 :], moved, gap - int(rng.integers(4, TRAINED - 8)))
+    return out
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS, sample_windows: int = SAMPLE_WINDOWS) -> Tagger | None:
-    """Trains on windows around labelled spans (and their variants) and around other digits of about sample_docs documents, chosen by a hash of the
-    id; of those windows at most sample_windows, chosen by a hash, are collected. None if no span is found there."""
+    """Trains on windows out of about sample_docs documents, chosen by a hash of the id; of those windows at most
+    sample_windows are collected, chosen by a hash, two thirds of them with a span. None if no span is found there."""
     n = docs.count()
-    chosen = docs.where(uniform("pii", F.col(id_col)) < min(1.0, sample_docs / max(1, n))).where(F.col(text_col).rlike("[0-9@]"))
-
-    def cut(batches):
-        for pdf in batches:
-            rows = []
-            for text in pdf["text"]:
-                spans = labelled_spans(text)
-                for t, s in [(text, spans), *variants(text, spans)]:
-                    x = classes(t)
-                    y = tags_of(s, len(x))
-                    starts = window_starts(_marks(x), len(x))
-                    inside = (starts[:, None] + np.arange(WINDOW) >= 0) & (starts[:, None] + np.arange(WINDOW) < len(x))
-                    for a, b in zip(_cut(x, starts), np.where(inside, _cut(y, starts), 0).astype(np.int8)):
-                        rows.append((a.tobytes(), b.tobytes()))
-            yield pd.DataFrame(rows, columns=["x", "y"])
-
-    windows = text_batches(chosen, id_col, text_col).mapInPandas(cut, "x binary, y binary").distinct()
-    rows = windows.orderBy(F.xxhash64("x", "y"), "x", "y").limit(sample_windows).collect()
+    chosen = docs.where((uniform("pii", F.col(id_col)) < min(1.0, sample_docs / max(1, n))) & F.col(text_col).isNotNull())
+
+    def start():
+        def work(texts):
+            found = [training_windows(t) for t in texts]
+            return ([[{"x": x.tobytes(), "y": y.tobytes(), "spans": bool(y.any())} for x, y in ws] for ws in found],)
+
+        return work
+
+    windows = map_texts(chosen, text_col, {}, {"windows": "array<struct<x:binary,y:binary,spans:boolean>>"}, start)
+    windows = durable(windows.select(F.explode("windows").alias("w")).select("w.*").distinct())
+    order = F.xxhash64("x", "y"), "x", "y"
+    rows = windows.where("spans").orderBy(*order).limit(sample_windows * 2 // 3).collect()
     if not rows:
         return None
+    rows += windows.where("not spans").orderBy(*order).limit(sample_windows // 3).collect()
     x, y = (np.array([np.frombuffer(r[i], np.int8) for r in rows]) for i in (0, 1))
-    for row in y:  # a window may begin inside a span
-        if row[0] > 0 and row[0] % 2 == 0:
-            row[0] -= 1
-        for t in np.flatnonzero((row[1:] > 0) & (row[1:] % 2 == 0)) + 1:
-            if row[t - 1] not in (row[t], row[t] - 1):
-                row[t] -= 1
-    return Tagger().train(x, y) if y.any() else None
-
-
-def _name(spans):
-    return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
+    return Tagger().train(x, y)
 
 
 def find_personal_data(docs: DataFrame, model: Tagger | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, base and spans (arrays of kind, start, end; code points, end exclusive).
 
     base: the patterns' matches; spans: those and what the model adds (none that overlaps a base span). Both by kind as
-    listed, then start. Null or empty text: empty arrays. Repeated rows and null ids come back as they are. Empty table:
-    no rows. A map over input partitions, whole texts; windows of a batch go through the network together.
+    listed, then start. Null or empty text: empty arrays. Repeated rows come back as they are, ids of any type, null ones
+    too. Empty table: no rows. A map over input partitions: every text is read whole, texts of a batch together.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     order = {k: i for i, k in enumerate(KINDS)}
     as_rows = lambda spans: [{"kind": k, "start": a, "end": b} for k, a, b in spans]
 
-    def run(batches):
+    def start():
         tagger = shared.value
-        for pdf in batches:
-            texts = pdf["text"].tolist()
+
+        def work(texts):
             base = [base_spans(t) for t in texts]
-            extra = [[] for _ in texts]
-            jobs = []
-            for n, text in enumerate(texts):
-                if tagger is not None and ("@" in text or _DIGIT.search(text)):
-                    x = classes(text)
-                    jobs.append((n, x, window_starts(_marks(x), len(x))))
-            todo = []
+            spans, todo, size = list(base), [], 0
 
             def flush():
-                if todo:
-                    tags, at = tagger.decode(np.concatenate([_cut(x, s) for _, x, s in todo])), 0
-                    for n, _, starts in todo:
-                        part = tags[at : at + len(starts)]
-                        at += len(starts)
-                        extra[n].append((starts, part))
-                    todo.clear()
-
-            for n, x, starts in jobs:
-                for i in range(0, len(starts), 1024):
-                    todo.append((n, x, starts[i : i + 1024]))
-                    if sum(len(s) for _, _, s in todo) >= 2048:
-                        flush()
-            flush()
-            out = []
-            for d, text, spans, parts in zip(pdf["doc_id"], texts, base, extra):
-                more = extra_spans(text, np.concatenate([s for s, _ in parts]), np.concatenate([t for _, t in parts]), spans) if parts else []
-                out.append((d, as_rows(spans), as_rows(sorted(spans + more, key=lambda s: (order[s[0]], s[1])))))
-            yield pd.DataFrame(out, columns=["doc_id", "base", "spans"]).astype({"doc_id": "Int64"})
+                for n, found in zip(todo, tagger.read([texts[n] for n in todo])):
+                    spans[n] = sorted(base[n] + extra_spans(texts[n], found, base[n]), key=lambda s: (order[s[0]], s[1]))
+
+            for n, text in enumerate(texts) if tagger is not None else ():
+                todo.append(n)
+                size += len(text)
+                if size >= BATCH * STEP:
+                    flush()
+                    todo, size = [], 0
+            if todo:
+                flush()
+            return [as_rows(x) for x in base], [as_rows(x) for x in spans]
+
+        return work
 
     span = "array<struct<kind:string,start:bigint,end:bigint>>"
-    return text_batches(docs, id_col, text_col).mapInPandas(run, f"doc_id long, base {span}, spans {span}")
+    return map_texts(docs, text_col, {"doc_id": F.col(id_col)}, {"base": span, "spans": span}, start)
+
 
+def redact(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, text) with every span of find_personal_data() replaced by <kind>; doc_id has to be unique and not null."""
 
-def redact(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """(doc_id, text) with every span of find_personal_data() replaced by <kind>; doc_id has to be unique."""
+    def start():
+        def one(text, found):
+            for s in sorted(found, key=lambda s: -s["start"]):
+                text = f"{text[: s['start']]}<{s['kind']}>{text[s['end'] :]}"
+            return text
 
-    def run(batches):
-        for pdf in batches:
-            out = []
-            for text, found in zip(pdf["text"], pdf["spans"]):
-                for s in sorted(found, key=lambda s: -s["start"]):
-                    text = f"{text[: s['start']]}<{s['kind']}>{text[s['end'] :]}"
-                out.append(text)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "text": out})
+        return lambda rows: ([one(r["text"], r["spans"]) for r in rows],)
 
-    return text_batches(docs).join(spans.select("doc_id", "spans"), "doc_id").mapInPandas(run, "doc_id long, text string")
+    both = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(spans.select("doc_id", "spans"), "doc_id")
+    return map_texts(both, F.struct("text", "spans"), {"doc_id": F.col("doc_id")}, {"redacted": "string"}, start).withColumnRenamed("redacted", "text")

@@ -40,7 +40,7 @@ def _digest(spans):
 
 
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_classes(table(spark, sf_dir, "documents")).select("doc_id", "n_links", "class_id", "kept")
+    return jaccard_classes(table(spark, sf_dir, "documents")).select("doc_id", "n_links", "class_id", "kept", "depth")
 
 
 def _count(array, value: str):
@@ -79,8 +79,8 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False)).alias("held_out")
-    return identify(docs, fit(docs), "doc_id", "text", held_out).select("doc_id", "held_out", "lang_pred", "score")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    return identify(docs, fit(docs), named={"held_out": held_out}).select("doc_id", "held_out", "lang_pred", "score")
 
 
 OP9_SQL = r"""

@@ -9,14 +9,14 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BATCH_ROWS, durable, python_batches
+from .common import durable, map_texts
 
-RULE_VERSION = "2"
+RULE_VERSION = "3"
+FINDINGS = "array<struct<kind:string,start:bigint,end:bigint>>"
 BASE_KINDS = ("assign", "access", "hex")
 
 
@@ -26,13 +26,14 @@ def _either_case(word: str) -> str:
 
 _NAMES = "|".join(map(_either_case, ("password", "passwd", "secret", "token", "api_?key")))
 #: (kind, pattern, test of a match), in the order in which kinds are listed; a failing match is dropped without a retry.
-#: The first three are the base; the others add spans.
+#: The first three are the base; the others add spans. A web token begins where its run of characters does
+#: and runs are matched possessively, so that no text is read more than a few times.
 RULES = [
     ("assign", re.compile(rf"(?:{_NAMES})[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"), lambda m: m.end(1) - m.start(1) >= 6),
     ("access", re.compile(r"AKIA[A-Z0-9]{16,}"), None),
     ("hex", re.compile(r"[0-9a-f]{24,}"), None),
     ("private_key", re.compile(r"-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----"), None),
-    ("web_token", re.compile(r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"), None),
+    ("web_token", re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{10,}+\.eyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+"), None),
     ("url_login", re.compile(r"://[A-Za-z0-9._-]{1,64}:[^\s:@/]{3,64}@"), None),
 ]
 _ORDER = {kind: i for i, (kind, _, _) in enumerate(RULES)}
@@ -49,47 +50,47 @@ def scan(text: str) -> list[tuple[str, int, int]]:
     return sorted(found, key=lambda x: (x[1], _ORDER[x[0]]))
 
 
-def _findings(batches):
-    for pdf in batches:
-        yield pd.DataFrame({"blob": pdf["blob"], "findings": [[{"kind": k, "start": a, "end": b} for k, a, b in scan(t)] for t in pdf["text"]]})
-
-
-def read_ledger(spark, path: str) -> DataFrame | None:
-    """(blob, rule_version, findings), or None before the first scan."""
+def read_ledger(spark, path: str, rule_version: str) -> DataFrame | None:
+    """(blob, findings) under a rule version, or None before the first scan. A pair that two runs at once have both
+    scanned is in the ledger twice, with equal findings, and comes once."""
     try:
-        return spark.read.parquet(path)
+        ledger = spark.read.parquet(path)
     except AnalysisException as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
         return None
+    return ledger.where(F.col("rule_version") == rule_version).groupBy("blob").agg(F.first("findings").alias("findings"))
 
 
 def scan_history(versions: DataFrame, ledger: str, id_col: str = "doc_id", text_col: str = "text", rule_version: str = RULE_VERSION) -> DataFrame:
     """One row per input row (a version of a path): doc_id, blob, findings (array of kind, start, end).
 
     Null text is the empty blob. Repeated rows and copies are one blob, scanned once. Null ids come back as they are.
-    Empty table: no rows, the ledger is left alone. versions should be a stored table: rows are numbered by
-    monotonically_increasing_id(). Content addresses are SHA-256.
+    Empty table: no rows, the ledger is left alone. Content addresses are SHA-256.
 
-    Which row is scanned for a blob is settled on addresses alone (pre-aggregated, so a blob that a third of all rows hold
-    is no hot key); texts of those rows are then fetched by row number, which spreads evenly. Joining findings back is a
-    join of two stored tables, which adaptive execution splits where a blob is hot.
+    Rows are known by their address alone, never by a number, so it does not matter how the table is split when it is read
+    again. One text for each unseen address is picked by an aggregate: copies meet in the task that reads them first, so a
+    blob that a third of all rows hold is no hot key. Joining findings back is a join of two stored tables, which adaptive
+    execution splits where a blob is hot.
     """
     spark = versions.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = versions.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("doc_id"), text.alias("text"))
-    ids = durable(rows.select("rid", "doc_id", F.unhex(F.sha2("text", 256)).alias("blob")))
-    due = ids.groupBy("blob").agg(F.min("rid").alias("rid"))
-    known = read_ledger(spark, ledger)
+    address = F.unhex(F.sha2(text, 256)).alias("blob")
+    ids = durable(versions.select(F.col(id_col).alias("doc_id"), address))
+    known = read_ledger(spark, ledger, rule_version)
+    texts = versions.select(address, text.alias("text"))
     if known is not None:
-        due = due.join(known.where(F.col("rule_version") == rule_version).select("blob"), "blob", "left_anti")
-    due = durable(due)
-    if not due.isEmpty():
-        python_batches(spark, BATCH_ROWS)
-        found = rows.select("rid", "text").join(due.hint("shuffle_hash"), "rid").select("blob", "text").mapInPandas(_findings, "blob binary, findings array<struct<kind:string,start:bigint,end:bigint>>")
+        due = durable(ids.select("blob").distinct().join(known, "blob", "left_anti"))
+        texts = texts.join(due, "blob", "left_semi")
+    if not (ids if known is None else due).isEmpty():
+
+        def start():
+            return lambda texts: ([[{"kind": k, "start": a, "end": b} for k, a, b in scan(t)] for t in texts],)
+
+        one = texts.groupBy("blob").agg(F.first("text").alias("text"))
+        found = map_texts(one, "text", {"blob": F.col("blob")}, {"findings": FINDINGS}, start)
         found.select("blob", F.lit(rule_version).alias("rule_version"), "findings").write.mode("append").parquet(ledger)
-    known = read_ledger(spark, ledger)
+        known = read_ledger(spark, ledger, rule_version)
     if known is None:
-        return ids.select("doc_id", "blob", F.lit(None).cast("array<struct<kind:string,start:bigint,end:bigint>>").alias("findings"))
-    now = known.where(F.col("rule_version") == rule_version).select("blob", "findings")
-    return ids.join(now, "blob").select("doc_id", "blob", "findings")
+        return ids.select("doc_id", "blob", F.lit(None).cast(FINDINGS).alias("findings"))
+    return ids.join(known, "blob").select("doc_id", "blob", "findings")

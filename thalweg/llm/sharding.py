@@ -1,8 +1,8 @@
 """Uniform shuffle into shards of exact sizes through a hypergeometric communication matrix.
 
 Sanders' scheme for random permutations on distributed memory, in DataFrame operations only: (1) the number of rows that
-each input partition sends to each shard is drawn from the multivariate hypergeometric law, by splitting the set of
-partitions in halves, so the matrix is drawn in parallel and its row and column sums are exact; (2) each partition
+each input partition sends to each shard is drawn from the multivariate hypergeometric law, down a tree of partitions,
+so the matrix is drawn in parallel and its row and column sums are exact; (2) each partition
 permutes its rows and deals them out by its row of the matrix; (3) rows are exchanged; (4) each shard permutes again.
 """
 
@@ -14,22 +14,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import durable, let, uniform
+from .common import durable, field, let, numbered, uniform
 
-#: Halves are drawn in one task until there are so many nodes, then dealt out.
-FAN_OUT = 64
+#: Children of a node of the tree of partitions.
+FAN_OUT = 8
 
 
 def hypergeometric(total: Column, marked: Column, drawn: Column, u: Column) -> Column:
     """The number of marked items among `drawn` of `total`, by inversion of the exact law at u.
 
-    The support is cut 12 standard deviations from the mean, beyond what the 53 bits of u can tell apart.
+    The support is cut 9 standard deviations (and 9) from the mean, beyond what the 53 bits of u can tell apart.
     """
     n, k, t = drawn.cast("double"), marked.cast("double"), F.greatest(total.cast("double"), F.lit(1.0))
     mean = n * k / t
     sd = F.sqrt(F.greatest(mean * (1 - k / t) * (t - n) / F.greatest(t - 1, F.lit(1.0)), F.lit(0.0)))
-    low = F.greatest(F.lit(0).cast("long"), drawn - (total - marked), F.floor(mean - 12 * sd - 12))
-    high = F.least(marked, drawn, F.ceil(mean + 12 * sd + 12))
+    low = F.greatest(F.lit(0).cast("long"), drawn - (total - marked), F.floor(mean - 9 * sd - 9))
+    high = F.least(marked, drawn, F.ceil(mean + 9 * sd + 9))
 
     def inverted(span: Column) -> Column:
         def ratio(i: Column) -> Column:
@@ -52,15 +52,26 @@ def hypergeometric(total: Column, marked: Column, drawn: Column, u: Column) -> C
     return let(F.struct(low.alias("low"), F.greatest(low, high).alias("high")), inverted)
 
 
-def _draw_left(node: Column, left: Column, seed: int, level: int) -> Column:
-    """How many rows of each shard come from the left half: one hypergeometric draw after another over the shards."""
-    start = F.struct(F.aggregate(node["caps"], F.lit(0).cast("long"), lambda a, x: a + x).alias("total"), left.alias("want"), F.array().cast("array<bigint>").alias("out"))
+def _deal(node: Column, n_shards: int, seed: int, level: int) -> Column:
+    """For a node (idx, caps, parts: the children's (child, n), not empty) the children with the rows that each shard gets
+    from them: one hypergeometric draw after another over the shards, child by child; the last child gets what is left."""
+    total = lambda caps: F.aggregate(caps, F.lit(0).cast("long"), lambda a, x: a + x)
 
-    def step(a: Column, cap: Column) -> Column:
-        k = hypergeometric(a["total"], cap, a["want"], uniform(seed, level, node["idx"], F.size(a["out"])))
-        return let(k, lambda k: F.struct((a["total"] - cap).alias("total"), (a["want"] - k).alias("want"), F.array_append(a["out"], k).alias("out")))
+    def take(caps: Column, part: Column) -> Column:
+        start = F.struct(total(caps).alias("total"), part["n"].alias("want"), F.array().cast("array<bigint>").alias("out"))
 
-    return F.aggregate(node["caps"], start, step, lambda a: a["out"])
+        def step(a: Column, cap: Column) -> Column:
+            k = hypergeometric(a["total"], cap, a["want"], uniform(seed, level, part["child"], F.size(a["out"])))
+            return let(k, lambda k: F.struct((a["total"] - cap).alias("total"), (a["want"] - k).alias("want"), F.array_append(a["out"], k).alias("out")))
+
+        return F.aggregate(caps, start, step, lambda a: a["out"])
+
+    def child(a: Column, part: Column) -> Column:
+        mine = F.when(F.size(a["done"]) == F.size(node["parts"]) - 1, a["caps"]).otherwise(take(a["caps"], part))
+        return let(mine, lambda mine: F.struct(F.zip_with(a["caps"], mine, lambda c, m: c - m).alias("caps"), F.array_append(a["done"], F.struct(part["child"].alias("idx"), mine.alias("caps"))).alias("done")))
+
+    empty = F.array().cast("array<struct<idx:bigint,caps:array<bigint>>>")
+    return F.aggregate(node["parts"], F.struct(node["caps"].alias("caps"), empty.alias("done")), child, lambda a: a["done"])
 
 
 def communication_matrix(counts: DataFrame, n_shards: int, seed: int = 0) -> DataFrame:
@@ -68,39 +79,31 @@ def communication_matrix(counts: DataFrame, n_shards: int, seed: int = 0) -> Dat
 
     Row sums are n; column sums differ by at most one; among such matrices the draw follows the law that a uniformly
     random permutation of all rows has. Partitions without rows may be missing. No rows: no rows.
+
+    Partitions are the leaves of a tree of FAN_OUT children a node. Counts are summed up the tree, level by level, as rows;
+    then every node deals its rows of each shard out to its children, again level by level, all nodes of a level at once.
     """
-    zero = F.lit(0).cast("long")
-    root = counts.agg(F.max("pid").alias("top"), F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("pid", "n"))).alias("by")).where(F.col("top").isNotNull())
-    top = counts.agg(F.max("pid")).first()[0]
+    counts = durable(counts.where("n > 0").select(F.col("pid").cast("long").alias("pid"), "n"))
+    top, whole = counts.agg(F.max("pid"), F.sum("n")).first()
     if top is None:
         return counts.select("pid", F.array().cast("array<bigint>").alias("sends"))
-    levels = max(0, math.ceil(math.log2(top + 1)))
-    by_pid = F.aggregate(
-        F.array_sort(F.map_entries("by")),
-        F.array().cast("array<bigint>"),
-        lambda a, e: F.concat(a, F.array_repeat(zero, (e["key"] - F.size(a)).cast("int")), F.array(e["value"])),
-    )
-    caps = F.transform(F.sequence(F.lit(0), F.lit(n_shards - 1)), lambda s: F.floor(F.col("n") / n_shards).cast("long") + F.when(s < F.col("n") % n_shards, F.lit(1)).otherwise(F.lit(0)).cast("long"))
-    nodes = root.select(F.lit(0).cast("long").alias("idx"), by_pid.alias("counts"), caps.alias("caps"))
+    levels = 0
+    while FAN_OUT**levels <= top:
+        levels += 1
+    caps = F.transform(F.sequence(F.lit(0), F.lit(n_shards - 1)), lambda s: F.lit(whole // n_shards).cast("long") + (s < whole % n_shards).cast("long"))
+    nodes = counts.sparkSession.range(1).select(F.col("id").alias("idx"), caps.alias("caps"))
     for level in range(levels):
-        half = 1 << (levels - level - 1)
-        node = F.struct("idx", "counts", "caps")
-        left = F.aggregate(F.slice("counts", 1, half), zero, lambda a, x: a + x)
-        parts = let(
-            _draw_left(node, left, seed, level),
-            lambda mine: F.array(
-                F.struct((F.col("idx") * 2).alias("idx"), F.slice("counts", 1, half).alias("counts"), mine.alias("caps")),
-                F.struct((F.col("idx") * 2 + 1).alias("idx"), F.slice("counts", half + 1, half).alias("counts"), F.zip_with("caps", mine, lambda c, m: c - m).alias("caps")),
-            ),
-        )
-        nodes = nodes.select(F.explode(parts).alias("x")).select("x.*").where(F.size("counts") > 0)
-        if 1 << (level + 1) == FAN_OUT:
-            nodes = nodes.repartition("idx")
+        width = FAN_OUT ** (levels - level - 1)
+        child = F.expr(f"pid div {width}L")
+        sums = counts.groupBy(child.alias("child")).agg(F.sum("n").alias("n"))
+        parts = sums.groupBy(F.expr(f"child div {FAN_OUT}").alias("idx")).agg(F.array_sort(F.collect_list(F.struct("child", "n"))).alias("parts"))
+        dealt = nodes.join(parts, "idx").repartition("idx").select(F.explode(_deal(F.struct("idx", "caps", "parts"), n_shards, seed, level)).alias("x"))
+        nodes = durable(dealt.select("x.*"))
     return nodes.select(F.col("idx").alias("pid"), F.col("caps").alias("sends"))
 
 
 def assign_shards(rows: DataFrame, n_shards: int, seed: int = 0, bucket_rows: int = 8192) -> DataFrame:
-    """rows: (rid) from monotonically_increasing_id() over a stored table -> (rid, shard, slot), slots gapless from 0.
+    """rows: (rid) as numbered() stores them -> (rid, shard, slot), slots gapless from 0.
 
     The upper bits of rid are the input partition. Permuting a shard is done in buckets of about bucket_rows rows (the
     leading part of the sort key is the bucket), so no task ever holds a shard.
@@ -122,10 +125,11 @@ def assign_shards(rows: DataFrame, n_shards: int, seed: int = 0, bucket_rows: in
 def shuffle_into_shards(df: DataFrame, n_shards: int = 40, seed: int = 0) -> DataFrame:
     """All rows and columns of df plus shard INT and slot BIGINT (gapless from 0): a uniform shuffle, exact sizes.
 
-    df should be a stored table or a checkpoint, so that row numbers are the same whenever a partition is read again.
-    Columns named shard or slot are replaced. Nulls and repeated rows are rows like any other; an empty table stays empty.
-    Shard sizes differ by at most one row. The payload is shuffled once, joined by row number.
+    Columns of df named shard or slot, in any case, are replaced. Nulls and repeated rows are rows like any other; an empty
+    table stays empty. Shard sizes differ by at most one row. Rows are numbered and stored once, with their payload, which
+    is then shuffled once, joined by row number.
     """
-    rows = df.drop("shard", "slot").select(F.monotonically_increasing_id().alias("rid"), F.struct(*[f"`{c}`" for c in df.columns if c not in ("shard", "slot")]).alias("row"))
-    where = durable(assign_shards(rows.select("rid"), n_shards, seed))
-    return rows.join(where, "rid").select("row.*", "shard", "slot")
+    stored = numbered(df, "shard-rows")
+    where = durable(assign_shards(stored.select("rid"), n_shards, seed))
+    names = [c for c in df.columns if c.lower() not in ("shard", "slot")]
+    return stored.join(where, "rid").select(*[field("row", c).alias(c) for c in names], "shard", "slot")

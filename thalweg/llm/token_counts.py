@@ -9,11 +9,10 @@ from __future__ import annotations
 import base64
 from collections import Counter, deque
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_batches
+from .common import map_texts
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Words whose counts a Python worker remembers before it starts afresh.
@@ -85,16 +84,17 @@ def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY, id_col: str = "d
     """One row per input row: doc_id, n_bytes, n_words, n_tokens.
 
     Words are runs of bytes other than ASCII white space; each is matched with one leading space.
-    Null or empty text: zeros. Repeated rows and null ids come back as they are. Empty table: no rows.
+    Null or empty text: zeros. Repeated rows come back as they are, ids of any type, null ones too. Empty table: no rows.
     A map over input partitions: nothing is shuffled; the automaton (bounded by the vocabulary) is broadcast.
     """
     automaton = docs.sparkSession.sparkContext.broadcast(LongestMatch(read_vocabulary(vocabulary)))
 
-    def run(batches):
+    def start():
         count, memo = automaton.value.count, {}
-        for pdf in batches:
-            rows = []
-            for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
+
+        def work(texts):
+            n_bytes, n_words, n_tokens = [], [], []
+            for text in texts:
                 data = text.encode()
                 found = Counter(data.split())
                 n = 0
@@ -102,9 +102,11 @@ def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY, id_col: str = "d
                     if (k := memo.get(word)) is None:
                         k = memo[word] = count(b" " + word)
                     n += k * times
-                rows.append((doc_id, len(data), found.total(), n))
+                n_bytes.append(len(data)), n_words.append(found.total()), n_tokens.append(n)
                 if len(memo) > MEMO_WORDS:
                     memo.clear()
-            yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_words", "n_tokens"]).astype({"doc_id": "Int64"})
+            return n_bytes, n_words, n_tokens
+
+        return work
 
-    return text_batches(docs, id_col, text_col).mapInPandas(run, "doc_id long, n_bytes long, n_words long, n_tokens long")
+    return map_texts(docs, text_col, {"doc_id": F.col(id_col)}, {"n_bytes": "long", "n_words": "long", "n_tokens": "long"}, start)
