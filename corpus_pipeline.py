@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from thalweg.llm import language as languages
-from thalweg.llm.common import fresh_path, table
-from thalweg.llm.decontaminate import VERDICT, decontaminate
+from thalweg.llm.common import delete, field, fresh_path, numbered, scratch, table
+from thalweg.llm.decontaminate import decontaminate
 from thalweg.llm.mixing import Mixture
 from thalweg.llm.ngram_join import jaccard_classes
 from thalweg.llm.sharding import shuffle_into_shards
@@ -21,38 +21,42 @@ LEAST_SCORE = 0.5
 SHARDS = 40
 
 
-def _others(docs: DataFrame, *taken: str) -> list:
-    """Columns besides id and text; a column named like one that the operator adds is replaced, that is, dropped."""
-    return [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text", *taken)]
+def _row(docs: DataFrame):
+    """A document's row, whole: stages carry it beside what they find, so that no column is lost or mistaken for another."""
+    return F.struct(*[f"`{c}`" for c in docs.columns])
+
+
+def _unpacked(found: DataFrame, docs: DataFrame) -> DataFrame:
+    return found.select(*[field("row", c).alias(c) for c in docs.columns])
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without a recognisable language: null text, no letters, or no language that stands out."""
-    others = _others(docs, "lang_pred", "score")
-    found = languages.identify(docs, languages.fit(docs), "doc_id", "text", *others)
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select("doc_id", "text", *others)
+    found = languages.identify(docs, languages.fit(docs), named={"row": _row(docs)})
+    return _unpacked(found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)), docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near copies the document of smallest id stays."""
-    gone = jaccard_classes(docs).where(~F.col("kept")).select(F.col("rid").alias("__rid"))
-    return docs.withColumn("__rid", F.monotonically_increasing_id()).join(gone, "__rid", "left_anti").drop("__rid")
+    stored = numbered(docs, "near-duplicates")
+    flat = stored.select("rid", field("row", "doc_id").alias("doc_id"), field("row", "text").alias("text"))
+    gone = jaccard_classes(flat, rid_col="rid").where(~F.col("kept")).select("rid")
+    return _unpacked(stored.join(gone, "rid", "left_anti"), docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a benchmark item."""
-    others = _others(docs, *VERDICT)
-    found = decontaminate(docs, table(spark, sf_dir, "benchmark"), more=tuple(others), keep_text=True)
-    return found.where(~F.col("contaminated")).select("doc_id", "text", *others)
+    found = decontaminate(docs, table(spark, sf_dir, "benchmark"), more={"row": _row(docs)})
+    return _unpacked(found.where(~F.col("contaminated")), docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources in proportion to their weights: the words that the mix takes, a row per document and pass over its source."""
-    return Mixture(docs).documents()
+    return Mixture(docs, with_documents=True).documents()
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A uniform shuffle into shards of equal size: adds shard and slot."""
+    """A uniform shuffle into shards of equal size: adds shard and slot (columns of these names, in any case, are replaced)."""
     return shuffle_into_shards(docs, SHARDS)
 
 
@@ -64,9 +68,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """Each stage is written and read again; what it read and stored on the way is deleted by then."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = fresh_path(spark, f"pipeline-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before is not None:
+            delete(spark, before)
+        before = path
     return docs
