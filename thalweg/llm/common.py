@@ -46,6 +46,12 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def sweep(spark: SparkSession) -> None:
+    """Has the driver collect its garbage now: Spark deletes the shuffle files and checkpoints of a phase when nothing in the
+    driver refers to them any more, which it otherwise notices whenever its heap happens to fill up."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing else uses."""
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"

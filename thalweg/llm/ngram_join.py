@@ -17,7 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .common import durable, map_texts, stored, tidy
+from .common import durable, map_texts, stored, sweep, tidy
 from .components import components, stars
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -226,10 +226,15 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labels = sketch.join(nodes.select("rid"), "rid").select("rid", F.posexplode("labels").alias("tree", "label"))
     shared = labels.select(*key(least)).groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     tries = durable(labels.select("*", *key(least)).join(durable(shared), ["k1", "k2"], "left_semi").select("rid", "tree", "label"))
+    own = durable(sketch.select("rid", "doc_id", "h1", "h2"))
+    del sketch, labels, shared
+    sweep(spark)
     candidates = tries.select("rid").distinct().join(nodes.select("rid", "c1", "c2", "copies"), "rid")
     texts = docs.groupBy(content[0].alias("c1"), content[1].alias("c2")).agg(F.first(F.coalesce(F.col(text_col), F.lit(""))).alias("text")).join(candidates, ["c1", "c2"])
     sets = durable(map_texts(texts, "text", {"rid": F.col("rid"), "copies": F.col("copies")}, {"data": "binary"}, lambda: lambda texts: ([s.tobytes() for s in shingle_sets(texts)],)))
 
+    del texts, candidates
+    sweep(spark)
     depths = list(range(max(depth, least), least - 1, -1))
     groups, verified, settled = None, [], spark.createDataFrame([], "rid long, depth int")
     for d in depths:
@@ -256,7 +261,6 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     whole = durable(whole.select("h1", "h2", "first", "copies", "class", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("depth", F.lit(least)).alias("depth")))
     firsts = durable(whole.groupBy("class").agg(F.min("first").alias("top")))
     named = durable(whole.join(firsts, "class").select("h1", "h2", "top", "depth", (F.col("links") + F.col("copies") - 1).alias("n_links")))
-    own = sketch.select("rid", "doc_id", "h1", "h2")
     joined = own.where("h1 is not null").join(named, ["h1", "h2"]).select("rid", "doc_id", "n_links", "top", "depth")
     alone = own.where("h1 is null").select("rid", "doc_id", F.lit(0).cast("long").alias("n_links"), order.alias("top"), F.lit(least).alias("depth"))
     return joined.unionByName(alone).select("rid", "doc_id", F.col("n_links").cast("long").alias("n_links"), F.col("top.d").alias("class_id"), (F.col("rid") == F.col("top.r")).alias("kept"), "depth")
