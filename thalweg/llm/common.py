@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from contextlib import contextmanager
@@ -49,6 +50,7 @@ def durable(df: DataFrame) -> DataFrame:
 def sweep(spark: SparkSession) -> None:
     """Has the driver collect its garbage now: Spark deletes the shuffle files and checkpoints of a phase when nothing in the
     driver refers to them any more, which it otherwise notices whenever its heap happens to fill up."""
+    gc.collect()
     spark.sparkContext._jvm.System.gc()
 
 
@@ -81,7 +83,9 @@ def tidy(operator):
     @wraps(operator)
     def run(docs: DataFrame, *args, **options):
         with scratch(docs.sparkSession):
-            return operator(docs, *args, **options)
+            out = operator(docs, *args, **options)
+        sweep(docs.sparkSession)
+        return out
 
     return run
 
@@ -90,7 +94,7 @@ def stored(df: DataFrame, name: str = "stored") -> DataFrame:
     """Written to the shared folder and read: for what goes round in a loop. A checkpoint keeps the planner's estimate of its
     size, and joins multiply estimates from round to round until they fill the driver; a table has its true size."""
     path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -102,7 +106,7 @@ def numbered(df: DataFrame, name: str = "rows") -> DataFrame:
     """
     path = fresh_path(df.sparkSession, name)
     rows = df.select(F.monotonically_increasing_id().alias("rid"), F.struct(*[f"`{c}`" for c in df.columns]).alias("row"))
-    rows.write.parquet(path)
+    rows.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(rows.schema).parquet(path)
 
 

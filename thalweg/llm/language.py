@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import durable, map_texts, uniform
+from .common import map_texts, uniform
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 #: Bounds of the training sample, for each language: documents (expected), distinct words.
@@ -152,8 +152,10 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """
     label = F.col(lang_col).cast("string")
     known = docs.where(label.isNotNull() & F.col(text_col).isNotNull() & (F.crc32(F.col(id_col).cast("string")) % 4 != 2)).select(label.alias("language"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rates = known.groupBy("language").agg((F.lit(float(sample_docs)) / F.count(F.lit(1))).alias("rate"))
-    chosen = known.withColumn("u", uniform("sample", F.col("id"))).join(durable(rates), "language").where("u < rate")
+    rates = {r["language"]: sample_docs / r["n"] for r in known.groupBy("language").agg(F.count(F.lit(1)).alias("n")).collect()}
+    # as many rows as the model has languages: texts are filtered where they are read
+    rate = F.broadcast(known.sparkSession.createDataFrame(sorted(rates.items()), "language string, rate double"))
+    chosen = known.withColumn("u", uniform("sample", F.col("id"))).join(rate, "language").where("u < rate")
 
     def start():
         return lambda texts: ([[{"word": w, "n": n} for w, n in words_of(t).items()] for t in texts],)
@@ -161,7 +163,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     words = map_texts(chosen, "text", {"language": F.col("language")}, {"words": "array<struct<word:string,n:bigint>>"}, start).select("language", F.explode("words").alias("x"))
     counts = words.groupBy("language", F.col("x.word").alias("word")).agg(F.sum("x.n").alias("n"))
     best = counts.withColumn("r", F.row_number().over(W.partitionBy("language").orderBy(F.desc("n"), "word"))).where(F.col("r") <= sample_words)
-    found: dict[str, Counter] = {r["language"]: Counter() for r in rates.select("language").collect()}
+    found: dict[str, Counter] = {l: Counter() for l in rates}
     for r in best.select("language", "word", "n").collect():
         found[r["language"]][r["word"]] = r["n"]
     return LanguageModel(read_pieces(pieces), {l: Counter(dict(sorted(c.items(), key=lambda x: (-x[1], x[0])))) for l, c in found.items()})

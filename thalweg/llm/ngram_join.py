@@ -214,8 +214,11 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     carried = {"rid": rid, "doc_id": F.col(id_col), "c1": content[0], "c2": content[1]}
     sketch = durable(map_texts(docs, text_col, carried, {"h1": "long", "h2": "long", "labels": "array<binary>"}, start))
     order = F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("d"), F.col("rid").alias("r"))
-    nodes = sketch.where("h1 is not null").groupBy("h1", "h2").agg(F.min(F.struct("rid", "c1", "c2")).alias("x"), F.min(order).alias("first"), F.count(F.lit(1)).alias("copies"))
+    nodes = sketch.where("h1 is not null").groupBy("h1", "h2").agg(F.min(F.struct("rid", "c1", "c2", "labels")).alias("x"), F.min(order).alias("first"), F.count(F.lit(1)).alias("copies"))
     nodes = durable(nodes.select("h1", "h2", "x.*", "first", "copies"))
+    own = durable(sketch.select("rid", "doc_id", "h1", "h2"))
+    del sketch
+    sweep(spark)
     least = prefix_depth(threshold, trees, depth, recall)
 
     def key(d):
@@ -223,11 +226,11 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return F.xxhash64("tree", prefix).alias("k1"), F.xxhash64(F.lit(7), "tree", prefix).alias("k2")
 
     # the tries, without the labels that share not even the shortest prefix
-    labels = sketch.join(nodes.select("rid"), "rid").select("rid", F.posexplode("labels").alias("tree", "label"))
+    labels = nodes.select("rid", F.posexplode("labels").alias("tree", "label"))
     shared = labels.select(*key(least)).groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     tries = durable(labels.select("*", *key(least)).join(durable(shared), ["k1", "k2"], "left_semi").select("rid", "tree", "label"))
-    own = durable(sketch.select("rid", "doc_id", "h1", "h2"))
-    del sketch, labels, shared
+    nodes = durable(nodes.drop("labels"))
+    del labels, shared
     sweep(spark)
     candidates = tries.select("rid").distinct().join(nodes.select("rid", "c1", "c2", "copies"), "rid")
     texts = docs.groupBy(content[0].alias("c1"), content[1].alias("c2")).agg(F.first(F.coalesce(F.col(text_col), F.lit(""))).alias("text")).join(candidates, ["c1", "c2"])
