@@ -23,7 +23,7 @@ def components(links: DataFrame) -> DataFrame:
         labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("component")).select("node", "component"))
         while True:
             near = both.join(labels.withColumnRenamed("node", "a"), "a").groupBy(F.col("b").alias("node")).agg(F.min("component").alias("other"))
-            lower = stored(labels.join(near, "node").select("node", "component", F.least("component", "other").alias("now")))
+            lower = labels.join(near, "node").select("node", "component", F.least("component", "other").alias("now"))
             up = lower.select(F.col("node").alias("now"), F.col("now").alias("top"))
             now = stored(lower.join(up, "now", "left").select("node", F.col("component").alias("was"), F.coalesce(F.least("now", "top"), "now").alias("component")))
             labels = now.select("node", "component")

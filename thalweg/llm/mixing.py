@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import durable, field, numbered, uniform, words
+from .common import durable, field, numbered, sweep, uniform, words
 
 #: Cells that [0, 1) is cut into so that a draw finds its source by an equi-join, whatever the number of sources.
 CELLS = 4096
@@ -87,6 +87,7 @@ class Mixture:
         blocks = F.greatest(F.ceil(size / block_words), F.least(size, F.lit(min_blocks)))
         quota = F.when(size > 0, F.round(F.col("target") * F.col("blocks") / size)).otherwise(0).cast("long")
         self.sources = durable(source_targets(sizes, cap).withColumn("blocks", blocks.cast("long")).withColumn("quota", quota))
+        sweep(docs.sparkSession)
         self.n_buckets = max(1, -(-self.meta.count() // BUCKET_DOCS))
         self.n_slots, n_sources = (x or 0 for x in self.sources.agg(F.sum("quota"), F.count(F.lit(1))).first())
         self.small = F.broadcast if n_sources <= BROADCAST_SOURCES else lambda df: df

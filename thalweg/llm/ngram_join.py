@@ -163,7 +163,7 @@ def _met_anew(now: DataFrame, before: DataFrame | None, block: int) -> DataFrame
     whole = parts.groupBy("component").agg(F.ceil(F.coalesce(F.sum(F.when(~large, F.col("size"))), F.lit(0)) / block).alias("shared"), F.sum(F.when(large, F.ceil(F.col("size") / block)).otherwise(0)).alias("more"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     first = W.partitionBy("component").orderBy("own").rowsBetween(W.unboundedPreceding, -1)
     big = parts.where(large).withColumn("k", F.ceil(F.col("size") / block)).select(F.col("component").alias("c"), F.col("own").alias("o"), "k", F.coalesce(F.sum("k").over(first), F.lit(0)).alias("first"))
-    placed = members.join(durable(whole), "component").join(durable(big), (F.col("component") == F.col("c")) & (F.col("own") == F.col("o")), "left")
+    placed = members.join(whole, "component").join(big, (F.col("component") == F.col("c")) & (F.col("own") == F.col("o")), "left")
     start = F.col("shared") + F.col("first")
     b = F.when(F.col("k").isNull(), F.pmod(F.xxhash64("own"), F.col("shared"))).otherwise(start + F.pmod(F.xxhash64("rid"), F.col("k")))
     dealt = placed.select("rid", "component", "own", b.alias("b"), start.alias("start"), "k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shared") + F.col("more") - 1)).alias("to"))
@@ -188,6 +188,8 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     group of candidates (a component of those stars) is cut in blocks; each pair of blocks is compared in one task by matrix
     products and gives a row per document, not per pair.
 
+    Prefixes are shortened by two hashes at a time, the last time to the shortest that is ever needed.
+
     Recall of a document at a depth: (k + p) / (sum of 1 / met(similarity) over its k partners + 1), p = met(threshold).
     That is the Horvitz-Thompson estimate from the partners found, with one more partner supposed, at the threshold.
     """
@@ -238,9 +240,10 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     del texts, candidates
     sweep(spark)
-    depths = list(range(max(depth, least), least - 1, -1))
+    depths = sorted({*range(max(depth, least), least, -2), least}, reverse=True)
     groups, verified, settled = None, [], spark.createDataFrame([], "rid long, depth int")
-    for d in depths:
+    for d in depths:  # whole labels, two hashes less and so on, and the shortest prefix
+        sweep(spark)
         at = tries.select("rid", *key(d))
         open_ = at.join(settled.select("rid", F.lit(True).alias("done")), "rid", "left")
         nodes_at = durable(open_.groupBy("k1", "k2").agg(F.min("rid").alias("hub"), F.count(F.lit(1)).alias("n"), F.bool_or(F.col("done").isNull()).alias("open")).where("n > 1 and open").select("k1", "k2", "hub"))

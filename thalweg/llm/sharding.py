@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import durable, field, let, numbered, uniform
+from .common import durable, field, let, numbered, sweep, uniform
 
 #: Children of a node of the tree of partitions.
 FAN_OUT = 8
@@ -130,6 +130,7 @@ def shuffle_into_shards(df: DataFrame, n_shards: int = 40, seed: int = 0) -> Dat
     is then shuffled once, joined by row number.
     """
     stored = numbered(df, "shard-rows")
+    sweep(df.sparkSession)
     where = durable(assign_shards(stored.select("rid"), n_shards, seed))
     names = [c for c in df.columns if c.lower() not in ("shard", "slot")]
     return stored.join(where, "rid").select(*[field("row", c).alias(c) for c in names], "shard", "slot")
