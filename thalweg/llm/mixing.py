@@ -59,7 +59,7 @@ def sums_before(sums: DataFrame, place: str) -> DataFrame:
     per = spans.groupBy("source", "span").agg(F.sum("n").alias("n"))
     ahead = per.select(F.col("source").alias("s"), F.col("span").alias("at"), (F.sum("n").over(W.partitionBy("source").orderBy("span")) - F.col("n")).alias("ahead"))
     inside = spans.select("source", "span", F.col(place).alias("p"), (F.sum("n").over(W.partitionBy("source", "span").orderBy(place)) - F.col("n")).alias("inside"))
-    return inside.join(ahead, F.col("source").eqNullSafe(F.col("s")) & (F.col("span") == F.col("at"))).select("s", "p", (F.col("ahead") + F.col("inside")).alias("before"))
+    return durable(inside.join(ahead, F.col("source").eqNullSafe(F.col("s")) & (F.col("span") == F.col("at"))).select("s", "p", (F.col("ahead") + F.col("inside")).alias("before")))
 
 
 class Mixture:
@@ -120,7 +120,7 @@ class Mixture:
         """(slot, shard, source, epoch, block): the block that each place holds; within an epoch no block comes twice."""
         by = self.sources.select(F.col("source").alias("s"), "blocks")
         found = self.slots().join(self.small(by), F.col("source").eqNullSafe(F.col("s"))).withColumn("epoch", F.floor(F.col("k") / F.col("blocks")))
-        return found.select("slot", "shard", "source", "epoch", permuted(F.col("k") % F.col("blocks"), F.col("blocks"), F.lit(self.seed), F.col("source"), F.col("epoch")).alias("block"))
+        return durable(found.select("slot", "shard", "source", "epoch", permuted(F.col("k") % F.col("blocks"), F.col("blocks"), F.lit(self.seed), F.col("source"), F.col("epoch")).alias("block")))
 
     def pieces(self) -> DataFrame:
         """(rid, source, block, first, n_words): the words, counted from 0 in the document, that lie in each block.
