@@ -7,6 +7,7 @@ trees: (child LONG, parent LONG, edge_id LONG, ...), one row for each node but t
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -17,11 +18,22 @@ CUT_EVERY = 4
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in spark.checkpoint.dir (a folder of our own where that is unset, as in tests)."""
-    sc = df.sparkSession.sparkContext
+    """Written as Parquet to spark.checkpoint.dir, and read: iterations then plan with true sizes, where a checkpoint would
+    keep estimates that joins multiply from round to round.
+
+    Where that setting is unset and the executors live in the driver's process (tests), a temporary folder; on a cluster
+    that is an error, as every machine would have another one.
+    """
+    spark = df.sparkSession
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='thalweg-')}")
-    return df.checkpoint()
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or f"file://{tempfile.mkdtemp(prefix='thalweg-')}")
+    path = f"{sc.getCheckpointDir()}/graph-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -119,14 +131,32 @@ def incidence(tree: DataFrame, points: DataFrame) -> DataFrame:
 
 
 def incidence_by_search(edges: DataFrame, points: DataFrame, weight: str = "inverse") -> DataFrame:
-    """The same where the network has cycles: a shortest-path tree from each point."""
-    out = None
-    for p, node in sorted((r[0], r[1]) for r in points.select("pt_idx", "node_id").collect()):
-        ends = points.where(F.col("pt_idx") > p).select("node_id", F.col("pt_idx").cast("long").alias("i"))
-        up = ancestors(shortest_path_tree(edges, node, weight), ends).select(F.col("node").alias("node_id"), "edge_id")
-        part = stored(ends.join(up, "node_id").select("i", F.lit(p).cast("long").alias("j"), "edge_id"))
+    """The same where the network has cycles: shortest paths from all points at once, then all paths walked back at once.
+
+    Weights and ties are those of shortest_path_tree(). The search holds a row for each point and node that it reaches.
+    """
+    cost = F.col("length_km") if weight == "length" else 1 / (F.col("length_km") + 1e-9)
+    hops = stored(both_ways(edges.select("edge_id", "src", "dst", cost.alias("w"))))
+    none = F.lit(None).cast("long")
+    best = stored(points.select(F.col("pt_idx").cast("long").alias("j"), F.col("node_id").cast("long").alias("node"), F.lit(0.0).alias("distance"), none.alias("parent"), none.alias("edge_id")))
+    frontier = best
+    while True:
+        step = frontier.select("j", F.col("node").alias("src"), "distance").join(hops, "src")
+        step = step.select("j", F.col("dst").alias("node"), (F.col("distance") + F.col("w")).alias("distance"), F.col("src").alias("parent"), "edge_id")
+        both = best.withColumn("old", F.lit(True)).unionByName(step.withColumn("old", F.lit(False)))
+        least = F.min(F.struct("distance", "parent", "edge_id", (~F.col("old")).alias("new"))).alias("b")
+        now = stored(both.groupBy("j", "node").agg(least).select("j", "node", "b.*"))
+        frontier, best = now.where("new"), now.drop("new")
+        if frontier.isEmpty():
+            break
+    ends = points.select(F.col("pt_idx").cast("long").alias("i"), F.col("node_id").cast("long").alias("node"))
+    back = best.where("parent is not null").select("j", "node", "parent", "edge_id")
+    at, out = stored(back.join(ends, "node").where("i > j").select("i", "j", "parent", "edge_id")), None
+    while not at.isEmpty():
+        part = at.select("i", "j", "edge_id")
         out = part if out is None else out.unionByName(part)
-    return out
+        at = stored(at.select("i", "j", F.col("parent").alias("node")).join(back, ["j", "node"]).select("i", "j", "parent", "edge_id"))
+    return at.select("i", "j", "edge_id") if out is None else out
 
 
 def orient(edges: DataFrame, root: int, max_depth: int = 100_000) -> DataFrame:

@@ -72,12 +72,12 @@ def _(spark, d):
     return rounded(surface.predictors(inputs.reaches(spark, d), METHODS, "pos"))
 
 
-_SAMPLES = "samples AS (SELECT c_custkey, c_nationkey, c_acctbal FROM customer WHERE c_custkey < 60)"
+_SAMPLES = "samples AS (SELECT s_suppkey AS c_custkey, s_nationkey AS c_nationkey, s_acctbal AS c_acctbal FROM supplier)"
 _MEMBERS = "members AS (SELECT c_custkey AS label, dense_rank() OVER (ORDER BY c_nationkey) - 1 AS pt, c_acctbal FROM samples)"
 
 
 def _samples(spark, d):
-    s = table(spark, d, "customer").where("c_custkey < 60").select("c_custkey", "c_nationkey", "c_acctbal")
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("c_custkey"), F.col("s_nationkey").alias("c_nationkey"), F.col("s_acctbal").alias("c_acctbal"))
     members = s.select(F.col("c_custkey").alias("label"), (F.dense_rank().over(W.orderBy("c_nationkey")) - 1).cast("long").alias("pt_idx"))
     a, b = s.select(F.col("c_custkey").alias("row_label"), F.col("c_acctbal").alias("a")), s.select(F.col("c_custkey").alias("col_label"), F.col("c_acctbal").alias("b"))
     matrix = a.join(b, F.col("row_label") != F.col("col_label")).select("row_label", "col_label", (F.abs(F.col("a") - F.col("b")) + 1).alias("value"))
@@ -167,9 +167,11 @@ def _nodes(spark, d):
     return table(spark, d, "supplier").select(F.col("s_suppkey").cast("long").alias("node_id"), (F.col("s_suppkey") * 53 % 1000 / 10.0).alias("x"), (F.col("s_acctbal") / 200).alias("y"))
 
 
-@query("haversine", f"WITH {_SITES}, {_NODES} SELECT sample, node_id, round({_KM}, 5) AS km FROM sites, nodes WHERE node_id < 5")
+@query("haversine", f"WITH {_SITES}, {_NODES} SELECT sample, node_id, round({_KM}, 5) AS km FROM sites JOIN customer ON sample = c_name JOIN supplier ON c_nationkey = s_nationkey JOIN nodes ON node_id = s_suppkey")
 def _(spark, d):
-    both = _sites(spark, d).join(F.broadcast(_nodes(spark, d).where("node_id < 5")), F.lit(True))
+    home = table(spark, d, "customer").select(F.col("c_name").alias("sample"), F.col("c_nationkey").alias("n"))
+    near = table(spark, d, "supplier").select(F.col("s_suppkey").cast("long").alias("node_id"), F.col("s_nationkey").alias("n"))
+    both = _sites(spark, d).join(home, "sample").join(_nodes(spark, d).join(near, "node_id"), "n")
     return rounded(both.select("sample", "node_id", scalars.haversine(F.col("lat"), F.col("long"), F.col("y"), F.col("x")).alias("km")), 5)
 
 
@@ -347,9 +349,9 @@ def _(spark, d):
     return graph.incidence(inputs.tree(spark, d), inputs.points(spark, d))
 
 
-@query("incidence_by_search", f"WITH RECURSIVE {INC} SELECT i, j, edge_id FROM inc WHERE i < 4")
+@query("incidence_by_search", f"WITH RECURSIVE {INC} SELECT i, j, edge_id FROM inc")
 def _(spark, d):
-    return graph.incidence_by_search(inputs.edges(spark, d), inputs.points(spark, d).where("pt_idx < 4"))
+    return graph.incidence_by_search(inputs.edges(spark, d), inputs.points(spark, d))
 
 
 @query("orient", f"WITH {TREE} SELECT child, parent, edge_id, CASE WHEN child < 100 THEN 1 WHEN child < 1000 THEN 2 ELSE 3 END AS depth FROM tree")
@@ -697,17 +699,27 @@ def _(spark, d):
     return rounded(sinks.edge_resistances(inputs.tree(spark, d).select("edge_id", F.col("length_km").alias("resistance"))))
 
 
-@query("labelled_matrix", f"WITH {RESP} SELECT 'p' || i AS label, " + ", ".join(f"round(max(value) FILTER (j = {k}), 6) AS p{k}" for k in range(4)) + " FROM (SELECT i, j, value FROM resp UNION ALL SELECT j, i, value FROM resp UNION ALL SELECT CAST(x AS BIGINT), CAST(x AS BIGINT), 0.0 FROM range(4) r(x)) WHERE i < 4 GROUP BY i")
+#: A matrix of all nations: distances by key, on a ring.
+_RING = "ring AS (SELECT CAST(a.n_nationkey AS BIGINT) AS i, CAST(b.n_nationkey AS BIGINT) AS j, least(abs(a.n_nationkey - b.n_nationkey), 25 - abs(a.n_nationkey - b.n_nationkey)) * 1.5::DOUBLE AS value FROM nation a, nation b)"
+
+
+def _ring(spark, d):
+    n = table(spark, d, "nation")
+    a, b = n.select(F.col("n_nationkey").cast("long").alias("i")), n.select(F.col("n_nationkey").cast("long").alias("j"))
+    gap = F.abs(F.col("i") - F.col("j"))
+    lower = a.join(b, F.col("i") > F.col("j")).select("i", "j", (F.least(gap, 25 - gap) * 1.5).alias("value"))
+    return surface.symmetric(lower, n.select(F.col("n_nationkey").cast("long").alias("pt_idx")), "value")
+
+
+@query("labelled_matrix", f"WITH {_RING} SELECT 'p' || i AS label, " + ", ".join(f"round(max(value) FILTER (j = {k}), 6) AS p{k}" for k in range(25)) + " FROM ring GROUP BY i")
 def _(spark, d):
-    p = inputs.points(spark, d).where("pt_idx < 4")
-    whole = surface.symmetric(inputs.response(spark, d).where("i < 4"), p, "value")
-    return rounded(sinks.matrix(whole, [f"p{k}" for k in range(4)]))
+    return rounded(sinks.matrix(_ring(spark, d), [f"p{k}" for k in range(25)]))
 
 
-@query("incidence_matrix", f"WITH RECURSIVE {INC} SELECT " + ", ".join(f"CAST(count(*) FILTER (edge_id = {1000 + k}) AS INTEGER) AS e{1000 + k}" for k in range(4)) + " FROM inc GROUP BY i, j")
+@query("incidence_matrix", f"WITH RECURSIVE {INC} SELECT " + ", ".join(f"CAST(count(*) FILTER (edge_id = {k}) AS INTEGER) AS e{k}" for k in range(1, 6)) + " FROM inc GROUP BY i, j")
 def _(spark, d):
     inc = graph.incidence(inputs.tree(spark, d), inputs.points(spark, d))
-    ids = [1000 + k for k in range(4)]
+    ids = list(range(1, 6))  # the reaches of all regions
     return sinks.incidence_matrix(inc, ids).toDF(*[f"e{k}" for k in ids])
 
 
@@ -784,12 +796,10 @@ def _(spark, d):
     return tables.read_points(spark, path)
 
 
-@query("scan_matrix", f"WITH {RESP} SELECT 'p' || i AS row_label, 'p' || j AS col_label, value FROM (SELECT i, j, round(value, 6) AS value FROM resp UNION ALL SELECT j, i, round(value, 6) FROM resp UNION ALL SELECT CAST(x AS BIGINT), CAST(x AS BIGINT), 0.0 FROM range(4) r(x)) WHERE i < 4 AND j < 4")
+@query("scan_matrix", f"WITH {_RING} SELECT 'p' || i AS row_label, 'p' || j AS col_label, value FROM ring")
 def _(spark, d):
     path = _folder(spark)
-    p = inputs.points(spark, d).where("pt_idx < 4")
-    whole = surface.symmetric(inputs.response(spark, d).where("i < 4"), p, "value")
-    sinks.write_tsv(sinks.matrix(rounded(whole), [f"p{k}" for k in range(4)]), path)
+    sinks.write_tsv(sinks.matrix(_ring(spark, d), [f"p{k}" for k in range(25)]), path)
     return tables.read_matrix(spark, path)
 
 

@@ -9,9 +9,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-POINTS = 12
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -37,12 +34,12 @@ def edges(spark: SparkSession, d: str) -> DataFrame:
 
 
 def points(spark: SparkSession, d: str) -> DataFrame:
-    """(pt_idx, node_id): the first suppliers by key."""
-    s = table(spark, d, "supplier").where(F.col("s_suppkey") < POINTS)
+    """(pt_idx, node_id): all suppliers."""
+    s = table(spark, d, "supplier")
     return s.select(F.col("s_suppkey").cast("long").alias("pt_idx"), (1000 + F.col("s_suppkey")).cast("long").alias("node_id"))
 
 
-PTS = f"pts AS (SELECT CAST(s_suppkey AS BIGINT) AS pt_idx, CAST(1000 + s_suppkey AS BIGINT) AS node_id FROM supplier WHERE s_suppkey < {POINTS})"
+PTS = "pts AS (SELECT CAST(s_suppkey AS BIGINT) AS pt_idx, CAST(1000 + s_suppkey AS BIGINT) AS node_id FROM supplier)"
 
 
 def reaches(spark: SparkSession, d: str) -> DataFrame:
@@ -79,17 +76,17 @@ INC = ANC + """, inc AS (
 
 
 def response(spark: SparkSession, d: str) -> DataFrame:
-    """(i, j, value), i > j: Euclidean distances between embeddings."""
-    e = table(spark, d, "embeddings").where(F.col("vec_id") < POINTS).select("vec_id", F.col("embedding").cast("array<double>").alias("e")).join(points(spark, d), F.col("vec_id") == F.col("pt_idx"))
+    """(i, j, value), i > j: Euclidean distances between the embeddings that bear suppliers' keys, one for each."""
+    e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e")).join(points(spark, d), F.col("vec_id") == F.col("pt_idx"))
     a, b = e.select(F.col("vec_id").alias("i"), F.col("e").alias("a")), e.select(F.col("vec_id").alias("j"), F.col("e").alias("b"))
     gap = F.aggregate(F.zip_with("a", "b", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
     return a.join(b, F.col("i") > F.col("j")).select("i", "j", F.sqrt(gap).alias("value"))
 
 
-RESP = f"""resp AS (
+RESP = """resp AS (
   SELECT a.vec_id AS i, b.vec_id AS j, list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS value
   FROM embeddings a JOIN embeddings b ON a.vec_id > b.vec_id
-  WHERE a.vec_id < least({POINTS}, (SELECT count(*) FROM supplier)) AND b.vec_id < least({POINTS}, (SELECT count(*) FROM supplier)))"""
+  WHERE a.vec_id IN (SELECT s_suppkey FROM supplier) AND b.vec_id IN (SELECT s_suppkey FROM supplier))"""
 
 VARIABLES = ["va", "vb", "vc"]
 
