@@ -129,3 +129,11 @@ def test_information_criteria(spark):
     assert one(spark, scalars.bic(F.lit(-10.0), F.lit(3), F.lit(math.e))) == pytest.approx(23)
     w = [r[0] for r in spark.range(50).select(scalars.signed_weight(1, 0.25).alias("w")).collect()]
     assert all(0.25 <= abs(x) <= 1 for x in w) and min(w) < 0 < max(w)
+
+
+def test_minmax_of_stored_values(spark):
+    cells = spark.createDataFrame([(0, 1, 2.0), (1, 0, 4.0), (2, 2, 3.0), (2, 3, None)], "i int, j int, value double")
+    assert sorted((r.i, r.j, r.value) for r in transforms.minmax_stored(cells).collect()) == [(0, 1, 0.0), (1, 0, 1.0), (2, 2, 0.5), (2, 3, None)]
+    same = cells.where("i = 0")
+    assert transforms.minmax_stored(same).first()["value"] == 2.0
+    assert transforms.minmax_stored(cells.limit(0)).count() == 0

@@ -130,3 +130,16 @@ def test_command_line(spark, tmp_path):
     spec = write(tmp_path / "s.tsv", "VAR\tWEIGHT\tTRANSFORM\tSHAPE\nlength_km\t1.0\t0\t0\n")
     main(["simulate", "--network", str(tmp_path / "net"), "--spec", spec, "--samples", "3", "--reps", "2", "--out", str(tmp_path / "sim")])
     assert os.path.isdir(tmp_path / "sim_2.ResistanceMatrix.tsv")
+
+
+def test_adjacency_matrix(spark):
+    adj = spark.createDataFrame([(0, 1, 1), (1, 0, -1), (1, 2, 1), (2, 1, -1)], "edge_i long, edge_j long, dir int")
+    assert [tuple(r) for r in sinks.adjacency_matrix(adj, [0, 1, 2]).collect()] == [(0, 0, 1, 0), (1, -1, 0, 1), (2, 0, -1, 0)]
+
+
+def test_outputs_by_model(spark, tmp_path):
+    df = spark.createDataFrame([(0, 5, 1.5), (0, 6, 2.5), (1, 5, 3.5)], "model_id long, edge_id long, resistance double")
+    sinks.write_by_model(df, str(tmp_path / "models"))
+    assert sorted(f for f in os.listdir(tmp_path / "models") if f.startswith("model_id")) == ["model_id=0", "model_id=1"]
+    back = spark.read.parquet(str(tmp_path / "models")).select("model_id", "edge_id", "resistance")
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))

@@ -94,6 +94,14 @@ def test_origin(spark):
     assert rows(more.select("edge_id"), "edge_id") == [(0,), (2,)]
 
 
+def test_append_edges(spark):
+    ends = spark.createDataFrame([(8, 2), (7, 0)], "src long, dst long")
+    more = graph.append_edges(path_edges(spark, 3), ends)
+    assert rows(more.where("edge_id > 2").select("edge_id", "src", "dst", "length_km"), "edge_id") == [(3, 7, 0, None), (4, 8, 2, None)]
+    assert more.count() == 5
+    assert [r[0] for r in rows(graph.append_edges(path_edges(spark, 3).limit(0), ends).select("edge_id"), "edge_id")] == [0, 1]
+
+
 def test_sampling_and_annotation(spark):
     assert graph.sample_nodes(path_edges(spark), 4, 1).distinct().count() == 4
     assert [r["EDGE_ID"] for r in graph.annotate(path_edges(spark)).orderBy("src").collect()] == list(range(6))

@@ -81,5 +81,15 @@ def masked_minmax(x: Column, mask: Column, window: WindowSpec) -> Column:
     return F.when(mask & (high > low), rescale(x, low, high)).otherwise(x)
 
 
+def minmax_stored(df: DataFrame, value: str = "value") -> DataFrame:
+    """The stored entries of a sparse matrix, a row each, in [0, 1] over their whole range; absent entries count nowhere.
+
+    Entries that are all equal stay. Null entries stay null.
+    """
+    bounds = df.agg(F.min(value).alias("__low"), F.max(value).alias("__high"))
+    scaled = F.when(F.col("__high") > F.col("__low"), rescale(F.col(value), F.col("__low"), F.col("__high"))).otherwise(F.col(value))
+    return df.crossJoin(F.broadcast(bounds)).withColumn(value, scaled).select(*df.columns)
+
+
 def zscore(x: Column, window: WindowSpec) -> Column:
     return F.try_divide(x - F.avg(x).over(window), F.stddev_pop(x).over(window))

@@ -232,6 +232,17 @@ def annotate(edges: DataFrame, order: tuple[str, ...] = ("src", "dst")) -> DataF
     return edges.withColumn("EDGE_ID", F.row_number().over(W.orderBy(*order)) - 1)
 
 
+def append_edges(edges: DataFrame, ends: DataFrame) -> DataFrame:
+    """The edges and one more for each row of ends (src, dst, ...), numbered on from the largest edge_id by src and dst.
+
+    Columns that ends lack are null. Ends are few (terminal points, the outlet), so one window numbers them.
+    """
+    last = edges.agg(F.coalesce(F.max("edge_id"), F.lit(-1)).alias("__last"))
+    rank = F.row_number().over(W.orderBy("src", "dst")).cast("long")
+    more = ends.withColumn("edge_id", rank).crossJoin(F.broadcast(last)).withColumn("edge_id", F.col("edge_id") + F.col("__last")).drop("__last")
+    return edges.unionByName(more, allowMissingColumns=True)
+
+
 def reach_to_edge(minimal: DataFrame, id_col: str = "run_id") -> DataFrame:
     """(reach_id, edge): which contracted edge each reach is part of."""
     return minimal.select(F.explode("reach_ids").alias("reach_id"), F.col(id_col).alias("edge"))

@@ -148,6 +148,12 @@ def _(spark, d):
     return rounded(table(spark, d, "customer").select("c_custkey", transforms.masked_minmax(x, x > 0, W.partitionBy("c_nationkey")).alias("value")))
 
 
+@query("minmax_stored", "SELECT l_orderkey, l_linenumber, round((l_quantity - min(l_quantity) OVER ()) / (max(l_quantity) OVER () - min(l_quantity) OVER ()), 6) AS value FROM lineitem")
+def _(spark, d):
+    cells = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("double").alias("value"))
+    return rounded(transforms.minmax_stored(cells))
+
+
 @query("zscore", "SELECT c_custkey, round((c_acctbal - avg(c_acctbal) OVER w) / stddev_pop(c_acctbal) OVER w, 6) AS value FROM customer WINDOW w AS (PARTITION BY c_nationkey)")
 def _(spark, d):
     return rounded(table(spark, d, "customer").select("c_custkey", transforms.zscore(F.col("c_acctbal"), W.partitionBy("c_nationkey")).alias("value")))
@@ -426,6 +432,16 @@ def _(spark, d):
     return graph.adjacency(inputs.tree(spark, d))
 
 
+@query("append_edges", f"""WITH {TREE}, leaves AS (SELECT child FROM tree WHERE child NOT IN (SELECT parent FROM tree))
+SELECT edge_id, child AS src, parent AS dst FROM tree
+UNION ALL SELECT (SELECT max(edge_id) FROM tree) + row_number() OVER (ORDER BY -child - 1, child), -child - 1, child FROM leaves""")
+def _(spark, d):
+    t = inputs.tree(spark, d)
+    leaves = t.select("child").join(t.select(F.col("parent").alias("child")), "child", "left_anti")
+    ends = leaves.select((-F.col("child") - 1).alias("src"), F.col("child").alias("dst"))
+    return graph.append_edges(t.select("edge_id", F.col("child").alias("src"), F.col("parent").alias("dst")), ends)
+
+
 @query("sample_nodes")
 def _(spark, d):
     return graph.sample_nodes(inputs.edges(spark, d), 20, 7)
@@ -716,6 +732,12 @@ def _(spark, d):
     return rounded(sinks.matrix(_ring(spark, d), [f"p{k}" for k in range(25)]))
 
 
+@query("adjacency_matrix", f"WITH {TREE}, down AS (SELECT a.edge_id AS edge_i, b.edge_id AS edge_j FROM tree a JOIN tree b ON a.parent = b.child), adj AS (SELECT edge_i, edge_j, 1 AS dir FROM down UNION ALL SELECT edge_j, edge_i, -1 FROM down) SELECT edge_i, " + ", ".join(f"CAST(coalesce(max(dir) FILTER (edge_j = {k}), 0) AS INTEGER) AS e{k}" for k in range(1, 6)) + " FROM adj GROUP BY 1")
+def _(spark, d):
+    ids = list(range(1, 6))  # the reaches of all regions
+    return sinks.adjacency_matrix(graph.adjacency(inputs.tree(spark, d)), ids).toDF("edge_i", *[f"e{k}" for k in ids])
+
+
 @query("incidence_matrix", f"WITH RECURSIVE {INC} SELECT " + ", ".join(f"CAST(count(*) FILTER (edge_id = {k}) AS INTEGER) AS e{k}" for k in range(1, 6)) + " FROM inc GROUP BY i, j")
 def _(spark, d):
     inc = graph.incidence(inputs.tree(spark, d), inputs.points(spark, d))
