@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import pii
+from . import chat, pii
 from .common import durable, fresh_path, table
 from .decontaminate import decontaminate
 from .embedding_dedup import near_vectors
@@ -83,6 +83,19 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, fit(docs), named={"held_out": held_out}).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op12_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All columns are read back from what format_chats() gives; the conversation -1 says what looks like marks."""
+    marks = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-1, 0, "user", marks), (-1, 1, "assistant", marks)], "conv_id long, turn long, role string, text string")
+    made = chat.format_chats(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more))
+    read = made.select("conv_id", "formatted", "bad_turn", chat.read_turns(F.col("formatted")).alias("turns"), chat.trained_text(F.col("segments")).alias("trained"))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), F.length("trained").cast("long").alias("loss_chars"),
+        F.sha2("trained", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"), F.col("bad_turn").isNull().alias("valid"),
+    )
+
+
 OP9_SQL = r"""
 WITH lines AS (
   SELECT doc_id, t, unnest(ls) AS line, unnest(range(len(ls))) AS pos
@@ -102,6 +115,28 @@ FROM keyed k LEFT JOIN common c ON k.key = c.key
 GROUP BY doc_id, t
 """
 
+OP12_SQL = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), sized AS (
+  SELECT *, length(text) + length(text) - length(replace(text, '\', ''))
+         + len(regexp_extract_all(text, '\[/?(SYS|INST|AS)\]|\[OF\]|</?s>'))
+         + CASE role WHEN 'system' THEN 14 WHEN 'user' THEN 16 WHEN 'assistant' THEN 10 ELSE NULL END AS chars,
+         lag(role, 1, 'start') OVER (PARTITION BY conv_id ORDER BY turn) AS before,
+         lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS after
+  FROM turns
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(chars)::BIGINT AS formatted_chars,
+       bool_and(CASE role WHEN 'system' THEN before = 'start' WHEN 'user' THEN before IN ('start', 'system', 'assistant')
+                WHEN 'assistant' THEN before = 'user' ELSE false END AND (after IS NOT NULL OR role = 'assistant')) AS valid
+FROM sized GROUP BY conv_id
+"""
+
 QUERIES = {
     "op1_mixture": op1_mixture,
     "op2_embedding_dedup": op2_embedding_dedup,
@@ -113,5 +148,6 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_line_dedup": op9_line_dedup,
     "op10_language": op10_language,
+    "op12_chat": op12_chat,
 }
-ORACLES = {"op9_line_dedup": OP9_SQL}
+ORACLES = {"op9_line_dedup": OP9_SQL, "op12_chat": OP12_SQL}
