@@ -3,9 +3,6 @@
 from __future__ import annotations
 
 import gc
-import tempfile
-import uuid
-from contextlib import contextmanager
 from functools import wraps
 
 import pyarrow as pa
@@ -15,6 +12,9 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..shipping import ship
+from ..storage import delete, durable, fresh_path, numbered, scratch, shared_folder, stored
+
+__all__ = ["delete", "durable", "fresh_path", "numbered", "scratch", "shared_folder", "stored"]
 
 #: The white space of every contract here: space and the five ASCII controls TAB..CR.
 WHITESPACE = " \t\n\x0b\x0c\r"
@@ -26,59 +26,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
-
-    Where that is unset and the executors live in the driver's process (tests), a temporary folder; on a cluster that would
-    be another folder on every machine, so there it is an error.
-    """
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
-            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
-        sc.setCheckpointDir(folder or f"file://{tempfile.mkdtemp(prefix='thalweg-')}")
-    return sc.getCheckpointDir()
-
-
-def durable(df: DataFrame) -> DataFrame:
-    """Cuts the lineage by a reliable checkpoint, so that lost executors cost a read, not a recomputation."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
 def sweep(spark: SparkSession) -> None:
-    """Has the driver collect its garbage now: Spark deletes the shuffle files and checkpoints of a phase when nothing in the
-    driver refers to them any more, which it otherwise notices whenever its heap happens to fill up."""
+    """Has the driver collect its garbage now: Spark deletes the shuffle files of a phase when nothing in the driver refers to
+    them any more, which it otherwise notices whenever its heap happens to fill up. Stored tables do not depend on it."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
 
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing else uses."""
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    spark.sparkContext.__dict__.setdefault("_thalweg_paths", []).append(path)
-    return path
-
-
-def delete(spark: SparkSession, path: str) -> None:
-    sc = spark.sparkContext
-    there = sc._jvm.org.apache.hadoop.fs.Path(path)
-    there.getFileSystem(sc._jsc.hadoopConfiguration()).delete(there, True)
-
-
-@contextmanager
-def scratch(spark: SparkSession):
-    """Deletes at its end what fresh_path() gave out within: for results that were written by then."""
-    before = len(spark.sparkContext.__dict__.setdefault("_thalweg_paths", []))
-    yield
-    paths = spark.sparkContext._thalweg_paths
-    while len(paths) > before:
-        delete(spark, paths.pop())
-
-
 def tidy(operator):
-    """For an operator (docs, ...) whose result depends on checkpoints alone: deletes what it stored on the way."""
+    """For an operator (docs, ...) that keeps what its result reads: deletes the rest of what it stored on the way."""
 
     @wraps(operator)
     def run(docs: DataFrame, *args, **options):
@@ -90,26 +46,6 @@ def tidy(operator):
     return run
 
 
-def stored(df: DataFrame, name: str = "stored") -> DataFrame:
-    """Written to the shared folder and read: for what goes round in a loop. A checkpoint keeps the planner's estimate of its
-    size, and joins multiply estimates from round to round until they fill the driver; a table has its true size."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def numbered(df: DataFrame, name: str = "rows") -> DataFrame:
-    """(rid LONG, row STRUCT): the rows of df, numbered and stored in the shared folder.
-
-    Numbers depend on how the input is split, and a second scan may be split otherwise, as executors come and go; so number
-    and row are written once, together, and everything after reads that table. The upper bits of rid are the partition.
-    """
-    path = fresh_path(df.sparkSession, name)
-    rows = df.select(F.monotonically_increasing_id().alias("rid"), F.struct(*[f"`{c}`" for c in df.columns]).alias("row"))
-    rows.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(rows.schema).parquet(path)
-
-
 def uniform(*parts) -> Column:
     """A double in [0, 1) that depends only on the given values: reruns and retried tasks draw the same."""
     return F.shiftrightunsigned(F.xxhash64(*[p if isinstance(p, Column) else F.lit(p) for p in parts]), 11) * F.lit(2.0**-53)
@@ -134,7 +70,7 @@ def map_texts(docs: DataFrame, text: str | Column, carried: dict[str, Column], f
     """(carried columns, fields): what Python finds in each text, beside columns that it never sees.
 
     start() is called once in each task and returns a function from a list of texts (null: empty; or of the values of a
-    column, as they are) to one list for each of `fields` (name -> SQL type). Carried columns pass as Arrow arrays, so that no id or nullable number is turned into a
+    column, as they are) to one list, or Arrow array, for each of `fields` (name -> SQL type). Carried columns pass as Arrow arrays, so that no id or nullable number is turned into a
     float. Spark bounds the bytes of a batch (spark.sql.execution.arrow.maxBytesPerBatch); no session setting is changed.
     """
     ship(docs.sparkSession)
@@ -148,7 +84,7 @@ def map_texts(docs: DataFrame, text: str | Column, carried: dict[str, Column], f
         work = start()
         for batch in batches:
             found = work(batch.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column("row"), *(pa.array(x, t) for x, t in zip(found, types, strict=True))], ["row", *fields])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), *(x.cast(t) if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(found, types, strict=True))], ["row", *fields])
 
     out = frame.mapInArrow(run, T.StructType([kept, *added.fields]))
     return out.select(*[field("row", n).alias(n) for n in carried], *[f"`{n}`" for n in fields])

@@ -28,7 +28,7 @@ def components(links: DataFrame) -> DataFrame:
             now = stored(lower.join(up, "now", "left").select("node", F.col("component").alias("was"), F.coalesce(F.least("now", "top"), "now").alias("component")))
             labels = now.select("node", "component")
             if now.where("was <> component").isEmpty():
-                return durable(labels)
+                return durable(labels, keep=True)
 
 
 def stars(near: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

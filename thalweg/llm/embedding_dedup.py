@@ -355,7 +355,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     fine = vec.isNotNull() & F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < math.inf)) & F.exists(vec, lambda x: x != 0)
     rows = vectors.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("vec_id"), F.when(fine, F.col(vector_col)).alias("vec"))
     rows = durable(rows.withColumn("h1", F.when(F.col("vec").isNotNull(), F.xxhash64("vec"))).withColumn("h2", F.when(F.col("vec").isNotNull(), F.xxhash64(F.lit(1), "vec"))))
-    own = rows.select("rid", "vec_id", "h1", "h2")
+    own = durable(rows.select("rid", "vec_id", "h1", "h2"), keep=True)
     ident = F.struct(F.col("vec_id").isNull().alias("no"), F.col("vec_id").alias("v"))
     equal = durable(own.where("h1 is not null").groupBy("h1", "h2").agg(F.min("rid").alias("id"), F.min(ident).alias("first"), F.count(F.lit(1)).alias("copies")))
     n, dim = equal.count(), rows.agg(F.max(F.size("vec"))).first()[0] or 0
@@ -398,7 +398,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
         equal = equal.withColumn("links", F.lit(0)).withColumn("component", F.lit(None).cast("long"))
     whole = durable(equal.select("h1", "h2", "first", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"), F.coalesce("component", "id").alias("class")))
     least = durable(whole.groupBy("class").agg(F.min("first").alias("top")))
-    named = durable(whole.join(least, "class").select("h1", "h2", "n_links", F.col("top.v").alias("component_id")))
+    named = durable(whole.join(least, "class").select("h1", "h2", "n_links", F.col("top.v").alias("component_id")), keep=True)
     linked = own.where("h1 is not null").join(named, ["h1", "h2"]).select("vec_id", "n_links", "component_id")
     alone = own.where("h1 is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     out = linked.unionByName(alone)

@@ -218,7 +218,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     order = F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("d"), F.col("rid").alias("r"))
     nodes = sketch.where("h1 is not null").groupBy("h1", "h2").agg(F.min(F.struct("rid", "c1", "c2", "labels")).alias("x"), F.min(order).alias("first"), F.count(F.lit(1)).alias("copies"))
     nodes = durable(nodes.select("h1", "h2", "x.*", "first", "copies"))
-    own = durable(sketch.select("rid", "doc_id", "h1", "h2"))
+    own = durable(sketch.select("rid", "doc_id", "h1", "h2"), keep=True)
     del sketch
     sweep(spark)
     least = prefix_depth(threshold, trees, depth, recall)
@@ -266,7 +266,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     whole = nodes.join(classes.withColumnRenamed("node", "rid"), "rid", "left").join(seen.select("rid", "links"), "rid", "left").join(settled, "rid", "left").withColumn("class", F.coalesce("component", "rid"))
     whole = durable(whole.select("h1", "h2", "first", "copies", "class", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("depth", F.lit(least)).alias("depth")))
     firsts = durable(whole.groupBy("class").agg(F.min("first").alias("top")))
-    named = durable(whole.join(firsts, "class").select("h1", "h2", "top", "depth", (F.col("links") + F.col("copies") - 1).alias("n_links")))
+    named = durable(whole.join(firsts, "class").select("h1", "h2", "top", "depth", (F.col("links") + F.col("copies") - 1).alias("n_links")), keep=True)
     joined = own.where("h1 is not null").join(named, ["h1", "h2"]).select("rid", "doc_id", "n_links", "top", "depth")
     alone = own.where("h1 is null").select("rid", "doc_id", F.lit(0).cast("long").alias("n_links"), order.alias("top"), F.lit(least).alias("depth"))
     return joined.unionByName(alone).select("rid", "doc_id", F.col("n_links").cast("long").alias("n_links"), F.col("top.d").alias("class_id"), (F.col("rid") == F.col("top.r")).alias("kept"), "depth")

@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, map_texts, uniform
+from .common import durable, map_texts, scratch, uniform
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -409,12 +409,13 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_
         return work
 
     windows = map_texts(chosen, text_col, {}, {"windows": "array<struct<x:binary,y:binary,spans:boolean>>"}, start)
-    windows = durable(windows.select(F.explode("windows").alias("w")).select("w.*").distinct())
     order = F.xxhash64("x", "y"), "x", "y"
-    rows = windows.where("spans").orderBy(*order).limit(sample_windows * 2 // 3).collect()
-    if not rows:
-        return None
-    rows += windows.where("not spans").orderBy(*order).limit(sample_windows // 3).collect()
+    with scratch(docs.sparkSession):
+        windows = durable(windows.select(F.explode("windows").alias("w")).select("w.*").distinct())
+        rows = windows.where("spans").orderBy(*order).limit(sample_windows * 2 // 3).collect()
+        if not rows:
+            return None
+        rows += windows.where("not spans").orderBy(*order).limit(sample_windows // 3).collect()
     x, y = (np.array([np.frombuffer(r[i], np.int8) for r in rows]) for i in (0, 1))
     return Tagger().train(x, y)
 

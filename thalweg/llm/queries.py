@@ -14,6 +14,7 @@ from .line_dedup import drop_common_lines
 from .mixing import Mixture
 from .secrets import BASE_KINDS, scan_history
 from .ngram_join import jaccard_classes
+from .resample import importance_resample
 from .sharding import assign_shards
 from .token_counts import count_tokens
 
@@ -96,6 +97,10 @@ def op12_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance_resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 OP9_SQL = r"""
 WITH lines AS (
   SELECT doc_id, t, unnest(ls) AS line, unnest(range(len(ls))) AS pos
@@ -137,6 +142,36 @@ SELECT conv_id, count(*) AS n_turns,
 FROM sized GROUP BY conv_id
 """
 
+#: The unsigned CRC-32 of the UTF-8 bytes of `s`, bit by bit: a byte at a time, eight shifts each.
+CRC32_SQL = """xor(list_reduce(list_prepend(4294967295::BIGINT,
+    list_transform(range(1, len(hex(encode(s))), 2), lambda i: (instr('0123456789ABCDEF', hex(encode(s))[i]) - 1) * 16 + instr('0123456789ABCDEF', hex(encode(s))[i + 1]) - 1)),
+    lambda c, b: xor(c >> 8, list_reduce([xor(c, b) & 255, 0, 0, 0, 0, 0, 0, 0, 0], lambda v, o: xor(v >> 1, (v & 1) * 3988292384)))), 4294967295)"""
+
+OP13_SQL = rf"""
+WITH texts AS (
+  SELECT doc_id, true AS raw, row_number() OVER () AS rid, text FROM documents UNION ALL SELECT NULL, false, -row_number() OVER (), text FROM benchmark
+), words AS (
+  SELECT rid, doc_id, raw, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM texts
+), tokens AS (
+  SELECT rid, raw, s, count(*) AS c FROM (SELECT rid, raw, unnest(ws) AS s FROM words) GROUP BY ALL
+), hashed AS (
+  SELECT s, {CRC32_SQL} % 10000 AS bucket FROM (SELECT DISTINCT s FROM tokens)
+), sums AS (
+  SELECT bucket, coalesce(sum(c) FILTER (raw), 0)::DOUBLE AS s, coalesce(sum(c) FILTER (NOT raw), 0)::DOUBLE AS t FROM tokens JOIN hashed USING (s) GROUP BY bucket
+), gains AS (
+  SELECT bucket, floor(1000 * ln((t + 1) * (sum(s) OVER () + 10000) / ((s + 1) * (sum(t) OVER () + 10000))))::BIGINT AS gain FROM sums
+), weights AS (
+  SELECT rid, sum(c * gain)::BIGINT AS weight FROM tokens JOIN hashed USING (s) JOIN gains USING (bucket) WHERE raw GROUP BY rid
+), scored AS (
+  SELECT doc_id, len(ws)::BIGINT AS n_features, coalesce(weight, 0) AS weight,
+         coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+  FROM words LEFT JOIN weights USING (rid) WHERE raw
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS r, count(*) FILTER (n_features >= 20) OVER () AS able FROM scored
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND r <= able * 10 // 100 THEN r END AS rank FROM ranked
+"""
+
 QUERIES = {
     "op1_mixture": op1_mixture,
     "op2_embedding_dedup": op2_embedding_dedup,
@@ -149,5 +184,6 @@ QUERIES = {
     "op9_line_dedup": op9_line_dedup,
     "op10_language": op10_language,
     "op12_chat": op12_chat,
+    "op13_resample": op13_resample,
 }
-ORACLES = {"op9_line_dedup": OP9_SQL, "op12_chat": OP12_SQL}
+ORACLES = {"op9_line_dedup": OP9_SQL, "op12_chat": OP12_SQL, "op13_resample": OP13_SQL}

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..storage import tidy
 from .common import durable, field, let, numbered, sweep, uniform
 
 #: Children of a node of the tree of partitions.
@@ -74,6 +75,7 @@ def _deal(node: Column, n_shards: int, seed: int, level: int) -> Column:
     return F.aggregate(node["parts"], F.struct(node["caps"].alias("caps"), empty.alias("done")), child, lambda a: a["done"])
 
 
+@tidy
 def communication_matrix(counts: DataFrame, n_shards: int, seed: int = 0) -> DataFrame:
     """counts: (pid, n) with pid from 0 -> (pid, sends): sends[s] rows of partition pid go to shard s.
 
@@ -86,7 +88,7 @@ def communication_matrix(counts: DataFrame, n_shards: int, seed: int = 0) -> Dat
     counts = durable(counts.where("n > 0").select(F.col("pid").cast("long").alias("pid"), "n"))
     top, whole = counts.agg(F.max("pid"), F.sum("n")).first()
     if top is None:
-        return counts.select("pid", F.array().cast("array<bigint>").alias("sends"))
+        return counts.sparkSession.createDataFrame([], "pid long, sends array<bigint>")
     levels = 0
     while FAN_OUT**levels <= top:
         levels += 1
@@ -98,7 +100,7 @@ def communication_matrix(counts: DataFrame, n_shards: int, seed: int = 0) -> Dat
         sums = counts.groupBy(child.alias("child")).agg(F.sum("n").alias("n"))
         parts = sums.groupBy(F.expr(f"child div {FAN_OUT}").alias("idx")).agg(F.array_sort(F.collect_list(F.struct("child", "n"))).alias("parts"))
         dealt = nodes.join(parts, "idx").repartition("idx").select(F.explode(_deal(F.struct("idx", "caps", "parts"), n_shards, seed, level)).alias("x"))
-        nodes = durable(dealt.select("x.*"))
+        nodes = durable(dealt.select("x.*"), keep=level == levels - 1)
     return nodes.select(F.col("idx").alias("pid"), F.col("caps").alias("sends"))
 
 
