@@ -16,6 +16,7 @@ from .secrets import BASE_KINDS, scan_history
 from .ngram_join import jaccard_classes
 from .resample import importance_resample
 from .sharding import assign_shards
+from .spelling import letter_runs, spelling_variants, vocabulary
 from .token_counts import count_tokens
 
 
@@ -84,6 +85,16 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, fit(docs), named={"held_out": held_out}).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every 199th run, by a hash of document and run, loses a letter; variants are looked for among the words that result.
+    A null id counts as empty there."""
+    runs = letter_runs(table(spark, sf_dir, "documents"))
+    hashed = runs.select("run", F.crc32(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), "run")).alias("h"))
+    at = (F.col("h") % F.char_length("run")).cast("int")
+    shorter = F.concat(F.substring("run", F.lit(1), at), F.substring("run", at + 2, F.char_length("run")))
+    return spelling_variants(vocabulary(hashed.select(F.when(F.col("h") % 199 == 0, shorter).otherwise(F.col("run")).alias("word"))))
+
+
 def op12_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All columns are read back from what format_chats() gives; the conversation -1 says what looks like marks."""
     marks = "</s>[INST] ok [/INST]"
@@ -101,6 +112,11 @@ def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance_resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+#: The unsigned CRC-32 of the UTF-8 bytes of `s`, bit by bit: a byte at a time, eight shifts each.
+CRC32_SQL = """xor(list_reduce(list_prepend(4294967295::BIGINT,
+    list_transform(range(1, len(hex(encode(s))), 2), lambda i: (instr('0123456789ABCDEF', hex(encode(s))[i]) - 1) * 16 + instr('0123456789ABCDEF', hex(encode(s))[i + 1]) - 1)),
+    lambda c, b: xor(c >> 8, list_reduce([xor(c, b) & 255, 0, 0, 0, 0, 0, 0, 0, 0], lambda v, o: xor(v >> 1, (v & 1) * 3988292384)))), 4294967295)"""
+
 OP9_SQL = r"""
 WITH lines AS (
   SELECT doc_id, t, unnest(ls) AS line, unnest(range(len(ls))) AS pos
@@ -120,6 +136,34 @@ FROM keyed k LEFT JOIN common c ON k.key = c.key
 GROUP BY doc_id, t
 """
 
+OP11_SQL = rf"""
+WITH RECURSIVE runs AS (
+  SELECT doc_id || ':' || run AS s, run, count(*) AS c FROM (
+    SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]{{6,}}')) AS run FROM documents
+  ) GROUP BY ALL
+), hashed AS (
+  SELECT run, c, {CRC32_SQL} AS h FROM runs
+), words AS (
+  SELECT word, sum(c)::BIGINT AS n FROM (
+    SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, c FROM hashed
+  ) WHERE length(word) >= 6 GROUP BY word HAVING sum(c) >= 5
+), cut AS (
+  SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM words, unnest(range(1, length(word) + 1)) AS u(i)
+), near AS (
+  SELECT a.word, b.word AS other, b.n FROM cut a JOIN cut b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM cut a JOIN words b ON a.rest = b.word
+  UNION SELECT b.word, a.word, a.n FROM cut a JOIN words b ON a.rest = b.word
+), best AS (
+  SELECT word, count(*) AS n_near, first(other ORDER BY n DESC, other) AS other, max(n) AS other_n FROM near GROUP BY word
+), forms AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 5 * w.n THEN other END AS form, CASE WHEN other_n >= 5 * w.n THEN other_n END AS form_n FROM words w LEFT JOIN best USING (word)
+), ends AS (
+  SELECT word, word AS root FROM forms WHERE form IS NULL
+  UNION ALL SELECT f.word, e.root FROM forms f JOIN ends e ON f.form = e.word
+)
+SELECT word, form, root, n, n_near, form_n FROM forms JOIN ends USING (word)
+"""
+
 OP12_SQL = r"""
 WITH turns AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -142,11 +186,6 @@ SELECT conv_id, count(*) AS n_turns,
 FROM sized GROUP BY conv_id
 """
 
-#: The unsigned CRC-32 of the UTF-8 bytes of `s`, bit by bit: a byte at a time, eight shifts each.
-CRC32_SQL = """xor(list_reduce(list_prepend(4294967295::BIGINT,
-    list_transform(range(1, len(hex(encode(s))), 2), lambda i: (instr('0123456789ABCDEF', hex(encode(s))[i]) - 1) * 16 + instr('0123456789ABCDEF', hex(encode(s))[i + 1]) - 1)),
-    lambda c, b: xor(c >> 8, list_reduce([xor(c, b) & 255, 0, 0, 0, 0, 0, 0, 0, 0], lambda v, o: xor(v >> 1, (v & 1) * 3988292384)))), 4294967295)"""
-
 OP13_SQL = rf"""
 WITH texts AS (
   SELECT doc_id, true AS raw, row_number() OVER () AS rid, text FROM documents UNION ALL SELECT NULL, false, -row_number() OVER (), text FROM benchmark
@@ -183,7 +222,8 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_line_dedup": op9_line_dedup,
     "op10_language": op10_language,
+    "op11_spelling": op11_spelling,
     "op12_chat": op12_chat,
     "op13_resample": op13_resample,
 }
-ORACLES = {"op9_line_dedup": OP9_SQL, "op12_chat": OP12_SQL, "op13_resample": OP13_SQL}
+ORACLES = {"op9_line_dedup": OP9_SQL, "op11_spelling": OP11_SQL, "op12_chat": OP12_SQL, "op13_resample": OP13_SQL}
