@@ -75,7 +75,7 @@ def report(net: Network, ranked, variables: list[str], out: str, only_keep: bool
     sinks.write_tsv(inference.best_model(ranked, variables), f"{out}.bestModel.tsv")
     sinks.write_tsv(net.points, f"{out}.pointsTable.txt")
     sinks.write_tsv(net.snap_distances, f"{out}.snapDistances.txt")
-    edges, pairs = ensemble.model_average(ranked, variables, surface.long_predictors(net.predictors), net.incidence)
+    edges, pairs = ensemble.model_average(ranked, variables, surface.long_predictors(net.predictors), net.paths)
     labels = [r["label"] for r in net.points.orderBy("pt_idx").collect()]
     sinks.write_tsv(sinks.edge_resistances(edges), f"{out}.Model-Average.ResistanceEdges.tsv")
     sinks.write_tsv(sinks.matrix(surface.symmetric(pairs, net.points), labels), f"{out}.Model-Average.ResistanceMatrix.tsv")

@@ -6,36 +6,18 @@ trees: (child LONG, parent LONG, edge_id LONG, ...), one row for each node but t
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..storage import stored, tidy
+from .keys import numbered_in_order
+from .tree import TreePaths, above, ancestors
+
 #: Rounds of an iteration between two checkpoints.
 CUT_EVERY = 4
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Written as Parquet to spark.checkpoint.dir, and read: iterations then plan with true sizes, where a checkpoint would
-    keep estimates that joins multiply from round to round.
-
-    Where that setting is unset and the executors live in the driver's process (tests), a temporary folder; on a cluster
-    that is an error, as every machine would have another one.
-    """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
-            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
-        sc.setCheckpointDir(folder or f"file://{tempfile.mkdtemp(prefix='thalweg-')}")
-    path = f"{sc.getCheckpointDir()}/graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def both_ways(edges: DataFrame) -> DataFrame:
     return edges.unionByName(edges.withColumns({"src": F.col("dst"), "dst": F.col("src")}))
 
@@ -53,6 +35,7 @@ def edge_table(edges: DataFrame) -> DataFrame:
     return edges.withColumnsRenamed({"src": "left", "dst": "right"})
 
 
+@tidy
 def shortest_path_tree(edges: DataFrame, root: int, weight: str = "inverse") -> DataFrame:
     """Bellman-Ford from root -> (child, parent, edge_id, distance) for every node reached, root not included.
 
@@ -60,7 +43,7 @@ def shortest_path_tree(edges: DataFrame, root: int, weight: str = "inverse") ->
     the least edge. One join and one aggregate a round, checkpointed every few rounds; rounds as many as a path has edges.
     """
     cost = F.col("length_km") if weight == "length" else 1 / (F.col("length_km") + 1e-9)
-    hops = both_ways(edges.select("edge_id", "src", "dst", cost.alias("w"))).persist()
+    hops = stored(both_ways(edges.select("edge_id", "src", "dst", cost.alias("w"))))
     spark = edges.sparkSession
     reached = spark.createDataFrame([(root, 0.0, None, None)], "node long, distance double, parent long, edge_id long")
     frontier, rounds = reached, 0
@@ -77,30 +60,12 @@ def shortest_path_tree(edges: DataFrame, root: int, weight: str = "inverse") ->
         rounds += 1
         if rounds % CUT_EVERY == 0:
             reached = stored(reached)
-    hops.unpersist()
-    return reached.where("parent is not null").select(F.col("node").alias("child"), "parent", "edge_id", "distance")
-
-
-def ancestors(tree: DataFrame, nodes: DataFrame, max_depth: int = 100_000) -> DataFrame:
-    """All edges between each node and the root: (node, edge_id, child, parent, depth), depth from 1.
-
-    Only paths of the given nodes are walked, each round one equi-join for all of them, by a recursive query.
-    """
-    spark: SparkSession = tree.sparkSession
-    tree.select("child", "parent", "edge_id").createOrReplaceTempView("__tree")
-    nodes.select(F.col(nodes.columns[0]).cast("long").alias("node")).distinct().createOrReplaceTempView("__from")
-    return spark.sql(f"""
-        WITH RECURSIVE up(node, edge_id, child, parent, depth) MAX RECURSION LEVEL {max_depth} AS (
-          SELECT node, edge_id, child, parent, 1 FROM __from JOIN __tree ON node = child
-          UNION ALL
-          SELECT up.node, t.edge_id, t.child, t.parent, up.depth + 1 FROM up JOIN __tree t ON up.parent = t.child
-        ) SELECT * FROM up""")
+    return stored(reached.where("parent is not null").select(F.col("node").alias("child"), "parent", "edge_id", "distance"), keep=True)
 
 
 def path_subgraph(tree: DataFrame, sites: DataFrame) -> DataFrame:
     """The part of a shortest-path tree that the paths from its root to the sites use."""
-    used = ancestors(tree, sites).select("edge_id").distinct()
-    return tree.join(used, "edge_id", "left_semi")
+    return tree.join(above(tree, sites).withColumnRenamed("node_id", "child"), "child", "left_semi").select(*tree.columns)
 
 
 def assert_reached(tree: DataFrame, sites: DataFrame, root: int) -> None:
@@ -119,17 +84,13 @@ def is_tree(tree: DataFrame) -> bool:
 def incidence(tree: DataFrame, points: DataFrame) -> DataFrame:
     """points: (pt_idx, node_id) -> (i, j, edge_id) for the edges on the path of each pair i > j.
 
-    In a tree the path between two nodes is the symmetric difference of their paths to the root, so a pair has an edge if
-    exactly one of its ends has. Pairs of points meet on edges they do not share by counting, not by path search.
+    A pair's path is each end's edges below the node where their paths to the root meet. That node is found for all pairs
+    along the Euler tour, and edges are joined to the ends of pairs by point: the work is that of the rows returned.
     """
-    up = ancestors(tree, points.select("node_id")).select(F.col("node").alias("node_id"), "edge_id")
-    has = points.select("pt_idx", "node_id").join(up, "node_id").select(F.col("pt_idx").cast("long").alias("p"), "edge_id")
-    all_points = points.select(F.col("pt_idx").cast("long").alias("q"))
-    ends = has.join(all_points, F.col("p") != F.col("q"))
-    pair = ends.select(F.greatest("p", "q").alias("i"), F.least("p", "q").alias("j"), "edge_id")
-    return pair.groupBy("i", "j", "edge_id").agg(F.count(F.lit(1)).alias("n")).where("n = 1").drop("n")
+    return TreePaths(tree, points).incidence()
 
 
+@tidy
 def incidence_by_search(edges: DataFrame, points: DataFrame, weight: str = "inverse") -> DataFrame:
     """The same where the network has cycles: shortest paths from all points at once, then all paths walked back at once.
 
@@ -156,15 +117,16 @@ def incidence_by_search(edges: DataFrame, points: DataFrame, weight: str = "inve
         part = at.select("i", "j", "edge_id")
         out = part if out is None else out.unionByName(part)
         at = stored(at.select("i", "j", F.col("parent").alias("node")).join(back, ["j", "node"]).select("i", "j", "parent", "edge_id"))
-    return at.select("i", "j", "edge_id") if out is None else out
+    return stored(at.select("i", "j", "edge_id") if out is None else out, keep=True)
 
 
+@tidy
 def orient(edges: DataFrame, root: int, max_depth: int = 100_000) -> DataFrame:
     """Breadth-first orientation towards root: (child, parent, edge_id, depth); edges off the tree are dropped.
 
     Of several parents at the same depth the least is taken.
     """
-    hops = both_ways(edges.select("edge_id", "src", "dst")).persist()
+    hops = stored(both_ways(edges.select("edge_id", "src", "dst")))
     seen = edges.sparkSession.createDataFrame([(root, None, None, 0)], "child long, parent long, edge_id long, depth int")
     level = seen
     for depth in range(1, max_depth):
@@ -175,7 +137,7 @@ def orient(edges: DataFrame, root: int, max_depth: int = 100_000) -> DataFrame:
         seen = seen.unionByName(level)
         if depth % CUT_EVERY == 0:
             seen = stored(seen)
-    return seen.where("parent is not null")
+    return stored(seen.where("parent is not null"), keep=True)
 
 
 def diverge(tree: DataFrame) -> DataFrame:
@@ -183,9 +145,10 @@ def diverge(tree: DataFrame) -> DataFrame:
     return tree.withColumns({"child": F.col("parent"), "parent": F.col("child")})
 
 
+@tidy
 def components(edges: DataFrame) -> DataFrame:
     """(node_id, component): the least node reachable; minimum labels with pointer jumping."""
-    hops = both_ways(edges.select("src", "dst")).distinct().persist()
+    hops = stored(both_ways(edges.select("src", "dst")).distinct())
     labels = stored(hops.groupBy(F.col("src").alias("node_id")).agg(F.least(F.min("dst"), F.col("src")).alias("component")).select("node_id", "component"))
     while True:
         near = hops.join(labels.withColumnRenamed("node_id", "src"), "src").groupBy(F.col("dst").alias("node_id")).agg(F.min("component").alias("other"))
@@ -194,14 +157,14 @@ def components(edges: DataFrame) -> DataFrame:
         after = stored(low.join(jump, "now").select("node_id", F.col("component").alias("was"), F.least("now", "top").alias("component")))
         labels = after.select("node_id", "component")
         if after.where("was <> component").isEmpty():
-            hops.unpersist()
-            return labels
+            return stored(labels, keep=True)
 
 
 def is_connected(edges: DataFrame) -> bool:
     return components(edges).select("component").distinct().count() <= 1
 
 
+@tidy
 def contract(tree: DataFrame, sites: DataFrame) -> DataFrame:
     """Merges runs of edges between sites, forks and ends: (run_id, src, dst, length_km, reach_ids).
 
@@ -222,14 +185,15 @@ def contract(tree: DataFrame, sites: DataFrame) -> DataFrame:
         if after.where("was <> at").isEmpty():
             break
     runs = tree.join(label.withColumnRenamed("node", "child"), "child")
-    return runs.groupBy(F.col("at").alias("run_id")).agg(
+    runs = runs.groupBy(F.col("at").alias("run_id")).agg(
         F.min("at").alias("src"), F.max_by("parent", "steps").alias("dst"), F.sum("length_km").alias("length_km"), F.transform(F.array_sort(F.collect_list(F.struct("steps", "edge_id"))), lambda s: s["edge_id"]).alias("reach_ids")
     )
+    return stored(runs, keep=True)
 
 
 def annotate(edges: DataFrame, order: tuple[str, ...] = ("src", "dst")) -> DataFrame:
     """Adds EDGE_ID, a surrogate key from 0 in a fixed order."""
-    return edges.withColumn("EDGE_ID", F.row_number().over(W.orderBy(*order)) - 1)
+    return numbered_in_order(edges, *order, column="EDGE_ID")
 
 
 def append_edges(edges: DataFrame, ends: DataFrame) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,8 +10,10 @@ from pyspark.sql import functions as F
 
 from ..functions import aggregators, scalars, transforms
 from ..operators import cleaning, graph, inference, mlpe, points, samc, surface
+from ..operators.tree import TreePaths
 from ..sources import sinks, tables
 from ..sources.tables import reindex_matrix
+from ..storage import fresh_path
 from ..streaming import hall_of_fame
 from . import ensemble, evaluate, inputs, search, simulate
 from .inputs import ANC, COVARIATES, INC, METHODS, MODELS, PREDICTORS, PTS, RANKED, RESP, SURFACES, TREE, VARIABLES, mlpe_sql, table
@@ -462,10 +463,13 @@ def _(spark, d):
 _R = SURFACES + ", " + INC + ", pairwise AS (SELECT model_id, i, j, sum(resistance) AS resistance FROM surfaces JOIN inc USING (edge_id) GROUP BY 1, 2, 3)"
 
 
+def _paths(spark, d):
+    return TreePaths(inputs.tree(spark, d), inputs.points(spark, d))
+
+
 @query("effective_resistance", f"WITH RECURSIVE {_R} SELECT model_id, i, j, round(resistance, 6) AS resistance FROM pairwise")
 def _(spark, d):
-    inc = graph.incidence(inputs.tree(spark, d), inputs.points(spark, d))
-    return rounded(surface.effective_resistance(surface.surfaces(inputs.candidates(spark), _long(spark, d)), inc))
+    return rounded(_paths(spark, d).path_sums(surface.surfaces(inputs.candidates(spark), _long(spark, d)), ["model_id"]))
 
 
 def _response(spark, d, labels="aligned"):
@@ -477,9 +481,12 @@ _FITS = f"WITH RECURSIVE {_R}, {RESP}, joined AS (SELECT model_id AS key, i, j,
 _METRICS = "round(rho, 6) AS rho, round(loglik, 5) AS loglik, round(slope * slope / (slope * slope + mse), 6) AS r2m, round(2 * loglik - 4, 5) AS aic, round(2 * (loglik - loglik_null) - 2, 5) AS delta_aic_null"
 
 
+def _tree_response(spark, d, labels="aligned"):
+    return evaluate.TreeResponse(_paths(spark, d), _response(spark, d, labels), labels)
+
+
 def _evaluated(spark, d, models, zooms=0, metric="loglik"):
-    inc = graph.stored(graph.incidence(inputs.tree(spark, d), inputs.points(spark, d)))
-    return evaluate.evaluate(models, _long(spark, d), inc, graph.stored(_response(spark, d)), metric, 51, zooms)
+    return evaluate.evaluate(models, _long(spark, d), _tree_response(spark, d), None, metric, 51, zooms)
 
 
 @query("evaluate_models", f"{_FITS} SELECT key AS model_id, round(loglik, 5) AS fitness, {_METRICS} FROM fits")
@@ -505,27 +512,23 @@ def _(spark, d):
 @query("mlpe", f"WITH RECURSIVE {INC}, {RESP}, lengths AS (SELECT edge_id, length_km FROM tree), joined AS (SELECT 0 AS key, i, j, sum(length_km) AS x, any_value(value) AS y FROM inc JOIN lengths USING (edge_id) JOIN resp USING (i, j) GROUP BY i, j), {mlpe_sql('joined')} SELECT {_METRICS} FROM fits")
 def _(spark, d):
     length = inputs.tree(spark, d).select("edge_id", F.col("length_km").alias("resistance"), F.lit(0).alias("model_id"))
-    inc = graph.incidence(inputs.tree(spark, d), inputs.points(spark, d))
-    pairs = surface.effective_resistance(length, inc).join(_response(spark, d), ["i", "j"]).select("model_id", "pop1", "pop2", F.col("resistance").alias("x"), "y")
+    pairs = evaluate.paired(_paths(spark, d).path_sums(length, ["model_id"]), _response(spark, d), ["model_id"])
     return _rounded_metrics(mlpe.fit(pairs, ["model_id"], 51, 0).drop("model_id", "aic_null"))
 
 
 @query("mlpe_reference_labels")
 def _(spark, d):
     length = inputs.tree(spark, d).select("edge_id", F.col("length_km").alias("resistance"), F.lit(0).alias("model_id"))
-    inc = graph.incidence(inputs.tree(spark, d), inputs.points(spark, d))
-    pairs = surface.effective_resistance(length, inc).join(_response(spark, d, "reference"), ["i", "j"]).select("model_id", "pop1", "pop2", F.col("resistance").alias("x"), "y")
-    return _rounded_metrics(mlpe.fit(pairs, ["model_id"]).drop("model_id"))
+    return _rounded_metrics(_tree_response(spark, d, "reference").fits(length, ["model_id"], 51, 3).drop("model_id"))
 
 
 @query("null_model", f"WITH RECURSIVE {INC}, {RESP}, lengths AS (SELECT edge_id, length_km FROM tree), joined AS (SELECT 0 AS key, i, j, sum(length_km) AS x, any_value(value) AS y FROM inc JOIN lengths USING (edge_id) JOIN resp USING (i, j) GROUP BY i, j), {mlpe_sql('joined')} SELECT 'distance_only' AS model, round(loglik, 5) AS loglik, round(-2 * loglik + 4, 5) AS aic, round(slope * slope / (slope * slope + mse), 6) AS r2m, round(2 * (loglik - loglik_null) - 2, 5) AS delta_aic_null FROM fits UNION ALL SELECT 'null', round(loglik_null, 5), round(-2 * loglik_null + 2, 5), NULL, 0.0 FROM fits")
 def _(spark, d):
-    inc = graph.incidence(inputs.tree(spark, d), inputs.points(spark, d))
-    return _rounded_metrics(evaluate.null_model(inputs.tree(spark, d).select("edge_id", "length_km"), inc, _response(spark, d), 51, 0))
+    return _rounded_metrics(evaluate.null_model(inputs.tree(spark, d).select("edge_id", "length_km"), _tree_response(spark, d), None, 51, 0))
 
 
 _GRID_ROWS = f"""WITH RECURSIVE {PREDICTORS}, {INC}, {RESP}, grid AS (
-  SELECT (k * 9 + t) * 4 + s - 1 AS model_id, var, t, CAST(s AS DOUBLE) AS shape FROM (SELECT unnest(['quantity', 'discount', 'price']) AS var, unnest([0, 1, 2]) AS k), range(9) a(t), range(1, 5) b(s)
+  SELECT (k * 9 + t) * 100 + s - 1 AS model_id, var, t, CAST(s AS DOUBLE) AS shape FROM (SELECT unnest(['quantity', 'discount', 'price']) AS var, unnest([0, 1, 2]) AS k), range(9) a(t), range(1, 101) b(s)
 ), curves0 AS (SELECT model_id, edge_id, {inputs.CURVE} AS v FROM grid JOIN (SELECT *, min(value) OVER (PARTITION BY var) AS low, max(value) OVER (PARTITION BY var) AS high FROM long_predictors) USING (var)),
 surfaces AS (SELECT model_id, edge_id, (v - min(v) OVER w) / (max(v) OVER w - min(v) OVER w) AS resistance FROM curves0 WINDOW w AS (PARTITION BY model_id)),
 joined AS (SELECT model_id AS key, i, j, sum(resistance) AS x, any_value(value) AS y FROM surfaces JOIN inc USING (edge_id) JOIN resp USING (i, j) GROUP BY 1, 2, 3), {mlpe_sql('joined')},
@@ -533,7 +536,7 @@ graded AS (SELECT key AS model_id, var AS variable, t AS transform, shape, round
 
 
 def _grid(spark, d):
-    fits, _ = search.univariate_grid(spark, list(METHODS), lambda m: _rounded_metrics(_evaluated(spark, d, m)), 4)
+    fits, _ = search.univariate_grid(spark, list(METHODS), lambda m: _rounded_metrics(_evaluated(spark, d, m)), 100)
     return graph.stored(fits)
 
 
@@ -696,9 +699,8 @@ def _(spark, d):
 
 @query("average_matrix", f"{_AVERAGE}, v AS (SELECT i, j, round(sum(akaike_weight * resistance), 6) AS value FROM pairwise JOIN weights USING (model_id) GROUP BY 1, 2) SELECT i, j, value FROM v UNION ALL SELECT j, i, value FROM v UNION ALL SELECT pt_idx, pt_idx, 0.0 FROM pts")
 def _(spark, d):
-    inc = graph.incidence(inputs.tree(spark, d), inputs.points(spark, d))
-    pairs = surface.effective_resistance(surface.surfaces(inputs.candidates(spark), _long(spark, d)), inc)
-    return rounded(surface.symmetric(surface.averaged(pairs, _weights(spark), ["i", "j"]), inputs.points(spark, d)))
+    edges = surface.averaged(surface.surfaces(inputs.candidates(spark), _long(spark, d)), _weights(spark), ["edge_id"])
+    return rounded(surface.symmetric(_paths(spark, d).path_sums(edges, []), inputs.points(spark, d)))
 
 
 @query("ensemble", f"""WITH {MODELS.replace("models AS", "models0 AS")}, models AS (SELECT * FROM models0 QUALIFY row_number() OVER (PARTITION BY fitness, loglik ORDER BY model_id) = 1),
@@ -806,8 +808,7 @@ def _(spark, d):
 
 
 def _folder(spark):
-    graph.stored(spark.range(0))  # sets the shared folder
-    return f"{spark.sparkContext.getCheckpointDir()}/scan-{uuid.uuid4().hex}"
+    return fresh_path(spark, "scan")
 
 
 @query("scan_points", "SELECT c_name AS sample, c_acctbal AS lat, CAST(c_nationkey AS DOUBLE) AS long FROM customer")
@@ -871,8 +872,7 @@ def _(spark, d):
 
 @query("pairwise_regression", f"WITH RECURSIVE {_R}, {RESP} SELECT i, j, i + 1 AS pop2, j + 1 AS pop1, round(resistance, 6) AS resistance, round(value, 6) AS y FROM pairwise JOIN resp USING (i, j) WHERE model_id = 4")
 def _(spark, d):
-    inc = graph.incidence(inputs.tree(spark, d), inputs.points(spark, d))
-    r = surface.effective_resistance(surface.surfaces(inputs.candidates(spark).where("model_id = 4"), _long(spark, d)), inc)
+    r = _paths(spark, d).path_sums(surface.surfaces(inputs.candidates(spark).where("model_id = 4"), _long(spark, d)), ["model_id"])
     return rounded(r.join(_response(spark, d), ["i", "j"]).select("i", "j", "pop2", "pop1", "resistance", "y"))
 
 
@@ -903,24 +903,21 @@ def _(spark, d):
 
 @query("tpe_search")
 def _(spark, d):
-    inc = graph.stored(graph.incidence(inputs.tree(spark, d), inputs.points(spark, d)))
-    long, resp = _long(spark, d), graph.stored(_response(spark, d))
-    fit = lambda m: evaluate.evaluate(m, long, inc, resp, "loglik", 21, 1)
+    long, paths = _long(spark, d), _tree_response(spark, d)
+    fit = lambda m: evaluate.evaluate(m, long, paths, None, "loglik", 21, 1)
     return search.tpe(spark, search.Space(list(METHODS), 20), fit, chains=6, max_iter=3, n_startup=2, seed=1)
 
 
 @query("genetic_search")
 def _(spark, d):
-    inc = graph.stored(graph.incidence(inputs.tree(spark, d), inputs.points(spark, d)))
-    long, resp = _long(spark, d), graph.stored(_response(spark, d))
-    fit = lambda m: evaluate.evaluate(m, long, inc, resp, "loglik", 21, 1)
+    long, paths = _long(spark, d), _tree_response(spark, d)
+    fit = lambda m: evaluate.evaluate(m, long, paths, None, "loglik", 21, 1)
     return search.genetic(spark, search.Space(list(METHODS), 20), fit, population=10, generations=2, seed=1)[0]
 
 
 @query("streaming_top_models", f"WITH {MODELS}, u AS (SELECT model_id, fitness, loglik FROM models QUALIFY row_number() OVER (PARTITION BY fitness, loglik ORDER BY model_id) = 1) SELECT model_id, fitness, loglik FROM u ORDER BY fitness DESC, loglik, model_id LIMIT 10")
 def _(spark, d):
-    graph.stored(spark.range(0))  # sets the shared folder
-    base = f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
+    base = fresh_path(spark, "stream")
     _models(spark, d).select("model_id", "fitness", "loglik").repartition(3).write.parquet(f"{base}/in")
     stream = spark.readStream.schema("model_id long, fitness double, loglik double").option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
     run = stream.writeStream.foreachBatch(hall_of_fame.keep_top(f"{base}/top", 10)).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()

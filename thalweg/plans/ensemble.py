@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from ..operators import cleaning, inference
 from ..operators.surface import averaged, effective_resistance, surfaces
+from ..operators.tree import TreePaths
 from ..sources.tables import read_many
+from ..storage import stored
 
 
 def combine(models: DataFrame, only_keep: bool = False, max_keep: int | None = None, threshold: float = 0.95) -> DataFrame:
@@ -33,9 +35,13 @@ def distinct_coordinates(points: DataFrame) -> DataFrame:
     return points.withColumn("__r", F.row_number().over(once)).where("__r = 1").drop("__r")
 
 
-def model_average(ranked: DataFrame, variables: list[str], predictors: DataFrame, incidence: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Akaike-weighted edge and pair resistances over kept models; weights are not renormalised over those."""
+def model_average(ranked: DataFrame, variables: list[str], predictors: DataFrame, paths: DataFrame | TreePaths) -> tuple[DataFrame, DataFrame]:
+    """Akaike-weighted edge and pair resistances over kept models; weights are not renormalised over those.
+
+    Resistances along paths are sums over edges, so those of the averaged edges are the averages over models.
+    """
     kept = ranked.where("keep")
-    edges = surfaces(inference.long_models(kept, variables), predictors)
-    pairs = effective_resistance(edges, incidence)
-    return averaged(edges, kept, ["edge_id"]), averaged(pairs, kept, ["i", "j"])
+    edges = stored(averaged(surfaces(inference.long_models(kept, variables), predictors), kept, ["edge_id"]), "averaged-edges")
+    if isinstance(paths, TreePaths):
+        return edges, paths.path_sums(edges, [])
+    return edges, effective_resistance(edges.withColumn("model_id", F.lit(0)), paths).drop("model_id")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import cached_property
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,9 +12,8 @@ from ..operators import mlpe
 from ..operators.inference import fitness_metric
 from ..operators.points import population_labels
 from ..operators.surface import effective_resistance, surfaces
-
-#: Rows of (pair, edge) up to which the incidence is sent to every executor; a larger one is joined by shuffle.
-BROADCAST_INCIDENCE = 2_000_000
+from ..operators.tree import TreePaths
+from ..storage import stored
 
 
 def response_pairs(response: DataFrame, n: int, labels: str = "aligned") -> DataFrame:
@@ -20,28 +22,65 @@ def response_pairs(response: DataFrame, n: int, labels: str = "aligned") -> Data
     return population_labels(lower, n, labels).select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), "pop1", "pop2", F.col("value").alias("y"))
 
 
-def evaluate(models: DataFrame, predictors: DataFrame, incidence: DataFrame, response: DataFrame, metric: str = "loglik", grid: int = 51, zooms: int = 3) -> DataFrame:
+@dataclass
+class TreeResponse:
+    """A response between points on a tree: (i, j, pop1, pop2, y), i > j.
+
+    With aligned labels and a response for every pair, models are fitted from sums over edges (TreePaths.sufficient), without
+    a row for a pair. Else each model's pairs are made, from root-path sums of both ends.
+    """
+
+    paths: TreePaths
+    response: DataFrame
+    labels: str = "aligned"
+
+    @cached_property
+    def given(self) -> DataFrame:
+        return stored(self.response.where("y is not null"), "response")
+
+    @cached_property
+    def by_edges(self) -> bool:
+        n = self.paths.n_points
+        return self.labels == "aligned" and self.given.count() == n * (n - 1) // 2
+
+    @cached_property
+    def weights(self) -> DataFrame:
+        return self.paths.weights(self.given)
+
+    def fits(self, surfaces: DataFrame, keys: list[str], grid: int, zooms: int) -> DataFrame:
+        if self.by_edges:
+            return mlpe.fit_sums(self.paths.sufficient(surfaces, self.weights, self.given, keys), keys, grid, zooms)
+        return mlpe.fit(paired(self.paths.path_sums(surfaces, keys), self.given, keys), keys, grid, zooms)
+
+
+def paired(resistance: DataFrame, response: DataFrame, keys: list[str]) -> DataFrame:
+    return resistance.join(response, ["i", "j"]).select(*keys, "pop1", "pop2", F.col("resistance").alias("x"), "y")
+
+
+def fits_of(surfaces: DataFrame, paths: DataFrame | TreeResponse, response: DataFrame | None, keys: list[str], grid: int, zooms: int) -> DataFrame:
+    """paths: a TreeResponse, or the relation (i, j, edge_id), i > j, of networks with cycles, with a response."""
+    if isinstance(paths, TreeResponse):
+        return paths.fits(surfaces, keys, grid, zooms)
+    return mlpe.fit(paired(effective_resistance(surfaces, paths), response, keys), keys, grid, zooms)
+
+
+def evaluate(models: DataFrame, predictors: DataFrame, paths: DataFrame | TreeResponse, response: DataFrame | None = None, metric: str = "loglik", grid: int = 51, zooms: int = 3) -> DataFrame:
     """models: (model_id, var, sel, weight, transform, shape) -> (model_id, fitness, rho, loglik, r2m, aic, delta_aic_null).
 
-    incidence: (i, j, edge_id) with i > j; response: (i, j, pop1, pop2, y); predictors: (edge_id, var, value) in [0, 10].
-    Models that select nothing, or whose surface is constant, have fitness -infinity and null metrics.
+    paths, response: see fits_of(); predictors: (edge_id, var, value) in [0, 10]. Models that select nothing, or whose surface
+    is constant, have fitness -infinity and null metrics.
     """
-    inc = incidence.persist()
-    many = models.select("model_id").distinct().count() >= int(models.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # every pair of connected points has an edge, so pairs are no more than the rows of the incidence
-    small = F.broadcast if inc.count() <= BROADCAST_INCIDENCE else lambda df: df
-    resistance = effective_resistance(surfaces(models, predictors, by_model=many), small(inc))
-    pairs = resistance.join(small(response), ["i", "j"]).select("model_id", "pop1", "pop2", F.col("resistance").alias("x"), "y")
-    fits = mlpe.fit(pairs, ["model_id"], grid, zooms)
-    out = models.select("model_id").distinct().join(fits, "model_id", "left")
+    ids = models.select("model_id").distinct()
+    many = ids.count() >= int(models.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    fits = fits_of(surfaces(models, predictors, by_model=many), paths, response, ["model_id"], grid, zooms)
+    out = ids.join(fits, "model_id", "left")
     return out.select("model_id", F.coalesce(F.col(fitness_metric(metric)), F.lit(float("-inf"))).alias("fitness"), "rho", "loglik", "r2m", "aic", "delta_aic_null")
 
 
-def null_model(lengths: DataFrame, incidence: DataFrame, response: DataFrame, grid: int = 51, zooms: int = 3) -> DataFrame:
+def null_model(lengths: DataFrame, paths: DataFrame | TreeResponse, response: DataFrame | None = None, grid: int = 51, zooms: int = 3) -> DataFrame:
     """The models `distance_only` (path length) and `null` (no predictor at the same rho): loglik, aic, r2m."""
     surface = lengths.groupBy("edge_id").agg(F.sum("length_km").alias("resistance")).withColumn("model_id", F.lit("distance_only"))
-    pairs = effective_resistance(surface, incidence).join(response, ["i", "j"]).select("model_id", "pop1", "pop2", F.col("resistance").alias("x"), "y")
-    fit = mlpe.fit(pairs, ["model_id"], grid, zooms)
+    fit = fits_of(surface, paths, response, ["model_id"], grid, zooms)
     items = F.array(
         F.struct(F.lit("distance_only").alias("model"), F.col("loglik"), (-F.col("aic")).alias("aic"), F.col("r2m"), F.col("delta_aic_null")),
         F.struct(F.lit("null").alias("model"), (-(-F.col("aic_null") - 2) / 2).alias("loglik"), (-F.col("aic_null")).alias("aic"), F.lit(None).cast("double").alias("r2m"), F.lit(0.0).alias("delta_aic_null")),
