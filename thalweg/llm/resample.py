@@ -19,11 +19,10 @@ from pyspark.sql import types as T
 
 from ..operators.keys import numbered_in_order
 from ..shipping import ship
-from .common import UPPER, map_texts, stored, tidy
+from .common import map_texts, stored, tidy
 
-#: Words in text whose A-Z are in lower case.
-WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-_FOLD = str.maketrans(UPPER, UPPER.lower())
+#: Words in UTF-8 whose A-Z are in lower case.
+WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 #: The most frequent words, and tuples, that are broadcast; of any number beyond, the rest is joined by shuffle.
 FREQUENT = 100_000
 #: Distinct words that a task counts before it hands its counts on.
@@ -32,8 +31,9 @@ COUNTED = 300_000
 NONE = -1
 
 
-def words_of(text: str | None) -> list[str]:
-    return WORD.findall(text.translate(_FOLD)) if text else []
+def words_of(text: str | None) -> list[bytes]:
+    """bytes.lower() changes A-Z only."""
+    return WORD.findall(text.encode("utf-8", "replace").lower()) if text else []
 
 
 def count_words(texts: DataFrame) -> DataFrame:
@@ -44,7 +44,7 @@ def count_words(texts: DataFrame) -> DataFrame:
         counts = Counter()
 
         def flush():
-            out = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
+            out = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()).cast(pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
             counts.clear()
             return out
 
@@ -79,7 +79,7 @@ def encoded(texts: DataFrame, best: list[str]) -> DataFrame:
     ids: a text's words in order, rare ones as -2, -3, ... for the first, second, ... of the text's own distinct rare words,
     which `rare` lists.
     """
-    shared = texts.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(best)})
+    shared = texts.sparkSession.sparkContext.broadcast({w.encode(): i for i, w in enumerate(best)})
 
     def start():
         known = shared.value
@@ -89,7 +89,7 @@ def encoded(texts: DataFrame, best: list[str]) -> DataFrame:
             ids = [known.get(w) for w in words]
             for at in [k for k, i in enumerate(ids) if i is None]:
                 ids[at] = rare.setdefault(words[at], -2 - len(rare))
-            return np.array(ids, np.int64), list(rare)
+            return np.array(ids, np.int64), [w.decode() for w in rare]
 
         def work(texts):
             found = [one(t) for t in texts]
