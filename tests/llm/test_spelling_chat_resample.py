@@ -88,8 +88,11 @@ def test_runs_and_vocabulary(spark, frame):
 def test_small_parts():
     assert probe_places([9, 1, 9, 9, 2, 9, 1]) == (1, 6) and probe_places([1, 1, 1, 5]) == (0, 3)
     assert one_edit("abcdefg", "abcefg") and one_edit("abcdef", "abcdeg") and not one_edit("abcdef", "abcdef") and not one_edit("abcdefg", "abdceg") and one_edit("aaaaaaa", "aaaaaa")
-    assert Postings(["abcdef", "abcdeg", "uvwxyz"]).candidates("abcdef") == ["abcdef", "abcdeg"]
-    assert list(near_in([("abcdef", 3)], [("abcdefg", 1, -1), ("abcdefg", 1, 0)])) == [("abcdefg", 1, "abcdef", 3)]
+    assert Postings(["abcdef", "abcdeg", "abcxyz"], 0).candidates("abcdef", 0) == ["abcdef", "abcdeg"]
+    # met by the first gram at place 0; the second, which lies at place 3 of both, is left to it
+    assert list(near_in([("abcdef", 3)], [("abcdefg", 1, -1)], 0)) == [("abcdefg", 1, "abcdef", 3)]
+    assert list(near_in([("abcdef", 3)], [("abcxdef", 1, 0)], 3)) == []
+    assert list(near_in([("abcdef", 3)], [("xabcdef", 1, 0)], 3)) == [("xabcdef", 1, "abcdef", 3)]
 
 
 # ---- chat formatting

@@ -2,8 +2,8 @@
 
 One edit leaves one of any two disjoint q-grams of a word whole, at the place where the other word has it or one place
 before. So each word is probed with the pair of disjoint grams that the vocabulary holds least of, against an index of all
-words by (length, place, gram). What meets there is compared by merging the postings of a word's grams, kept sorted, with a
-heap, under the limits of length and place; words that share enough grams for one edit are verified.
+words by (length, place, gram). What meets there is compared by shorter grams: their sorted postings are merged with a heap,
+under the limits of length and place, and words that share as many as one edit must leave are verified.
 """
 
 from __future__ import annotations
@@ -130,36 +130,56 @@ def one_edit(x: str, y: str) -> bool:
 
 
 class Postings:
-    """Indexed words of one length: for each place and gram the numbers of the words that have it there, ascending."""
-
-    def __init__(self, words: list[str]):
-        self.words, self.length = words, len(words[0])
-        self.at: list[dict[str, list[int]]] = [{} for _ in range(self.length - Q + 1)]
-        for i, word in enumerate(words):
-            for p, grams in enumerate(self.at):
-                grams.setdefault(word[p : p + Q], []).append(i)
-
-    def candidates(self, x: str) -> list[str]:
-        """Words that share as many grams with x, where one edit would leave them, as one edit must leave: the postings
-        are merged by a heap and runs of equal numbers counted."""
-        longer, last = len(x) - self.length, len(self.at)
-        lists = []
-        for p in range(len(x) - Q + 1):
-            gram = x[p : p + Q]
-            for place in (p, p - 1) if longer else (p,):
-                if 0 <= place < last and (found := self.at[place].get(gram)):
-                    lists.append(found)
-        bound = len(x) - 2 * Q + 1
+    """Indexed words of one length that share the gram of their key: for each place and pair of letters the numbers of the
+    words that have it there, ascending. The pairs within the key's gram are left out, as all words have them."""
+
+    def __init__(self, words: list[str], key_place: int):
+        self.words, self.length, self.key_place = words, len(words[0]), key_place
+        self.known = range(key_place, key_place + Q - 1)
+        self.at: list[dict[str, list[int]]] = [{} for _ in range(self.length - 1)]
+        for p, pairs in enumerate(self.at):
+            if p not in self.known:
+                for i, word in enumerate(words):
+                    pairs.setdefault(word[p : p + 2], []).append(i)
+
+    def candidates(self, x: str, place: int) -> list[str]:
+        """Words that share as many pairs of letters with x, where one edit would leave them, as one edit must leave.
+        place: where x has the key's gram.
+
+        One edit destroys two of x's pairs, so of all but the key's the indexed word has all but two: at least one of any
+        three. The postings of the three rarest are merged by a heap, and the others counted for what is met there.
+        """
+        shifts = (0, 1) if len(x) > self.length else (0,)
+        found = []
+        for p in range(len(x) - 1):
+            if place <= p < place + Q - 1:
+                continue
+            pair = x[p : p + 2]
+            lists = [got for s in shifts if 0 <= p - s < len(self.at) and (got := self.at[p - s].get(pair))]
+            found.append((sum(map(len, lists)), p, lists))
+        found.sort(key=lambda f: f[0])
+        few, rest, bound = found[:3], found[3:], len(found) - 2
+        lists = [got for _, _, lists in few for got in lists]
         merged = heapq.merge(*lists) if len(lists) > 1 else iter(lists[0] if lists else ())
-        return [self.words[i] for i, run in groupby(merged) if sum(1 for _ in run) >= bound]
+        out = []
+        for i, run in groupby(merged):
+            met, word = sum(1 for _ in run), self.words[i]
+            if met < bound:
+                met += sum(any(word[p - s : p - s + 2] == x[p : p + 2] for s in shifts if p >= s) for _, p, _ in rest)
+            if met >= bound:
+                out.append(word)
+        return out
+
 
+def near_in(words: list[tuple[str, int]], probes: list[tuple[str, int, int]], key_place: int):
+    """(word, n, other, n of other) for pairs of an indexed and a probed word that are one edit apart and meet first here.
 
-def near_in(words: list[tuple[str, int]], probes: list[tuple[str, int, int]]):
-    """(word, n, other, n of other) for pairs of an indexed and a probed word that are one edit apart and meet first here."""
-    index = Postings([w for w, _ in words])
+    words have the key's gram at key_place; a longer word probes with its first gram there, with its second one place on.
+    """
+    index = Postings([w for w, _ in words], key_place)
     n_of = dict(words)
     for x, n, before in probes:
-        for y in index.candidates(x):
+        for y in index.candidates(x, key_place + (before >= 0 and len(x) > index.length)):
             if len(x) == len(y) and x >= y:
                 continue  # found when y is probed
             if before >= 0 and y[before : before + Q] == x[before : before + Q]:
@@ -180,7 +200,7 @@ def _compare(batches):
 
     def close():
         if words and probes:
-            for x, n, y, m in near_in(words, probes):
+            for x, n, y, m in near_in(words, probes, int(group[0].split(":", 2)[1])):
                 add(x, m, y)
                 add(y, n, x)
         words.clear(), probes.clear()
