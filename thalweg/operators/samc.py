@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.transforms import fill_zeros, rescale_over
-from ..shipping import ship
+from ..storage import stored, tidy
+from .tree import TreePaths, root_sums
 
 
 def absorption(tree: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -52,42 +51,121 @@ def neighbour_means(adjacency: DataFrame, values: DataFrame) -> DataFrame:
     return moves.groupBy(F.col("edge_i").alias("edge_id")).agg(F.avg(F.when(F.col("dir") > 0, F.col("p"))).alias("downstream"), F.avg(F.when(F.col("dir") < 0, F.col("p"))).alias("upstream"))
 
 
-def passage_times(q: np.ndarray, absorb: np.ndarray, sites: list[int], target: int) -> dict[int, float]:
-    """For one target: its row is scaled to what its absorption leaves, the diagonal completes each row to 1, and
-    (I - Q without target) t = q[:, target] is solved once for all origins."""
-    q, n = q.copy(), len(q)
-    off = q[target].sum() - q[target, target]
-    if off > 0:
-        keep = q[target, target]
-        q[target] *= (1 - absorb[target] * keep) / off
-        q[target, target] = keep
-    np.fill_diagonal(q, 0)
-    np.fill_diagonal(q, 1 - q.sum(1) - absorb)
-    rest = np.flatnonzero(np.arange(n) != target)
-    try:
-        t = np.linalg.solve(np.eye(n - 1) - q[np.ix_(rest, rest)], q[rest, target])
-    except np.linalg.LinAlgError:
-        t = np.full(n - 1, np.nan)
-    at = {int(k): float(v) for k, v in zip(rest, t)}
-    return {s: at[s] for s in sites if s != target}
-
-
-def conditional_passage(moves: DataFrame, absorb: DataFrame, sites: list[int], edges: list[int]) -> DataFrame:
-    """(origin, target, value) between site edges. One task per target; the transition matrix of the contracted network
-    (its edges are given, and bound its size) goes to each with the closure."""
-    index = {e: k for k, e in enumerate(edges)}
-    q, r = np.zeros((len(edges), len(edges))), np.zeros(len(edges))
-    for i, j, p in moves.select("i", "j", "p").collect():
-        q[index[i], index[j]] = p
-    for e, a in absorb.select("edge_id", "absorb").collect():
-        r[index[e]] = a or 0.0
-    at = [index[s] for s in sites]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = [(edges[o], edges[t], v) for t in pdf["target"] for o, v in passage_times(q, r, at, int(t)).items()]
-        return pd.DataFrame(out, columns=["origin", "target", "value"])
-
-    spark = moves.sparkSession
-    ship(spark)
-    targets = spark.createDataFrame([(t,) for t in at], "target long")
-    return targets.groupBy("target").applyInPandas(run, "origin long, target long, value double")
+def move_surface(models: DataFrame, curves: DataFrame, adjacency: DataFrame) -> DataFrame:
+    """models: (model_id, var, sel, weight, transform, shape, asymmetric); curves: (var, transform, shape, edge_id, value) in
+    [0, 1]; adjacency: (edge_i, edge_j, dir) -> (model_id, i, j, w): the conductance of each move from edge to edge.
+
+    A variable's resistance of a move is the mean of both edges' values, or, asymmetric, the value of the edge moved to less
+    that of the edge moved from; in [0, 1] over all moves. The weighted sum of the selected variables is made a conductance:
+    [0, 1], zeros to the least positive, inverted, and the same once more. A variable's moves are computed once for all
+    models that share its curve and its asymmetry. Constant surfaces give nulls, models without variables no rows.
+    """
+    chosen = models.where("sel = 1").select("model_id", "var", "weight", "transform", F.col("shape").cast("double").alias("shape"), F.col("asymmetric").cast("boolean").alias("asymmetric"))
+    kinds = chosen.select("var", "transform", "shape", "asymmetric").distinct()
+    here = curves.select("var", "transform", F.col("shape").cast("double").alias("shape"), "edge_id", "value")
+    a = here.select("var", "transform", "shape", F.col("edge_id").alias("i"), F.col("value").alias("vi"))
+    b = here.select("var", "transform", "shape", F.col("edge_id").alias("j"), F.col("value").alias("vj"))
+    curve = ["var", "transform", "shape"]
+    moves = adjacency.select(F.col("edge_i").alias("i"), F.col("edge_j").alias("j")).join(a, "i").join(b, [*curve, "j"]).join(kinds, curve)
+    raw = moves.withColumn("r", F.when(F.col("asymmetric"), F.col("vj") - F.col("vi")).otherwise((F.col("vi") + F.col("vj")) / 2))
+    over = W.partitionBy(*curve, "asymmetric")
+    one = raw.select(*curve, "asymmetric", "i", "j", rescale_over(F.col("r"), over).alias("r"))
+    summed = chosen.join(one, [*curve, "asymmetric"]).groupBy("model_id", "i", "j").agg(F.sum(F.col("weight") * F.col("r")).alias("w"))
+    mine = W.partitionBy("model_id")
+    for inverted in (False, True):
+        value = 1 / F.col("w") if inverted else F.col("w")
+        summed = summed.withColumn("w", value).withColumn("w", rescale_over(F.col("w"), mine)).withColumn("w", fill_zeros(F.col("w"), mine))
+    return summed
+
+
+def probabilities(moves: DataFrame, absorb: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys..., i, j, w) with (edge_id, absorb) -> (keys..., i, j, p): by row in proportion to w, what absorption leaves."""
+    total = moves.groupBy(*keys, "i").agg(F.sum("w").alias("total"))
+    rows = moves.join(total, [*keys, "i"]).join(absorb.select(F.col("edge_id").alias("i"), "absorb"), "i", "left")
+    return rows.select(*keys, "i", "j", (F.coalesce(F.try_divide(F.col("w"), F.col("total")), F.lit(0.0)) * (1 - F.coalesce("absorb", F.lit(0.0)))).alias("p"))
+
+
+def edge_tree(tree: DataFrame) -> DataFrame:
+    """tree: (child, parent, edge_id) -> (child, parent, edge_id) of edges: each edge under the next towards the root, those at
+    the root under a node of their own, whose id is one below all others."""
+    at = tree.select(F.col("child").alias("parent"), F.col("edge_id").alias("above"))
+    none = tree.agg((F.min("edge_id") - 1).alias("none"))
+    linked = tree.join(at, "parent", "left").crossJoin(F.broadcast(none))
+    return linked.select(F.col("edge_id").alias("child"), F.coalesce("above", "none").alias("parent"), "edge_id")
+
+
+def _settled(links: DataFrame, keys: list[str], step, tolerance: float, max_rounds: int, max_fail: int | None, name: str) -> DataFrame:
+    """links with messages h, from 0 on, until none changes by more than tolerance; those that still do after max_rounds are
+    null, and more than max_fail of them an error."""
+    now = stored(links.withColumn("h", F.lit(0.0)).withColumn("was", F.lit(-1.0)), name)
+    open_ = (F.abs(F.col("h") - F.col("was")) > tolerance) | F.col("h").isNull()
+    for _ in range(max_rounds):
+        before = now
+        now = stored(step(before).withColumn("was", F.coalesce(F.col("was"), F.lit(-1.0))), name)
+        if now.where(F.col("h").isNotNull() & (F.abs(F.col("h") - F.col("was")) > tolerance)).isEmpty():
+            break
+    failed = now.where(open_).count()
+    if max_fail is not None and failed > max_fail:
+        raise ValueError(f"{failed} of the messages have not settled, {max_fail} may fail")
+    return now.withColumn("h", F.when(~open_, F.col("h"))).drop("was")
+
+
+@tidy
+def passage(tree: DataFrame, moves: DataFrame, absorb: DataFrame, sites: DataFrame, keys: list[str] | None = None, tolerance: float = 1e-13, max_rounds: int = 10_000, max_fail: int | None = None) -> DataFrame:
+    """(keys..., origin, target, value) for all ordered pairs of site edges: the probability that a walk from the origin
+    reaches the target before it is absorbed.
+
+    tree: (child, parent, edge_id); moves: (keys..., i, j, p) between edges that follow each other; absorb: (edge_id, absorb),
+    absent or null is 0; sites: (edge_id). What an edge's moves and absorption leave of 1 is staying.
+
+    Edges form a tree, so a walk passes every edge between origin and target, and the value is a product: of the chances that
+    a walk from an edge ever reaches the next one, upwards and downwards. These are messages. Each follows from those of the
+    edges behind it; all are updated at once, for all keys, until they settle, which takes no more rounds than the tree is
+    high. Their logarithms are summed along paths as resistances are. No system is solved for a target, and no matrix made.
+    Sites on branches that meet only at the root cannot reach each other: 0. Messages that do not settle: null.
+    """
+    keys = keys or []
+    up_tree = stored(edge_tree(tree), "edge-tree")
+    moves = stored(moves.select(*keys, "i", "j", "p"), "moves")
+    leaving = moves.groupBy(*keys, "i").agg(F.sum("p").alias("out"))
+    exits = leaving.join(absorb.groupBy(F.col("edge_id").alias("i")).agg(F.first("absorb").alias("absorb")), "i", "left")
+    exits = exits.select(*keys, F.col("i").alias("edge"), (F.col("out") + F.coalesce("absorb", F.lit(0.0))).alias("exit"))
+    up = moves.select(*keys, F.col("i").alias("edge"), F.col("j").alias("above"), F.col("p").alias("up"))
+    down = moves.select(*keys, F.col("j").alias("edge"), F.col("i").alias("above"), F.col("p").alias("down"))
+    pairs = up_tree.select(F.col("child").alias("edge"), F.col("parent").alias("above"))
+    links = exits.join(pairs, "edge").join(up, [*keys, "edge", "above"], "left").join(down, [*keys, "edge", "above"], "left")
+    links = stored(links.fillna(0.0, ["up", "down"]).select(*keys, "edge", "above", "exit", "up", "down"), "links")
+
+    def upwards(now):
+        below = now.groupBy(*keys, F.col("above").alias("edge")).agg(F.sum(F.col("down") * F.col("h")).alias("back"))
+        return now.join(below, [*keys, "edge"], "left").select(*keys, "edge", "above", "exit", "up", "down", F.try_divide(F.col("up"), F.col("exit") - F.coalesce("back", F.lit(0.0))).alias("h"), F.col("h").alias("was"))
+
+    rise = _settled(links, keys, upwards, tolerance, max_rounds, max_fail, "rise")
+    rise = stored(rise.withColumnRenamed("h", "rise"), "rise")
+    over = rise.groupBy(*keys, F.col("above").alias("edge")).agg(F.sum(F.col("down") * F.col("rise")).alias("back"))
+    above = rise.join(over, [*keys, "edge"]).select(*keys, F.col("edge").alias("above"), F.col("exit").alias("exit_above"), F.col("up").alias("up_above"), "back")
+    falls = stored(rise.join(above, [*keys, "above"], "left").select(*keys, "edge", "above", "down", "rise", "exit_above", "up_above", "back"), "falls")
+
+    def downwards(now):
+        there = now.select(*keys, F.col("edge").alias("above"), F.col("h").alias("h_above"))
+        rest = F.col("exit_above") - (F.col("back") - F.col("down") * F.col("rise")) - F.col("up_above") * F.coalesce("h_above", F.lit(0.0))
+        # at the root there is no edge to fall from
+        fallen = F.when(F.col("exit_above").isNull(), F.lit(0.0)).otherwise(F.try_divide(F.col("down"), rest))
+        return now.join(there, [*keys, "above"], "left").select(*keys, "edge", "above", "down", "rise", "exit_above", "up_above", "back", fallen.alias("h"), F.col("h").alias("was"))
+
+    both = _settled(falls, keys, downwards, tolerance, max_rounds, max_fail, "falls").withColumnRenamed("h", "fall")
+    names = ["rise", "fall"]
+    logs = [F.when(F.col(c) > 0, F.ln(F.col(c))).otherwise(0.0).alias(f"log_{c}") for c in names]
+    none = [F.when(F.col(c) == 0, 1.0).otherwise(0.0).alias(f"none_{c}") for c in names] + [F.when(F.col(c).isNull(), 1.0).otherwise(0.0).alias(f"lost_{c}") for c in names]
+    values = [f"{k}_{c}" for k in ("log", "none", "lost") for c in names]
+    paths = TreePaths(up_tree, sites.select(F.col("edge_id").alias("pt_idx"), F.col("edge_id").alias("node_id")).distinct())
+    sums = stored(root_sums(paths.tour, both.select(*keys, F.col("edge").alias("edge_id"), *logs, *none), keys, values), "passage-sums")
+    at = lambda name, mark: sums.select(*keys, F.col("child").alias(name), *[F.col(v).alias(f"{mark}{v}") for v in values])
+    met = paths.meets.select("i", "j", "node").join(at("i", "i_"), "i").join(at("j", "j_"), [*keys, "j"]).join(at("node", "m_"), [*keys, "node"], "left").fillna(0.0, [f"m_{v}" for v in values])
+
+    def along(a: str, b: str):
+        total = lambda kind: F.col(f"{a}_{kind}_rise") - F.col(f"m_{kind}_rise") + F.col(f"{b}_{kind}_fall") - F.col(f"m_{kind}_fall")
+        value = F.when(total("lost") > 0.5, F.lit(None)).when(total("none") > 0.5, F.lit(0.0)).otherwise(F.exp(total("log")))
+        return F.struct(F.col(a).alias("origin"), F.col(b).alias("target"), value.alias("value"))
+
+    return stored(met.select(*keys, F.explode(F.array(along("i", "j"), along("j", "i"))).alias("x")).select(*keys, "x.*"), "passage", keep=True)

@@ -782,15 +782,28 @@ def _(spark, d):
     return rounded(samc.transition(graph.adjacency(inputs.tree(spark, d)), _conduct(spark, d)), 8)
 
 
-@query("conditional_passage")
-def _(spark, d):
-    t = graph.stored(_used(spark, d).where("parent <> 0"))
-    sizes = inputs.points(spark, d).select("node_id", F.lit(10.0).alias("size"))
-    absorb = samc.absorption(t, sizes)
-    moves = samc.transition(graph.adjacency(t), samc.conductance(t.select("edge_id", F.col("length_km").alias("resistance"))), absorb=absorb)
-    ids = [r[0] for r in t.select("edge_id").orderBy("edge_id").collect()]
-    sites = [r[0] for r in absorb.select("edge_id").orderBy("edge_id").collect()]
-    return rounded(samc.conditional_passage(moves, absorb, sites, ids), 8)
+#: The tree of reaches has three levels, so messages can be written out: suppliers rise to nations, these to regions.
+_PASSAGE = f"""{TREE}, {_CONDUCT}, sites AS (SELECT edge_id FROM tree WHERE child >= 1000),
+moved AS (SELECT a.edge_id AS e, b.edge_id AS up, (ca.v + cb.v) / 2 AS w FROM tree a JOIN tree b ON a.parent = b.child JOIN conduct ca ON ca.edge_id = a.edge_id JOIN conduct cb ON cb.edge_id = b.edge_id),
+total AS (SELECT e, sum(w) AS t FROM (SELECT e, w FROM moved UNION ALL SELECT up, w FROM moved) GROUP BY e),
+gone AS (SELECT edge_id AS e, CASE WHEN child >= 1000 THEN 0.05::DOUBLE ELSE 0 END AS absorb FROM tree),
+p AS (SELECT m.e, m.up, w / a.t * (1 - ga.absorb) AS up_p, w / b.t * (1 - gb.absorb) AS down_p FROM moved m JOIN total a ON a.e = m.e JOIN total b ON b.e = m.up JOIN gone ga ON ga.e = m.e JOIN gone gb ON gb.e = m.up),
+rise_s AS (SELECT e, up, up_p, down_p, up_p / 1.0 AS rise FROM p WHERE e >= 1000),
+rise_n AS (SELECT p.e, p.up, up_p, down_p, up_p / (1 - coalesce(b, 0)) AS rise, coalesce(b, 0) AS back FROM p LEFT JOIN (SELECT up AS n, sum(down_p * rise) AS b FROM rise_s GROUP BY 1) x ON x.n = p.e WHERE p.e < 1000),
+back_r AS (SELECT up AS r, sum(down_p * rise) AS back FROM rise_n GROUP BY 1),
+fall_n AS (SELECT n.*, down_p / (1 - (r.back - down_p * rise)) AS fall FROM rise_n n JOIN back_r r ON r.r = n.up),
+fall_s AS (SELECT s.e, s.up AS nation, n.up AS region, s.rise, n.rise AS rise_n, n.fall AS fall_n, s.down_p / (1 - (n.back - s.down_p * s.rise) - n.up_p * n.fall) AS fall FROM rise_s s JOIN fall_n n ON n.e = s.up)"""
+
+
+@query("conditional_passage", f"""WITH {_PASSAGE} SELECT a.e AS origin, b.e AS target,
+  round(CASE WHEN a.nation = b.nation THEN a.rise * b.fall WHEN a.region = b.region THEN a.rise * a.rise_n * b.fall_n * b.fall ELSE 0 END, 8) AS value
+FROM fall_s a JOIN fall_s b ON a.e <> b.e""")
+def _(spark, d):
+    t = inputs.tree(spark, d)
+    sites = t.where("child >= 1000").select("edge_id")
+    absorb = sites.withColumn("absorb", F.lit(0.05))
+    moves = samc.transition(graph.adjacency(t), _conduct(spark, d), absorb=absorb)
+    return rounded(samc.passage(t, moves, absorb, sites), 8)
 
 
 @query("transition_directional", f"WITH {TREE}, {_CONDUCT}, down AS (SELECT a.edge_id AS i, b.edge_id AS j FROM tree a JOIN tree b ON a.parent = b.child), adj AS (SELECT i, j FROM down UNION ALL SELECT j, i FROM down), w AS (SELECT i, j, greatest(a.v - b.v, 0) AS w FROM adj JOIN conduct a ON i = a.edge_id JOIN conduct b ON j = b.edge_id), t AS (SELECT i, j, w, sum(w) OVER (PARTITION BY i) AS total FROM w) SELECT i, j, round(CASE WHEN total = 0 THEN 0 ELSE w / total END, 8) AS p FROM t")
