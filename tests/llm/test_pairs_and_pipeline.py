@@ -1,5 +1,8 @@
+import os
 import random
+import threading
 from collections import Counter
+from urllib.parse import urlparse
 
 import numpy as np
 import pytest
@@ -10,7 +13,7 @@ import corpus_pipeline
 from thalweg.llm import decontaminate as dc
 from thalweg.llm import embedding_dedup as ed
 from thalweg.llm import ngram_join as nj
-from thalweg.llm.common import fresh_path, shared_folder
+from thalweg.llm.common import fresh_path, scratch, shared_folder
 from thalweg.llm.components import components
 
 from .conftest import DOCS, documents
@@ -422,21 +425,53 @@ def test_pipeline_stages_do_not_depend_on_parallelism(spark, frame, restless):
     assert {r["doc_id"] for r in joined.collect() if r["contaminated"]} == {202}
 
 
-def test_no_machine_local_folder_on_a_cluster(spark, monkeypatch):
+def test_no_machine_local_folder_on_a_cluster():
     class Context:
         master = "spark://host:7077"
 
         def getCheckpointDir(self):
             return None
 
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
     class Session:
-        sparkContext, conf = Context(), spark.conf
+        sparkContext, conf = Context(), Conf()
 
     with pytest.raises(ValueError, match="checkpoint"):
         shared_folder(Session())
 
 
-def test_what_is_stored_on_the_way_is_deleted(spark, frame):
-    before = set(spark.sparkContext._thalweg_paths)
-    nj.jaccard_classes(frame(near_copies()[:40], "doc_id long, text string")).count()
-    assert set(spark.sparkContext._thalweg_paths) == before
+def held(spark):
+    return set(os.listdir(urlparse(shared_folder(spark)).path))
+
+
+def test_only_what_a_result_reads_stays(spark, frame):
+    before, docs = held(spark), frame(near_copies()[:40], "doc_id long, text string")
+    found = nj.jaccard_classes(docs)
+    assert found.count() == 40 and len(held(spark) - before) == 2
+    with scratch(spark):
+        nj.jaccard_classes(docs).count()
+    assert len(held(spark) - before) == 2
+    with pytest.raises(Exception, match="no_such_column"):
+        nj.jaccard_classes(docs, id_col="no_such_column")
+    assert len(held(spark) - before) == 2 and found.count() == 40
+
+
+def test_two_runs_at_once(spark, frame):
+    """Each of two threads joins its own documents; neither deletes what the other reads."""
+    out, errors = {}, []
+    docs = {k: frame(near_copies()[k : k + 60], "doc_id long, text string") for k in (0, 30)}
+    classes = lambda k: sorted((r["doc_id"], r["class_id"], r["n_links"]) for r in nj.jaccard_classes(docs[k]).collect())
+
+    def work(k):
+        try:
+            out[k] = classes(k)
+        except Exception as e:  # noqa: BLE001
+            errors.append(e)
+
+    threads = [threading.Thread(target=work, args=(k,)) for k in docs]
+    [t.start() for t in threads]
+    [t.join() for t in threads]
+    assert not errors and out == {k: classes(k) for k in docs}

@@ -22,6 +22,8 @@ MIN_TILE, COVERAGE = 5, 0.8
 BROADCAST_CHARS = 8_000_000
 #: Bytes as words see them: A-Z in lower case, ASCII punctuation and controls as white space, the rest as it is.
 FOLD = bytes((c + 32 if chr(c) in UPPER else c if c > 127 or chr(c).isalnum() else 32) for c in range(256))
+#: Shares of words that differ by less are equal.
+SLACK = 1e-12
 _SEED = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -156,17 +158,26 @@ class Benchmark:
         ahead = np.where(same, np.minimum(self.min_tile, np.append(place[1:], 0) - place), self.min_tile)
         cuts = np.flatnonzero(np.append(True, ~same[:-1]))
         most = np.add.reduceat(ahead, cuts) / np.array([len(self.words[v]) for v in version[cuts]])
-        ends, top, found = np.append(cuts[1:], len(version)), 0.0, {}
-        for j in np.argsort(-most, kind="stable").tolist():
-            if most[j] < min(self.threshold, top) - 1e-12:
-                break
+        ends, top, first, found = np.append(cuts[1:], len(version)), 0.0, None, {}
+        ids = [self.ids[v] for v in version[cuts].tolist()]
+        for j in sorted(range(len(ids)), key=lambda j: (-most[j], ids[j])):
+            if most[j] < self.threshold - SLACK and not could_be_best(most[j], ids[j], top, first):
+                if most[j] < top - SLACK:
+                    break
+                continue
             here = at[np.isin(k, seed[cuts[j] : ends[j]])]
             share, tiles = covered(self.words[version[cuts[j]]], here, words, self.min_tile)
-            top, item = max(top, share), self.ids[version[cuts[j]]]
-            found[item] = max(found.get(item, (0.0, 0)), (share, tiles))
+            found[ids[j]] = max(found.get(ids[j], (0.0, 0)), (share, tiles))
+            if first is None or share > top or (share == top and ids[j] < first):
+                top, first = share, ids[j]
         return [(i, *found[i]) for i in sorted(found)]
 
 
+def could_be_best(most: float, item: int, top: float, first: int | None) -> bool:
+    """Whether an item covered to `most` at most may be covered more than the best so far, or as much with a smaller id."""
+    return first is None or most > top + SLACK or (most >= top - SLACK and item < first)
+
+
 def covered(pattern: np.ndarray, at: np.ndarray, words: np.ndarray, min_tile: int) -> tuple[float, int]:
     """(share, tiles) of a pattern by the words of a document under its seeds, which begin at the places `at`."""
     under = np.zeros(len(words) + 1, np.int64)
@@ -228,7 +239,17 @@ def _joined(docs: DataFrame, text_col: str, carried: dict[str, Column], items: D
         return lambda texts: ([np.unique(seeds(tokens(t), min_tile)).view(np.int64).tolist() for t in texts],)
 
     of_docs = map_texts(whole, "text", {"rid": F.col("rid")}, {"hs": "array<bigint>"}, start).select("rid", F.explode("hs").alias("h"))
-    of_items = durable(map_texts(named, "item_text", {"version": F.col("version")}, {"hs": "array<bigint>"}, start).select("version", F.explode("hs").alias("h")))
+
+    def start_items():
+        def work(texts):
+            found = [tokens(t) for t in texts]
+            return [seeds(w, min_tile).view(np.int64).tolist() for w in found], [len(w) for w in found]
+
+        return work
+
+    seeded = durable(map_texts(named, "item_text", {"version": F.col("version"), "item_id": F.col("item_id"), "item_text": F.col("item_text")}, {"hs": "array<bigint>", "n_words": "long"}, start_items))
+    named = seeded.select("version", "item_id", "item_text", "n_words")
+    of_items = durable(seeded.select("version", F.posexplode("hs").alias("place", "h")))
     used = of_docs.join(of_items.select("h").distinct(), "h", "left_semi").groupBy("rid").agg(F.collect_list("h").alias("hs"))
 
     def start_places():
@@ -240,7 +261,12 @@ def _joined(docs: DataFrame, text_col: str, carried: dict[str, Column], items: D
         return lambda rows: ([hits(r["text"], r["hs"]) for r in rows],)
 
     places = map_texts(whole.join(used, "rid"), F.struct("text", "hs"), {"rid": F.col("rid")}, {"hits": "array<struct<h:bigint,at:bigint,words:array<bigint>>>"}, start_places).select("rid", F.explode("hits").alias("x")).select("rid", "x.*")
-    met = durable(places).join(of_items, "h").groupBy("rid", "version").agg(F.collect_list(F.struct("at", "words")).alias("hits")).join(named, "version")
+    places = durable(places)
+    # the most that an item can be covered follows from the seeds that both share, before any word is attached to a pair
+    ahead = F.aggregate(F.sequence(F.lit(1), F.size("at")), F.lit(0).cast("long"), lambda a, i: a + F.least(F.lit(min_tile).cast("long"), F.coalesce(F.get("at", i) - F.get("at", i - 1), F.lit(min_tile))))
+    met = places.select("rid", "h").distinct().join(of_items, "h").groupBy("rid", "version").agg(F.array_sort(F.collect_list("place")).alias("at"))
+    sized = named.select("version", "item_id", "n_words")
+    bounds = durable(met.join(sized, "version").select("rid", "version", "item_id", (ahead / F.col("n_words")).alias("most")))
 
     def start_pairs():
         def one(item, hits):
@@ -256,8 +282,20 @@ def _joined(docs: DataFrame, text_col: str, carried: dict[str, Column], items: D
 
         return lambda rows: tuple(zip(*(one(r["item"], r["hits"]) for r in rows))) or ([], [])
 
-    tiled = map_texts(met, F.struct(F.col("item_text").alias("item"), "hits"), {"rid": F.col("rid"), "item_id": F.col("item_id")}, {"coverage": "double", "n_tiles": "long"}, start_pairs)
-    best = tiled.groupBy("rid", "item_id").agg(F.max(F.struct("coverage", "n_tiles")).alias("b"))
+    def tiled(pairs: DataFrame) -> DataFrame:
+        """(rid, item_id, b STRUCT<coverage, n_tiles>) of the given (rid, version)."""
+        seeds_of = pairs.select("rid", "version").join(of_items.select("version", "h").distinct(), "version")
+        hits = seeds_of.join(places, ["rid", "h"]).groupBy("rid", "version").agg(F.collect_list(F.struct("at", "words")).alias("hits")).join(named, "version")
+        found = map_texts(hits, F.struct(F.col("item_text").alias("item"), "hits"), {"rid": F.col("rid"), "item_id": F.col("item_id")}, {"coverage": "double", "n_tiles": "long"}, start_pairs)
+        return found.groupBy("rid", "item_id").agg(F.max(F.struct("coverage", "n_tiles")).alias("b"))
+
+    # tiled are all items that may reach the threshold and the likeliest one, then those that may still be covered more
+    likeliest = bounds.groupBy("rid").agg(F.max(F.struct(F.col("most"), (-F.col("item_id")).alias("i"), F.col("version"))).alias("x")).select("rid", F.col("x.version").alias("likeliest"))
+    ranked = bounds.join(likeliest, "rid").withColumn("first", (F.col("most") >= threshold - SLACK) | (F.col("version") == F.col("likeliest")))
+    sure = durable(tiled(ranked.where("first")))
+    top = sure.groupBy("rid").agg(F.max(F.struct(F.col("b.coverage"), (-F.col("item_id")).alias("i"))).alias("t")).select("rid", F.col("t.coverage").alias("top"), (-F.col("t.i")).alias("best"))
+    open_ = ranked.where("not first").join(top, "rid").where((F.col("most") > F.col("top") + SLACK) | ((F.col("most") >= F.col("top") - SLACK) & (F.col("item_id") < F.col("best"))))
+    best = sure.unionByName(tiled(open_)).groupBy("rid", "item_id").agg(F.max("b").alias("b"))
     over = F.col("b.coverage") >= threshold
     per = best.groupBy("rid").agg(
         F.count_if(over).alias("n_items"), F.max(F.struct(F.col("b.coverage"), (-F.col("item_id")).alias("i"), F.col("b.n_tiles"))).alias("top"), F.array_sort(F.collect_list(F.when(over, F.col("item_id")))).alias("item_ids")

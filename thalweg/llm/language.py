@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -21,8 +22,10 @@ VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 #: Bounds of the training sample, for each language: documents (expected), distinct words.
 SAMPLE_DOCS, SAMPLE_WORDS = 300, 6_000
 LETTERS = re.compile(r"[^\W\d_]+")
-#: Longer runs of letters are scored as several words, so that probabilities stay within doubles.
-WORD_LETTERS = 40
+#: Longer runs of letters are summed up in logarithms, as their probabilities may leave the range of doubles.
+PLAIN_LETTERS = 40
+#: Cells (words x letters) that are summed up at once.
+CELLS = 1_000_000
 SMOOTHING, UNKNOWN, ROUNDS, MEMO_WORDS = 0.05, 1e-5, 4, 200_000
 START = "▁"
 
@@ -42,22 +45,33 @@ def words_of(text: str) -> Counter:
         n = found.pop(word)
         for part in "".join(c if c.isalpha() else " " for c in word).split():
             found[part] += n
-    for word in [w for w in found if len(w) > WORD_LETTERS]:
-        n = found.pop(word)
-        for i in range(0, len(word), WORD_LETTERS):
-            found[word[i : i + WORD_LETTERS]] += n
     return found
 
 
+def batches(words: list[str]) -> Iterator[tuple[list[int], bool]]:
+    """Places of words to be summed up together, and whether in logarithms: of like length, CELLS letters or one word."""
+    order = sorted(range(len(words)), key=lambda k: len(words[k]))
+    held: list[int] = []
+    for k in order:
+        n = len(words[k])
+        if held and ((n > PLAIN_LETTERS) != (len(words[held[-1]]) > PLAIN_LETTERS) or (len(held) + 1) * (n + 2) > CELLS):
+            yield held, len(words[held[-1]]) > PLAIN_LETTERS
+            held = []
+        held.append(k)
+    if held:
+        yield held, len(words[held[-1]]) > PLAIN_LETTERS
+
+
 class Lattice:
     """All pieces within a list of words, as edges (word, from, to, piece) in order of `to`."""
 
-    def __init__(self, automaton, singles: np.ndarray, unknown: int, words: list[str]):
+    def __init__(self, automaton, singles: np.ndarray, sizes: np.ndarray, words: list[str]):
         joined = "\n".join(START + w for w in words)
         self.length = np.fromiter((len(w) + 1 for w in words), np.int64, len(words))
         start = np.concatenate(([0], np.cumsum(self.length + 1)[:-1])).astype(np.int64)
         hits = np.fromiter((end << 32 | value for end, value in automaton.iter(joined)), np.int64)
-        end, piece, size = hits >> 32, (hits >> 6) & 0x3FFFFFF, hits & 63
+        end, piece, unknown = hits >> 32, hits & 0xFFFFFFFF, len(sizes)
+        size = sizes[piece]
         codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
         lone = np.flatnonzero(~np.isin(codes, singles) & (codes != 10))
         end, piece, size = np.concatenate((end, lone)), np.concatenate((piece, np.full(len(lone), unknown))), np.concatenate((size, np.ones(len(lone), np.int64)))
@@ -75,29 +89,43 @@ class Lattice:
         for a, b in zip(cuts[:-1], cuts[1:]):
             yield a, b
 
-    def forward(self, p: np.ndarray) -> np.ndarray:
-        """p: (pieces, languages) -> alpha: (words, positions, languages), summed over all segmentations."""
-        alpha = np.zeros((len(self.length), int(self.length.max(initial=0)) + 1, p.shape[1]))
-        alpha[:, 0] = 1
+    def forward(self, p: np.ndarray, logs: bool = False) -> np.ndarray:
+        """p: (pieces, languages) -> alpha: (words, positions, languages), summed over all segmentations; both in
+        logarithms if `logs`."""
+        join, add, one = (np.add, np.logaddexp, 0.0) if logs else (np.multiply, np.add, 1.0)
+        alpha = np.full((len(self.length), int(self.length.max(initial=0)) + 1, p.shape[1]), -np.inf if logs else 0.0)
+        alpha[:, 0] = one
         for a, b in self._steps(self.to):
             word = self.word[a:b]
             first = np.concatenate(([0], np.flatnonzero(np.diff(word)) + 1))
-            alpha[word[first], self.to[a]] = np.add.reduceat(alpha[word, self.frm[a:b]] * p[self.piece[a:b]], first)
+            alpha[word[first], self.to[a]] = add.reduceat(join(alpha[word, self.frm[a:b]], p[self.piece[a:b]]), first)
         return alpha
 
-    def expected(self, p: np.ndarray, times: np.ndarray) -> np.ndarray:
+    def whole(self, p: np.ndarray, logs: bool = False) -> np.ndarray:
+        """(words, languages): the logarithm of each word's probability."""
+        with np.errstate(divide="ignore"):
+            alpha = self.forward(np.log(p) if logs else p, logs)[np.arange(len(self.length)), self.length]
+            return alpha if logs else np.log(np.maximum(alpha, 1e-300))
+
+    def expected(self, p: np.ndarray, times: np.ndarray, logs: bool = False) -> np.ndarray:
         """Expected uses of each piece, for one language: p (pieces, 1)."""
-        alpha, n = self.forward(p)[..., 0], len(self.length)
-        beta = np.zeros_like(alpha)
-        beta[np.arange(n), self.length] = 1
+        join, add, one, n = *((np.add, np.logaddexp, 0.0) if logs else (np.multiply, np.add, 1.0)), len(self.length)
+        with np.errstate(divide="ignore"):
+            p = np.log(p) if logs else p
+        alpha = self.forward(p, logs)[..., 0]
+        beta = np.full_like(alpha, -np.inf if logs else 0.0)
+        beta[np.arange(n), self.length] = one
         order = np.lexsort((self.word, -self.frm))
         word, frm, to, q = self.word[order], self.frm[order], self.to[order], p[self.piece[order], 0]
         for a, b in self._steps(frm):
             w = word[a:b]
             first = np.concatenate(([0], np.flatnonzero(np.diff(w)) + 1))
-            beta[w[first], frm[a]] = np.add.reduceat(beta[w, to[a:b]] * q[a:b], first)
-        whole = np.maximum(alpha[np.arange(n), self.length], 1e-300)
-        uses = alpha[word, frm] * q * beta[word, to] * (times / whole)[word]
+            beta[w[first], frm[a]] = add.reduceat(join(beta[w, to[a:b]], q[a:b]), first)
+        whole = alpha[np.arange(n), self.length]
+        if logs:
+            uses = np.exp(alpha[word, frm] + q + beta[word, to] - whole[word]) * times[word]
+        else:
+            uses = alpha[word, frm] * q * beta[word, to] * (times / np.maximum(whole, 1e-300))[word]
         return np.bincount(self.piece[order], uses, len(p))
 
 
@@ -110,10 +138,10 @@ class LanguageModel:
         p = np.zeros((len(pieces) + 1, len(self.languages)))
         for j, language in enumerate(self.languages):
             vocabulary, times = zip(*counts[language].items()) if counts[language] else ((), ())
-            lattice, times = self.lattice(list(vocabulary)), np.array(times, float)
+            parts = [(self.lattice([vocabulary[k] for k in at]), np.array([times[k] for k in at], float), logs) for at, logs in batches(vocabulary)]
             now = np.full(len(pieces) + 1, 1 / (len(pieces) + 1))
             for _ in range(ROUNDS if len(times) else 0):
-                uses = lattice.expected(now[:, None], times)
+                uses = sum(lattice.expected(now[:, None], n, logs) for lattice, n, logs in parts)
                 now = (1 - SMOOTHING) * uses / uses.sum() + SMOOTHING / len(now)
             now[-1] = UNKNOWN
             p[:, j] = now
@@ -129,18 +157,17 @@ class LanguageModel:
 
             automaton = ahocorasick.Automaton()
             for i, piece in enumerate(self.pieces):
-                if len(piece) < 64:
-                    automaton.add_word(piece, i << 6 | len(piece))
+                automaton.add_word(piece, i)
             automaton.make_automaton()
-            self._lattice = automaton, np.array(sorted(ord(x) for x in self.pieces if len(x) == 1), np.uint32)
-        return Lattice(*self._lattice, len(self.pieces), words)
+            self._lattice = automaton, np.array(sorted(ord(x) for x in self.pieces if len(x) == 1), np.uint32), np.array([len(x) for x in self.pieces], np.int64)
+        return Lattice(*self._lattice, words)
 
     def log_words(self, words: list[str]) -> np.ndarray:
         """(words, languages): log probabilities."""
-        if not words:
-            return np.zeros((0, len(self.languages)))
-        lattice = self.lattice(words)
-        return np.log(np.maximum(lattice.forward(self.p)[np.arange(len(words)), lattice.length], 1e-300))
+        out = np.zeros((len(words), len(self.languages)))
+        for at, logs in batches(words):
+            out[at] = self.lattice([words[k] for k in at]).whole(self.p, logs)
+        return out
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", pieces: str = VOCABULARY, sample_docs: int = SAMPLE_DOCS, sample_words: int = SAMPLE_WORDS) -> LanguageModel:
