@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from thalweg.operators import cleaning, graph, inference, mlpe, points, samc, surface
+from thalweg.operators import cleaning, graph, inference, mlpe, points, surface
 
 
 def rows(df, *order):
@@ -246,13 +246,3 @@ def test_surface_and_unselected(spark):
     assert {r[0] for r in out} == {0} and [r[2] for r in out] == pytest.approx([k / 10 for k in range(11)])
     with pytest.raises(ValueError):
         surface.predictors(long.select("edge_id", F.lit(1.0).alias("v")), {"v": "ARITH"})
-
-
-def test_passage_times_by_hand():
-    # three states in a row; from 0 one always moves to 1, from 1 to 2 with 0.5 or back with 0.5
-    q = np.array([[0, 1.0, 0], [0.5, 0, 0.5], [0, 1.0, 0]])
-    got = samc.passage_times(q, np.zeros(3), [0, 1, 2], 2)
-    assert got[0] == pytest.approx(1.0) and got[1] == pytest.approx(1.0)
-    leak = samc.passage_times(q * 0.8, np.full(3, 0.2), [0, 1, 2], 2)
-    # p1 = 0.4 + 0.4 p0, p0 = 0.8 p1
-    assert leak[1] == pytest.approx(0.4 / (1 - 0.32)) and leak[0] == pytest.approx(0.8 * 0.4 / (1 - 0.32))

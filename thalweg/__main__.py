@@ -51,6 +51,8 @@ def _parser() -> argparse.ArgumentParser:
     p.add_argument("--trans-file", help="fixed curves")
     p.add_argument("--grid", action="store_true", help="fix each variable's curve by a univariate grid first")
     p.add_argument("--max-hof-size", type=int, default=100)
+    p.add_argument("--sizes", help="population sizes: fits are those of Markov chains between sites")
+    p.add_argument("--asymmetric", default="", help="comma list of variables that tell moves up from moves down, with --sizes")
     p = command("ensemble")
     p.add_argument("--runs", required=True, help="prefix of .HallOfFame.tsv files")
     p.add_argument("--only-best", action="store_true")
@@ -81,6 +83,15 @@ def report(net: Network, ranked, variables: list[str], out: str, only_keep: bool
     sinks.write_tsv(sinks.matrix(surface.symmetric(pairs, net.points), labels), f"{out}.Model-Average.ResistanceMatrix.tsv")
 
 
+def _fitting(spark: SparkSession, net: Network, args):
+    """What evaluates candidates: path resistances, or with sizes the passage of Markov chains."""
+    if not args.sizes:
+        return lambda models: net.evaluate(models, args.fitmetric)
+    chain, directed = net.chain(tables.read_sizes(spark, args.sizes)), [v for v in args.asymmetric.split(",") if v]
+    long = surface.long_predictors(net.predictors)
+    return lambda models: chain.evaluate(models.withColumn("asymmetric", F.col("var").isin(directed) if directed else F.lit(False)), long, args.fitmetric)
+
+
 def main(argv: list[str] | None = None) -> None:
     args = _parser().parse_args(argv)
     spark = SparkSession.builder.appName("thalweg").getOrCreate()
@@ -101,7 +112,7 @@ def main(argv: list[str] | None = None) -> None:
         report(net, ranked, variables, args.out, args.only_keep)
         return
     net = Network(nodes, edges, samples, methods, tables.read_matrix(spark, args.inmat), args.weight, args.labels, args.pop_agg)
-    fit = lambda models: net.evaluate(models, args.fitmetric)
+    fit = _fitting(spark, net, args)
     fixed = tables.read_fixed(spark, args.trans_file) if args.trans_file else {}
     if args.grid:
         fits, best = search.univariate_grid(spark, variables, fit, args.max_shape)

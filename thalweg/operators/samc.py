@@ -94,6 +94,11 @@ def edge_tree(tree: DataFrame) -> DataFrame:
     return linked.select(F.col("edge_id").alias("child"), F.coalesce("above", "none").alias("parent"), "edge_id")
 
 
+def _chance(move, leaving):
+    """Of a walk that leaves, null where none does though there is a move."""
+    return F.when(move == 0, F.lit(0.0)).otherwise(F.try_divide(move, leaving))
+
+
 def _settled(links: DataFrame, keys: list[str], step, tolerance: float, max_rounds: int, max_fail: int | None, name: str) -> DataFrame:
     """links with messages h, from 0 on, until none changes by more than tolerance; those that still do after max_rounds are
     null, and more than max_fail of them an error."""
@@ -127,18 +132,20 @@ def passage(tree: DataFrame, moves: DataFrame, absorb: DataFrame, sites: DataFra
     keys = keys or []
     up_tree = stored(edge_tree(tree), "edge-tree")
     moves = stored(moves.select(*keys, "i", "j", "p"), "moves")
-    leaving = moves.groupBy(*keys, "i").agg(F.sum("p").alias("out"))
-    exits = leaving.join(absorb.groupBy(F.col("edge_id").alias("i")).agg(F.first("absorb").alias("absorb")), "i", "left")
-    exits = exits.select(*keys, F.col("i").alias("edge"), (F.col("out") + F.coalesce("absorb", F.lit(0.0))).alias("exit"))
+    leaving = moves.groupBy(*keys, F.col("i").alias("edge")).agg(F.sum("p").alias("out"))
     up = moves.select(*keys, F.col("i").alias("edge"), F.col("j").alias("above"), F.col("p").alias("up"))
     down = moves.select(*keys, F.col("j").alias("edge"), F.col("i").alias("above"), F.col("p").alias("down"))
+    gone = absorb.groupBy(F.col("edge_id").alias("edge")).agg(F.first("absorb").alias("absorb"))
     pairs = up_tree.select(F.col("child").alias("edge"), F.col("parent").alias("above"))
-    links = exits.join(pairs, "edge").join(up, [*keys, "edge", "above"], "left").join(down, [*keys, "edge", "above"], "left")
+    # every key has every edge, those that no move leaves too
+    links = (moves.select(*keys).distinct().crossJoin(pairs) if keys else pairs).join(leaving, [*keys, "edge"], "left").join(gone, "edge", "left")
+    links = links.withColumn("exit", F.coalesce("out", F.lit(0.0)) + F.coalesce("absorb", F.lit(0.0)))
+    links = links.join(up, [*keys, "edge", "above"], "left").join(down, [*keys, "edge", "above"], "left")
     links = stored(links.fillna(0.0, ["up", "down"]).select(*keys, "edge", "above", "exit", "up", "down"), "links")
 
     def upwards(now):
         below = now.groupBy(*keys, F.col("above").alias("edge")).agg(F.sum(F.col("down") * F.col("h")).alias("back"))
-        return now.join(below, [*keys, "edge"], "left").select(*keys, "edge", "above", "exit", "up", "down", F.try_divide(F.col("up"), F.col("exit") - F.coalesce("back", F.lit(0.0))).alias("h"), F.col("h").alias("was"))
+        return now.join(below, [*keys, "edge"], "left").select(*keys, "edge", "above", "exit", "up", "down", _chance(F.col("up"), F.col("exit") - F.coalesce("back", F.lit(0.0))).alias("h"), F.col("h").alias("was"))
 
     rise = _settled(links, keys, upwards, tolerance, max_rounds, max_fail, "rise")
     rise = stored(rise.withColumnRenamed("h", "rise"), "rise")
@@ -150,7 +157,7 @@ def passage(tree: DataFrame, moves: DataFrame, absorb: DataFrame, sites: DataFra
         there = now.select(*keys, F.col("edge").alias("above"), F.col("h").alias("h_above"))
         rest = F.col("exit_above") - (F.col("back") - F.col("down") * F.col("rise")) - F.col("up_above") * F.coalesce("h_above", F.lit(0.0))
         # at the root there is no edge to fall from
-        fallen = F.when(F.col("exit_above").isNull(), F.lit(0.0)).otherwise(F.try_divide(F.col("down"), rest))
+        fallen = F.when(F.col("exit_above").isNull(), F.lit(0.0)).otherwise(_chance(F.col("down"), rest))
         return now.join(there, [*keys, "above"], "left").select(*keys, "edge", "above", "down", "rise", "exit_above", "up_above", "back", fallen.alias("h"), F.col("h").alias("was"))
 
     both = _settled(falls, keys, downwards, tolerance, max_rounds, max_fail, "falls").withColumnRenamed("h", "fall")

@@ -15,7 +15,7 @@ from ..sources import sinks, tables
 from ..sources.tables import reindex_matrix
 from ..storage import fresh_path
 from ..streaming import hall_of_fame
-from . import ensemble, evaluate, inputs, search, simulate
+from . import chain, ensemble, evaluate, inputs, search, simulate
 from .inputs import ANC, COVARIATES, INC, METHODS, MODELS, PREDICTORS, PTS, RANKED, RESP, SURFACES, TREE, VARIABLES, mlpe_sql, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -806,6 +806,54 @@ def _(spark, d):
     return rounded(samc.passage(t, moves, absorb, sites), 8)
 
 
+#: Chains of all candidate models: quantity tells up from down in every other pair of models.
+_CHAINS = f"""WITH RECURSIVE {SURFACES}, {TREE}, {PTS}, adj AS (SELECT a.edge_id AS i, b.edge_id AS j FROM tree a JOIN tree b ON a.parent = b.child UNION ALL SELECT b.edge_id, a.edge_id FROM tree a JOIN tree b ON a.parent = b.child),
+raw_moves AS (SELECT a.model_id, a.var, a.weight, i, j, CASE WHEN a.var = 'quantity' AND a.model_id // 2 % 2 = 1 THEN b.c - a.c ELSE (a.c + b.c) / 2 END AS r
+  FROM adj JOIN curves a ON a.edge_id = i JOIN curves b ON b.edge_id = j AND b.model_id = a.model_id AND b.var = a.var),
+unit_moves AS (SELECT *, (r - min(r) OVER w) / (max(r) OVER w - min(r) OVER w) AS u FROM raw_moves WINDOW w AS (PARTITION BY model_id, var)),
+m0 AS (SELECT model_id, i, j, sum(weight * u) AS x FROM unit_moves GROUP BY 1, 2, 3),
+m1 AS (SELECT *, (x - min(x) OVER w) / (max(x) OVER w - min(x) OVER w) AS y FROM m0 WINDOW w AS (PARTITION BY model_id)),
+m2 AS (SELECT model_id, i, j, 1 / CASE WHEN y = 0 THEN min(y) FILTER (y > 0) OVER (PARTITION BY model_id) ELSE y END AS x FROM m1),
+m3 AS (SELECT *, (x - min(x) OVER w) / (max(x) OVER w - min(x) OVER w) AS y FROM m2 WINDOW w AS (PARTITION BY model_id)),
+m4 AS (SELECT model_id, i, j, CASE WHEN y = 0 THEN min(y) FILTER (y > 0) OVER (PARTITION BY model_id) ELSE y END AS w FROM m3),
+gone AS (SELECT edge_id AS e, coalesce(1 / (2 * size), 0) AS absorb FROM tree LEFT JOIN (SELECT CAST(1000 + l_suppkey AS BIGINT) AS node_id, avg(l_quantity) AS size FROM lineitem GROUP BY 1) ON child = node_id),
+chance AS (SELECT model_id, i, j, w / sum(w) OVER (PARTITION BY model_id, i) * (1 - absorb) AS p FROM m4 JOIN gone ON e = i),
+step AS (SELECT a.model_id AS m, t.edge_id AS e, u.edge_id AS up, a.p AS up_p, b.p AS down_p FROM tree t JOIN tree u ON t.parent = u.child JOIN chance a ON a.i = t.edge_id AND a.j = u.edge_id JOIN chance b ON b.i = u.edge_id AND b.j = t.edge_id AND b.model_id = a.model_id),
+rise_s AS (SELECT *, up_p / 1.0 AS rise FROM step WHERE e >= 1000),
+rise_n AS (SELECT p.m, p.e, p.up, up_p, down_p, up_p / (1 - coalesce(b, 0)) AS rise, coalesce(b, 0) AS back FROM step p LEFT JOIN (SELECT m, up AS n, sum(down_p * rise) AS b FROM rise_s GROUP BY 1, 2) x ON x.n = p.e AND x.m = p.m WHERE p.e < 1000),
+back_r AS (SELECT m, up AS r, sum(down_p * rise) AS back FROM rise_n GROUP BY 1, 2),
+fall_n AS (SELECT n.*, down_p / (1 - (r.back - down_p * rise)) AS fall FROM rise_n n JOIN back_r r ON r.r = n.up AND r.m = n.m),
+fall_s AS (SELECT s.m, s.e, s.up AS nation, n.up AS region, s.rise, n.rise AS rise_n, n.fall AS fall_n, s.down_p / (1 - (n.back - s.down_p * s.rise) - n.up_p * n.fall) AS fall FROM rise_s s JOIN fall_n n ON n.e = s.up AND n.m = s.m),
+passages AS (SELECT a.m AS model_id, a.e - 1000 AS i, b.e - 1000 AS j, CASE WHEN a.nation = b.nation THEN a.rise * b.fall WHEN a.region = b.region THEN a.rise * a.rise_n * b.fall_n * b.fall ELSE 0 END AS value
+  FROM fall_s a JOIN fall_s b ON a.m = b.m AND a.e <> b.e)"""
+
+
+def _chain(spark, d):
+    sizes = table(spark, d, "lineitem").select((1000 + F.col("l_suppkey")).cast("long").alias("node_id"), F.col("l_quantity").alias("size"))
+    return chain.Chain(inputs.tree(spark, d), inputs.points(spark, d), sizes, _response(spark, d))
+
+
+def _directed(spark):
+    return inputs.candidates(spark).withColumn("asymmetric", (F.col("var") == "quantity") & (F.expr("model_id div 2 % 2") == 1))
+
+
+@query("move_surface", f"{_CHAINS} SELECT model_id, i, j, round(w, 8) AS w FROM m4")
+def _(spark, d):
+    models, long = _directed(spark), _long(spark, d)
+    curves = surface.transformed(long, models.where("sel = 1").select("var", "transform", "shape").distinct())
+    return rounded(samc.move_surface(models, curves, graph.adjacency(inputs.tree(spark, d))), 8)
+
+
+@query("chain_passage", f"{_CHAINS} SELECT model_id, i, j, round(value, 8) AS value FROM passages")
+def _(spark, d):
+    return rounded(_chain(spark, d).passage(_directed(spark), _long(spark, d)), 8)
+
+
+@query("chain_models", f"{_CHAINS}, {RESP}, joined AS (SELECT p.model_id AS key, p.i, p.j, p.value AS x, r.value AS y FROM passages p JOIN resp r ON p.i = r.i AND p.j = r.j), {mlpe_sql('joined')} SELECT key AS model_id, round(loglik, 5) AS fitness, {_METRICS} FROM fits")
+def _(spark, d):
+    return _rounded_metrics(_chain(spark, d).evaluate(_directed(spark), _long(spark, d), grid=51, zooms=0))
+
+
 @query("transition_directional", f"WITH {TREE}, {_CONDUCT}, down AS (SELECT a.edge_id AS i, b.edge_id AS j FROM tree a JOIN tree b ON a.parent = b.child), adj AS (SELECT i, j FROM down UNION ALL SELECT j, i FROM down), w AS (SELECT i, j, greatest(a.v - b.v, 0) AS w FROM adj JOIN conduct a ON i = a.edge_id JOIN conduct b ON j = b.edge_id), t AS (SELECT i, j, w, sum(w) OVER (PARTITION BY i) AS total FROM w) SELECT i, j, round(CASE WHEN total = 0 THEN 0 ELSE w / total END, 8) AS p FROM t")
 def _(spark, d):
     return rounded(samc.transition(graph.adjacency(inputs.tree(spark, d)), _conduct(spark, d), directional=True), 8)
