@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..storage import stored, tidy
+from ..storage import observed, stored, tidy
 from .keys import numbered_in_order
 from .tree import TreePaths, above, ancestors
 
@@ -53,8 +53,8 @@ def shortest_path_tree(edges: DataFrame, root: int, weight: str = "inverse") ->
         step = step.select("node", "b.*")
         old = reached.select("node", F.col("distance").alias("was"), F.col("parent").alias("was_from"))
         closer = F.col("was").isNull() | (F.col("distance") < F.col("was")) | ((F.col("distance") == F.col("was")) & (F.col("parent") < F.col("was_from")))
-        frontier = stored(step.join(old, "node", "left").where(closer).select("node", "distance", "parent", "edge_id"))
-        if frontier.isEmpty():
+        frontier, left = observed(step.join(old, "node", "left").where(closer).select("node", "distance", "parent", "edge_id"), some=F.count(F.lit(1)))
+        if not left["some"]:
             break
         reached = reached.join(frontier.select("node"), "node", "left_anti").unionByName(frontier)
         rounds += 1
@@ -106,9 +106,9 @@ def incidence_by_search(edges: DataFrame, points: DataFrame, weight: str = "inve
         step = step.select("j", F.col("dst").alias("node"), (F.col("distance") + F.col("w")).alias("distance"), F.col("src").alias("parent"), "edge_id")
         both = best.withColumn("old", F.lit(True)).unionByName(step.withColumn("old", F.lit(False)))
         least = F.min(F.struct("distance", "parent", "edge_id", (~F.col("old")).alias("new"))).alias("b")
-        now = stored(both.groupBy("j", "node").agg(least).select("j", "node", "b.*"))
+        now, left = observed(both.groupBy("j", "node").agg(least).select("j", "node", "b.*"), some=F.count_if("new"))
         frontier, best = now.where("new"), now.drop("new")
-        if frontier.isEmpty():
+        if not left["some"]:
             break
     ends = points.select(F.col("pt_idx").cast("long").alias("i"), F.col("node_id").cast("long").alias("node"))
     back = best.where("parent is not null").select("j", "node", "parent", "edge_id")
@@ -131,8 +131,8 @@ def orient(edges: DataFrame, root: int, max_depth: int = 100_000) -> DataFrame:
     level = seen
     for depth in range(1, max_depth):
         step = level.select(F.col("child").alias("src")).join(hops, "src").groupBy(F.col("dst").alias("child")).agg(F.min(F.struct(F.col("src").alias("parent"), "edge_id")).alias("b"))
-        level = stored(step.join(seen.select("child"), "child", "left_anti").select("child", "b.parent", "b.edge_id", F.lit(depth).alias("depth")))
-        if level.isEmpty():
+        level, left = observed(step.join(seen.select("child"), "child", "left_anti").select("child", "b.parent", "b.edge_id", F.lit(depth).alias("depth")), some=F.count(F.lit(1)))
+        if not left["some"]:
             break
         seen = seen.unionByName(level)
         if depth % CUT_EVERY == 0:
@@ -154,9 +154,9 @@ def components(edges: DataFrame) -> DataFrame:
         near = hops.join(labels.withColumnRenamed("node_id", "src"), "src").groupBy(F.col("dst").alias("node_id")).agg(F.min("component").alias("other"))
         low = labels.join(near, "node_id").select("node_id", "component", F.least("component", "other").alias("now"))
         jump = labels.select(F.col("node_id").alias("now"), F.col("component").alias("top"))
-        after = stored(low.join(jump, "now").select("node_id", F.col("component").alias("was"), F.least("now", "top").alias("component")))
+        after, moved = observed(low.join(jump, "now").select("node_id", F.col("component").alias("was"), F.least("now", "top").alias("component")), some=F.count_if(F.col("was") != F.col("component")))
         labels = after.select("node_id", "component")
-        if after.where("was <> component").isEmpty():
+        if not moved["some"]:
             return stored(labels, keep=True)
 
 
@@ -180,9 +180,9 @@ def contract(tree: DataFrame, sites: DataFrame) -> DataFrame:
     label = stored(below.select("node", F.when(passes, F.col("only")).otherwise(F.col("node")).alias("at"), F.when(passes, 1).otherwise(0).alias("steps")))
     while True:
         hop = label.select(F.col("node").alias("at"), F.col("at").alias("next"), F.col("steps").alias("more"))
-        after = stored(label.join(hop, "at").select("node", F.col("at").alias("was"), F.col("next").alias("at"), (F.col("steps") + F.col("more")).alias("steps")))
+        after, moved = observed(label.join(hop, "at").select("node", F.col("at").alias("was"), F.col("next").alias("at"), (F.col("steps") + F.col("more")).alias("steps")), some=F.count_if(F.col("was") != F.col("at")))
         label = after.select("node", "at", "steps")
-        if after.where("was <> at").isEmpty():
+        if not moved["some"]:
             break
     runs = tree.join(label.withColumnRenamed("node", "child"), "child")
     runs = runs.groupBy(F.col("at").alias("run_id")).agg(

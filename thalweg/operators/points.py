@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.aggregators import aggregate
 from ..functions.scalars import haversine
+from .keys import numbered_in_order
 
 #: Up to so many nodes the snap compares every point with every node; beyond that, through a grid.
 DIRECT_NODES = 256
@@ -72,7 +72,8 @@ def points_table(snapped: DataFrame, collisions: str = "union") -> DataFrame:
         rows = rows.join(last, "node_id").where((F.col("long") == F.col("c.long")) & (F.col("lat") == F.col("c.lat"))).drop("c")
     names = F.transform(F.array_sort(F.collect_list(F.struct("long", "lat", "sample"))), lambda s: s["sample"])
     grouped = rows.groupBy("node_id", "x", "y").agg(names.alias("names"))
-    return grouped.select((F.row_number().over(W.orderBy("x", "y")) - 1).alias("pt_idx"), "node_id", "x", "y", F.get("names", F.lit(0)).alias("label"), "names")
+    whole = numbered_in_order(grouped, "x", "y", "node_id", column="pt_idx")
+    return whole.select("pt_idx", "node_id", "x", "y", F.get("names", F.lit(0)).alias("label"), "names")
 
 
 def pairs(points: DataFrame, index: str = "pt_idx") -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.transforms import fill_zeros, rescale_over
-from ..storage import stored, tidy
+from ..storage import observed, stored, tidy
 from .tree import TreePaths, root_sums
 
 
@@ -102,13 +102,13 @@ def _chance(move, leaving):
 def _settled(links: DataFrame, keys: list[str], step, tolerance: float, max_rounds: int, max_fail: int | None, name: str) -> DataFrame:
     """links with messages h, from 0 on, until none changes by more than tolerance; those that still do after max_rounds are
     null, and more than max_fail of them an error."""
-    now = stored(links.withColumn("h", F.lit(0.0)).withColumn("was", F.lit(-1.0)), name)
-    open_ = (F.abs(F.col("h") - F.col("was")) > tolerance) | F.col("h").isNull()
+    now = links.withColumn("h", F.lit(0.0)).withColumn("was", F.lit(-1.0))
+    change = F.abs(F.col("h") - F.col("was"))
     for _ in range(max_rounds):
-        before = now
-        now = stored(step(before).withColumn("was", F.coalesce(F.col("was"), F.lit(-1.0))), name)
-        if now.where(F.col("h").isNotNull() & (F.abs(F.col("h") - F.col("was")) > tolerance)).isEmpty():
+        now, seen = observed(step(now), name, change=F.max(change))
+        if (seen["change"] or 0.0) <= tolerance:
             break
+    open_ = F.col("h").isNull() | (change > tolerance)
     failed = now.where(open_).count()
     if max_fail is not None and failed > max_fail:
         raise ValueError(f"{failed} of the messages have not settled, {max_fail} may fail")

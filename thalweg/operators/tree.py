@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..storage import scratch, stored, tidy
+from ..storage import observed, scratch, stored, tidy
 from .keys import numbered_in_order
 
 #: Places of the tour that one window adds up; sums of so many places are added up in a second one.
@@ -43,8 +43,10 @@ def tour(tree: DataFrame) -> DataFrame:
     up = F.struct((2 * F.col("k") + 1).alias("arc"), up_to.alias("next"), F.lit(-1).alias("sign"))
     arcs = known.select(F.explode(F.array(down, up)).alias("a")).select("a.arc", "a.next", F.lit(1).cast("long").alias("left"), F.col("a.sign").cast("long").alias("below"))
     # left: arcs from this one to the last that is composed; below: their signs summed up
-    arcs = stored(arcs, "tour")
-    while not arcs.where("next is not null").isEmpty():
+    arcs, whole = stored(arcs, "tour"), 2 * k.count()
+    reach = 1
+    while reach < whole:
+        reach *= 4
         jumped = arcs
         ahead = arcs.select(F.col("arc").alias("at"), F.col("next").alias("then"), F.col("left").alias("more"), F.col("below").alias("deeper"))
         for _ in range(3):
@@ -52,7 +54,6 @@ def tour(tree: DataFrame) -> DataFrame:
             jumped = jumped.join(ahead, F.coalesce("next", -1 - F.col("arc")) == F.col("at"), "left")
             jumped = jumped.select("arc", F.col("then").alias("next"), (F.col("left") + F.coalesce("more", F.lit(0))).alias("left"), (F.col("below") + F.coalesce("deeper", F.lit(0))).alias("below"))
         arcs = stored(jumped, "tour")
-    whole = 2 * k.count()
     places = arcs.select(F.expr("arc div 2").alias("k"), (F.col("arc") % 2 == 0).alias("down"), (F.lit(whole) - F.col("left")).alias("place"), F.col("below"))
     per = places.groupBy("k").agg(F.max(F.when(F.col("down"), F.col("place"))).alias("enter"), F.max(F.when(~F.col("down"), F.col("place"))).alias("leave"), F.max(F.when(F.col("down"), 1 - F.col("below"))).alias("depth"))
     return stored(k.join(per, "k").select("child", "parent", "edge_id", "enter", "leave", "depth"), "tour-places", keep=True)
@@ -64,12 +65,15 @@ def jumps(tree: DataFrame) -> DataFrame:
 
     As many rounds as a path has bits; a node has a row for each of them.
     """
-    now, out, k = stored(tree.select(F.col("child").cast("long").alias("child"), F.col("parent").cast("long").alias("above")), "jumps", keep=True), None, 0
-    while not now.isEmpty():
+    some = {"some": F.count(F.lit(1))}
+    now, left = observed(tree.select(F.col("child").cast("long").alias("child"), F.col("parent").cast("long").alias("above")), "jumps", keep=True, **some)
+    out, k = None, 0
+    while left["some"]:
         part = now.select("child", F.lit(k).alias("k"), "above")
         out = part if out is None else out.unionByName(part)
         ahead = now.select(F.col("child").alias("above"), F.col("above").alias("then"))
-        now, k = stored(now.join(ahead, "above").select("child", F.col("then").alias("above")), "jumps", keep=True), k + 1
+        now, left = observed(now.join(ahead, "above").select("child", F.col("then").alias("above")), "jumps", keep=True, **some)
+        k += 1
     return now.select("child", F.lit(0).alias("k"), "above") if out is None else out
 
 

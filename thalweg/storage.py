@@ -14,7 +14,7 @@ from contextlib import contextmanager
 from contextvars import ContextVar
 from functools import wraps
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 _RUNS: ContextVar[tuple[list[str], ...]] = ContextVar("thalweg_runs", default=())
@@ -87,6 +87,16 @@ def stored(df: DataFrame, name: str = "stored", keep: bool = False) -> DataFrame
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def observed(df: DataFrame, name: str = "stored", keep: bool = False, **seen: Column) -> tuple[DataFrame, dict]:
+    """stored() with aggregates of the rows, had from the same job: whether a loop goes on takes no job of its own.
+
+    A stage that runs again after a lost executor may count rows twice: ask for extremes and whether there are any.
+    """
+    watch = Observation()
+    out = stored(df.observe(watch, *[c.alias(n) for n, c in seen.items()]), name, keep)
+    return out, watch.get
+
+
 def numbered(df: DataFrame, name: str = "rows", keep: bool = False) -> DataFrame:
     """(rid LONG, row STRUCT): the rows of df, numbered and stored.
 
