@@ -44,6 +44,18 @@ def test_components(spark, seed):
     assert components(df.limit(0)).count() == 0
 
 
+def test_components_of_a_large_group_join_its_links_once(spark, monkeypatch):
+    """Many copies that meet in stars around many hubs: what goes round is what the stars leave, not every link."""
+    from thalweg.llm import components as module
+
+    links = [(n, hub) for n in range(100, 400) for hub in range(10)] + [(1000, 1001), (1001, 1002), (1002, 1003)]
+    seen, labelled = [], module._labelled
+    monkeypatch.setattr(module, "_labelled", lambda once: seen.append(once.count()) or labelled(once))
+    found = {r["node"]: r["component"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert found == {n: 0 for n in [*range(10), *range(100, 400)]} | {n: 1000 for n in range(1000, 1004)}
+    assert seen[0] <= 15
+
+
 # ---- n-gram join
 
 
