@@ -246,3 +246,22 @@ def test_surface_and_unselected(spark):
     assert {r[0] for r in out} == {0} and [r[2] for r in out] == pytest.approx([k / 10 for k in range(11)])
     with pytest.raises(ValueError):
         surface.predictors(long.select("edge_id", F.lit(1.0).alias("v")), {"v": "ARITH"})
+
+
+def test_euclidean_by_blocks(spark, monkeypatch):
+    import math
+
+    from thalweg.operators import points
+
+    monkeypatch.setattr(points, "BLOCK", 4)
+    vectors = {k: [float(k), k * k / 7, 1.0] for k in range(11)} | {11: [1.0, None, 2.0], 12: None, 13: [1.0, 2.0], 14: [0.0, 2.0]}
+    df = spark.createDataFrame(list(vectors.items()), "id long, v array<double>")
+    found = {(r["i"], r["j"]): r["value"] for r in points.euclidean(df).collect()}
+    assert set(found) == {(i, j) for i in vectors for j in vectors if i > j}
+    for (i, j), value in found.items():
+        a, b = vectors[i], vectors[j]
+        if a and b and None not in a + b and len(a) == len(b):
+            assert value == pytest.approx(math.dist(a, b))
+        else:
+            assert value is None
+    assert points.euclidean(df.limit(0)).count() == 0
