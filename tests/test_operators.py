@@ -265,3 +265,13 @@ def test_euclidean_by_blocks(spark, monkeypatch):
         else:
             assert value is None
     assert points.euclidean(df.limit(0)).count() == 0
+
+
+def test_pairs_are_dealt_out(spark):
+    """A table in one split: its pairs are made in many tasks, not in one."""
+    from thalweg.operators import points
+
+    one = spark.range(40).coalesce(1).select("id", "id").toDF("pt_idx", "node_id")
+    plan = points.pairs(one)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan
+    assert points.pairs(one).count() == 780
