@@ -304,6 +304,15 @@ def test_texts_are_read_whole_and_decoded_once(network):
     assert all(0 <= a < b <= len(t) for t, f in zip(edges, model.read(edges)) for _, a, b in f)
 
 
+@pytest.mark.parametrize("windows", [1, 2, 7, 8])
+def test_scores_are_the_emissions(windows):
+    tagger = pii.Tagger(5)
+    x = np.random.default_rng(windows).integers(0, pii.N_CLASSES, (40, windows))
+    got = tagger.scores(x)
+    assert got.shape == (40, pii.TAGS, windows)
+    assert got == pytest.approx(np.moveaxis(tagger.emissions(x)[0], 1, 2), abs=1e-5)
+
+
 def test_decoding_is_the_best_path():
     rng, tagger = np.random.default_rng(2), pii.Tagger(3)
     tagger.p["a"] = rng.standard_normal((pii.TAGS, pii.TAGS)).astype(np.float32)

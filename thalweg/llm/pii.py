@@ -238,24 +238,39 @@ class Tagger:
         return self
 
     def scores(self, x) -> np.ndarray:
-        """x: (steps, windows) -> (steps, TAGS, windows): the emissions, in the order of axes that is fastest to read in."""
-        out = np.empty((len(x), TAGS, x.shape[1]), np.float32)
-        half = np.repeat(np.float32([0.5, 1]), [3 * HIDDEN, HIDDEN])  # a sigmoid is a tanh of half, halved
+        """x: (steps, windows) -> (steps, TAGS, windows): the emissions, in the order of axes that is fastest to read in.
+
+        Weights of two windows' classes are fetched at once, from a table of all pairs of classes. States are kept doubled,
+        and halves are in the weights: a sigmoid is a tanh of half, and one more, halved.
+        """
+        steps, n = x.shape
+        if n % 2:
+            return self.scores(np.concatenate((x, x[:, -1:]), 1))[:, :, :n]
+        two = x[:, ::2] * N_CLASSES + x[:, 1::2]
+        half = np.repeat(np.float32([0.5, 1]), [3 * HIDDEN, HIDDEN])
+        out, part = np.empty((steps, TAGS, n), np.float32), np.empty((TAGS, n), np.float32)
+        z, fetched = np.empty((4 * HIDDEN, n), np.float32), np.empty((4 * HIDDEN, n // 2), np.complex64)
+        gates, cand, by_class = z[: 3 * HIDDEN], z[3 * HIDDEN :], fetched.view(np.float32)
         for w, u, v, back in (("wf", "uf", self.p["v"][:HIDDEN], False), ("wb", "ub", self.p["v"][HIDDEN:], True)):
-            w, u, v = (np.ascontiguousarray(m.T, np.float32) for m in (self.p[w] * half, self.p[u] * half, v))
-            h = c = np.zeros((HIDDEN, x.shape[1]), np.float32)
-            for t in range(len(x) - 1, -1, -1) if back else range(len(x)):
-                z = u @ h
-                z += w[:, x[t]]
+            w, u, v = (np.ascontiguousarray(m.T, np.float32) for m in (self.p[w] * half, self.p[u] * half / 2, v / 2))
+            pairs = np.empty((4 * HIDDEN, N_CLASSES, N_CLASSES, 2), np.float32)
+            pairs[..., 0], pairs[..., 1] = w[:, :, None], w[:, None, :]
+            pairs = pairs.reshape(4 * HIDDEN, -1).view(np.complex64)
+            h, c = np.zeros((HIDDEN, n), np.float32), np.zeros((HIDDEN, n), np.float32)
+            for t in range(steps - 1, -1, -1) if back else range(steps):
+                np.matmul(u, h, out=z)
+                np.take(pairs, two[t], 1, out=fetched, mode="clip")
+                z += by_class
                 np.tanh(z, out=z)
-                gates = z[: 3 * HIDDEN]
-                gates *= 0.5
-                gates += 0.5
-                c = gates[HIDDEN : 2 * HIDDEN] * c
-                c += gates[:HIDDEN] * z[3 * HIDDEN :]
-                h = gates[2 * HIDDEN :] * np.tanh(c)
+                gates += 1
+                c *= gates[HIDDEN : 2 * HIDDEN]
+                cand *= gates[:HIDDEN]
+                c += cand
+                c *= 0.5
+                np.tanh(c, out=h)
+                h *= gates[2 * HIDDEN :]
                 if back:
-                    out[t] += v @ h
+                    out[t] += np.matmul(v, h, out=part)
                 else:
                     np.matmul(v, h, out=out[t])
         out += self.p["b"][:, None]
@@ -318,7 +333,7 @@ class Tagger:
         if not len(places):
             return out
         cuts = np.flatnonzero(np.append(True, np.diff(places) > 1))
-        tags = np.concatenate(self.decode(np.split(found, cuts[1:])))
+        tags = np.concatenate(self.decode([found[a:b] for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(found)])]))
         kinds, starts = (tags + 1) // 2, np.zeros(len(tags), bool)
         starts[cuts] = True
         starts |= (tags % 2 == 1) | np.append(True, kinds[1:] != kinds[:-1])
