@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from thalweg.operators import graph, samc
+from thalweg.operators import graph, mlpe, samc
 from thalweg.plans.chain import Chain
 
 
@@ -124,3 +124,21 @@ def test_edge_tree(spark):
     tree = spark.createDataFrame([(3, 2, 13), (2, 0, 12), (1, 0, 11)], "child long, parent long, edge_id long")
     assert sorted(tuple(r) for r in samc.edge_tree(tree).collect()) == [(11, 10, 11), (12, 10, 12), (13, 12, 13)]
     assert graph.adjacency(tree).count() == 2
+
+
+def test_passages_are_not_stored_nor_made_for_fits(spark, monkeypatch):
+    """Passages are made where they are read; a fit needs only sums of each model's pairs."""
+    tree = spark.createDataFrame([(3, 1, 13), (2, 1, 12), (1, 0, 11)], "child long, parent long, edge_id long")
+    moves = spark.createDataFrame([(0, 13, 11, 0.8), (0, 11, 13, 0.4), (0, 12, 11, 0.5), (0, 11, 12, 0.4)], "key long, i long, j long, p double")
+    gone = spark.createDataFrame([(k, 0.2) for k in (11, 12, 13)], "edge_id long, absorb double")
+    points = spark.createDataFrame([(0, 11), (1, 12), (2, 13)], "pt_idx long, edge_id long")
+    names, stored = [], samc.stored
+    monkeypatch.setattr(samc, "stored", lambda df, name="stored", keep=False: names.append(name) or stored(df, name, keep))
+    found = {(r["origin"], r["target"]): r["value"] for r in samc.passage(tree, moves, gone, points.select("edge_id"), ["key"]).collect()}
+    assert "passage" not in names and len(found) == 6
+    response = spark.createDataFrame([(1, 0, 1, 2, 3.0), (2, 0, 1, 3, 5.0), (2, 1, 2, 3, 4.0)], "i long, j long, pop1 long, pop2 long, y double")
+    sums = mlpe.sums_of_parts(samc.passage_parts(tree, moves, gone, points, response, ["key"]), ["key"]).first().asDict()
+    x = np.array([found[12, 11], found[13, 11], found[13, 12]])
+    pops = np.array([x[0] + x[1], x[0] + x[2], x[1] + x[2]])
+    expected = {"key": 0, "m": 3, "n": 3, "mx": x.mean(), "sx": x.std(), "y": 12, "yy": 50, "xy0": x @ [3, 5, 4], "p1x": 2 * x.sum(), "p1y": 24, "pxx0": pops @ pops, "pxy0": pops @ [8, 7, 9], "pyy": 194, "complete": True}
+    assert sums == pytest.approx(expected)
