@@ -1,6 +1,7 @@
 import itertools
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -275,3 +276,17 @@ def test_pairs_are_dealt_out(spark):
     plan = points.pairs(one)._jdf.queryExecution().executedPlan().toString()
     assert "REPARTITION_BY_NUM" in plan
     assert points.pairs(one).count() == 780
+
+
+def test_medians_of_large_groups_are_counted_down(spark, monkeypatch):
+    """No aggregate holds a large group; whatever the values, the result is that of F.median."""
+    monkeypatch.setattr(points, "FEW", 10)
+    monkeypatch.setattr(points, "BINS", 4)
+    rng = random.Random(4)
+    groups = [[rng.random() ** 8 for _ in range(301)], [rng.gauss(0, 1) for _ in range(300)], [0.0] * 50 + [1.0] * 50, [2.0] * 80, [3.0, 1.0], [None] * 3, [1e300, 1e-300] * 40 + [5.0], [0.0] * 90 + [1.0], [1.0, float("inf"), 7.0] * 9]
+    rows = spark.createDataFrame([(k, v) for k, g in enumerate(groups) for v in g], "k long, value double")
+    sizes, stored = [], points.stored
+    monkeypatch.setattr(points, "stored", lambda df, *more: sizes.append(stored(df, *more)) or sizes[-1])
+    found = {r["k"]: r["value"] for r in points.medians(rows, ["k"]).collect()}
+    assert found == {r["k"]: r["m"] for r in rows.groupBy("k").agg(F.median("value").alias("m")).collect()}
+    assert len(sizes) > 2 and sizes[-1].where("value is null and n > 0 and high < double('inf')").agg(F.max("here")).first()[0] <= 10
