@@ -290,3 +290,16 @@ def test_medians_of_large_groups_are_counted_down(spark, monkeypatch):
     found = {r["k"]: r["value"] for r in points.medians(rows, ["k"]).collect()}
     assert found == {r["k"]: r["m"] for r in rows.groupBy("k").agg(F.median("value").alias("m")).collect()}
     assert len(sizes) > 2 and sizes[-1].where("value is null and n > 0 and high < double('inf')").agg(F.max("here")).first()[0] <= 10
+
+
+def test_reindexed_cells_are_not_shuffled(spark):
+    from thalweg.sources.tables import reindex_matrix
+
+    labels = spark.createDataFrame([(f"p{k:03}", k) for k in range(70)] + [(None, 70)], "label string, pt_idx long")
+    cells = [(f"p{a:03}", f"p{b:03}", float(a * b)) for a in range(70) for b in range(70) if a != b and (a, b) != (3, 66)] + [("p001", "p002", 9.0), ("zz", "p001", 1.0), (None, "p001", 1.0), ("p001", None, 1.0), ("p005", "yy", 1.0)]
+    matrix = spark.createDataFrame(cells, "row_label string, col_label string, value double")
+    out = reindex_matrix(matrix, labels)
+    grid = labels.select(F.col("label").alias("row_label"), F.col("pt_idx").alias("i")).crossJoin(labels.select(F.col("label").alias("col_label"), F.col("pt_idx").alias("j")))
+    expected = grid.join(matrix, ["row_label", "col_label"], "left").select("i", "j", "value")
+    assert out.exceptAll(expected).isEmpty() and expected.exceptAll(out).isEmpty() and out.count() == 71 * 71 + 1
+    assert not re.search(r"SortMergeJoin \[row_label#\d+, col_label#\d+\]", out._jdf.queryExecution().toString())
