@@ -303,3 +303,14 @@ def test_reindexed_cells_are_not_shuffled(spark):
     expected = grid.join(matrix, ["row_label", "col_label"], "left").select("i", "j", "value")
     assert out.exceptAll(expected).isEmpty() and expected.exceptAll(out).isEmpty() and out.count() == 71 * 71 + 1
     assert not re.search(r"SortMergeJoin \[row_label#\d+, col_label#\d+\]", out._jdf.queryExecution().toString())
+
+
+def test_incidence_of_some_edges(spark):
+    from thalweg.operators.tree import TreePaths
+
+    tree = spark.createDataFrame([(1, 0, 11), (2, 0, 12), (3, 1, 13), (4, 1, 14)], "child long, parent long, edge_id long")
+    at = spark.createDataFrame([(0, 0), (1, 3), (2, 4), (3, 2), (4, 3)], "pt_idx long, node_id long")
+    out = TreePaths(tree, at).incidence_of([11, 13, 99])
+    assert "SortMergeJoin" not in out._jdf.queryExecution().toString()
+    found = {(r["i"], r["j"]): (r["e11"], r["e13"], r["e99"]) for r in out.collect()}
+    assert found == {(1, 0): (1, 1, 0), (2, 0): (1, 0, 0), (2, 1): (0, 1, 0), (3, 0): (0, 0, 0), (3, 1): (1, 1, 0), (3, 2): (1, 0, 0), (4, 0): (1, 1, 0), (4, 2): (0, 1, 0), (4, 3): (1, 1, 0)}
