@@ -121,6 +121,31 @@ def test_snapping(spark):
         points.snap_nearest(pts, nodes.limit(0))
 
 
+def test_snapping_of_crowds(spark):
+    """Nodes in a crowd, alone, and twice on one place; points among them, far from them and without a place: candidates are
+    neither shuffled nor sorted, and the nearest is that of all."""
+    rng = random.Random(2)
+    at = [(round(rng.gauss(5, 0.01), 4), round(rng.gauss(5, 0.01), 4)) for _ in range(300)] + [(rng.uniform(0, 50), rng.uniform(0, 50)) for _ in range(40)]
+    nodes = spark.createDataFrame([(k, *c) for k, c in enumerate(at + at[:30])], "node_id long, x double, y double")
+    places = [(rng.gauss(5, 0.02), rng.gauss(5, 0.02)) for _ in range(60)] + [(rng.uniform(-900, 900), rng.uniform(-60, 90)) for _ in range(30)] + [at[7], (None, 1.0), (None, None), (5.0, None)]
+    pts = spark.createDataFrame([(f"s{k}", a, b) for k, (a, b) in enumerate(places)], "sample string, long double, lat double")
+    whole = {f"s{k}": 0 if None in p else min(((p[0] - x) ** 2 + (p[1] - y) ** 2, n) for n, (x, y) in enumerate(at + at[:30]))[1] for k, p in enumerate(places)}
+    for cell in (None, 0.3, 5.0):
+        out = points.snap_nearest(pts, nodes, cell=cell)
+        assert {r["sample"]: r["node_id"] for r in out.collect()} == whole
+    assert "SortAggregate" not in points.snap_nearest(pts.limit(60), nodes, cell=5.0)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_medians_of_gaps_without_pairs(spark):
+    rng = random.Random(3)
+    groups = {1: [round(rng.uniform(-10, 10), 2) for _ in range(60)], 2: [round(rng.uniform(-1, 1), 1) for _ in range(41)], 4: [0.1, 0.2, 0.3, 0.1 + 0.2], 5: [7.0], 7: [rng.random() ** 9 for _ in range(33)], 8: [5.0] * 6}
+    members = spark.createDataFrame([(k, v) for k, g in groups.items() for v in [*g, None]], "pt_idx long, value double")
+    for offset in (0.0, 1.0):
+        found = {(r["i"], r["j"]): r["value"] for r in points.gap_medians(members, offset).collect()}
+        expected = {(i, j): 0.0 if i == j else float(np.median([abs(a - b) + offset for a in groups[min(i, j)] for b in groups[max(i, j)]])) for i in groups for j in groups}
+        assert found == expected
+
+
 def test_points_table(spark):
     snapped = spark.createDataFrame([("b", 1.0, 1.0, 5, 1.0, 1.0), ("a", 0.9, 1.0, 5, 1.0, 1.0), ("c", 0.0, 0.0, 2, 0.0, 0.0)], "sample string, long double, lat double, node_id long, x double, y double")
     assert rows(points.points_table(snapped).select("pt_idx", "label", "names"), "pt_idx") == [(0, "c", ["c"]), (1, "a", ["a", "b"])]
