@@ -330,6 +330,21 @@ def test_reindexed_cells_are_not_shuffled(spark):
     assert not re.search(r"SortMergeJoin \[row_label#\d+, col_label#\d+\]", out._jdf.queryExecution().toString())
 
 
+@pytest.mark.parametrize("words", [1, 3])
+def test_reindexed_cells_by_several_numbers_of_bits(spark, monkeypatch, words):
+    """Labels that take several rows of bits for each row of the matrix."""
+    from thalweg.sources import tables
+
+    monkeypatch.setattr(tables, "WORDS", words)
+    labels = spark.range(200).select(F.col("id").alias("label"), F.col("id").alias("pt_idx"))
+    a, b = (labels.select(F.col("label").alias(c)) for c in ("row_label", "col_label"))
+    matrix = a.join(b, (F.col("row_label") != F.col("col_label")) & (F.col("row_label") % 50 != 7)).withColumn("value", F.lit(1.0))
+    out = tables.reindex_matrix(matrix, labels)
+    assert out.count() == out.select("i", "j").distinct().count() == 200 * 200
+    assert out.where("value is null").count() == 4 * 200 + 196
+    assert out.where((F.col("i") == F.col("j")) | (F.col("i") % 50 == 7)).where("value is not null").isEmpty()
+
+
 def test_incidence_of_some_edges(spark):
     from thalweg.operators.tree import TreePaths
 
