@@ -7,6 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from thalweg.operators import graph, mlpe, samc
+from thalweg.operators.points import euclidean
+from thalweg.plans import evaluate
 from thalweg.plans.chain import Chain
 
 
@@ -142,3 +144,22 @@ def test_passages_are_not_stored_nor_made_for_fits(spark, monkeypatch):
     pops = np.array([x[0] + x[1], x[0] + x[2], x[1] + x[2]])
     expected = {"key": 0, "m": 3, "n": 3, "mx": x.mean(), "sx": x.std(), "y": 12, "yy": 50, "xy0": x @ [3, 5, 4], "p1x": 2 * x.sum(), "p1y": 24, "pxx0": pops @ pops, "pxy0": pops @ [8, 7, 9], "pyy": 194, "complete": True}
     assert sums == pytest.approx(expected)
+
+
+@pytest.mark.parametrize("wide,tile,models,mean", [(3, 2, 2, False), (1, 4, 32, True), (32, 512, 1, True)])
+def test_passages_and_distances_are_added_up_together(spark, monkeypatch, wide, tile, models, mean):
+    """Of three models, one with moves that are never made: the same sums as from a response of a row per pair."""
+    edges, rng = random_tree(5, 24), np.random.default_rng(2)
+    tree = spark.createDataFrame(edges, "child long, parent long, edge_id long")
+    up = {c: (p, e) for c, p, e in edges}
+    steps = [(i, j) for c, p, e in edges if p in up for i, j in ((e, up[p][1]), (up[p][1], e))]
+    moves = spark.createDataFrame([(k, i, j, 0.0 if k == 2 and i % 5 == 0 else float(rng.random() / 9)) for k in range(3) for i, j in steps], "key long, i long, j long, p double")
+    gone = spark.createDataFrame([(e, 0.2) for _, _, e in edges], "edge_id long, absorb double")
+    points = spark.createDataFrame([(k, e) for k, (_, _, e) in enumerate(edges[::2])], "pt_idx long, edge_id long")
+    vectors = spark.createDataFrame([(k, rng.random(3).tolist()) for k in range(len(edges[::2])) if k != 4], "id long, v array<double>")
+    response = evaluate.response_pairs(euclidean(vectors), len(edges))
+    monkeypatch.setattr(samc, "MODELS", models)
+    by_key = lambda parts: {r["key"]: r.asDict() for r in mlpe.sums_of_parts(parts, ["key"]).collect()}
+    found = by_key(samc.passage_distance_parts(tree, moves, gone, points, vectors.withColumnRenamed("id", "pt_idx"), ["key"], mean, wide=wide, tile=tile))
+    expected = by_key(samc.passage_parts(tree, moves, gone, points, response, ["key"], mean))
+    assert set(found) == {0, 1, 2} and all(found[k] == pytest.approx(expected[k], rel=1e-8, abs=1e-12) for k in found)
