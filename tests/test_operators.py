@@ -103,6 +103,25 @@ def test_append_edges(spark):
     assert [r[0] for r in rows(graph.append_edges(path_edges(spark, 3).limit(0), ends).select("edge_id"), "edge_id")] == [0, 1]
 
 
+@pytest.mark.parametrize("ring", [5, 0])
+def test_search_goes_over_cycles_only(spark, monkeypatch, ring):
+    """Trees that hang on a ring with a chord, a part of its own, an edge from a node to itself: the same paths as by a search
+    of all, from the ring's nodes alone. Without the ring, no search."""
+    rng = random.Random(4)
+    pairs = [(k, rng.randrange(k)) for k in range(1, 30)] if not ring else [(k, (k + 1) % ring) for k in range(ring)] + [(0, 2), (1, 2)] + [(k, rng.randrange(k)) for k in range(ring, 30)]
+    pairs += [(40, 41), (42, 41), (43, 42), (7, 7)]
+    edges = spark.createDataFrame([(100 + k, a, b, rng.random() + 0.1) for k, (a, b) in enumerate(pairs)], "edge_id long, src long, dst long, length_km double")
+    nodes = [3, 29, 12, 12, 0, 40, 43, 17, 25, 99, 8]
+    pts = spark.createDataFrame(list(enumerate(nodes)), "pt_idx long, node_id long")
+    search, started = graph._searched, []
+    for weight in ("inverse", "length"):
+        expected = rows(search(edges, pts, weight).where("i > j"), "i", "j", "edge_id")
+        with monkeypatch.context() as m:
+            m.setattr(graph, "_searched", lambda e, p, w: started.append((e.count(), p.count())) or search(e, p, w))
+            assert rows(graph.incidence_by_search(edges, pts, weight), "i", "j", "edge_id") == expected and expected
+    assert all(e == (7 if ring else 0) and p <= 6 for e, p in started)
+
+
 def test_sampling_and_annotation(spark):
     assert graph.sample_nodes(path_edges(spark), 4, 1).distinct().count() == 4
     assert [r["EDGE_ID"] for r in graph.annotate(path_edges(spark)).orderBy("src").collect()] == list(range(6))
